@@ -9,8 +9,6 @@ from ..functions.text import isbn_norm, main_title, nonempty, title_relevance, t
 from .ordered import top_per_group
 
 GRAM = 3
-#: Rows of one gram that a single join task should meet before the gram is salted.
-HOT_GRAM_ROWS = 20000
 
 
 # ---------------------------------------------------------------- substring join
@@ -25,119 +23,140 @@ def _grams(c: Column, n: Column) -> Column:
 def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str) -> DataFrame:
     """All (needle, text) pairs of two single-column frames where the text contains the needle.
 
-    Exact.  Every needle is looked up by its rarest gram (a needle shorter than the gram size by
-    itself), so the join is an equi-join; grams still frequent in the catalog are salted.  Both sides
-    should hold distinct values: copies are joined back afterwards.
+    Exact.  Every needle is looked up by the rarest of its grams (a needle shorter than the gram size by
+    itself), so this is an equi-join on short posting lists; a gram that is still frequent is left to
+    AQE's skew join.  Both sides should hold distinct values: copies are joined back afterwards.
     """
-    sized = needles.filter(F.length(needle) > 0).withColumn("_n", F.least(F.length(needle), F.lit(GRAM)))
-    asked = sized.select(needle, F.explode(_grams(F.col(needle), F.col("_n"))).alias("_gram"))
-
-    # Only grams some needle has are worth indexing.
-    wanted = asked.select("_gram").distinct()
     sizes = F.array(*[F.lit(i) for i in range(1, GRAM + 1)])
-    posted = hay.select(
-        text, F.explode(F.flatten(F.transform(sizes, lambda n: F.coalesce(_grams(F.col(text), n), F.array().cast("array<string>"))))).alias("_gram")
-    ).join(wanted, "_gram", "left_semi")
-
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.transform(sizes, lambda n: F.coalesce(_grams(F.col(text), n), none)))
+    posted = hay.select(text, F.explode(every).alias("_gram"))
     frequency = posted.groupBy("_gram").agg(F.count("*").alias("_freq"))
-    rarest = (
+
+    size = F.least(F.length(needle), F.lit(GRAM))
+    asked = needles.filter(F.length(needle) > 0).select(needle, F.explode(_grams(F.col(needle), size)).alias("_gram"))
+    picked = (
         asked.join(frequency, "_gram", "left")
         .groupBy(needle)
         .agg(F.min(F.struct(F.coalesce("_freq", F.lit(0)).alias("_freq"), "_gram")).alias("_pick"))
         .filter(F.col("_pick._freq") > 0)  # a gram no text has: no text can contain the needle
+        .select(needle, F.col("_pick._gram").alias("_gram"))
     )
-    picked = rarest.select(
-        needle,
-        F.col("_pick._gram").alias("_gram"),
-        F.ceil(F.col("_pick._freq") / HOT_GRAM_ROWS).cast("int").alias("_salts"),
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    salts = frequency.select("_gram", F.ceil(F.col("_freq") / HOT_GRAM_ROWS).cast("int").alias("_salts")).join(
-        picked.select("_gram").distinct(), "_gram", "left_semi"
-    )
-    spread = posted.join(salts, "_gram").withColumn("_salt", F.pmod(F.xxhash64(text), F.col("_salts")).cast("int"))
-    pairs = spread.drop("_salts").join(picked.drop("_salts"), ["_gram", "_salt"])
-    return pairs.filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
+    return posted.join(picked, "_gram").filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
 
 
-def _lookup_containing(req: DataFrame, needle: Column, cat: DataFrame, field: Column, k: int, order: list[str]) -> DataFrame:
-    """(needle, catalog row) for the first ``k`` catalog rows whose field contains each needle."""
+HIT = ["id", "title", "author", "publisher", "isbn", "ss_code"]
+
+
+def _first_containing(wanted: DataFrame, cat: DataFrame, field: str, k: int, order: list[str]) -> DataFrame:
+    """The first ``k`` catalog rows whose field contains each wanted ``_needle``, as ``_place`` 1..k."""
     hay = cat.withColumn("_text", F.lower(field)).filter(F.col("_text") != "")
     # k rows per distinct text are enough for the first k of any needle.
     first = top_per_group(hay, ["_text"], [F.col(o) for o in order], k)
-    wanted = req.select(F.lower(needle).alias("_needle")).filter(F.col("_needle") != "").distinct()
-    pairs = contains_join(wanted, first.select("_text").distinct(), "_needle", "_text")
+    pairs = contains_join(wanted.distinct(), first.select("_text").distinct(), "_needle", "_text")
     return top_per_group(pairs.join(first, "_text"), ["_needle"], [F.col(o) for o in order], k, "_place")
 
 
-# ---------------------------------------------------------------- lookups
-
-HIT = ["id", "title", "author", "publisher", "isbn", "ss_code"]
-
+def _hit() -> Column:
+    return F.struct(*HIT).alias("_hit")
 
-def _hits(cat: DataFrame) -> list[Column]:
-    return [F.col(c).alias(f"hit_{c}") for c in HIT]
 
-
-def lookup_code(req: DataFrame, cat: DataFrame, order: list[str] = ["id"]) -> DataFrame:
-    """Requests with the first catalog row of the same code (inner)."""
-    # The right side is one row per code, so a code asked for by many requests cannot multiply.
+def _code_hits(cat: DataFrame, order: list[str]) -> DataFrame:
+    """One row per code, so a code asked for by very many requests cannot multiply."""
     first = top_per_group(cat.filter(nonempty("ss_code").isNotNull()), ["ss_code"], [F.col(o) for o in order])
-    first = first.select(F.col("ss_code").alias("_code"), *_hits(cat))
-    return req.filter(nonempty("ss_code").isNotNull()).join(first, F.col("ss_code") == F.col("_code")).drop("_code")
+    return first.select(F.col("ss_code").alias("_key"), _hit())
 
 
-def lookup_title(req: DataFrame, cat: DataFrame, k: int = 5, minimum: float = 0.4, order: list[str] = ["id"]) -> DataFrame:
-    """Best of the first ``k`` catalog rows whose title contains the request's main title (inner)."""
-    asked = req.filter(nonempty("title").isNotNull()).withColumn("_main", main_title("title"))
-    found = _lookup_containing(asked, F.col("_main"), cat, F.col("title"), k, order)
+def _title_hits(wanted: DataFrame, cat: DataFrame, k: int, minimum: float, order: list[str]) -> DataFrame:
+    found = _first_containing(wanted, cat, "title", k, order)
     scored = found.withColumn("similarity", title_similarity(F.col("title"), F.col("_needle")))
     best = top_per_group(scored, ["_needle"], [F.desc("similarity"), F.col("_place")])
-    best = best.filter(F.col("similarity") >= minimum).select("_needle", "similarity", *_hits(cat))
-    return asked.join(best, F.lower("_main") == F.col("_needle")).drop("_needle", "_main")
-
-
-def lookup_isbn(req: DataFrame, cat: DataFrame, order: list[str] = ["id"]) -> DataFrame:
-    """First catalog row whose isbn contains the request's, bare digits before the text as given (inner)."""
-    asked = req.filter(nonempty("isbn").isNotNull())
-    tries = asked.select(F.explode(F.array(isbn_norm("isbn"), F.col("isbn"))).alias("_try")).distinct()
-    found = _lookup_containing(tries, F.col("_try"), cat, F.col("isbn"), 1, order).select("_needle", *_hits(cat))
-    bare = found.select(F.col("_needle").alias("_n1"), F.struct(*[f"hit_{c}" for c in HIT]).alias("_bare"))
-    given = found.select(F.col("_needle").alias("_n2"), F.struct(*[f"hit_{c}" for c in HIT]).alias("_given"))
-    return (
-        asked.join(bare, F.lower(isbn_norm("isbn")) == F.col("_n1"), "left")
-        .join(given, F.lower("isbn") == F.col("_n2"), "left")
-        .withColumn("_hit", F.coalesce("_bare", "_given"))
-        .filter(F.col("_hit").isNotNull())
-        .select(*req.columns, *[F.col("_hit")[f"hit_{c}"].alias(f"hit_{c}") for c in HIT])
-    )
+    return best.filter(F.col("similarity") >= minimum).select(F.col("_needle").alias("_key"), _hit(), "similarity")
+
+
+def _isbn_hits(wanted: DataFrame, cat: DataFrame, order: list[str]) -> DataFrame:
+    return _first_containing(wanted, cat, "isbn", 1, order).select(F.col("_needle").alias("_key"), _hit())
+
+
+def _code_key() -> Column:
+    return nonempty("ss_code")
 
 
-def resolve(req: DataFrame, cat: DataFrame, key: str = "req_id", order: list[str] = ["id"]) -> DataFrame:
+def _title_key() -> Column:
+    return F.when(nonempty("title").isNotNull(), F.lower(main_title("title")))
+
+
+def _isbn_keys() -> tuple[Column, Column]:
+    """Bare digits, and the text as given where that differs."""
+    bare, given = F.lower(isbn_norm("isbn")), F.lower("isbn")
+    known = nonempty("isbn").isNotNull()
+    return F.when(known, bare), F.when(known & (given != bare), given)
+
+
+def _attach(req: DataFrame, hits: DataFrame, key: Column, row_key: str, name: str, *more: str) -> DataFrame:
+    """Left join of hits by a key that may be NULL; NULL keys are spread over the cluster by row key."""
+    spread = F.coalesce(key, F.concat(F.lit("\u0000"), F.col(row_key).cast("string")))
+    right = hits.select("_key", F.col("_hit").alias(name), *more)
+    return req.withColumn("_at", spread).join(right, F.col("_at") == F.col("_key"), "left").drop("_at", "_key")
+
+
+def _unpack(df: DataFrame, req: DataFrame, name: str, *more: str) -> DataFrame:
+    return df.filter(F.col(name).isNotNull()).select(*req.columns, *more, *[F.col(name)[c].alias(f"hit_{c}") for c in HIT])
+
+
+def lookup_code(req: DataFrame, cat: DataFrame, key: str = "req_id", order: list[str] = ["id"]) -> DataFrame:
+    """Requests with the first catalog row of the same code."""
+    return _unpack(_attach(req, _code_hits(cat, order), _code_key(), key, "_c"), req, "_c")
+
+
+def lookup_title(
+    req: DataFrame, cat: DataFrame, key: str = "req_id", k: int = 5, minimum: float = 0.4, order: list[str] = ["id"]
+) -> DataFrame:
+    """Requests with the best of the first ``k`` catalog rows whose title contains their main title."""
+    wanted = req.select(_title_key().alias("_needle")).filter(F.col("_needle") != "")
+    hits = _title_hits(wanted, cat, k, minimum, order)
+    return _unpack(_attach(req, hits, _title_key(), key, "_t", "similarity"), req, "_t", "similarity")
+
+
+def lookup_isbn(req: DataFrame, cat: DataFrame, key: str = "req_id", order: list[str] = ["id"]) -> DataFrame:
+    """Requests with the first catalog row whose isbn contains theirs, bare digits before the text as given."""
+    bare, given = _isbn_keys()
+    wanted = req.select(F.explode(F.array(bare, given)).alias("_needle")).filter(F.col("_needle") != "")
+    hits = _isbn_hits(wanted, cat, order)
+    out = _attach(_attach(req, hits, bare, key, "_bare"), hits, given, key, "_given")
+    return _unpack(out.withColumn("_i", F.coalesce("_bare", "_given")), req, "_i")
+
+
+def resolve(
+    req: DataFrame, cat: DataFrame, key: str = "req_id", k: int = 5, minimum: float = 0.4, order: list[str] = ["id"]
+) -> DataFrame:
     """Cascade code, title, isbn: the first hit fills the request's gaps.
 
-    Later, dearer tiers only see what is still unresolved.  ``fallback`` marks requests that have an
-    isbn but no hit.
+    The dear substring tiers only look for requests no code resolved, and each is one lookup of distinct
+    needles attached to the requests; no tier runs another one again.  ``fallback`` marks requests that
+    have an isbn but no hit.
     """
-
-    def tier(name: str, found: DataFrame) -> DataFrame:
-        return found.select(*req.columns, *[f"hit_{c}" for c in HIT]).withColumn("tier", F.lit(name))
-
-    by_code = tier("code", lookup_code(req, cat, order))
-    rest = req.join(by_code.select(key), key, "left_anti")
-    by_title = tier("title", lookup_title(rest, cat, order=order))
-    rest = rest.join(by_title.select(key), key, "left_anti")
-    by_isbn = tier("isbn", lookup_isbn(rest, cat, order))
-    rest = rest.join(by_isbn.select(key), key, "left_anti")
-    unset = [F.lit(None).cast(f.dataType).alias(f.name) for f in by_code.schema if f.name not in req.columns]
-    empty = rest.select(*req.columns, *unset)
-    found = by_code.unionByName(by_title).unionByName(by_isbn).unionByName(empty)
-    gaps = {c: F.coalesce(nonempty(c), nonempty(f"hit_{c}")) for c in ("title", "isbn", "ss_code")}
-    return found.select(
+    coded = _attach(req, _code_hits(cat, order), _code_key(), key, "_code")
+    open_ = F.col("_code").isNull()
+    wanted = coded.filter(open_).select(_title_key().alias("_needle")).filter(F.col("_needle") != "")
+    titled = _attach(coded, _title_hits(wanted, cat, k, minimum, order), F.when(open_, _title_key()), key, "_title", "similarity")
+    bare, given = _isbn_keys()
+    tries = coded.filter(open_).select(F.explode(F.array(bare, given)).alias("_needle")).filter(F.col("_needle") != "")
+    hits = _isbn_hits(tries, cat, order)
+    every = _attach(_attach(titled, hits, bare, key, "_bare"), hits, given, key, "_given")
+    tier = (
+        F.when(F.col("_code").isNotNull(), "code")
+        .when(F.col("_title").isNotNull(), "title")
+        .when(F.coalesce("_bare", "_given").isNotNull(), "isbn")
+    )
+    hit = every.withColumn("_h", F.coalesce("_code", "_title", "_bare", "_given")).withColumn("tier", tier)
+    gaps = {c: F.coalesce(nonempty(c), nonempty(F.col("_h")[c])) for c in ("title", "isbn", "ss_code")}
+    return hit.select(
         key,
         *[v.alias(c) for c, v in gaps.items()],
-        F.col("hit_id").alias("book_id"),
-        nonempty("hit_author").alias("author"),
-        nonempty("hit_publisher").alias("publisher"),
+        F.col("_h.id").alias("book_id"),
+        nonempty("_h.author").alias("author"),
+        nonempty("_h.publisher").alias("publisher"),
         "tier",
         (F.col("tier").isNull() & nonempty("isbn").isNotNull()).alias("fallback"),
     )
