@@ -34,6 +34,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trim_u(c) -> Column:
     """Trim every kind of Unicode white space; SQL trim() only knows the blank."""
     return F.regexp_replace(_col(c), "(?U)^\\s+|\\s+$", "")
@@ -88,16 +93,16 @@ def char_overlap(a, b) -> Column:
 
 def title_similarity(a, b) -> Column:
     """0..1: containment scores by length difference, otherwise shared distinct characters."""
-    a, b = _col(a), _col(b)
-    la, lb = F.lower(a), F.lower(b)
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    contained = F.lit(0.9) - F.lit(0.2) * (F.abs(F.length(a) - F.length(b)) / longest)
-    sets = F.greatest(F.size(char_set(la)), F.size(char_set(lb)), F.lit(1))
-    return (
-        F.when(F.coalesce(a, F.lit("")).eqNullSafe("") | F.coalesce(b, F.lit("")).eqNullSafe(""), F.lit(0.0))
-        .when(F.contains(la, lb) | F.contains(lb, la), contained)
-        .otherwise(char_overlap(la, lb) / sets)
+    la, lb = F.lower(_col(a)), F.lower(_col(b))
+    longest = F.greatest(F.length(_col(a)), F.length(_col(b)), F.lit(1))
+    contained = F.lit(0.9) - F.lit(0.2) * (F.abs(F.length(_col(a)) - F.length(_col(b))) / longest)
+    sets = F.struct(char_set(la).alias("a"), char_set(lb).alias("b"))
+    overlap = let(
+        sets,
+        lambda s: F.size(F.array_intersect(s["a"], s["b"])) / F.greatest(F.size(s["a"]), F.size(s["b"]), F.lit(1)),
     )
+    empty = F.coalesce(la == "", F.lit(True)) | F.coalesce(lb == "", F.lit(True))
+    return F.when(empty, F.lit(0.0)).when(F.contains(la, lb) | F.contains(lb, la), contained).otherwise(overlap)
 
 
 @F.pandas_udf(T.StringType())
@@ -129,19 +134,23 @@ def title_relevance(a, b, normalize: bool = True) -> Column:
     ta, tb = trim_u(form(F.lower(_col(a)))), trim_u(form(F.lower(_col(b))))
 
     def score(x: Column, y: Column) -> Column:
-        widest = F.greatest(F.size(x), F.size(y), F.lit(1))
-        return F.floor(F.size(F.array_intersect(x, y)) / widest * 100).cast("int")
-
-    return (
-        F.when(F.coalesce(ta, F.lit("")).eqNullSafe("") | F.coalesce(tb, F.lit("")).eqNullSafe(""), F.lit(0))
-        .when(F.contains(ta, tb) | F.contains(tb, ta), F.lit(100))
-        .otherwise(
-            F.greatest(
-                score(_relevance_cjk(ta), _relevance_cjk(tb)),
-                score(_relevance_words(ta), _relevance_words(tb)),
+        both = F.struct(x.alias("x"), y.alias("y"))
+        widest = lambda s: F.greatest(F.size(s["x"]), F.size(s["y"]), F.lit(1))
+        return let(both, lambda s: F.floor(F.size(F.array_intersect(s["x"], s["y"])) / widest(s) * 100).cast("int"))
+
+    def graded(t: Column) -> Column:
+        p, q = t["a"], t["b"]
+        return (
+            F.when(F.coalesce(p == "", F.lit(True)) | F.coalesce(q == "", F.lit(True)), F.lit(0))
+            .when(F.contains(p, q) | F.contains(q, p), F.lit(100))
+            .otherwise(
+                F.greatest(
+                    score(_relevance_cjk(p), _relevance_cjk(q)), score(_relevance_words(p), _relevance_words(q))
+                )
             )
         )
-    )
+
+    return let(F.struct(ta.alias("a"), tb.alias("b")), graded)
 
 
 def clean_query_title(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, first_match, trim_u
+from .text import _col, first_match, let, trim_u
 
 # Numerals.
 CN_DIGITS = {
@@ -47,19 +47,22 @@ def roman_numerals() -> dict[str, int]:
 
 
 def _lookup(table: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    """Literal map; parsed as one text, since a Column per entry is slow to build."""
+    return F.expr("map(" + ", ".join(f"'{k}', {n}L" for k, n in table.items()) + ")")
 
 
 def cn_to_int(c) -> Column:
-    return F.try_element_at(_lookup(cn_numerals()), trim_u(c)).cast("bigint")
+    return F.try_element_at(_lookup(cn_numerals()), trim_u(c))
 
 
 def page_number(c) -> Column:
     """Digits, Roman i..xxv or a Chinese numeral as a number, else NULL."""
-    t = trim_u(c)
     words = _lookup(roman_numerals() | cn_numerals())
-    return F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")).otherwise(
-        F.try_element_at(words, F.lower(t)).cast("bigint")
+    return let(
+        trim_u(c),
+        lambda t: F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")).when(
+            F.length(t).between(1, 5), F.try_element_at(words, F.lower(t))
+        ),
     )
 
 
@@ -73,43 +76,62 @@ def _unbullet(c) -> Column:
     return trim_u(F.regexp_replace(trim_u(c), "^[- ]+", ""))
 
 
-def _entry(title: Column, page: Column, ok: Column) -> Column:
-    return F.when(ok, F.struct(title.alias("title"), page.alias("page")))
-
-
 def parse_toc_line(c) -> Column:
     """struct(title, page) of one line, NULL when it is no entry.
 
     Formats in order: tab, pipes, dot leaders, trailing number.
     """
-    line = trim_u(c)
-
-    left, right = F.split_part(line, F.lit("\t"), F.lit(1)), F.regexp_replace(line, "(?s)^[^\\t]*\\t", "")
-    tab_title, tab_page = _unbullet(left), page_number(right)
-    tab = _entry(clean_title(tab_title), tab_page, F.contains(line, F.lit("\t")) & (tab_title != "") & tab_page.isNotNull())
 
-    cells = F.filter(F.transform(F.split(line, "\\|"), trim_u), lambda p: p != "")
-    pipe_title, pipe_page = clean_title(F.get(cells, 0)), page_number(F.try_element_at(cells, F.lit(-1)))
-    pipe = _entry(
-        pipe_title, pipe_page,
-        F.contains(line, F.lit("|")) & (F.size(cells) >= 2) & pipe_page.isNotNull() & (pipe_title != ""),
-    )
-
-    leader = "(?U)^[-*]?\\s*(.+?)\\s*[.…·]{2,}\\s*(\\S+)\\s*$"
-    dot_title, dot_page = clean_title(F.regexp_extract(line, leader, 1)), page_number(F.regexp_extract(line, leader, 2))
-    dots = _entry(dot_title, dot_page, line.rlike(leader) & (dot_title != "") & dot_page.isNotNull())
-
-    trailing = "(?U)^(.+?)\\s+(\\d+)\\s*$"
-    end_title, end_page = clean_title(_unbullet(F.regexp_extract(line, trailing, 1))), page_number(F.regexp_extract(line, trailing, 2))
-    number = _entry(end_title, end_page, (end_title != "") & (end_page > 0))
-
-    parsed = F.coalesce(tab, pipe, dots, number)
-    usable = (
-        (F.length(line) >= 3)
-        & ~line.isin(HEADER_LINES)
-        & ~F.contains(line, F.lit("---")) & ~F.contains(line, F.lit("章节")) & ~F.contains(line, F.lit("标题"))
-    )
-    return F.when(usable & (parsed["title"] != ""), parsed)
+    def entry(title: Column, page: Column, final=lambda t: t, positive: bool = False) -> Column:
+        def checked(e: Column) -> Column:
+            ok = (e["title"] != "") & e["page"].isNotNull()
+            ok = ok & (e["page"] > 0) if positive else ok
+            return F.when(ok, F.struct(final(e["title"]).alias("title"), e["page"].alias("page")))
+
+        return let(F.struct(title.alias("title"), page.alias("page")), checked)
+
+    def parsed(line: Column) -> Column:
+        tab = F.when(
+            F.contains(line, F.lit("\t")),
+            entry(
+                _unbullet(F.split_part(line, F.lit("\t"), F.lit(1))),
+                page_number(F.regexp_replace(line, "(?s)^[^\\t]*\\t", "")),
+                clean_title,
+            ),
+        )
+        cells = F.filter(F.transform(F.split(line, "\\|"), trim_u), lambda p: p != "")
+        pipe = F.when(
+            F.contains(line, F.lit("|")),
+            let(
+                cells,
+                lambda p: F.when(F.size(p) >= 2, entry(clean_title(F.get(p, 0)), page_number(F.try_element_at(p, F.lit(-1))))),
+            ),
+        )
+        leader = "(?U)^[-*]?\\s*(.+?)\\s*[.…·]{2,}\\s*(\\S+)\\s*$"
+        dots = F.when(
+            line.rlike("[.…·]{2}"),
+            entry(clean_title(F.regexp_extract(line, leader, 1)), page_number(F.regexp_extract(line, leader, 2))),
+        )
+        trailing = "(?U)^(.+?)\\s+(\\d+)\\s*$"
+        number = F.when(
+            line.rlike("(?U)\\s\\d+$"),
+            entry(
+                clean_title(_unbullet(F.regexp_extract(line, trailing, 1))),
+                F.regexp_extract(line, trailing, 2).try_cast("bigint"),
+                positive=True,
+            ),
+        )
+        return F.coalesce(tab, pipe, dots, number)
+
+    def usable(line: Column) -> Column:
+        return (
+            (F.length(line) >= 3)
+            & ~line.isin(HEADER_LINES)
+            & ~F.contains(line, F.lit("---")) & ~F.contains(line, F.lit("章节")) & ~F.contains(line, F.lit("标题"))
+        )
+
+    found = let(trim_u(c), lambda line: F.when(usable(line), parsed(line)))
+    return let(found, lambda e: F.when(e["title"] != "", e))
 
 
 def heading_level(c) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import toclines as L
-from ..functions.text import cjk_ratio, is_blank, nonempty, title_key, trim_u
+from ..functions.text import cjk_ratio, is_blank, let, nonempty, title_key, trim_u
 from .ordered import Scan, fill, fill_next, following, ordered_scan, previous, top_per_group, total  # noqa: F401
 
 # ---------------------------------------------------------------- pages
@@ -166,7 +166,9 @@ def assign_levels(rows: DataFrame) -> DataFrame:
         still = F.col(f"_open{v}") >= F.coalesce(f"_shut{v}", F.lit(-1))
         depth = depth + F.when(still, 1).otherwise(0)
     inferred = F.least(F.when(container, depth).otherwise(depth + 1), F.lit(4))
-    given = F.when(F.col("explicit") == -1, F.lit(-1)).otherwise(F.least(F.col("explicit") + 1, F.lit(4)))
+    given = F.when(F.col("explicit") == -1, -1).when(
+        F.col("explicit").isNotNull(), F.least(F.col("explicit") + 1, F.lit(4))
+    )
     return out.withColumn("level", F.coalesce(given, inferred).cast("bigint")).drop("_h", *scans)
 
 
@@ -211,26 +213,23 @@ def _bare(c) -> Column:
 def cross_validate(entries: DataFrame, texts: DataFrame, min_ratio: float = 0.3) -> DataFrame:
     """Entries whose first four characters occur in the document's text; short titles pass.
 
-    If too few of at least three entries match, the text is taken to be unusable and all stay.  The
-    text is cut into 4-grams joined on (document, gram), which spreads even one huge document.
+    If too few of at least three entries match, the text is taken to be unusable and all stay.  Each
+    text is shuffled once and searched once per distinct opening of the document's titles.
     """
-    e = entries.withColumn("_t", _bare("title")).withColumn("_gram", F.when(F.length("_t") >= 4, F.left("_t", F.lit(4))))
+    e = entries.withColumn("_t", _bare("title")).withColumn("_open", F.when(F.length("_t") >= 4, F.left("_t", F.lit(4))))
     body = texts.filter(~is_blank("text")).select("doc_id", _bare("text").alias("_b"))
-    last = F.length("_b") - 3
-    grams = body.filter(last >= 1).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col("_b"), i, F.lit(4))))).alias("_gram")
+    asked = e.select("doc_id", "_open").distinct()
+    found = asked.join(body, "doc_id").select("doc_id", "_open", F.coalesce(F.contains("_b", "_open"), F.lit(False)).alias("_m"))
+    same = e.join(
+        found.withColumnsRenamed({"doc_id": "_d", "_open": "_o"}),
+        (F.col("doc_id") == F.col("_d")) & F.col("_open").eqNullSafe(F.col("_o")), "left",
     )
-    asked = e.select("doc_id", "_gram").filter(F.col("_gram").isNotNull()).distinct()
-    found = asked.join(grams.distinct(), ["doc_id", "_gram"], "left_semi").withColumn("_hit", F.lit(True))
-    has_text = body.select("doc_id").distinct().withColumn("_has", F.lit(True))
-    marked = e.join(found, ["doc_id", "_gram"], "left").join(has_text, "doc_id", "left")
-    matched = F.coalesce("_hit", F.lit(False))
     counted = ordered_scan(
-        marked.withColumn("_m", matched), ["doc_id"], ["seq"],
-        {"_matched": total(F.col("_m").cast("bigint")), "_n": total(F.lit(1))},
+        same.select(*entries.columns, "_open", "_m"), ["doc_id"], ["seq"],
+        {"_matched": total(F.coalesce("_m", F.lit(False)).cast("bigint")), "_n": total(F.lit(1))},
     )
-    unusable = F.col("_has").isNull() | ((F.col("_n") >= 3) & (F.col("_matched") / F.col("_n") < min_ratio))
-    return counted.filter(unusable | F.col("_gram").isNull() | F.col("_m")).select(*entries.columns)
+    unusable = F.col("_m").isNull() | ((F.col("_n") >= 3) & (F.col("_matched") / F.col("_n") < min_ratio))
+    return counted.filter(unusable | F.col("_open").isNull() | F.col("_m")).select(*entries.columns)
 
 
 def dedupe_titles(rows: DataFrame) -> DataFrame:
@@ -297,33 +296,35 @@ def toc_titles_only(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _rows_of(found: Column) -> Column:
+    """One row for a struct, none for NULL; unlike a filter this keeps Spark from computing it twice."""
+    return F.inline(F.filter(F.array(found), lambda e: e.isNotNull()))
+
+
 def parse_toc_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines that are entries, with ``title`` and ``page``; the line goes, everything else stays."""
-    keep = [c for c in lines.columns if c != line]
-    return (
-        lines.withColumn("_e", L.parse_toc_line(line)).filter(F.col("_e").isNotNull())
-        .select(*keep, F.col("_e.title").alias("title"), F.col("_e.page").alias("page"))
-    )
+    return lines.select(*[c for c in lines.columns if c != line], _rows_of(L.parse_toc_line(line)))
 
 
 def raw_entries(lines: DataFrame) -> DataFrame:
     """(doc_id, seq, title, page, is_chapter) of lines, chapters without page included."""
-    line = trim_u("line")
-    chapter = F.coalesce(line.rlike(L.CHAPTER_START), F.lit(False))
-    staged = lines.select("doc_id", "seq", line.alias("line"), chapter.alias("is_chapter"), L.parse_toc_line("line").alias("_e"))
-    parsed = F.col("_e").isNotNull()
-    heading = F.regexp_extract("line", f"(?U)^(第{L.CN_NUM}[章节篇回卷]\\s*.+)", 1)
-    return (
-        staged.filter((F.col("line") != "") & (F.col("line") != "目录"))
-        .select(
-            "doc_id", "seq",
-            F.when(parsed, F.when(F.length(L.solid_title("_e.title")) >= 2, F.col("_e.title")))
-            .otherwise(F.when(F.col("is_chapter"), nonempty(heading)))
-            .alias("title"),
-            F.col("_e.page").alias("page"), "is_chapter",
+    heading = f"(?U)^(第{L.CN_NUM}[章节篇回卷]\\s*.+)"
+
+    def entry(x: Column) -> Column:
+        title = F.when(
+            x["e"].isNotNull(), F.when(F.length(L.solid_title(x["e"]["title"])) >= 2, x["e"]["title"])
+        ).when(x["chapter"], nonempty(F.regexp_extract(x["line"], heading, 1)))
+        found = F.struct(title.alias("title"), x["e"]["page"].alias("page"), x["chapter"].alias("is_chapter"))
+        return let(found, lambda f: F.when(f["title"].isNotNull(), f))
+
+    def read(line: Column) -> Column:
+        facts = F.struct(
+            line.alias("line"), L.parse_toc_line(line).alias("e"),
+            F.coalesce(line.rlike(L.CHAPTER_START), F.lit(False)).alias("chapter"),
         )
-        .filter(F.col("title").isNotNull())
-    )
+        return F.when((line != "") & (line != "目录"), let(facts, entry))
+
+    return lines.select("doc_id", "seq", _rows_of(let(trim_u("line"), read)))
 
 
 def toc_from_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -455,17 +456,18 @@ def _free_entries(lines: DataFrame) -> DataFrame:
     line = trim_u("line")
     long = (F.length(line) > 60) & ~line.rlike("[.…·]{2,}|\\t")
     usable = (line != "") & ~line.startswith("TOC_") & (line != "NO_TOC") & ~long
-    clean = trim_u(F.regexp_replace(line, "^[·•\\- \\t]+", ""))
-    heading = (F.length(clean) >= 2) & (
-        clean.rlike(L.CHAPTER_MARK) | clean.rlike("(?U)^\\d+(\\.\\d+)*\\s+") | clean.rlike("[一二三四五六七八九十]+、")
-    )
-    staged = lines.filter(usable).withColumn("_e", L.parse_toc_line("line"))
-    rows = staged.select(
-        "doc_id", "seq",
-        F.when(F.col("_e").isNotNull(), F.col("_e.title")).when(heading, clean).alias("title"),
-        F.col("_e.page").alias("page"),
-    ).filter(F.col("title").isNotNull())
-    return backfill_pending(rows)
+
+    def entry(x: Column) -> Column:
+        clean = trim_u(F.regexp_replace(x["line"], "^[·•\\- \\t]+", ""))
+        heading = (F.length(clean) >= 2) & (
+            clean.rlike(L.CHAPTER_MARK) | clean.rlike("(?U)^\\d+(\\.\\d+)*\\s+") | clean.rlike("[一二三四五六七八九十]+、")
+        )
+        title = F.when(x["e"].isNotNull(), x["e"]["title"]).when(heading, clean)
+        found = F.struct(title.alias("title"), x["e"]["page"].alias("page"))
+        return let(found, lambda f: F.when(f["title"].isNotNull(), f))
+
+    facts = F.struct(line.alias("line"), L.parse_toc_line("line").alias("e"))
+    return backfill_pending(lines.filter(usable).select("doc_id", "seq", _rows_of(let(facts, entry))))
 
 
 def parse_response(df: DataFrame, text: str = "response") -> DataFrame:
@@ -493,7 +495,7 @@ FOLD_TITLES = 500
 
 
 def _same_title(new: Column, kept: Column) -> Column:
-    common = F.length(new) - F.length(F.translate(new, kept, F.lit("")))
+    common = F.length(new) - F.length(F.call_function("translate", new, kept, F.lit("")))
     return (
         F.contains(kept, new) | F.contains(new, kept)
         | (common > F.length(new) * 0.8) | (common > F.length(kept) * 0.8)
