@@ -73,13 +73,15 @@ def like_literal(text: str) -> str:
 def main_title(c) -> Column:
     """Part before the first usable subtitle separator, else the title without bracketed parts."""
     c = _col(c)
-    cuts = []
-    for sep in SUBTITLE_SEPARATORS:
+
+    def cut(sep: Column) -> Column:
         at = F.instr(c, sep)
-        head = trim_u(F.substring(c, F.lit(1), at - 1))
-        cuts.append(F.when((at > 1) & (at < F.length(c)) & (F.length(head) >= 2), head))
-    plain = trim_u(F.regexp_replace(c, "[（(][^）)]*[）)]", ""))
-    return F.coalesce(*cuts, plain)
+        inside = (at > 1) & (at < F.length(c))
+        return F.when(inside, let(trim_u(F.substring(c, F.lit(1), at - 1)), lambda h: F.when(F.length(h) >= 2, h)))
+
+    separators = F.expr("array(" + ", ".join(f"'{s}'" for s in SUBTITLE_SEPARATORS) + ")")
+    first = F.get(F.filter(F.transform(separators, cut), lambda h: h.isNotNull()), 0)
+    return F.coalesce(first, trim_u(F.regexp_replace(c, "[（(][^）)]*[）)]", "")))
 
 
 def char_set(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, nonempty, trim_u
+from ..functions.text import is_blank, trim_u
 from .ordered import following, ordered_scan, sum_before, total
 
 BOX = ["doc_id", "page_no", "box_no"]
@@ -18,10 +18,15 @@ MAX_BANDS = 4096
 # ---------------------------------------------------------------- predicates
 
 
+def has_text(c: str) -> Column:
+    """A box counts as filled by any character, blanks included."""
+    return F.coalesce(F.col(c) != "", F.lit(False))
+
+
 def box_class(boxes: DataFrame, spatial: str = "spatial_text") -> DataFrame:
     """``body`` for wide lines of text height that have spatial text, else ``edge``."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    body = (w > 0.5) & (h > 0.01) & (h < 0.05) & nonempty(spatial).isNotNull()
+    body = (w > 0.5) & (h > 0.01) & (h < 0.05) & has_text(spatial)
     return boxes.withColumn("box_class", F.when(body, "body").otherwise("edge"))
 
 
@@ -135,7 +140,7 @@ def fill_from_spatial(perbox: DataFrame, spatial: DataFrame) -> DataFrame:
     """Per-box texts, with empty or low-quality ones and all body boxes taken from the spatial texts."""
     classed = box_class(perbox.join(spatial.select(*BOX, F.col("text").alias("spatial_text")), BOX, "left"))
     flagged = low_quality_box(classed)
-    take = ((F.col("box_class") == "body") | F.col("low_quality")) & nonempty("spatial_text").isNotNull()
+    take = ((F.col("box_class") == "body") | F.col("low_quality")) & has_text("spatial_text")
     return flagged.select(
         *BOX, "box_class", "low_quality",
         F.when(take, F.col("spatial_text")).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
@@ -147,7 +152,7 @@ def fill_from_spatial(perbox: DataFrame, spatial: DataFrame) -> DataFrame:
 
 def ocr_match_rate(boxes: DataFrame) -> DataFrame:
     """Per document: boxes with text, boxes, whole per cent, characters."""
-    hit = F.count(F.when(~is_blank("text"), 1))
+    hit = F.count(F.when(has_text("text"), 1))
     return boxes.groupBy("doc_id").agg(
         hit.alias("matched"), F.count("*").alias("boxes"),
         F.floor(hit * 100 / F.greatest(F.lit(1), F.count("*"))).cast("bigint").alias("percent"),
@@ -187,21 +192,22 @@ def concat_chunks(chunks: DataFrame, size: int = 100) -> DataFrame:
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif"]
 
 
+#: Leading characters of a name that make one block.
+NAME_BLOCK = 8
+
+
 def page_order(files: DataFrame) -> DataFrame:
     """Page images (doc_id, name) numbered by extension group, lower case first, then name.
 
-    Numbers are counts of earlier names, added over (document, extension, first characters) groups, so
-    a folder with very many images is not sorted by one task.
+    A folder is cut by extension and the first characters of the names, so one with very many images is
+    not sorted by one task.
     """
     ext = F.regexp_extract("name", "(?i)(\\.[a-z]+)$", 1)
     group = F.array_position(F.array(*[F.lit(e) for x in IMAGE_EXTENSIONS for e in (x, x.upper())]), ext)
-    images = files.withColumn("_group", group).filter(F.col("_group") > 0)
+    images = files.withColumn("_ext", group).filter(F.col("_ext") > 0)
     out = ordered_scan(
-        images, ["doc_id"], ["_group", "name"],
+        images, ["doc_id"], ["_ext", "name"],
         {"page_no": sum_before(F.lit(1)), "page_count": total(F.lit(1))},
-        block=F.concat(F.lpad(F.col("_group").cast("string"), 2, "0"), F.left("name", F.lit(NAME_BLOCK))),
+        block=F.concat(F.lpad(F.col("_ext").cast("string"), 2, "0"), F.left("name", F.lit(NAME_BLOCK))),
     )
     return out.select(*files.columns, F.col("page_no").cast("bigint").alias("page_no"), F.col("page_count").cast("bigint").alias("page_count"))
-
-
-NAME_BLOCK = 8

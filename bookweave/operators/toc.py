@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import toclines as L
 from ..functions.text import cjk_ratio, is_blank, let, nonempty, title_key, trim_u
-from .ordered import Scan, fill, fill_next, following, ordered_scan, previous, top_per_group, total  # noqa: F401
+from . import ordered
+from .ordered import Scan, fill, fill_next, following, ordered_scan, previous, top_per_group, total
 
 # ---------------------------------------------------------------- pages
 
@@ -403,89 +404,127 @@ def split_response(df: DataFrame, text: str = "response") -> DataFrame:
     return fill_page_forward(entries).select("doc_id", "seq", "title", "page", "level")
 
 
-def parse_markdown_table(df: DataFrame, text: str = "response") -> DataFrame:
-    """Entries of a Markdown table: last cell the page, sub-titles prefixed by the chapter above."""
-    lines = _answer_lines(df, text).withColumn("line", trim_u("line"))
-    row = lines.filter(
-        F.col("line").startswith("|") & ~F.contains("line", F.lit("---"))
-        & ~F.contains("line", F.lit("章节")) & ~F.contains("line", F.lit("标题"))
-    )
-    cells = F.transform(F.split(F.regexp_replace("line", "^\\||\\|$", ""), "\\|"), trim_u)
-    staged = row.select("doc_id", "seq", cells.alias("c")).filter(F.size("c") >= 2)
-    titles = F.filter(F.slice("c", F.lit(1), F.size("c") - 1), lambda x: x != "")
-    staged = staged.select("doc_id", "seq", L.page_number(F.element_at("c", -1)).alias("page"), titles.alias("t"))
-    staged = staged.filter(F.col("page").isNotNull() & (F.size("t") > 0))
-    first = F.get("t", 0)
-    chapter = F.when(first.rlike(L.CHAPTER_MARK), first)
-    rows = staged.select(
-        "doc_id", "seq", "page", chapter.alias("chapter"),
-        F.when(chapter.isNotNull(), F.concat_ws(" ", first, F.get("t", 1))).otherwise(F.array_join("t", " ")).alias("title"),
+def _found(title: Column, page: Column, chapter: Column | None = None) -> Column:
+    return F.struct(
+        title.alias("title"), page.alias("page"), (chapter if chapter is not None else F.lit(None).cast("string")).alias("chapter")
     )
-    return carry_chapter(rows).select("doc_id", "seq", "title", "page")
 
 
-def _tab_entries(lines: DataFrame) -> DataFrame:
-    line = trim_u("line")
-    usable = (line != "") & ~line.startswith("TOC_") & ~line.isin("NO_TOC", *L.HEADER_LINES)
-    return parse_toc_lines(lines.filter(usable)).select("doc_id", "seq", "title", "page")
+def _tab_entry(line: Column, e: Column) -> Column:
+    usable = e.isNotNull() & ~line.startswith("TOC_") & ~line.isin("NO_TOC", *L.HEADER_LINES)
+    return F.when(usable, _found(e["title"], e["page"]))
+
 
+def _table_entry(line: Column) -> Column:
+    """Entry of a Markdown table row: last cell the page; ``chapter`` is set on chapter rows."""
 
-def _indented_entries(lines: DataFrame) -> DataFrame:
-    line = trim_u("line")
+    def titled(t: Column, page: Column) -> Column:
+        first = F.get(t, 0)
+        is_chapter = first.rlike(L.CHAPTER_MARK)
+        title = F.when(is_chapter, F.concat_ws(" ", first, F.get(t, 1))).otherwise(F.array_join(t, " "))
+        return F.when(F.size(t) > 0, _found(title, page, F.when(is_chapter, first)))
+
+    def read(c: Column) -> Column:
+        parts = F.filter(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda x: x != "")
+        page = L.page_number(F.try_element_at(c, F.lit(-1)))
+        return F.when(
+            F.size(c) >= 2,
+            let(F.struct(parts.alias("t"), page.alias("p")), lambda x: F.when(x["p"].isNotNull(), titled(x["t"], x["p"]))),
+        )
+
+    cells = F.transform(F.split(F.regexp_replace(line, "^\\||\\|$", ""), "\\|"), trim_u)
+    usable = (
+        line.startswith("|") & ~F.contains(line, F.lit("---"))
+        & ~F.contains(line, F.lit("章节")) & ~F.contains(line, F.lit("标题"))
+    )
+    return F.when(usable, let(cells, read))
+
+
+def _indented_entry(line: Column) -> Column:
     usable = (line != "") & ~line.startswith("TOC_") & (line != "NO_TOC") & ~line.rlike("(?s)^\\|.*\\|")
-    content = F.regexp_replace(line, "(?U)\\s*[·.…]{3,}\\s*", "\t")
-    staged = lines.filter(usable).select("doc_id", "seq", content.alias("t"))
-    t = F.col("t")
 
     def tidy(c: Column) -> Column:
         return trim_u(F.regexp_replace(c, "[.…·]{2,}", ""))
 
-    left, right = F.regexp_extract(t, "(?s)^(.*)\\t([^\\t]*)$", 1), F.regexp_extract(t, "(?s)^(.*)\\t([^\\t]*)$", 2)
-    tab_page = F.when(F.contains(t, F.lit("\t")) & (tidy(left) != ""), L.page_number(right))
-    trailing = "(?U)^(.+?)\\s+([0-9]+)\\s*$"
-    end_page = F.regexp_extract(t, trailing, 2).try_cast("bigint")
-    end_title = tidy(F.regexp_extract(t, trailing, 1))
-    return staged.select(
-        "doc_id", "seq",
-        F.when(tab_page.isNotNull(), tidy(left)).otherwise(end_title).alias("title"),
-        F.coalesce(tab_page, F.when((end_page > 0) & (end_title != ""), end_page)).alias("page"),
-    ).filter(F.col("page").isNotNull())
+    def checked(e: Column) -> Column:
+        return F.when((e["title"] != "") & e["page"].isNotNull(), e)
+
+    def read(t: Column) -> Column:
+        tabbed, trailing = "(?s)^(.*)\\t([^\\t]*)$", "(?U)^(.+?)\\s+([0-9]+)\\s*$"
+        by_tab = let(_found(tidy(F.regexp_extract(t, tabbed, 1)), L.page_number(F.regexp_extract(t, tabbed, 2))), checked)
+        number = F.regexp_extract(t, trailing, 2).try_cast("bigint")
+        by_number = let(_found(tidy(F.regexp_extract(t, trailing, 1)), F.when(number > 0, number)), checked)
+        return F.coalesce(F.when(F.contains(t, F.lit("\t")), by_tab), F.when(t.rlike("(?U)\\s[0-9]+$"), by_number))
+
+    return F.when(usable, let(F.regexp_replace(line, "(?U)\\s*[·.…]{3,}\\s*", "\t"), read))
 
 
-def _free_entries(lines: DataFrame) -> DataFrame:
-    line = trim_u("line")
+def _free_entry(line: Column, e: Column) -> Column:
     long = (F.length(line) > 60) & ~line.rlike("[.…·]{2,}|\\t")
     usable = (line != "") & ~line.startswith("TOC_") & (line != "NO_TOC") & ~long
 
-    def entry(x: Column) -> Column:
-        clean = trim_u(F.regexp_replace(x["line"], "^[·•\\- \\t]+", ""))
-        heading = (F.length(clean) >= 2) & (
+    def heading(clean: Column) -> Column:
+        marked = (
             clean.rlike(L.CHAPTER_MARK) | clean.rlike("(?U)^\\d+(\\.\\d+)*\\s+") | clean.rlike("[一二三四五六七八九十]+、")
         )
-        title = F.when(x["e"].isNotNull(), x["e"]["title"]).when(heading, clean)
-        found = F.struct(title.alias("title"), x["e"]["page"].alias("page"))
-        return let(found, lambda f: F.when(f["title"].isNotNull(), f))
+        return F.when((F.length(clean) >= 2) & marked, _found(clean, F.lit(None).cast("bigint")))
+
+    clean = trim_u(F.regexp_replace(line, "^[·•\\- \\t]+", ""))
+    return F.when(usable, F.when(e.isNotNull(), _found(e["title"], e["page"])).otherwise(let(clean, heading)))
+
+
+def _tagged(way: int, entry: Column) -> Column:
+    return let(
+        entry,
+        lambda e: F.when(
+            e.isNotNull(),
+            F.struct(F.lit(way).alias("way"), e["title"].alias("title"), e["page"].alias("page"), e["chapter"].alias("chapter")),
+        ),
+    )
 
-    facts = F.struct(line.alias("line"), L.parse_toc_line("line").alias("e"))
-    return backfill_pending(lines.filter(usable).select("doc_id", "seq", _rows_of(let(facts, entry))))
+
+def parse_markdown_table(df: DataFrame, text: str = "response") -> DataFrame:
+    """Entries of a Markdown table, sub-titles prefixed by the chapter above."""
+    rows = _answer_lines(df, text).select("doc_id", "seq", _rows_of(let(trim_u("line"), _table_entry)))
+    return carry_chapter(rows).select("doc_id", "seq", "title", "page")
 
 
 def parse_response(df: DataFrame, text: str = "response") -> DataFrame:
     """(doc_id, seq, title, page) of a model's answer in whichever format it came.
 
     Tab entries if there are three, else a Markdown table if there is one, else three indented entries,
-    else free lines.
+    else free lines.  Every line is read in all four ways at once, and one scan in (way, line) order
+    carries chapters and pages and counts each way's entries.
     """
-    usable = df.filter((L.response_status(text)["status"] != "NO_TOC"))
-    lines = _answer_lines(usable, text)
-    ways = [_tab_entries(lines), parse_markdown_table(usable, text), _indented_entries(lines), _free_entries(lines)]
-    every = ways[0].withColumn("way", F.lit(0))
-    for i, w in enumerate(ways[1:], start=1):
-        every = every.unionByName(w.withColumn("way", F.lit(i)))
-    needed = F.when(F.col("way").isin(0, 2), 3).otherwise(1)
-    counts = every.groupBy("doc_id", "way").agg(F.count("*").alias("n")).filter(F.col("n") >= needed)
-    chosen = counts.groupBy("doc_id").agg(F.min("way").alias("way"))
-    return every.join(chosen, ["doc_id", "way"], "left_semi").select("doc_id", "seq", "title", "page")
+    usable = df.filter(L.response_status(text)["status"] != "NO_TOC")
+
+    def ways(x: Column) -> Column:
+        line, e = x["line"], x["e"]
+        return F.array(
+            _tagged(0, _tab_entry(line, e)), _tagged(1, _table_entry(line)),
+            _tagged(2, _indented_entry(line)), _tagged(3, _free_entry(line, e)),
+        )
+
+    facts = let(trim_u("line"), lambda t: F.struct(t.alias("line"), L.parse_toc_line(t).alias("e")))
+    read = F.filter(let(facts, ways), lambda w: w.isNotNull())
+    rows = _answer_lines(usable, text).select("doc_id", "seq", F.inline(read))
+    way, page = F.col("way"), F.col("page")
+    out = ordered_scan(
+        rows, ["doc_id"], ["way", "seq"],
+        {
+            "_chapter": fill(F.when(way == 1, F.col("chapter"))),
+            "_page": fill_next(F.when(way == 3, page)),
+            **{f"_n{w}": total(F.when((way == w) & page.isNotNull(), 1).otherwise(0)) for w in range(4)},
+        },
+        block=way * F.lit(2**40) + F.floor(F.col("seq") / ordered.BLOCK_ROWS),
+    )
+    best = F.when(F.col("_n0") >= 3, 0).when(F.col("_n1") >= 1, 1).when(F.col("_n2") >= 3, 2).otherwise(3)
+    sub = (way == 1) & F.col("chapter").isNull() & F.col("_chapter").isNotNull()
+    return out.filter(way == best).select(
+        "doc_id", "seq",
+        F.when(sub, F.concat_ws(" ", "_chapter", "title")).otherwise(F.col("title")).alias("title"),
+        F.when(way == 3, F.col("_page")).otherwise(page).alias("page"),
+    ).filter("page IS NOT NULL")
 
 
 # ---------------------------------------------------------------- merging sources

@@ -159,7 +159,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "marc_pages": """
         SELECT p_partkey AS page_id,
                concat('<table><tr><td class="td1">200 1 </td><td>200 1#$a ', p_name, ' $f ', p_brand, ' $z</td></tr><tr><td class="td1">210 0</td><td>210 0#$a City $c ', p_type, ' $d', CAST(1950 + p_partkey % 70 AS STRING),
-                      '</td></tr><tr><td class="td1"> 210 1</td><td>210 1#$d', CAST(1950 + p_partkey % 70 AS STRING), '</td></tr>',
+                      '</td></tr><tr><td class="td1"> 210 1</td><td>210 1#$c$d', CAST(1950 + p_partkey % 70 AS STRING), '</td></tr>',
                       CASE WHEN p_partkey % 2 = 0 THEN '<tr><td class="td1">327 1</td><td>too short</td></tr>' ELSE '' END,
                       '<tr><td class="td1">330 1</td><td> ', p_name, ', a long enough abstract of ', p_brand, ' </td></tr></table>') AS html
         FROM part""",
@@ -283,9 +283,11 @@ def text(name: str, engine: str) -> str:
     return v if isinstance(v, str) else v[engine]
 
 
-def with_views(sql: str, engine: str, head: list[str] | None = None) -> str:
-    """The query with all views it uses in front."""
-    parts = (head or []) + [f"{n} AS ({text(n, engine)})" for n in _needed(sql, engine, [])]
+def with_views(sql: str, engine: str, tables: dict[str, str] | None = None) -> str:
+    """The query with all views it uses in front; ``tables`` gives the text behind each base table."""
+    parts = [f"{n} AS ({text(n, engine)})" for n in _needed(sql, engine, [])]
+    whole = " ".join([*parts, sql])
+    parts = [f"{t} AS ({q})" for t, q in (tables or {}).items() if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", whole)] + parts
     if not parts:
         return sql
     return f"WITH {'RECURSIVE ' if engine == 'duckdb' else ''}{', '.join(parts)}{',' if _continues(sql) else ''} {_tail(sql)}"
@@ -309,7 +311,7 @@ class Views:
         return f"{self.folder}/{table}.parquet"
 
     def sql(self, query: str) -> DataFrame:
-        tables = [f"{t} AS (SELECT * FROM parquet.`{self.path(t)}`)" for t in TABLES]
+        tables = {t: f"SELECT * FROM parquet.`{self.path(t)}`" for t in TABLES}
         return self.spark.sql(with_views(query, "spark", tables))
 
     def __getattr__(self, name: str) -> DataFrame:
