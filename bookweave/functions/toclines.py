@@ -148,8 +148,9 @@ def heading_level(c) -> Column:
         | t.rlike("(?U)^\\d+(\\.\\d+)*\\s") | t.rlike("^\\([0-9]+\\)")
     )
     back = t.rlike("^(" + "|".join(BACK_MATTER) + ")")
-    level = F.when(level1, 1).when(level2, 2).when(level3, 3).when(level4, 4).when(back, 1).otherwise(2)
-    return F.struct(level.alias("level"), F.coalesce(level1 | level2 | level3, F.lit(False)).alias("is_container"))
+    # Containers as 101..103, so the patterns are tried once for both fields.
+    code = F.when(level1, 101).when(level2, 102).when(level3, 103).when(level4, 4).when(back, 1).otherwise(2)
+    return let(code, lambda n: F.struct((n % 100).alias("level"), (n > 100).alias("is_container")))
 
 
 def toc_title_only(c) -> Column:

@@ -97,10 +97,11 @@ def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 def allocate_text(matches: DataFrame) -> DataFrame:
     """Block texts cut over their boxes in proportion to width: (doc_id, page_no, box_no, text).
 
-    Widths are added as decimals, so the cut does not depend on the order of addition.
+    Widths are added as decimals, so the cut does not depend on the order of addition; twenty digits
+    keep equal widths equal, which decides ties.
     """
     width = F.greatest(F.lit(0.001), F.col("x1") - F.col("x0"))
-    exact = width.cast("decimal(20,12)")
+    exact = width.cast("decimal(28,20)")
     sized = ordered_scan(
         matches.withColumn("_w", width), BLOCK, ["box_no"],
         {"_total": total(exact), "_n": total(F.lit(1)), "_i": sum_before(F.lit(1))},

@@ -93,20 +93,21 @@ def ordered_scan(
     everything = F.struct(*[F.col(c) for c in base.columns])
 
     # --- one summary row per block, and what it owes to its neighbours
-    aggregates = [F.min_by(everything, along_order).alias("_head"), F.max_by(everything, along_order).alias("_tail")]
+    aggregates = [F.first(everything).alias("_any")]
     for name, scan in outputs.items():
         v = F.col(f"_v_{name}")
         when = F.when(v.isNotNull(), along_order)
         summary = {
+            "previous": lambda: F.max_by(F.struct(v.alias("v")), along_order),
+            "following": lambda: F.min_by(F.struct(v.alias("v")), along_order),
             "fill": lambda: F.max_by(v, when),
             "fill_next": lambda: F.min_by(v, when),
             "sum_before": lambda: F.sum(v),
             "total": lambda: F.sum(v),
             "least_of": lambda: F.min(v),
             "greatest_of": lambda: F.max(v),
-        }.get(scan.kind)
-        if summary:
-            aggregates.append(summary().alias(f"_s_{name}"))
+        }[scan.kind]
+        aggregates.append(summary().alias(f"_s_{name}"))
     blocks = base.groupBy("_group", "_block").agg(*aggregates)
 
     along = W.partitionBy("_group").orderBy("_block")
@@ -117,9 +118,9 @@ def ordered_scan(
     def carried(name: str, kind: str) -> Column:
         s = F.col(f"_s_{name}")
         if kind == "previous":
-            return F.lag(F.struct(F.col("_tail")[f"_v_{name}"].alias("v"))).over(along)
+            return F.lag(s).over(along)
         if kind == "following":
-            return F.lead(F.struct(F.col("_head")[f"_v_{name}"].alias("v"))).over(along)
+            return F.lead(s).over(along)
         if kind == "fill":
             return F.last(s, ignorenulls=True).over(before)
         if kind == "fill_next":
@@ -131,6 +132,7 @@ def ordered_scan(
     carry = blocks.select(
         F.col("_group").alias("_group_c"),
         F.col("_block").alias("_block_c"),
+        "_any",
         *[carried(n, s.kind).alias(f"_c_{n}") for n, s in outputs.items()],
     )
 
@@ -151,8 +153,10 @@ def ordered_scan(
             return F.sum(v).over(inside.rowsBetween(W.unboundedPreceding, -1))
         return v
 
+    # Every block has its summary; asking for "_any" is what keeps all columns in the shared exchange.
     joined = base.select("*", *[local(n, s.kind).alias(f"_l_{n}") for n, s in outputs.items()]).join(
-        carry, (F.col("_group") == F.col("_group_c")) & (F.col("_block") == F.col("_block_c")), "left"
+        carry.filter(F.col("_any").isNotNull()).drop("_any"),
+        (F.col("_group") == F.col("_group_c")) & (F.col("_block") == F.col("_block_c")),
     )
 
     def result(name: str, kind: str) -> Column:

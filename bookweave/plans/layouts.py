@@ -113,7 +113,7 @@ _ALLOC = f"""
     SELECT doc_id, page_no, box_no, string_agg(piece, ' ' ORDER BY block_no) AS text FROM (
       SELECT doc_id, page_no, box_no, block_no, substr(block_text, CAST(coalesce(sum(chars) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT),
                CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY doc_id, page_no, block_no) THEN length(block_text) ELSE CAST(chars AS BIGINT) END) AS piece
-      FROM (SELECT *, round_even(length(block_text) * (wd / CAST(sum(CAST(wd AS DECIMAL(20, 12))) OVER (PARTITION BY doc_id, page_no, block_no) AS DOUBLE)), 0) AS chars
+      FROM (SELECT *, round_even(length(block_text) * (wd / CAST(sum(CAST(CAST(wd AS VARCHAR) AS DECIMAL(28, 20))) OVER (PARTITION BY doc_id, page_no, block_no) AS DOUBLE)), 0) AS chars
             FROM (SELECT *, greatest(CAST(0.001 AS DOUBLE), x1 - x0) AS wd FROM ({_MATCH}))) WINDOW w AS (PARTITION BY doc_id, page_no, block_no ORDER BY box_no))
     WHERE piece <> '' GROUP BY doc_id, page_no, box_no"""
 
