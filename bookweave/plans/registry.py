@@ -27,4 +27,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from . import catalog, contents, layouts, pages, scalars, tasks  # noqa: F401
+    from . import catalog, contents, layouts, pages, scalars, streams, tasks  # noqa: F401
