@@ -153,10 +153,12 @@ def ordered_scan(
             return F.sum(v).over(inside.rowsBetween(W.unboundedPreceding, -1))
         return v
 
-    # Every block has its summary; asking for "_any" is what keeps all columns in the shared exchange.
+    # Every block has its summary; asking for "_any" is what keeps all columns in the shared exchange, and
+    # the left join keeps Spark from putting a filter below one of its two readers.
     joined = base.select("*", *[local(n, s.kind).alias(f"_l_{n}") for n, s in outputs.items()]).join(
         carry.filter(F.col("_any").isNotNull()).drop("_any"),
         (F.col("_group") == F.col("_group_c")) & (F.col("_block") == F.col("_block_c")),
+        "left",
     )
 
     def result(name: str, kind: str) -> Column:

@@ -6,7 +6,6 @@ action, pct, log_line).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,51 +77,57 @@ def task_state(events: DataFrame) -> DataFrame:
 def task_machine(events: DataFrame, initial: str = "pending", block: Column | None = None) -> DataFrame:
     """Events with the status before and after and whether the move was ``accepted``.
 
-    A block of a task is summarised by where it leads from each of the seven statuses; those summaries
-    are chained per task, then every block is replayed from the status it starts in.  A task with very
-    many events is thus worked on by many tasks of the cluster.
+    A block of a task (an hour, unless told otherwise) is summarised by where it leads from each of the
+    seven statuses; those summaries are chained per task, then every block is replayed from the status
+    it starts in.  A task with very many events is thus worked on by many tasks of the cluster, and
+    what meets in one row is a block.
     """
     block = F.date_trunc("hour", F.col("ts")) if block is None else block
-    blocked = events.withColumn("_block", block)
-
-    def lead_on(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = list(STATUSES)
-        for action in pdf.sort_values(["ts", "event_id"])["action"]:
-            at = [move(s, action)[0] for s in at]
-        return pd.DataFrame({"task_id": [pdf["task_id"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "_to": [at]})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        status, entries = initial, []
-        for to in pdf["_to"]:
-            entries.append(status)
-            status = to[STATUSES.index(status)]
-        return pd.DataFrame({"task_id": pdf["task_id"], "_block": pdf["_block"], "_entry": entries})
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        status, rows = pdf["_entry"].iloc[0], []
-        for action in pdf["action"]:
-            after, ok = move(status, action)
-            rows.append((status, after, ok))
-            status = after
-        out = pdf[["event_id", "task_id", "action"]].copy()
-        out[["before", "after", "accepted"]] = pd.DataFrame(rows, index=pdf.index)
-        return out
-
-    kind = dict(blocked.dtypes)
-    key = f"task_id {kind['task_id']}, _block {kind['_block']}"
-    slim = blocked.select("task_id", "_block", "event_id", "ts", "action")
-    summaries = slim.groupBy("task_id", "_block").applyInPandas(lead_on, f"{key}, _to array<string>")
-    entry = summaries.groupBy("task_id").applyInPandas(chain, f"{key}, _entry string")
-    return (
-        slim.join(entry, ["task_id", "_block"])
-        .groupBy("task_id", "_block")
-        .applyInPandas(
-            replay,
-            f"event_id {kind['event_id']}, task_id {kind['task_id']}, action string, before string, after string, accepted boolean",
-        )
+    actions = list(MOVES)
+    table = [[STATUSES.index(move(s, a)[0]) for s in STATUSES] for a in actions]
+    legal = [[move(s, a)[1] for s in STATUSES] for a in actions]
+    leads, allowed = F.expr(f"array{_nested(table)}"), F.expr(f"array{_nested(legal)}")
+    names = F.expr("array(" + ", ".join(f"'{s}'" for s in STATUSES) + ")")
+
+    def at(grid: Column, event: Column, status: Column, otherwise: Column) -> Column:
+        return F.coalesce(F.get(F.get(grid, event["a"]), status), otherwise)
+
+    number = F.when(F.col("action").isin(actions), F.array_position(F.array(*map(F.lit, actions)), F.col("action")) - 1)
+    event = F.struct("ts", "event_id", "action", number.cast("int").alias("a"))
+    blocks = events.withColumn("_block", block).groupBy("task_id", "_block").agg(F.sort_array(F.collect_list(event)).alias("_events"))
+
+    everywhere = F.expr("array(" + ", ".join(str(i) for i in range(len(STATUSES))) + ")")
+    to = F.aggregate("_events", everywhere, lambda acc, e: F.transform(acc, lambda s: at(leads, e, s, s)))
+    kind = dict(events.withColumn("_block", block).dtypes)
+
+    def chained(acc: Column, b: Column) -> Column:
+        met = F.array_append(acc["seen"], F.struct(b["_block"].alias("_block"), acc["s"].alias("_entry")))
+        return F.struct(F.get(b["_to"], acc["s"]).alias("s"), met.alias("seen"))
+
+    start = F.struct(
+        F.lit(STATUSES.index(initial)).alias("s"), F.array().cast(f"array<struct<_block:{kind['_block']},_entry:int>>").alias("seen")
     )
+    maps = blocks.select("task_id", F.struct("_block", to.alias("_to")).alias("_map")).groupBy("task_id").agg(
+        F.sort_array(F.collect_list("_map")).alias("_maps")
+    )
+    entries = maps.select("task_id", F.inline(F.aggregate("_maps", start, chained)["seen"]))
+
+    def replayed(acc: Column, e: Column) -> Column:
+        after = at(leads, e, acc["s"], acc["s"])
+        row = F.struct(
+            e["event_id"].alias("event_id"), e["action"].alias("action"), F.get(names, acc["s"]).alias("before"),
+            F.get(names, after).alias("after"), at(allowed, e, acc["s"], F.lit(False)).alias("accepted"),
+        )
+        return F.struct(after.alias("s"), F.array_append(acc["rows"], row).alias("rows"))
+
+    shape = f"array<struct<event_id:{kind['event_id']},action:string,before:string,after:string,accepted:boolean>>"
+    begin = F.struct(F.col("_entry").alias("s"), F.array().cast(shape).alias("rows"))
+    rows = F.aggregate("_events", begin, replayed)["rows"]
+    return blocks.join(entries, ["task_id", "_block"]).select("task_id", F.inline(rows))
+
+
+def _nested(grid: list[list]) -> str:
+    return "(" + ", ".join("array(" + ", ".join(str(x).lower() for x in row) + ")" for row in grid) + ")"
 
 
 def recent_tasks(states: DataFrame, n: int) -> DataFrame:

@@ -53,7 +53,7 @@ _MACHINE = """WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY ta
 
 @query("task_machine", _MACHINE)
 def task_machine(v: Views):
-    return K.task_machine(v.task_events, block=F.date_trunc("day", F.col("ts")))
+    return K.task_machine(v.task_events)
 
 
 @query("recent_tasks", f"SELECT task_id, created_at FROM ({_STATE}) ORDER BY created_at DESC, task_id LIMIT 5")

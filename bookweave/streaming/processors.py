@@ -110,7 +110,7 @@ class IdleWatch(StatefulProcessor):
         self.state.update((status, last))
         if status == "running" or status in TERMINAL:
             self.handle.registerTimer(last + self.millis)
-        yield pd.DataFrame({"task_id": [], "event": [], "last_ms": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, last = self.state.get()

@@ -64,7 +64,7 @@ def await_decision(requests: DataFrame, responses: DataFrame, seconds: int = 300
 
     A left outer interval join, then one aggregate per request; both free their state by watermark.
     """
-    limit = F.make_interval(secs=F.lit(seconds))
+    limit = F.expr(f"INTERVAL '{int(seconds)}' SECOND")
     r = responses.select(F.col("task_id").alias("_task"), "answered_at", "resp_event", "confirm")
     pairs = requests.join(
         r,
