@@ -136,14 +136,18 @@ def resolve(
     needles attached to the requests; no tier runs another one again.  ``fallback`` marks requests that
     have an isbn but no hit.
     """
-    coded = _attach(req, _code_hits(cat, order), _code_key(), key, "_code")
-    open_ = F.col("_code").isNull()
-    wanted = coded.filter(open_).select(_title_key().alias("_needle")).filter(F.col("_needle") != "")
-    titled = _attach(coded, _title_hits(wanted, cat, k, minimum, order), F.when(open_, _title_key()), key, "_title", "similarity")
     bare, given = _isbn_keys()
-    tries = coded.filter(open_).select(F.explode(F.array(bare, given)).alias("_needle")).filter(F.col("_needle") != "")
+    keyed = req.withColumns({"_k_title": _title_key(), "_k_bare": bare, "_k_given": given})
+    coded = _attach(keyed, _code_hits(cat, order), _code_key(), key, "_code")
+    open_ = F.col("_code").isNull()
+    wanted = coded.filter(open_).select(F.col("_k_title").alias("_needle")).filter(F.col("_needle") != "")
+    titled = _attach(coded, _title_hits(wanted, cat, k, minimum, order), F.when(open_, F.col("_k_title")), key, "_title", "similarity")
+    tries = coded.filter(open_).select(F.explode(F.array("_k_bare", "_k_given")).alias("_needle")).filter(F.col("_needle") != "")
     hits = _isbn_hits(tries, cat, order)
-    every = _attach(_attach(titled, hits, bare, key, "_bare"), hits, given, key, "_given")
+    unsolved = open_ & F.col("_title").isNull()
+    every = _attach(
+        _attach(titled, hits, F.when(unsolved, F.col("_k_bare")), key, "_bare"), hits, F.when(unsolved, F.col("_k_given")), key, "_given"
+    )
     tier = (
         F.when(F.col("_code").isNotNull(), "code")
         .when(F.col("_title").isNotNull(), "title")
