@@ -82,7 +82,7 @@ def task_machine(events: DataFrame, initial: str = "pending", block: Column | No
     it starts in.  A task with very many events is thus worked on by many tasks of the cluster, and
     what meets in one row is a block.
     """
-    block = F.date_trunc("hour", F.col("ts")) if block is None else block
+    block = hour() if block is None else block
     actions = list(MOVES)
     table = [[STATUSES.index(move(s, a)[0]) for s in STATUSES] for a in actions]
     legal = [[move(s, a)[1] for s in STATUSES] for a in actions]
@@ -168,10 +168,18 @@ def expire_terminal(states: DataFrame, now: Column, seconds: int = 3600) -> Data
 # ---------------------------------------------------------------- progress
 
 
-def progress_eta(events: DataFrame, line: str = "log_line", total_pages: Column | None = None) -> DataFrame:
+def hour() -> Column:
+    """Default block of a task's history; pass a finer one where single hours are huge."""
+    return F.date_trunc("hour", F.col("ts"))
+
+
+def progress_eta(
+    events: DataFrame, line: str = "log_line", total_pages: Column | None = None, block: Column | None = None
+) -> DataFrame:
     """Progress of each line that shows one: cur, tot, pct and remaining seconds."""
+    block = hour() if block is None else block
     p = events.withColumn("_p", parse_progress(line, total_pages))
-    begun = ordered_scan(p, ["task_id"], ["ts", "event_id"], {"_t0": least_of(F.col("ts"))}, block=F.to_date("ts"))
+    begun = ordered_scan(p, ["task_id"], ["ts", "event_id"], {"_t0": least_of(F.col("ts"))}, block=block)
     cur, tot = F.col("_p.cur"), F.col("_p.tot")
     elapsed = seconds_between(F.col("_t0"), F.col("ts"))
     eta = F.when((cur > 1) & (elapsed > 5), (tot - cur) * elapsed / cur)
@@ -190,16 +198,19 @@ def eta_by_bytes(total: Column, done: Column, speed: Column) -> Column:
     return F.when(speed > 0, (total - done) / speed)
 
 
-def changed_only(events: DataFrame, value: str = "pct") -> DataFrame:
+def changed_only(events: DataFrame, value: str = "pct", block: Column | None = None) -> DataFrame:
     """Events whose value differs from the task's previous one."""
-    out = ordered_scan(events, ["task_id"], ["ts", "event_id"], {"_before": previous(F.col(value))}, block=F.to_date("ts"))
+    block = hour() if block is None else block
+    out = ordered_scan(events, ["task_id"], ["ts", "event_id"], {"_before": previous(F.col(value))}, block=block)
     return out.filter(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 # ---------------------------------------------------------------- waits, copies, sessions
 
 
-def await_decision(requests: DataFrame, responses: DataFrame, seconds: int = 300) -> DataFrame:
+def await_decision(
+    requests: DataFrame, responses: DataFrame, seconds: int = 300, block: Column | None = None
+) -> DataFrame:
     """First answer to each request within the limit: confirmed, declined or timeout.
 
     Both sides run along the time of their task once, so a task with many requests and answers never
@@ -209,7 +220,8 @@ def await_decision(requests: DataFrame, responses: DataFrame, seconds: int = 300
     answers = responses.select("task_id", F.col("answered_at").alias("ts"), F.lit(1).alias("kind"), F.col("resp_event").alias("event"), "confirm")
     answer = F.when(F.col("kind") == 1, F.struct("ts", "event", "confirm"))
     out = ordered_scan(
-        asks.unionByName(answers), ["task_id"], ["ts", "kind", "event"], {"_a": fill_next(answer)}, block=F.to_date("ts")
+        asks.unionByName(answers), ["task_id"], ["ts", "kind", "event"], {"_a": fill_next(answer)},
+        block=hour() if block is None else block,
     )
     in_time = seconds_between(F.col("ts"), F.col("_a.ts")) <= seconds
     return out.filter(F.col("kind") == 0).select(
@@ -227,8 +239,9 @@ def dedupe_completions(events: DataFrame, key: list[str]) -> DataFrame:
 def idle_sessions(events: DataFrame, gap: str) -> DataFrame:
     """Activity of a task cut where it stays silent for ``gap``.
 
-    ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` merges before the shuffle.
+    Sessions are merged inside the upstream tasks first, so a busy task arrives as a few sessions.
     """
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     w = F.session_window("ts", gap)
     return events.groupBy("task_id", w).agg(
         F.count("*").alias("n"), F.max("ts").alias("last_ts")

@@ -35,7 +35,7 @@ def _shape(raw: DataFrame) -> DataFrame:
 
 def _events(v: Views) -> DataFrame:
     v.spark.conf.set("spark.sql.session.timeZone", "UTC")  # the table has local timestamps
-    return S.read_task_events(v.spark, v.folder, RAW, glob="events.parquet", shape=_shape)
+    return S.read_task_events(v.spark, v.path("events") + "*", RAW, shape=_shape)
 
 
 def _run(v: Views, stream: DataFrame) -> DataFrame:
