@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules
+from . import decontaminate, line_dedup, minhash, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,5 +59,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_over("op4_decontaminate", "documents", "benchmark")(decontaminate.op4_decontaminate)
 _over("op6_line_dedup", "documents", oracle=OP6)(line_dedup.op6_line_dedup)
 _over("op9_quality_rules", "documents", oracle=OP9)(quality_rules.op9_quality_rules)
+_over("op10_minhash", "documents")(minhash.op10_minhash)

@@ -17,6 +17,8 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C55)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits: for words without punctuation.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes taken at a time.
@@ -65,11 +67,11 @@ def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.n
         at = end
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in ``data``, and for each text the range of its words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    full = ~SPACE[data]
+    full = ~space[data]
     first, last = full.copy(), full.copy()
     first[1:] &= ~full[:-1]
     last[:-1] &= ~full[1:]
