@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, quality_rules
+from . import decontaminate, line_dedup, minhash, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> {}) & 31)::INT, 1)"
+OP7 = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+g AS (SELECT s, list_transform(range(8), lambda i: ('0x' || substr(s, 1 + 5 * i::INT, 5))::BIGINT) AS xs, min(page_id) AS f FROM p GROUP BY s),
+b AS (SELECT s, f, array_to_string(list_transform(xs, lambda x: {" || ".join(_DIGIT.format(k) for k in (15, 10, 5, 0))}), '') AS d FROM g)
+SELECT page_id, payload_bytes, d AS payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> f THEN f END AS refers_to, NULL::VARCHAR AS error
+FROM p JOIN b USING (s)
+"""
+
 OP9 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -61,5 +71,6 @@ FROM b
 
 _over("op4_decontaminate", "documents", "benchmark")(decontaminate.op4_decontaminate)
 _over("op6_line_dedup", "documents", oracle=OP6)(line_dedup.op6_line_dedup)
+_over("op7_warc", "pages", oracle=OP7)(warc.op7_warc)
 _over("op9_quality_rules", "documents", oracle=OP9)(quality_rules.op9_quality_rules)
 _over("op10_minhash", "documents")(minhash.op10_minhash)
