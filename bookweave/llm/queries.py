@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash, quality_rules, warc
+from . import decontaminate, line_dedup, minhash, pieces, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +44,7 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS p
 g AS (SELECT s, list_transform(range(8), lambda i: ('0x' || substr(s, 1 + 5 * i::INT, 5))::BIGINT) AS xs, min(page_id) AS f FROM p GROUP BY s),
 b AS (SELECT s, f, array_to_string(list_transform(xs, lambda x: {" || ".join(_DIGIT.format(k) for k in (15, 10, 5, 0))}), '') AS d FROM g)
 SELECT page_id, payload_bytes, d AS payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN page_id <> f THEN f END AS refers_to, NULL::VARCHAR AS error
+    CASE WHEN page_id <> f THEN f END AS refers_to
 FROM p JOIN b USING (s)
 """
 
@@ -69,6 +69,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_over("op2_sentencepiece", "documents")(pieces.op2_sentencepiece)
 _over("op4_decontaminate", "documents", "benchmark")(decontaminate.op4_decontaminate)
 _over("op6_line_dedup", "documents", oracle=OP6)(line_dedup.op6_line_dedup)
 _over("op7_warc", "pages", oracle=OP7)(warc.op7_warc)

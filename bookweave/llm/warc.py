@@ -224,4 +224,4 @@ def op7_warc(pages: DataFrame) -> DataFrame:
     """Every page written, every record read back."""
     folder = new_folder(pages.sparkSession, "warc")
     write_archives(pages, folder)
-    return read_archives(pages.sparkSession, folder)
+    return read_archives(pages.sparkSession, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
