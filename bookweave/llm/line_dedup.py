@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 P = "_ld_"
@@ -46,7 +48,8 @@ def drop_rows(docs: DataFrame, min_chars: int = 10, salts: int | None = None) ->
     """doc_id, text_hash and pos of each line whose key occurs in a document with a smaller id."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = salts or max(parts, 8)
-    rows = line_rows(docs, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    # Written once: the range bounds, the firsts and the lines themselves are read from it.
+    rows = written(line_rows(docs, min_chars), "line-hashes").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     dealt = rows.repartitionByRange(parts, "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
     seen = dealt.withColumn("n", F.row_number().over(stream)).withColumn("own_first", F.first("doc_id").over(stream))
