@@ -6,8 +6,9 @@
 2. In each bucket of a band every member is paired with two centres, not with all others: the smallest id
    and one chosen by hash.  Pairs whose signatures agree too little go; the others are confirmed on the full
    sets.  Connected components by alternating large-star and small-star.
-3. Members of a bucket that still are in different components are compared pair by pair, so no link between
-   different sets that share a bucket is lost; members of one component need no more comparing.
+3. Members of a bucket that still are in different components are all compared: pair by pair in a bucket of
+   a few members, block by block within a task in a larger one.  So no two components of which a link exists
+   in a bucket stay apart; members of one component need no more comparing.
 
 With b bands of r rows a pair at the threshold t shares no bucket with probability (1 - t^r)^b; ``bands``
 takes the least b that brings it under 1e-6.
@@ -32,6 +33,9 @@ from .shared import shared_folder, written
 
 U = np.uint64
 ROWS = 4
+#: Buckets of up to so many members are compared pair by pair, larger ones in blocks of so many members or
+#: shingles; of two components' pairs so many are passed on to be confirmed.
+FEW, BLOCK, BLOCK_SHINGLES, CLOSEST = 32, 512, 1 << 20, 3
 
 
 def bands(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -180,6 +184,99 @@ def _with_signatures(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "sig_a", "b", "sig_b")
 
 
+def _short_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id and the text's sorted set of shingles as 32-bit hashes."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in W.chunks(batch.column("text")):
+                flat, at = _sets(data, offsets, shingle)
+                sets = [np.unique((flat[a:b] >> U(32)).astype(np.uint32)).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(low, high - low), pa.array(sets, pa.binary())], ["id", "short"])
+
+    return docs.mapInArrow(shorten, "id long, short binary")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, as products of 0/1 matrices, some columns at a
+    time; shingles that only one list has are left out."""
+    flat = [np.concatenate([np.zeros(0, np.uint32), *x]) for x in (left, right)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    place = [np.searchsorted(both, f) for f in flat]
+    good = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for p, f in zip(place, flat, strict=True)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(both), columns):
+        side = []
+        for x, p, o, g in zip((left, right), place, owner, good, strict=True):
+            part = g & (p >= low) & (p < low + columns)
+            m = np.zeros((len(x), min(columns, len(both) - low)), np.float32)
+            m[o[part], p[part] - low] = 1
+            side.append(m)
+        out += side[0] @ side[1].T
+    return out.astype(np.int64)
+
+
+def _in_blocks(docs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
+    """Pairs (a, b) worth confirming within large buckets (``rows``: id, band, bucket, component).
+
+    A bucket is dealt into blocks of about ``BLOCK`` members (fewer if their sets are large) and each two
+    blocks meet in a task of their own, which compares them as matrices and passes on, for any two
+    components, only the closest pairs: one link joins two components, the others would say no more.  A pair
+    is compared in the first of the buckets it shares."""
+    sizes = classes.select("id", "n_shingles")
+    load = rows.join(sizes, "id").groupBy("band", "bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    load = written(load, "blocks")
+    wanted = rows.select("id").distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(written(wanted, "wanted"), "id", "left_semi")
+    short = _short_sets(texts, shingle).groupBy("id").agg(F.max("short").alias("short"))
+    known = written(short.join(classes.select("id", "n_shingles", "bands", "sig"), "id"), "short-sets")
+    dealt = rows.drop("n").join(load, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = dealt.select("id", "band", "bucket", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = dealt.join(known, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        t = table.sort_by("id").combine_chunks()
+        own, i, j, band = (t.column(c).to_numpy() for c in ("own", "i", "j", "band"))
+        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(x) or not len(y):
+            return none
+        ids, comp, size = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands_ = np.array(t.column("bands").to_pylist(), np.int64)
+        good = (ids[x][:, None] != ids[y][None]) & (comp[x][:, None] != comp[y][None])
+        if i[0] == j[0]:
+            good &= ids[x][:, None] < ids[y][None]
+        for k in range(int(band[0])):
+            good &= bands_[x, k][:, None] != bands_[y, k][None]
+        agreed = np.zeros(good.shape, np.int16)
+        for k in range(sig.shape[1]):
+            agreed += sig[x, k][:, None] == sig[y, k][None]
+        good &= agreed >= least
+        rx, ry = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+        if not len(rx):
+            return none
+        sets = [np.frombuffer(v, np.uint32) for v in t.column("short").to_pylist()]
+        both = _common([sets[k] for k in x[rx]], [sets[k] for k in y[ry]])
+        total = size[x[rx]][:, None] + size[y[ry]][None] - both
+        # Two shingles more, as 32-bit hashes may meet; the full sets decide afterwards.
+        near = good[np.ix_(rx, ry)] & (100 * (both + 2) >= percent * (total - 2))
+        p, q = np.nonzero(near)
+        order = np.argsort(-(both[p, q] / total[p, q]), kind="stable")
+        p, q = x[rx[p[order]]], y[ry[q[order]]]
+        used, out = {}, []
+        for u, v in zip(p.tolist(), q.tolist(), strict=True):
+            key = (min(comp[u], comp[v]), max(comp[u], comp[v]))
+            if used.get(key, 0) < CLOSEST:
+                used[key] = used.get(key, 0) + 1
+                out.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return met.groupBy("band", "bucket", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row."""
     shared_folder(docs.sparkSession)
@@ -206,13 +303,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     # What is left: members of one bucket that are in different components.
     labelled = members.select("id", "band", "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = written(labelled, "labelled")
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    mixed = written(mixed.select("band", "bucket"), "mixed")
-    open_ = labelled.join(mixed, ["band", "bucket"]).join(sigs, "id")
-    left = open_.select("band", "bucket", F.col("component").alias("c"), F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    right = open_.select("band", "bucket", F.col("component").alias("d"), F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    mixed = written(mixed.where("x < y").select("band", "bucket", "n"), "mixed")
+    open_ = labelled.join(mixed, ["band", "bucket"])
+    few = open_.where(F.col("n") <= FEW).join(sigs, "id")
+    left = few.select("band", "bucket", F.col("component").alias("c"), F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    right = few.select("band", "bucket", F.col("component").alias("d"), F.col("id").alias("b"), F.col("sig").alias("sig_b"))
     rest = left.join(right, ["band", "bucket"]).where("a < b AND c != d").select("a", "sig_a", "b", "sig_b")
-    rest = _agreeing(rest, least).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = _agreeing(rest, least).union(_in_blocks(docs, open_.where(F.col("n") > FEW), classes, shingle, percent, least))
+    rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
     more = written(_confirmed(docs, rest, shingle, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
