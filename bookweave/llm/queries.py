@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, minhash, pieces, quality_rules, warc
+from . import decontaminate, langid, line_dedup, lm, minhash, pieces, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,5 +74,6 @@ _over("op4_decontaminate", "documents", "benchmark")(decontaminate.op4_decontami
 _over("op5_langid", "documents")(langid.op5_langid)
 _over("op6_line_dedup", "documents", oracle=OP6)(line_dedup.op6_line_dedup)
 _over("op7_warc", "pages", oracle=OP7)(warc.op7_warc)
+_over("op8_lm", "documents")(lm.op8_lm)
 _over("op9_quality_rules", "documents", oracle=OP9)(quality_rules.op9_quality_rules)
 _over("op10_minhash", "documents")(minhash.op10_minhash)
