@@ -125,8 +125,8 @@ class Index:
     the few sorted hashes are tried one after another."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.order = keys[order], order.astype(np.int32)
         bits = max(1, int(len(keys)).bit_length())
         self.shift = U(64 - bits)
         self.start = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
