@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, langid, line_dedup, lm, minhash, pieces, quality_rules, warc
+from . import decontaminate, kneser_ney, langid, line_dedup, lm, minhash, pieces, pii, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,7 @@ FROM b
 
 _over("op1_quality", "documents", "labels")(kneser_ney.op1_quality)
 _over("op2_sentencepiece", "documents")(pieces.op2_sentencepiece)
+_over("op3_pii", "documents")(pii.op3_pii)
 _over("op4_decontaminate", "documents", "benchmark")(decontaminate.op4_decontaminate)
 _over("op5_langid", "documents")(langid.op5_langid)
 _over("op6_line_dedup", "documents", oracle=OP6)(line_dedup.op6_line_dedup)
