@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookweave.llm import line_dedup, quality_rules
+from bookweave.llm import decontaminate, line_dedup, minhash, pieces, quality_rules
 from bookweave.llm.shared import written
 
 
@@ -15,11 +16,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that a document with a smaller id holds."""
-    return line_dedup.keep_lines(docs, line_dedup.line_bitmaps(docs))
+    """Texts without the lines that a document with a smaller id holds; n_chars follows."""
+    kept = line_dedup.keep_lines(docs, line_dedup.line_bitmaps(docs))
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
-STAGES = [("quality", quality), ("lines", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.deduplicate(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, and whether they decode to it."""
+    both = pieces.decode(pieces.encode(docs), to="_back")
+    same = (F.col("_back") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return both.select(*(c for c in docs.columns if c != "text"), F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("tokens", tokens)]
+#: The stages of 10, 4 and 2 are beyond SQL.
 ORACLE_SQL = None
 
 
