@@ -134,13 +134,13 @@ def disclosing_terms(spans: DataFrame, disclosure: float = 0.9, least: int = 3)
 def find_spans(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFrame:
     """``docs`` (doc_id, text) with the arrays of base spans and of ``_pii_term`` spans."""
     base = with_base_spans(docs)
-    terms = disclosing_terms(with_base_spans(docs.select("doc_id", "text")), disclosure, least).select(F.col("doc_id").alias(P + "id"), "terms")
+    terms = disclosing_terms(with_base_spans(docs.select("doc_id", "text")), disclosure, least).select(F.col("doc_id").alias(P + "id"), F.col("terms").alias(P + "terms"))
     both = base.join(terms, base["doc_id"] == terms[P + "id"], "left")
     # A sign that a term may hold is quoted; a word is a term with signs around it.
-    quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
+    quoted = F.array_join(F.transform(P + "terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     edge = r"\x20\x09-\x0D" + "".join("\\" + s for s in SIGNS if s != "_") + "_"
     pattern = F.concat(F.lit(rf"(?i)(?<![^{edge}])(?:"), quoted, F.lit(rf")(?![^{edge}])"))
-    return both.withColumn(P + "term", F.when(F.size("terms") > 0, found(F.coalesce("text", F.lit("")), pattern, "term"))).drop(P + "id", "terms")
+    return both.withColumn(P + "term", F.when(F.size(P + "terms") > 0, found(F.coalesce("text", F.lit("")), pattern, "term"))).drop(P + "id", P + "terms")
 
 
 def _sorted(kinds: tuple[str, ...]) -> Column:
