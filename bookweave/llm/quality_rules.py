@@ -145,7 +145,10 @@ def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | N
         ok = ~F.coalesce(F.expr(by[name].fails), F.lit(False))
         df = df.withColumn(f"{P}alive{k}", ok if alive is None else alive & ok)
         alive = F.col(f"{P}alive{k}")
-    return df.select(*kept, (F.lit(True) if alive is None else alive).alias(verdict))
+    # Not deterministic by form, so that no filter on the verdict is pushed below the features, which would
+    # copy their expressions over and over.
+    held = F.monotonically_increasing_id() >= 0
+    return df.select(*kept, (held if alive is None else alive & held).alias(verdict))
 
 
 def measure(df: DataFrame) -> DataFrame:
