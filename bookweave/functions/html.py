@@ -24,13 +24,13 @@ BARE_SIZE = "(?i)(\\d+(?:\\.\\d+)?\\s*(?:MB|GB|KB|MiB|GiB))\\b"
 
 # Labels of detail pages.
 PAGE_PATTERNS = {
-    "author": "Author[s]?[：:\\s>]*" + TAGS + "([^<>\\n]{2,80})",
-    "language": "(?:Language|语言)[：:\\s>]*" + TAGS + "([A-Za-z\\x{4e00}-\\x{9fff}]{2,20})",
+    "author": "Author[s]?[：:\\s>]*" + TAGS + "([^<>\\n]{2,})",
+    "language": "(?:Language|语言)[：:\\s>]*" + TAGS + "([A-Za-z\\x{4e00}-\\x{9fff}]{2,})",
     "format": "(?:Format|格式|Extension|类型)[：:\\s>]*" + TAGS + "(\\w+)",
     "size": "(?:File\\s*size|Size|文件大小|大小)[：:\\s>]*" + TAGS + "([\\d. ]+\\s*(?:MB|GB|KB|MiB|GiB|B))",
     "year": "(?:Year|年份|Published)[：:\\s>]*" + TAGS + "(\\d{4})",
-    "isbn": "[Ii][Ss][Bb][Nn][：:\\s>]*" + TAGS + "([\\dX-]{10,17})",
-    "publisher": "(?:Publisher|出版社|Published by)[：:\\s>]*" + TAGS + "([^<>\\n]{2,100})",
+    "isbn": "[Ii][Ss][Bb][Nn][：:\\s>]*" + TAGS + "([\\dX-]{10,})",
+    "publisher": "(?:Publisher|出版社|Published by)[：:\\s>]*" + TAGS + "([^<>\\n]{2,})",
 }
 JSONLD = '(?s)<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>'
 DETAIL_EXTENSIONS = ["pdf", "epub", "mobi", "djvu", "cbz", "cbr", "zip"]
@@ -103,11 +103,8 @@ def marc_toc(html) -> Column:
     return F.get(F.filter(texts, lambda t: F.length(t) > 20), 0)
 
 
-def page_toc(html, cap: int = 5000) -> Column:
-    """Contents section of a book page: the block labelled 目录, else an element whose id holds 'dir'.
-
-    The cap on the text is the rule of the operator, not a shortcut.
-    """
+def page_toc(html) -> Column:
+    """Contents section of a book page: the block labelled 目录, else an element whose id holds 'dir'."""
     html = _col(html)
     label = '(?s)<div[^>]*class="[^"]*\\bindent\\b[^"]*"[^>]*>\\s*<span[^>]*class="[^"]*\\bpl\\b[^"]*"[^>]*>[^<]*目录[^<]*</span>(.*?)</div>'
     parts = F.filter(
@@ -116,6 +113,4 @@ def page_toc(html, cap: int = 5000) -> Column:
     )
     section = F.array_join(parts, "\n")
     hidden = trim_u(strip_tags(F.regexp_extract(html, "(?s)<div[^>]*id=[\"'][^\"']*dir[^\"']*[\"'][^>]*>(.*?)</div>", 1)))
-    return F.when(F.length(section) > 10, F.left(section, F.lit(cap))).when(
-        F.length(hidden) > 50, F.left(hidden, F.lit(cap))
-    )
+    return F.when(F.length(section) > 10, section).when(F.length(hidden) > 50, hidden)

@@ -249,12 +249,19 @@ def cjk_ratio(c) -> Column:
 # ---------------------------------------------------------------- file names
 
 
-def sanitize(c, n: int = 80, normalize: bool = True) -> Column:
-    """Path-safe text of at most ``n`` characters, cut at a blank when it has to be cut."""
+def _cut(c: Column, n: int | None) -> Column:
+    """At most ``n`` characters; a longer text ends in a hash of all of it, so different ones stay so."""
+    if n is None:
+        return c
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(max(n - 9, 0))), F.lit("~"), F.left(F.md5(c), F.lit(8)))).otherwise(c)
+
+
+def sanitize(c, n: int | None = None, normalize: bool = True) -> Column:
+    """Path-safe text, of at most ``n`` characters where a limit is given."""
     c = nfkc(c) if normalize else _col(c)
     c = F.regexp_replace(c, '[<>:"/\\\\|?*]', "_")
     c = trim_u(F.regexp_replace(c, "(?U)\\s+", " "))
-    return F.when(F.length(c) > n, F.regexp_replace(F.left(c, F.lit(n)), " [^ ]*$", "")).otherwise(c)
+    return _cut(c, n)
 
 
 def apply_template(template: str, fields: dict[str, Column], normalize: bool = True) -> Column:
@@ -278,9 +285,9 @@ def apply_template(template: str, fields: dict[str, Column], normalize: bool = T
     return F.when(F.lower(kept).endswith(".pdf"), kept).otherwise(F.concat(kept, F.lit(".pdf")))
 
 
-def final_name(ss_code, title, ocr_done, compressed, ext=".pdf") -> Column:
+def final_name(ss_code, title, ocr_done, compressed, ext=".pdf", n: int | None = None) -> Column:
     """``[code_]title[_ocr|_ocr_bw].pdf`` as stored in the finished folder."""
-    safe = F.left(trim_u(F.regexp_replace(F.coalesce(_col(title), F.lit("book")), '[<>:"/\\\\|?*]', "_")), F.lit(80))
+    safe = _cut(trim_u(F.regexp_replace(F.coalesce(_col(title), F.lit("book")), '[<>:"/\\\\|?*]', "_")), n)
     suffix = F.when(_col(ocr_done) & _col(compressed), "_ocr_bw").when(_col(ocr_done), "_ocr").otherwise("")
     code = F.when(~is_blank(ss_code), F.concat(_col(ss_code), F.lit("_"))).otherwise("")
     return F.concat(code, safe, suffix, F.lit(ext))

@@ -8,19 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Windows probed when the contents pages are unknown.
-PROBE_STARTS, PROBE_PAGES = [0, 5, 10, 15], 5
+# Fixed value: pages of a window probed when the contents pages are unknown.
+PROBE_PAGES = 5
 
 
-def plan_batches(docs: DataFrame, size: int = 3, max_rounds: int = 3) -> DataFrame:
+def plan_batches(docs: DataFrame, size: int = 3, max_rounds: int | None = None) -> DataFrame:
     """(doc_id, round, first_page, last_page) per document of (doc_id, total_pages, toc_start, toc_end).
 
-    Known range: consecutive batches, at most ``max_rounds``.  Unknown: fixed windows within the document.
+    Known range: consecutive batches over all of it.  Unknown: windows over the whole document.
+    ``max_rounds`` keeps only so many batches of a document, where that is wanted.
     """
     known = F.col("toc_start") >= 0
-    starts = F.when(
-        known, F.when(F.col("toc_start") <= F.col("toc_end"), F.slice(F.sequence(F.col("toc_start"), F.col("toc_end"), F.lit(size).cast("bigint")), 1, max_rounds))
-    ).otherwise(F.filter(F.array(*[F.lit(s).cast("bigint") for s in PROBE_STARTS]), lambda s: s < F.col("total_pages")))
+    step = lambda n: F.lit(n).cast("bigint")
+    batches = F.when(F.col("toc_start") <= F.col("toc_end"), F.sequence(F.col("toc_start"), F.col("toc_end"), step(size)))
+    windows = F.when(F.col("total_pages") > 0, F.sequence(step(0), F.col("total_pages") - 1, step(PROBE_PAGES)))
+    starts = F.when(known, batches).otherwise(windows)
+    if max_rounds is not None:
+        starts = F.slice(starts, 1, max_rounds)
     rows = docs.select("doc_id", "total_pages", "toc_end", known.alias("_known"), F.posexplode(starts).alias("round", "first_page"))
     last = F.when(F.col("_known"), F.least(F.col("first_page") + size - 1, F.col("toc_end"))).otherwise(
         F.least(F.col("first_page") + PROBE_PAGES - 1, F.col("total_pages") - 1)
@@ -37,25 +41,26 @@ def map_pages(
 ) -> DataFrame:
     """Run ``fn`` (a model or a client) over batches of page rows; its texts come back as ``text``.
 
-    A batch that fails yields empty texts.  ``concurrency`` spreads pages by key over that many tasks,
+    A batch that fails yields empty texts and says why in ``error``.  ``concurrency`` spreads pages by key over that many tasks,
     so a huge document does not end up in one.  Filter before this operator: Spark does not push
     conditions through Python.
     """
     types = dict(pages.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", text string"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", text string, error string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
+                error = None
                 try:
                     texts = list(fn(part))
                     if len(texts) != len(part):
                         raise ValueError("one text per page expected")
-                except Exception:  # noqa: BLE001 - a failing batch must not fail the job
-                    texts = [""] * len(part)
+                except Exception as e:  # noqa: BLE001 - a failing batch must not fail the job
+                    texts, error = [""] * len(part), f"{type(e).__name__}: {e}"
                 out = part[key].copy()
-                out["text"] = texts
+                out["text"], out["error"] = texts, error
                 yield out
 
     spread = pages.repartition(concurrency, *key) if concurrency else pages

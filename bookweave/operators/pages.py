@@ -73,7 +73,7 @@ def extract_detail(pages: DataFrame, key: str = "page_id", html: str = "html") -
     listed = F.get(F.filter(parts, lambda p: p.isin(H.DETAIL_EXTENSIONS)), 0)
     guess = F.lower(F.regexp_extract(path, "\\.([^.]*)$", 1))
     tagged = F.lower(first_match(text, "(?i)(?:filetype|extension|Format)[:\\s]*<[^>]*>([a-z0-9]{2,6})<"))
-    heading = nonempty(first_match(text, "<h\\d[^>]*>([^<]{3,100})</h\\d>"))
+    heading = nonempty(first_match(text, "<h\\d[^>]*>([^<]{3,})</h\\d>"))
     cell = first_match(text, "(?is)ISBN\\s*:\\s*</td>\\s*<td[^>]*>(.*?)</td>")
     size = first_match(text, 'filesize_bytes["\\s:]+(\\d+)').try_cast("bigint")
     label = first_match(text, "(?i)File\\s*size[:\\s]*<[^>]*>([^<]+)<")
@@ -95,7 +95,7 @@ def extract_detail(pages: DataFrame, key: str = "page_id", html: str = "html") -
 
 
 def extract_book_page(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Book page: title, authors, publication lines, isbn, rating, description (2000 characters), tags."""
+    """Book page: title, authors, publication lines, isbn, rating, description, tags."""
     text = F.col(html)
     label = '(?s)<span[^>]*class="[^"]*\\bpl\\b[^"]*"[^>]*>\\s*'
     author_part = F.regexp_extract(text, label + "作者.*?</span>(.*?)(?:<br|</span>\\s*<span|</div>)", 1)
@@ -117,7 +117,7 @@ def extract_book_page(pages: DataFrame, key: str = "page_id", html: str = "html"
         info.alias("pub_info"),
         first_match(isbn_tail, "(\\d{10,13})").alias("isbn"),
         trim_u(rating).try_cast("double").alias("rating"),
-        F.left(intro, F.lit(2000)).alias("description"),
+        intro.alias("description"),
         F.filter(tags, lambda a: a != "").alias("tags"),
     )
 

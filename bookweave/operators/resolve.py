@@ -25,16 +25,18 @@ def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str) ->
 
     Exact.  Every needle is looked up by the rarest of its grams (a needle shorter than the gram size by
     itself), so this is an equi-join on short posting lists; a gram that is still frequent is left to
-    AQE's skew join.  Both sides should hold distinct values: copies are joined back afterwards.
+    AQE's skew join.  Posting lists hold a hash of the text for the grams that some needle has; the text
+    comes back for the candidates only, and whatever shares its hash is sorted out by the comparison.
+    Both sides should hold distinct values: copies are joined back afterwards.
     """
     sizes = F.array(*[F.lit(i) for i in range(1, GRAM + 1)])
     none = F.array().cast("array<string>")
     every = F.flatten(F.transform(sizes, lambda n: F.coalesce(_grams(F.col(text), n), none)))
-    posted = hay.select(text, F.explode(every).alias("_gram"))
-    frequency = posted.groupBy("_gram").agg(F.count("*").alias("_freq"))
-
     size = F.least(F.length(needle), F.lit(GRAM))
     asked = needles.filter(F.length(needle) > 0).select(needle, F.explode(_grams(F.col(needle), size)).alias("_gram"))
+    posted = hay.select(F.xxhash64(text).alias("_at"), F.explode(every).alias("_gram"))
+    posted = posted.join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    frequency = posted.groupBy("_gram").agg(F.count("*").alias("_freq"))
     picked = (
         asked.join(frequency, "_gram", "left")
         .groupBy(needle)
@@ -42,7 +44,9 @@ def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str) ->
         .filter(F.col("_pick._freq") > 0)  # a gram no text has: no text can contain the needle
         .select(needle, F.col("_pick._gram").alias("_gram"))
     )
-    return posted.join(picked, "_gram").filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
+    candidates = posted.join(picked, "_gram").select(needle, "_at")
+    texts = hay.select(F.xxhash64(text).alias("_at"), text)
+    return candidates.join(texts, "_at").filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
 
 
 HIT = ["id", "title", "author", "publisher", "isbn", "ss_code"]
@@ -67,8 +71,16 @@ def _code_hits(cat: DataFrame, order: list[str]) -> DataFrame:
     return first.select(F.col("ss_code").alias("_key"), _hit())
 
 
-def _title_hits(wanted: DataFrame, cat: DataFrame, k: int, minimum: float, order: list[str]) -> DataFrame:
-    found = _first_containing(wanted, cat, "title", k, order)
+def _title_hits(wanted: DataFrame, cat: DataFrame, k: int | None, minimum: float, order: list[str]) -> DataFrame:
+    """The most similar of all titles that contain each needle, or of the first ``k`` where k is given."""
+    if k is None:
+        # The similarity is the title's alone, so one row of each title is enough.
+        hay = cat.withColumn("_text", F.lower("title")).filter(F.col("_text") != "")
+        first = top_per_group(hay, ["title"], [F.col(o) for o in order])
+        pairs = contains_join(wanted.distinct(), first.select("_text").distinct(), "_needle", "_text")
+        found = pairs.join(first, "_text").withColumn("_place", F.struct(*order))
+    else:
+        found = _first_containing(wanted, cat, "title", k, order)
     scored = found.withColumn("similarity", title_similarity(F.col("title"), F.col("_needle")))
     best = top_per_group(scored, ["_needle"], [F.desc("similarity"), F.col("_place")])
     return best.filter(F.col("similarity") >= minimum).select(F.col("_needle").alias("_key"), _hit(), "similarity")
@@ -110,9 +122,9 @@ def lookup_code(req: DataFrame, cat: DataFrame, key: str = "req_id", order: list
 
 
 def lookup_title(
-    req: DataFrame, cat: DataFrame, key: str = "req_id", k: int = 5, minimum: float = 0.4, order: list[str] = ["id"]
+    req: DataFrame, cat: DataFrame, key: str = "req_id", k: int | None = None, minimum: float = 0.4, order: list[str] = ["id"]
 ) -> DataFrame:
-    """Requests with the best of the first ``k`` catalog rows whose title contains their main title."""
+    """Requests with the most similar catalog row whose title contains their main title."""
     wanted = req.select(_title_key().alias("_needle")).filter(F.col("_needle") != "")
     hits = _title_hits(wanted, cat, k, minimum, order)
     return _unpack(_attach(req, hits, _title_key(), key, "_t", "similarity"), req, "_t", "similarity")
@@ -128,7 +140,7 @@ def lookup_isbn(req: DataFrame, cat: DataFrame, key: str = "req_id", order: list
 
 
 def resolve(
-    req: DataFrame, cat: DataFrame, key: str = "req_id", k: int = 5, minimum: float = 0.4, order: list[str] = ["id"]
+    req: DataFrame, cat: DataFrame, key: str = "req_id", k: int | None = None, minimum: float = 0.4, order: list[str] = ["id"]
 ) -> DataFrame:
     """Cascade code, title, isbn: the first hit fills the request's gaps.
 
@@ -154,13 +166,15 @@ def resolve(
         .when(F.coalesce("_bare", "_given").isNotNull(), "isbn")
     )
     hit = every.withColumn("_h", F.coalesce("_code", "_title", "_bare", "_given")).withColumn("tier", tier)
-    gaps = {c: F.coalesce(nonempty(c), nonempty(F.col("_h")[c])) for c in ("title", "isbn", "ss_code")}
+    filled = ("title", "isbn", "ss_code", "author", "publisher")
+    own = lambda c: [nonempty(c)] if c in req.columns else []
+    gaps = {c: F.coalesce(*own(c), nonempty(F.col("_h")[c])) for c in filled}
+    more = [c for c in req.columns if c not in (key, *filled, "book_id", "tier", "fallback")]
     return hit.select(
         key,
         *[v.alias(c) for c, v in gaps.items()],
         F.col("_h.id").alias("book_id"),
-        nonempty("_h.author").alias("author"),
-        nonempty("_h.publisher").alias("publisher"),
+        *more,
         "tier",
         (F.col("tier").isNull() & nonempty("isbn").isNotNull()).alias("fallback"),
     )
@@ -263,14 +277,16 @@ MIN_FILE_BYTES = 1024
 def match_files(req: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """File of each request (``name``, ``code``): the exact name, else one named ``code_…`` or ``code.…``.
 
-    Codes hold neither '_' nor '.'.  Files up to 1024 bytes do not count.
+    A code may hold '_' and '.' itself.  Files up to 1024 bytes do not count.
     """
     usable = files.filter(F.col("bytes") > MIN_FILE_BYTES).select(F.col("file_name"), "bytes")
     exact = top_per_group(usable, ["file_name"], [F.col("bytes")]).select(
         F.col("file_name").alias("_exact"), F.col("bytes").alias("_exact_bytes")
     )
-    prefix = F.when(F.col("file_name").rlike("[_.]"), F.regexp_extract("file_name", "^[^_.]*", 0))
-    coded = usable.withColumn("_code", F.when(F.regexp_like("file_name", F.lit("^[^_.]*(_.*)?\\.")), prefix))
+    # Every start of the name that ends before a '_' or '.', where a '.' follows somewhere.
+    name = F.col("file_name")
+    ends = F.filter(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.lit(1)).isin("_", ".") & F.contains(name, F.lit(".")))
+    coded = usable.withColumn("_code", F.explode(F.transform(ends, lambda i: F.substring(name, F.lit(1), i - 1))))
     coded = top_per_group(coded.filter(F.col("_code") != ""), ["_code"], [F.col("file_name")]).select(
         "_code", F.col("file_name").alias("_named"), F.col("bytes").alias("_named_bytes")
     )

@@ -141,10 +141,21 @@ def last_logs(events: DataFrame, n: int = LOGS_LIST) -> DataFrame:
 
 
 def log_ring(events: DataFrame) -> DataFrame:
-    """What is left of every task's log: 500 lines, 20 once the task has ended."""
-    ended = task_state(events).select("task_id", F.col("status").isin(TERMINAL).alias("_ended"))
-    kept = last_logs(events, LOGS_ACTIVE).join(ended, "task_id")
-    return kept.filter(F.col("back") <= F.when(F.col("_ended"), LOGS_TERMINAL).otherwise(LOGS_ACTIVE)).drop("_ended")
+    """What is left of every task's log: 500 lines; a line logged after the task has ended cuts it to 20.
+
+    Counts are aggregates: lines up to the last one logged in an ended status, and lines after it.
+    """
+    logged = events.filter(F.col("log_line").isNotNull() & ~is_noise("log_line"))
+    at = F.struct("ts", "event_id")
+    after = task_machine(events).select("event_id", "task_id", F.col("after").isin(TERMINAL).alias("_ended"))
+    marked = logged.join(after, ["event_id", "task_id"]).select("task_id", at.alias("_at"), "_ended")
+    cuts = marked.filter("_ended").groupBy("task_id").agg(F.max("_at").alias("_cut"))
+    later = F.count(F.when(F.col("_at") > F.col("_cut"), 1))
+    limits = marked.join(cuts, "task_id").groupBy("task_id").agg(
+        F.least(F.lit(LOGS_ACTIVE), F.least(F.lit(LOGS_TERMINAL), F.count("*") - later) + later).alias("_left")
+    )
+    kept = last_logs(events, LOGS_ACTIVE).join(limits, "task_id", "left")
+    return kept.filter(F.col("back") <= F.coalesce("_left", F.lit(LOGS_ACTIVE))).drop("_left")
 
 
 def _idle(states: DataFrame, now: Column, seconds: int) -> Column:
@@ -174,12 +185,11 @@ def hour() -> Column:
 
 
 def progress_eta(
-    events: DataFrame, line: str = "log_line", total_pages: Column | None = None, block: Column | None = None
+    events: DataFrame, line: str = "log_line", total_pages: Column | None = None
 ) -> DataFrame:
     """Progress of each line that shows one: cur, tot, pct and remaining seconds."""
-    block = hour() if block is None else block
-    p = events.withColumn("_p", parse_progress(line, total_pages))
-    begun = ordered_scan(p, ["task_id"], ["ts", "event_id"], {"_t0": least_of(F.col("ts"))}, block=block)
+    p = events.withColumn("_p", parse_progress(line, total_pages)).filter((F.col("_p.tot") > 0) & (F.col("_p.cur") > 0))
+    begun = p.join(events.groupBy("task_id").agg(F.min("ts").alias("_t0")), "task_id")
     cur, tot = F.col("_p.cur"), F.col("_p.tot")
     elapsed = seconds_between(F.col("_t0"), F.col("ts"))
     eta = F.when((cur > 1) & (elapsed > 5), (tot - cur) * elapsed / cur)

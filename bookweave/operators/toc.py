@@ -36,41 +36,39 @@ def page_signals(pages: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def _front_matter(pages: DataFrame, limit: int) -> DataFrame:
-    """Per document: contents range, page count and the pages that may belong to the contents.
-
-    One pass and one shuffle.  Signals are computed before it, and a document brings at most ``limit``
-    page numbers and contents-like pages along.
-    """
+def _signals(pages: DataFrame) -> DataFrame:
     hits = F.col("chapter_hits") + F.col("section_hits")
-    front = F.when(F.col("page_no") < limit, F.col("text"))
-    s = page_signals(pages.withColumn("text", front), "text").withColumns(
-        {
-            "dense": (hits >= 3) & (F.col("page_refs") >= 2),
-            "like_toc": (hits >= 2) | (F.col("page_refs") >= 1),
-        }
+    return page_signals(pages).select(
+        "doc_id", "page_no", "has_header",
+        ((hits >= 3) & (F.col("page_refs") >= 2)).alias("dense"),
+        ((hits >= 2) | (F.col("page_refs") >= 1)).alias("like_toc"),
     )
-    page = F.col("page_no").cast("int")
-    candidate = F.col("like_toc") | F.col("has_header")
-    per_doc = s.groupBy("doc_id").agg(
-        F.coalesce(F.min(F.when(F.col("has_header"), page)), F.min(F.when(F.col("dense"), page))).alias("_start"),
-        F.collect_set(F.when(F.col("like_toc"), page)).alias("_run"),
-        F.count("*").alias("total_pages"),
-        F.collect_list(F.when(candidate, F.struct(page.alias("page_no"), "text"))).alias("_pages"),
+
+
+def _ranges(pages: DataFrame) -> DataFrame:
+    """(doc_id, total_pages, toc_start, toc_end): first header page, else first dense one, up to the page
+    before the first that isn't like a contents page.  Pages of a document are numbered without gaps.
+
+    Both passes are aggregates, combined before the shuffle; no text is moved.
+    """
+    s = _signals(pages)
+    first = s.groupBy("doc_id").agg(
+        F.coalesce(F.min(F.when(F.col("has_header"), F.col("page_no"))), F.min(F.when(F.col("dense"), F.col("page_no")))).alias("_start"),
+        F.count("*").alias("total_pages"), F.max("page_no").alias("_last"),
     )
-    start = F.col("_start")
-    after = F.sequence(start + 1, F.greatest(start + 1, F.lit(limit)))
-    stop = F.get(F.filter(after, lambda p: ~F.array_contains(F.col("_run"), p)), 0)
-    return per_doc.select(
-        "doc_id", "total_pages", "_pages",
-        F.coalesce(start, F.lit(-1)).cast("bigint").alias("toc_start"),
-        F.coalesce(stop - 1, F.lit(-1)).cast("bigint").alias("toc_end"),
+    other = s.filter(~F.col("like_toc")).select("doc_id", "page_no").join(first.select("doc_id", "_start"), "doc_id")
+    stop = other.filter(F.col("page_no") > F.col("_start")).groupBy("doc_id").agg(F.min("page_no").alias("_stop"))
+    end = F.when(F.col("_start").isNotNull(), F.coalesce(F.col("_stop") - 1, F.col("_last")))
+    return first.join(stop, "doc_id", "left").select(
+        "doc_id", "total_pages",
+        F.coalesce(F.col("_start"), F.lit(-1)).cast("bigint").alias("toc_start"),
+        F.coalesce(end, F.lit(-1)).cast("bigint").alias("toc_end"),
     )
 
 
-def toc_range(pages: DataFrame, limit: int = 30) -> DataFrame:
-    """(toc_start, toc_end) per document among its first ``limit`` pages, (-1, -1) when none is found."""
-    return _front_matter(pages, limit).select("doc_id", "toc_start", "toc_end")
+def toc_range(pages: DataFrame) -> DataFrame:
+    """(toc_start, toc_end) per document, (-1, -1) when none is found."""
+    return _ranges(pages).select("doc_id", "toc_start", "toc_end")
 
 
 # ---------------------------------------------------------------- wrapped lines
@@ -255,7 +253,7 @@ def page_offset(docs: DataFrame, labels: DataFrame, entries: DataFrame, anchor:
 def apply_offset(entries: DataFrame, docs: DataFrame, labels: DataFrame, supplied: int = 0, toc_label: str = "!00001.jpg") -> DataFrame:
     """Entries on physical pages, clamped to the document; offsets <= 0 are detected from the labels.
 
-    Level -1 marks absolute pages.  A contents page labelled so among the first 30 pages gets an entry
+    Level -1 marks absolute pages.  A contents page labelled so gets an entry
     of its own in front (seq -1).
     """
     offsets = page_offset(docs, labels, entries) if supplied <= 0 else docs.select("doc_id", F.lit(supplied).cast("bigint").alias("offset"))
@@ -266,7 +264,7 @@ def apply_offset(entries: DataFrame, docs: DataFrame, labels: DataFrame, supplie
         "doc_id", "seq", F.when(F.col("level") == -1, F.lit(1)).otherwise(F.col("level")).cast("bigint").alias("level"), "title",
         F.greatest(F.lit(1), F.least(page, F.col("total_pages"))).cast("bigint").alias("page"),
     )
-    own = labels.filter((F.col("label") == toc_label) & (F.col("page_no") < 30)).groupBy("doc_id").agg(F.min("page_no").alias("_at"))
+    own = labels.filter(F.col("label") == toc_label).groupBy("doc_id").agg(F.min("page_no").alias("_at"))
     with_entries = entries.select("doc_id").distinct()
     front = own.join(with_entries, "doc_id", "left_semi").select(
         "doc_id", F.lit(-1).cast("bigint").alias("seq"), F.lit(1).cast("bigint").alias("level"), F.lit("目 录").alias("title"),
@@ -347,17 +345,17 @@ def write_bookmarks(entries: DataFrame, levels: bool = False) -> DataFrame:
     return entries.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda e: e["line"]), "\n").alias("bookmark"))
 
 
-def toc_from_pages(pages: DataFrame, limit: int = 30) -> DataFrame:
+def toc_from_pages(pages: DataFrame) -> DataFrame:
     """Pages to bookmark text: (doc_id, bookmark, toc_start, toc_end).
 
     The bookmark is empty when the entries fail validation; the range survives that.
     """
-    docs = _front_matter(pages, limit)
-    inside = F.filter(F.sort_array("_pages"), lambda p: p["page_no"].between(F.col("toc_start"), F.col("toc_end")))
-    texts = docs.select(
-        "doc_id", "total_pages", "toc_start", "toc_end",
-        F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("text"),
-    )
+    docs = _ranges(pages)
+    inside = pages.select("doc_id", "page_no", "text").join(docs.filter(F.col("toc_start") >= 0), "doc_id")
+    inside = inside.filter(F.col("page_no").between(F.col("toc_start"), F.col("toc_end")))
+    joined = inside.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
+    joined = joined.select("doc_id", F.array_join(F.transform("_pages", lambda p: p["text"]), "\n").alias("text"))
+    texts = docs.join(joined, "doc_id", "left")
     # From here on everything stays on the partitioning by document.
     entries = toc_from_text(texts.filter(F.col("toc_start") >= 0).select("doc_id", "text"))
     lists = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "title", "page"))).alias("e"))
@@ -391,7 +389,7 @@ def split_response(df: DataFrame, text: str = "response") -> DataFrame:
     lines = df.select("doc_id", F.posexplode(F.split(body, "\n")).alias("seq", "line")).filter(~is_blank("line"))
     line = F.regexp_replace("line", "^\\r+|\\r+$", "")
     tabs = F.length(F.regexp_extract(line, "^\\t*", 0))
-    arabic, roman = "(?U)\\s+([0-9]{1,5})\\s*$", "(?iU)\\s+([ivxlcdm]{1,5})\\s*$"
+    arabic, roman = "(?U)\\s+([0-9]+)\\s*$", "(?iU)\\s+([ivxlcdm]+)\\s*$"
     staged = lines.select("doc_id", F.col("seq").cast("bigint").alias("seq"), trim_u(line).alias("t"), tabs.cast("bigint").alias("level"))
     t = F.col("t")
     entries = staged.select(
@@ -461,8 +459,7 @@ def _indented_entry(line: Column) -> Column:
 
 
 def _free_entry(line: Column, e: Column) -> Column:
-    long = (F.length(line) > 60) & ~line.rlike("[.…·]{2,}|\\t")
-    usable = (line != "") & ~line.startswith("TOC_") & (line != "NO_TOC") & ~long
+    usable = (line != "") & ~line.startswith("TOC_") & (line != "NO_TOC")
 
     def heading(clean: Column) -> Column:
         marked = (

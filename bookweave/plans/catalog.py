@@ -233,7 +233,7 @@ _NEEDLES = f"SELECT DISTINCT {_MAIN.format(t='title')} AS needle FROM requests W
 _BY_TITLE = f"""
     SELECT r.*, {_HIT}, similarity FROM requests r JOIN (
       SELECT * FROM (SELECT *, {similarity_sql('title', 'needle')} AS similarity FROM (
-        SELECT n.needle, c.*, row_number() OVER (PARTITION BY n.needle ORDER BY c.id) AS place FROM ({_NEEDLES}) n JOIN books c ON contains(c.title, n.needle)) WHERE place <= 5)
+        SELECT n.needle, c.* FROM ({_NEEDLES}) n JOIN books c ON contains(c.title, n.needle)))
       QUALIFY row_number() OVER (PARTITION BY needle ORDER BY similarity DESC, id) = 1) b ON {_MAIN.format(t='r.title')} = b.needle AND r.title <> '' WHERE similarity >= 0.4"""
 _BY_ISBN = f"""
     SELECT r.*, {_HIT} FROM requests r JOIN (
@@ -260,7 +260,7 @@ def lookup_isbn(v: Views):
     "resolve",
     f"""WITH found AS (SELECT req_id, hit_id, 'code' AS tier FROM ({_BY_CODE}) UNION ALL SELECT req_id, hit_id, 'title' FROM ({_BY_TITLE}) UNION ALL SELECT req_id, hit_id, 'isbn' FROM ({_BY_ISBN}))
         SELECT r.req_id, coalesce(nullif(r.title, ''), b.title) AS title, coalesce(nullif(r.isbn, ''), nullif(b.isbn, '')) AS isbn, coalesce(nullif(r.ss_code, ''), b.ss_code) AS ss_code,
-               f.hit_id AS book_id, b.author, b.publisher, f.tier, f.tier IS NULL AND r.isbn <> '' AS fallback
+               f.hit_id AS book_id, coalesce(nullif(r.author, ''), b.author) AS author, b.publisher, r.priority, f.tier, f.tier IS NULL AND r.isbn <> '' AS fallback
         FROM requests r LEFT JOIN found f ON f.req_id = r.req_id LEFT JOIN books b ON b.id = f.hit_id""",
 )
 def resolve(v: Views):

@@ -98,9 +98,9 @@ _SIGNALS = """
     FROM (SELECT *, CASE WHEN solid = 0 THEN 0 ELSE CAST(length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}]', '', 'g')) AS DOUBLE) / solid END AS cjk_ratio
           FROM (SELECT *, length(regexp_replace(text, '[\\s\\x{3000}]', '', 'g')) AS solid FROM toc_pages))"""
 _RANGE = f"""
-    SELECT doc_id, coalesce(s, -1) AS toc_start, CASE WHEN s IS NULL THEN -1 ELSE list_filter(range(s + 1, greatest(s + 2, 31)), lambda p: NOT list_contains(run, p))[1] - 1 END AS toc_end, n FROM (
-      SELECT doc_id, coalesce(min(page_no) FILTER (has_header AND page_no < 30), min(page_no) FILTER (chapter_hits + section_hits >= 3 AND page_refs >= 2 AND page_no < 30)) AS s,
-             coalesce(list(page_no) FILTER ((chapter_hits + section_hits >= 2 OR page_refs >= 1) AND page_no < 30), CAST([] AS BIGINT[])) AS run, count(*) AS n
+    SELECT doc_id, coalesce(s, -1) AS toc_start, CASE WHEN s IS NULL THEN -1 ELSE list_filter(range(s + 1, n + 1), lambda p: NOT list_contains(run, p))[1] - 1 END AS toc_end, n FROM (
+      SELECT doc_id, coalesce(min(page_no) FILTER (has_header), min(page_no) FILTER (chapter_hits + section_hits >= 3 AND page_refs >= 2)) AS s,
+             coalesce(list(page_no) FILTER (chapter_hits + section_hits >= 2 OR page_refs >= 1), CAST([] AS BIGINT[])) AS run, count(*) AS n
       FROM ({_SIGNALS}) GROUP BY doc_id)"""
 
 
@@ -233,7 +233,7 @@ def validate_toc(v: Views):
 
 
 _BARE_TITLE = "regexp_replace({c}, '[\\s\\.\\-—·…\\t]', '', 'g')"
-_CHECKED = "SELECT doc_id, seq, CASE WHEN (doc_id + seq) % 3 = 0 OR doc_id % 5 = 0 THEN concat('zzqx ', title) ELSE title END AS title, page FROM entries WHERE (doc_id + seq) % 5 = 2 OR (doc_id + seq) % 5 = 3 OR (doc_id + seq) % 5 = 0"
+_CHECKED = "SELECT doc_id, seq, CASE WHEN (doc_id + seq) % 3 = 0 OR doc_id % 5 = 0 THEN concat('zzqx ', title) ELSE title END AS title, page FROM entries"
 
 
 @query(
@@ -249,11 +249,11 @@ def cross_validate(v: Views):
 
 @query(
     "dedupe_titles",
-    "SELECT doc_id, seq, title FROM (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN concat(left(title, 2), ' ', substr(title, 3, 1)) ELSE left(title, 3) END AS title FROM entries) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(title, '\\s+', '', 'g')) ORDER BY seq) = 1",
+    "SELECT doc_id, seq, title FROM (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN concat(left(title, 2), ' ', substr(title, 3)) ELSE title END AS title FROM entries) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(title, '\\s+', '', 'g')) ORDER BY seq) = 1",
 )
 def dedupe_titles(v: Views):
-    short = v.sql("SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN concat(left(title, 2), ' ', substr(title, 3, 1)) ELSE left(title, 3) END AS title FROM entries")
-    return T.dedupe_titles(short)
+    spaced = v.sql("SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN concat(left(title, 2), ' ', substr(title, 3)) ELSE title END AS title FROM entries")
+    return T.dedupe_titles(spaced)
 
 
 _OFFSET = """SELECT d.doc_id, coalesce(a.at + 1 - e.first_page, 0) AS offset, d.total_pages FROM doc_sizes d
@@ -271,7 +271,7 @@ def page_offset(v: Views):
     "apply_offset",
     f"""SELECT e.doc_id, e.seq, CASE WHEN e.level = -1 THEN 1 ELSE e.level END AS level, e.title,
                greatest(1, least(CASE WHEN e.level = -1 THEN e.page ELSE e.page + o."offset" END, o.total_pages)) AS page FROM ({_LEVELLED}) e JOIN ({_OFFSET}) o ON o.doc_id = e.doc_id
-        UNION ALL SELECT doc_id, CAST(-1 AS BIGINT), CAST(1 AS BIGINT), '目 录', min(page_no) + 1 FROM page_labels WHERE label = '!00001.jpg' AND page_no < 30 AND doc_id IN (SELECT doc_id FROM entries) GROUP BY doc_id""".replace("AS offset", 'AS "offset"'),
+        UNION ALL SELECT doc_id, CAST(-1 AS BIGINT), CAST(1 AS BIGINT), '目 录', min(page_no) + 1 FROM page_labels WHERE label = '!00001.jpg' AND doc_id IN (SELECT doc_id FROM entries) GROUP BY doc_id""".replace("AS offset", 'AS "offset"'),
 )
 def apply_offset(v: Views):
     return T.apply_offset(v.sql(_LEVELLED), v.doc_sizes, v.page_labels)
@@ -359,7 +359,7 @@ _FREE_CLEAN = "trim(regexp_replace(line, '^[·•\\- \\t]+', ''))"
 _FREE = f"""
     SELECT doc_id, seq, title, page, 3 AS way FROM (SELECT doc_id, seq, title, first_value(page IGNORE NULLS) OVER w AS page FROM (
       SELECT doc_id, seq, coalesce(title, CASE WHEN length({_FREE_CLEAN}) >= 2 AND regexp_matches({_FREE_CLEAN}, '第[一二三四五六七八九十百千0-9]+[章节篇回卷]|^\\d+(\\.\\d+)*\\s+|[一二三四五六七八九十]+、') THEN {_FREE_CLEAN} END) AS title, page
-      FROM ({parse_sql(f'''SELECT * FROM ({_OK_LINES}) WHERE line <> '' AND NOT starts_with(line, 'TOC_') AND (length(line) <= 60 OR regexp_matches(line, '[.…·]{{2,}}|\\t'))''')})) WHERE title IS NOT NULL {_AFTER}) WHERE page IS NOT NULL"""
+      FROM ({parse_sql(f'''SELECT * FROM ({_OK_LINES}) WHERE line <> '' AND NOT starts_with(line, 'TOC_')''')})) WHERE title IS NOT NULL {_AFTER}) WHERE page IS NOT NULL"""
 _WAYS = f"{_TABS} UNION ALL SELECT doc_id, seq, title, page, 1 FROM ({_TABLE}) WHERE doc_id IN (SELECT doc_id FROM ({_OK_LINES})) UNION ALL {_INDENT} UNION ALL {_FREE}"
 
 
@@ -390,8 +390,8 @@ def merge_tocs(v: Views):
 
 @query(
     "plan_batches",
-    """SELECT doc_id, CAST(r AS BIGINT) AS round, f AS first_page, least(f + 2, toc_end) AS last_page FROM (SELECT *, unnest(range(3)) AS r, toc_start + 3 * unnest(range(3)) AS f FROM doc_sizes WHERE toc_start >= 0) WHERE f <= toc_end
-       UNION ALL SELECT doc_id, CAST(f / 5 AS BIGINT), f, least(f + 4, total_pages - 1) FROM (SELECT *, unnest([0, 5, 10, 15]) AS f FROM doc_sizes WHERE toc_start < 0) WHERE f < total_pages""",
+    """SELECT doc_id, CAST(r AS BIGINT) AS round, f AS first_page, least(f + 2, toc_end) AS last_page FROM (SELECT *, unnest(range(1 + (toc_end - toc_start) // 3)) AS r, toc_start + 3 * unnest(range(1 + (toc_end - toc_start) // 3)) AS f FROM doc_sizes WHERE toc_start >= 0) WHERE f <= toc_end
+       UNION ALL SELECT doc_id, CAST(f / 5 AS BIGINT), f, least(f + 4, total_pages - 1) FROM (SELECT *, unnest(range(0, total_pages, 5)) AS f FROM doc_sizes WHERE toc_start < 0) WHERE f < total_pages""",
 )
 def plan(v: Views):
     return plan_batches(v.doc_sizes)

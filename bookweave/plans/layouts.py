@@ -274,11 +274,13 @@ def size_saving(v: Views):
     return Q.size_saving(docs, ["source"])
 
 
-@query("map_pages", "SELECT doc_id, page_no, CASE WHEN doc_id % 2 = 0 THEN upper(left(text, 1)) ELSE left(text, 1) END AS text FROM doc_pages WHERE page_no > 0 AND left(text, 1) <> 'ß'")
+@query("map_pages", "SELECT doc_id, page_no, CASE WHEN doc_id % 7 = 3 THEN '' ELSE reverse(text) END AS text, CASE WHEN doc_id % 7 = 3 THEN 'ValueError: not read' END AS error FROM doc_pages")
 def run_model(v: Views):
-    """A stand-in for a model: the first letter, upper case in even documents."""
+    """A stand-in for a model: the whole text backwards; it fails on some documents."""
 
     def fn(pdf):
-        return [t[:1].upper() if d % 2 == 0 else t[:1] for d, t in zip(pdf["doc_id"], pdf["text"])]
+        if (pdf["doc_id"] % 7 == 3).any():
+            raise ValueError("not read")
+        return [t[::-1] for t in pdf["text"]]
 
-    return map_pages(v.doc_pages.filter("page_no > 0 AND left(text, 1) <> 'ß'"), fn, concurrency=16)
+    return map_pages(v.doc_pages, fn, batch=1, concurrency=16)

@@ -103,7 +103,7 @@ def extract_detail(v: Views):
     "extract_book_page",
     """SELECT page_id, p_name AS title, concat_ws('|', p_brand, s_name) AS authors, concat_ws('|', concat('出版社::', p_type), concat('出版年::', CAST(1950 + page_id % 70 AS VARCHAR)), concat('ISBN::978', lpad(CAST(page_id AS VARCHAR), 10, '0'))) AS pub_info,
               concat('978', lpad(CAST(page_id AS VARCHAR), 10, '0')) AS isbn, CASE WHEN page_id % 5 <> 0 THEN CAST(page_id % 10 AS DOUBLE) + 0.5 END AS rating, concat(p_name, ' by ', p_brand) AS description, concat_ws('|', p_type, p_brand) AS tags
-       FROM book_pages JOIN part ON p_partkey = page_id LEFT JOIN supplier ON s_suppkey = page_id % 10""",
+       FROM book_pages JOIN part ON p_partkey = page_id LEFT JOIN supplier ON s_suppkey * 20 = page_id - page_id % 20""",
 )
 def extract_book_page(v: Views):
     out = P.extract_book_page(v.book_pages)

@@ -97,8 +97,7 @@ _SAFE = "trim(regexp_replace(regexp_replace({c}, '[<>:\"/\\\\|?*]', '_', 'g'), '
 
 
 def _sanitized(c: str) -> str:
-    s = _SAFE.format(c=c)
-    return f"CASE WHEN length({s}) > 80 THEN regexp_replace(left({s}, 80), ' [^ ]*$', '') ELSE {s} END"
+    return _SAFE.format(c=c)
 
 
 @query("sanitize", f"SELECT p_partkey, {_sanitized('title')} AS safe FROM ({_RAW})")
@@ -117,7 +116,7 @@ def apply_template(v: Views):
     return v.sql(_RAW).select("p_partkey", X.apply_template("{author}_{title} ({ss_code})", fields).alias("name"))
 
 
-_FINAL = "concat(CASE WHEN ss_code <> '' THEN concat(ss_code, '_') ELSE '' END, left(trim(regexp_replace(title, '[<>:\"/\\\\|?*]', '_', 'g')), 80), CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_ocr' ELSE '_ocr_bw' END, '.pdf')"
+_FINAL = "concat(CASE WHEN ss_code <> '' THEN concat(ss_code, '_') ELSE '' END, trim(regexp_replace(title, '[<>:\"/\\\\|?*]', '_', 'g')), CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_ocr' ELSE '_ocr_bw' END, '.pdf')"
 
 
 @query("final_name", f"SELECT p_partkey, {_FINAL} AS name FROM ({_RAW})")
@@ -128,7 +127,7 @@ def final_name(v: Views):
 
 @query(
     "output_name",
-    f"SELECT p_partkey, CASE WHEN name <> '' THEN concat(name, '.pdf') ELSE concat(CASE WHEN ss_code <> '' THEN concat(ss_code, '_') ELSE '' END, left(trim(regexp_replace(title, '[<>:\"/\\\\|?*]', '_', 'g')), 80), '.pdf') END AS output_name FROM (SELECT *, {_TIDY.format(t=_sanitized('author'))} AS name FROM ({_RAW}))",
+    f"SELECT p_partkey, CASE WHEN name <> '' THEN concat(name, '.pdf') ELSE concat(CASE WHEN ss_code <> '' THEN concat(ss_code, '_') ELSE '' END, trim(regexp_replace(title, '[<>:\"/\\\\|?*]', '_', 'g')), '.pdf') END AS output_name FROM (SELECT *, {_TIDY.format(t=_sanitized('author'))} AS name FROM ({_RAW}))",
 )
 def named(v: Views):
     return output_name(v.sql(_RAW), "{author}", {"authors": "author", "title": "title", "ss_code": "ss_code"}).select("p_partkey", "output_name")

@@ -53,7 +53,7 @@ def stream_progress(v: Views):
     return _run(v, S.progress_stream(_events(v).drop("kind")))
 
 
-@query("stream_log_ring")
+@query("stream_log_ring", f"SELECT task_id, count(*) AS n, arg_min(log_line, back) AS last_line FROM ({B._RING}) GROUP BY task_id")
 def stream_log_ring(v: Views):
     base = f"{work_folder(v.spark)}/{uuid.uuid4().hex}"
     out = S.run_to_table(S.log_ring(_events(v).drop("kind")), f"{base}/table", f"{base}/checkpoint", "update")

@@ -69,7 +69,14 @@ def last_logs(v: Views):
     return K.last_logs(v.task_events).select("task_id", "event_id", "log_line", "back")
 
 
-@query("log_ring", f"SELECT l.* FROM ({_LOGS}) l JOIN ({_STATE}) s USING (task_id) WHERE back <= CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN 20 ELSE 500 END")
+_RING = f"""SELECT l.* FROM ({_LOGS}) l LEFT JOIN (
+    SELECT task_id, least(500, least(20, count(*) - count(*) FILTER (rn > cut)) + count(*) FILTER (rn > cut)) AS left_ FROM (
+      SELECT task_id, rn, max(CASE WHEN after IN ('completed', 'failed', 'cancelled') THEN rn END) OVER (PARTITION BY task_id) AS cut
+      FROM (SELECT m.*, row_number() OVER (PARTITION BY m.task_id ORDER BY e.ts, e.event_id) AS rn FROM ({_MACHINE}) m JOIN task_events e ON e.event_id = m.event_id))
+    WHERE cut IS NOT NULL GROUP BY task_id) c USING (task_id) WHERE back <= coalesce(left_, 500)"""
+
+
+@query("log_ring", _RING)
 def log_ring(v: Views):
     return K.log_ring(v.task_events).select("task_id", "event_id", "log_line", "back")
 

@@ -22,18 +22,19 @@ _PAGE = "CAST(1 + seq * 3 + doc_id % 7 AS STRING)"
 VIEWS: dict[str, str | dict[str, str]] = {
     "books": """
         SELECT p_partkey AS id, concat(p_name, ' ', lower(p_type)) AS title, s_name AS author, p_brand AS publisher,
-               CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('978', lpad(CAST(p_partkey % 181 AS STRING), 10, '0')) END AS isbn,
-               lpad(CAST(p_partkey % 181 AS STRING), 8, '0') AS ss_code,
+               CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('978', lpad(CAST(p_partkey - p_partkey % 3 AS STRING), 10, '0')) END AS isbn,
+               lpad(CAST(p_partkey - p_partkey % 3 AS STRING), 8, '0') AS ss_code,
                CASE WHEN p_partkey % 2 = 0 THEN 'cat_a' ELSE 'cat_b' END AS source
-        FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10""",
+        FROM part LEFT JOIN supplier ON s_suppkey * 20 = p_partkey - p_partkey % 20""",
     "requests": """
         SELECT o_orderkey AS req_id,
-               CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_orderkey % 400 AS STRING), 8, '0') ELSE '' END AS ss_code,
+               CASE WHEN o_orderkey % 3 = 0 THEN lpad(CAST(o_custkey AS STRING), 8, '0') ELSE '' END AS ss_code,
                CASE WHEN o_orderkey % 3 = 1 THEN concat(p_name, ': volume ', CAST(o_orderkey % 4 AS STRING)) ELSE '' END AS title,
-               CASE WHEN o_orderkey % 3 = 2 THEN concat('978-', lpad(CAST(o_orderkey % 400 AS STRING), 10, '0')) ELSE '' END AS isbn
-        FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
+               CASE WHEN o_orderkey % 3 = 2 THEN concat('978-', lpad(CAST(o_custkey AS STRING), 10, '0')) ELSE '' END AS isbn,
+               CASE WHEN o_orderkey % 4 = 0 THEN p_brand ELSE '' END AS author, o_orderpriority AS priority
+        FROM orders JOIN part ON p_partkey = o_custkey""",
     "metadata": """
-        SELECT lpad(CAST(p_partkey % 181 AS STRING), 8, '0') AS ss_code, p_partkey AS rank, 1 + p_partkey % 3 AS tier,
+        SELECT lpad(CAST(p_partkey - p_partkey % 3 AS STRING), 8, '0') AS ss_code, p_partkey AS rank, 1 + p_partkey % 3 AS tier,
                CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS publisher,
                CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(1950 + p_partkey % 70 AS STRING) END AS year,
                concat(CAST(p_partkey % 30 AS STRING), '.', CAST(p_partkey % 10 AS STRING), CASE p_partkey % 4 WHEN 0 THEN ' MB' WHEN 1 THEN ' KB' WHEN 2 THEN ' GB' ELSE ' MiB' END) AS size,
@@ -149,7 +150,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
                       CASE WHEN p_partkey % 3 = 0 THEN concat('<div class="indent"><span class="pl">目录</span>', p_name, ' one<br/>', p_brand, ' two</div>') ELSE '' END,
                       CASE WHEN p_partkey % 3 = 1 THEN concat('<div id="dir_1_full">', p_name, ' chapter one of many, ', p_brand, ' chapter two of many, the end</div>') ELSE '' END,
                       '<ul id="book-contents"><li> ', p_name, ' <b>x</b></li><li>', p_brand, '</li></ul>') AS html
-        FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 10""",
+        FROM part LEFT JOIN supplier ON s_suppkey * 20 = p_partkey - p_partkey % 20""",
     "record_pages": """
         SELECT p_partkey AS page_id,
                concat(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('<div class="font-semibold text-2xl leading-[1.2]">', p_name, '</div>') END,
@@ -175,20 +176,20 @@ VIEWS: dict[str, str | dict[str, str]] = {
                       '{"id":3,"title":" ","hash":"x"}]', CASE WHEN p_partkey % 4 >= 2 THEN '}}' ELSE '}' END) AS answer
         FROM part""",
     "candidates": """
-        SELECT o_orderkey AS req_id, o_orderkey % 7 AS rank, lpad(CAST(o_orderkey % 181 AS STRING), 8, '0') AS cand_id, md5(CAST(o_orderkey % 90 AS STRING)) AS cand_hash,
-               p_name AS cand_title, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('978', lpad(CAST(o_orderkey % 400 AS STRING), 10, '0')) END AS cand_isbn
-        FROM orders JOIN part ON p_partkey = o_orderkey % 150
+        SELECT o_orderkey AS req_id, o_orderkey % 7 AS rank, lpad(CAST(o_custkey AS STRING), 8, '0') AS cand_id, md5(CAST(o_orderkey % 90 AS STRING)) AS cand_hash,
+               p_name AS cand_title, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('978', lpad(CAST(o_custkey AS STRING), 10, '0')) END AS cand_isbn
+        FROM orders JOIN part ON p_partkey = o_custkey
         UNION ALL
-        SELECT o_orderkey AS req_id, 10 AS rank, lpad(CAST(o_orderkey % 400 AS STRING), 8, '0') AS cand_id, md5(CAST(o_orderkey % 80 AS STRING)) AS cand_hash,
-               lower(p_brand) AS cand_title, concat('9-78', lpad(CAST(o_orderkey % 400 AS STRING), 10, '0')) AS cand_isbn
-        FROM orders JOIN part ON p_partkey = o_orderkey % 150""",
+        SELECT o_orderkey AS req_id, 10 AS rank, lpad(CAST(o_custkey AS STRING), 8, '0') AS cand_id, md5(CAST(o_orderkey % 80 AS STRING)) AS cand_hash,
+               lower(p_brand) AS cand_title, concat('9-78', lpad(CAST(o_custkey AS STRING), 10, '0')) AS cand_isbn
+        FROM orders JOIN part ON p_partkey = o_custkey""",
     "attempts": """
         SELECT l_orderkey * 8 + l_linenumber AS item, CASE l_orderkey % 3 WHEN 0 THEN 'vendor' WHEN 1 THEN 'archive' ELSE 'cat_a' END AS origin,
                CASE l_partkey % 4 WHEN 0 THEN 'archive' WHEN 1 THEN 'vendor' WHEN 2 THEN 'library' ELSE 'other' END AS provider, l_suppkey % 2 = 0 AS ok
         FROM lineitem""",
     "stored_files": """
-        SELECT CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' ', lower(p_type), '.pdf') WHEN 1 THEN concat(lpad(CAST(p_partkey % 181 AS STRING), 8, '0'), '_', p_name, '.pdf')
-                                  WHEN 2 THEN concat(lpad(CAST(p_partkey % 181 AS STRING), 8, '0'), '.epub') ELSE concat(p_name, ' ', lower(p_type), '.mobi') END AS file_name,
+        SELECT CASE p_partkey % 4 WHEN 0 THEN concat(p_name, ' ', lower(p_type), '.pdf') WHEN 1 THEN concat(lpad(CAST(p_partkey - p_partkey % 3 AS STRING), 8, '0'), '_', p_name, '.pdf')
+                                  WHEN 2 THEN concat(lpad(CAST(p_partkey - p_partkey % 3 AS STRING), 8, '0'), '.epub') ELSE concat(p_name, ' ', lower(p_type), '.mobi') END AS file_name,
                p_size * 100 AS bytes
         FROM part""",
     "layout_jsonl": """
@@ -198,7 +199,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
                       '{"block_content":"  ","block_bbox":[1,2,3,4],"block_label":"text"},{"block_content":"', p_brand, '","block_bbox":[1,2,3]}',
                       ']},"markdown":{"text":"# ', p_name, '","images":{"a.png":"u', CAST(o_orderkey AS STRING), '"}},"outputImages":{}},',
                       '{"prunedResult":{"width":1000,"height":1000,"parsing_res_list":[{"block_content":"', p_brand, '","block_bbox":[0,0,1000,500],"block_label":"title"}]},"markdown":{"text":"', p_brand, '"}}]}}') AS line
-        FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
+        FROM orders JOIN part ON p_partkey = o_custkey""",
     "content_lists": """
         SELECT p_partkey AS doc_id,
                concat('[{"type":"text","text":" ', p_name, ' ","bbox":[0.1,0.2,0.5,0.3],"page_idx":', CAST(p_partkey % 5 AS STRING), '},{"type":"text","text":"","bbox":[1,2,3,4]},',

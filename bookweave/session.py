@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import re
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,9 +42,35 @@ def local_session(cpus: int = 8, memory: str = "12g", **settings: str) -> SparkS
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, a fresh temporary one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="bookweave-")
+    """Folder for intermediate tables and checkpoints: the one that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a session whose only machine is this one (``local[...]``) uses a temporary folder;
+    on a cluster that would be a different folder for each executor, so there it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="bookweave-")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that they can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_bookweave_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="bookweave-package-")  # of the driver, which serves it while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "bookweave.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(here)))
+    context.addPyFile(archive)
+    context._bookweave_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -20,20 +20,28 @@ def _given(value) -> bool:
 
 
 class LatestState(StatefulProcessor):
-    """Latest value of every field; emits the task's row whenever it changes."""
+    """Latest value of every field by event time; emits the task's row whenever it changes.
+
+    Each field keeps the time and event that it is from, so an older event that arrives later changes nothing.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
-            "latest", "status string, pct bigint, log_line string, created_at timestamp, updated_at timestamp"
+            "latest",
+            "status string, pct bigint, log_line string, created_at timestamp, updated_at timestamp, "
+            "status_ms bigint, status_event bigint, pct_ms bigint, pct_event bigint, line_ms bigint, line_event bigint",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = list(self.state.get()) if self.state.exists() else [None] * 5
+        now = list(self.state.get()) if self.state.exists() else [None] * 11
         for r in _in_order(rows).itertuples():
+            at = (int(r.ts.value // 1000), int(r.event_id))
             target = MOVES.get(r.action, ([], None))[1]
-            now[0] = target or now[0]
-            now[1] = int(r.pct) if _given(r.pct) else now[1]
-            now[2] = r.log_line if _given(r.log_line) else now[2]
+            for k, value in enumerate((target, int(r.pct) if _given(r.pct) else None, r.log_line if _given(r.log_line) else None)):
+                since = now[5 + 2 * k : 7 + 2 * k]
+                if value is not None and (since[0] is None or at >= tuple(since)):
+                    now[k] = value
+                    now[5 + 2 * k : 7 + 2 * k] = at
             now[3] = r.ts.to_pydatetime() if now[3] is None else min(now[3], r.ts.to_pydatetime())
             now[4] = r.ts.to_pydatetime() if now[4] is None else max(now[4], r.ts.to_pydatetime())
         self.state.update(tuple(now))
@@ -78,7 +86,7 @@ class LogRing(StatefulProcessor):
         status = self.status.get()[0] if self.status.exists() else "pending"
         kept = [x[0] for x in self.lines.get()] if self.lines.exists() else []
         for r in _in_order(rows).itertuples():
-            status = MOVES.get(r.action, ([], None))[1] or status
+            status = move(status, r.action)[0]
             if _given(r.log_line):
                 limit = LOGS_TERMINAL if status in TERMINAL else LOGS_ACTIVE
                 kept = [*kept, r.log_line][-limit:]
@@ -103,7 +111,7 @@ class IdleWatch(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         status, last = self.state.get() if self.state.exists() else ("pending", 0)
         for r in _in_order(rows).itertuples():
-            status = MOVES.get(r.action, ([], None))[1] or status
+            status = move(status, r.action)[0]
             last = max(last, int(r.ts.timestamp() * 1000))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
@@ -127,20 +135,21 @@ class IdleWatch(StatefulProcessor):
 
 
 class Changes(StatefulProcessor):
-    """Events whose percentage differs from the task's last one."""
+    """Events whose percentage differs from the task's last one; NULL is a value of its own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pct", "pct bigint")
+        self.state = handle.getValueState("pct", "pct bigint, known boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
+        last, known = self.state.get() if self.state.exists() else (None, False)
         out = []
         for r in _in_order(rows).itertuples():
-            if r.pct != last:
-                out.append((r.event_id, key[0], r.pct))
-                last = int(r.pct)
-        self.state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", "task_id", "pct"])
+            pct = int(r.pct) if _given(r.pct) else None
+            if pct != last or not known:
+                out.append((r.event_id, key[0], pct))
+                last, known = pct, True
+        self.state.update((last, known))
+        yield pd.DataFrame(out, columns=["event_id", "task_id", "pct"]).astype({"pct": "Int64"})
 
     def close(self) -> None:
         pass

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import tasks as operators
+from ..functions.logs import is_noise
 from ..session import ROCKSDB
+from . import processors
 from .processors import Changes, IdleWatch, LatestState, LogRing, Machine
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, task_id bigint, action string, pct bigint, log_line string"
@@ -31,6 +35,9 @@ def read_task_events(
 
 def _stateful(events: DataFrame, processor, schema: str, mode: str, timers: str = "none") -> DataFrame:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Spark also starts a Python process beside the driver, which packages sent to executors don't reach.
+    for module in (processors, operators):
+        cloudpickle.register_pickle_by_value(module)
     return events.groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=timers
     )
@@ -47,6 +54,8 @@ def task_machine(events: DataFrame, initial: str = "pending") -> DataFrame:
 
 
 def log_ring(events: DataFrame) -> DataFrame:
+    """What is left of every task's log; noise lines are not logged."""
+    events = events.withColumn("log_line", F.when(~is_noise("log_line"), F.col("log_line")))
     return _stateful(events, LogRing(), "task_id bigint, n bigint, lines array<string>", "Update")
 
 
