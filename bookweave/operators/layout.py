@@ -12,7 +12,6 @@ BOX = ["doc_id", "page_no", "box_no"]
 BLOCK = ["doc_id", "page_no", "block_no"]
 #: Boxes a horizontal band of a page should hold; denser pages are cut into more bands.
 BAND_BOXES = 64
-MAX_BANDS = 4096
 
 
 # ---------------------------------------------------------------- predicates
@@ -72,10 +71,11 @@ def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Pages are cut into horizontal bands, as many as their boxes call for; a box falls into one band, a
     block into those it covers.  Ordinary pages have one band and nothing is repeated, a page with
-    millions of boxes is spread over thousands of join keys.
+    millions of boxes is spread over thousands of join keys.  Rectangles meet without their texts, which
+    are joined to the pairs that are left.
     """
     bands = boxes.groupBy("doc_id", "page_no").agg(
-        F.least(F.lit(MAX_BANDS), F.greatest(F.lit(1), F.ceil(F.count("*") / BAND_BOXES))).cast("int").alias("_bands")
+        F.greatest(F.lit(1), F.ceil(F.count("*") / BAND_BOXES)).cast("int").alias("_bands")
     )
 
     def band(y: Column) -> Column:
@@ -85,13 +85,14 @@ def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     left = boxes.join(bands, ["doc_id", "page_no"]).withColumns({"_cx": cx, "_cy": cy}).withColumn("_band", band(F.col("_cy")))
     placed = blocks.filter(~is_blank("text") & (F.col("by0") <= F.col("by1")) & F.col("bx0").isNotNull() & F.col("bx1").isNotNull())
     right = placed.join(bands, ["doc_id", "page_no"]).select(
-        *BLOCK, trim_u("text").alias("block_text"), "bx0", "by0", "bx1", "by1",
+        *BLOCK, "bx0", "by0", "bx1", "by1",
         F.explode(F.sequence(band(F.col("by0")), band(F.col("by1")))).alias("_band"),
     )
     pairs = left.join(right, ["doc_id", "page_no", "_band"]).filter(
         F.col("_cx").between(F.col("bx0"), F.col("bx1")) & F.col("_cy").between(F.col("by0"), F.col("by1"))
     )
-    return pairs.select(*BOX, "block_no", "x0", "y0", "x1", "y1", "block_text")
+    pairs = pairs.select(*BOX, "block_no", "x0", "y0", "x1", "y1")
+    return pairs.join(placed.select(*BLOCK, trim_u("text").alias("block_text")), BLOCK).select(*pairs.columns, "block_text")
 
 
 def allocate_text(matches: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as G
 from ..functions import text as X
-from ..sources.files import output_name
+from ..sources.files import audit_files, output_name
 from .catalog import relevance_sql, similarity_sql
 from .registry import query
 from .views import Views
@@ -133,6 +133,31 @@ def named(v: Views):
     return output_name(v.sql(_RAW), "{author}", {"authors": "author", "title": "title", "ss_code": "ss_code"}).select("p_partkey", "output_name")
 
 
+# ---------------------------------------------------------------- files
+
+_AUDIT = """SELECT doc_id, concat('/files/', CAST(doc_id AS STRING), CASE doc_id % 2 WHEN 0 THEN '.txt' ELSE '.PDF' END) AS path, concat(CASE WHEN doc_id % 3 = 0 THEN '%PDF' ELSE '' END, text) AS body FROM documents"""
+_WANTED = """CASE doc_id % 4 WHEN 0 THEN upper({md5}) WHEN 1 THEN 'unknown' WHEN 2 THEN NULL ELSE {md5_other} END AS want_md5, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE {n} + doc_id % 5 * 700 END AS want_bytes"""
+
+
+@query(
+    "audit_files",
+    f"""SELECT name, bytes, is_pdf, digest, size_class, CASE WHEN bytes > 1024 AND (want_md5 IS NULL OR length(want_md5) <> 32 OR lower(want_md5) = digest)
+          AND (NOT ends_with(lower(name), '.pdf') OR is_pdf) AND size_class IN ('size_unknown', 'exact', 'approximate') THEN 'ok' ELSE 'mismatch' END AS verdict
+        FROM (SELECT *, CASE WHEN want_bytes <= 0 THEN 'size_unknown' WHEN bytes < 50000 THEN 'too_small' WHEN CAST(abs(bytes - want_bytes) AS DOUBLE) / want_bytes <= 0.01 THEN 'exact'
+                WHEN CAST(abs(bytes - want_bytes) AS DOUBLE) / want_bytes <= 0.05 THEN 'approximate' ELSE 'mismatch' END AS size_class
+          FROM (SELECT *, {_WANTED.format(md5='digest', md5_other='md5(name)', n='bytes')} FROM (
+            SELECT doc_id, substr(path, 8) AS name, octet_length(encode(body))::BIGINT AS bytes, starts_with(body, '%PDF') AS is_pdf, md5(body) AS digest FROM ({_AUDIT.replace('AS STRING', 'AS VARCHAR')}))))""",
+)
+def audit(v: Views):
+    """The documents' texts as files."""
+    files = v.sql(_AUDIT).select("doc_id", "path", F.encode("body", "UTF-8").alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
+    facts = files.select("doc_id", F.substring("path", 8, 1000).alias("name"), F.md5("content").alias("digest"), F.col("length").alias("bytes"))
+    wanted = _WANTED.format(md5="digest", md5_other="md5(name)", n="bytes")
+    md5, size = wanted.split(" AS want_md5, ")
+    expected = facts.select("name", F.expr(md5).alias("md5"), F.expr(size.removesuffix(" AS want_bytes")).alias("bytes"))
+    return audit_files(files.select("path", "content", "length"), expected)
+
+
 # ---------------------------------------------------------------- log lines
 
 _N = "TRY_CAST(nullif({x}, '') AS BIGINT)"
