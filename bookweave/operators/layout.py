@@ -194,22 +194,19 @@ def concat_chunks(chunks: DataFrame, size: int = 100) -> DataFrame:
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".tif"]
 
 
-#: Leading characters of a name that make one block.
-NAME_BLOCK = 8
-
-
 def page_order(files: DataFrame) -> DataFrame:
     """Page images (doc_id, name) numbered by extension group, lower case first, then name.
 
-    A folder is cut by extension and the first characters of the names, so one with very many images is
-    not sorted by one task.
+    The images are dealt by ranges of (document, extension, name), so a folder with very many of them is
+    cut into blocks wherever its names lie; a range's number is its place in the order.
     """
     ext = F.regexp_extract("name", "(?i)(\\.[a-z]+)$", 1)
     group = F.array_position(F.array(*[F.lit(e) for x in IMAGE_EXTENSIONS for e in (x, x.upper())]), ext)
     images = files.withColumn("_ext", group).filter(F.col("_ext") > 0)
+    images = images.repartitionByRange("doc_id", "_ext", "name").withColumn("_range", F.spark_partition_id())
     out = ordered_scan(
         images, ["doc_id"], ["_ext", "name"],
         {"page_no": sum_before(F.lit(1)), "page_count": total(F.lit(1))},
-        block=F.concat(F.lpad(F.col("_ext").cast("string"), 2, "0"), F.left("name", F.lit(NAME_BLOCK))),
+        block=F.col("_range"),
     )
     return out.select(*files.columns, F.col("page_no").cast("bigint").alias("page_no"), F.col("page_count").cast("bigint").alias("page_count"))
