@@ -225,6 +225,17 @@ def _append(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), column], [*keep, name])
 
 
+def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose sizes add up to about ``most``, which bounds the Python lists made of them."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
@@ -308,8 +319,7 @@ def encode(docs: DataFrame, model_path: str | None = None, size: int = CHUNK) ->
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in _slices(batch, pc.binary_length(batch.column("text")), 1 << 18):
                 texts = [" " + t if t else "" for t in part.column("text").to_pylist()]
                 ids = [m.whole(t) for t in texts] if any(MARK in t for t in texts) else m.bare.encode(texts, num_threads=1)
                 yield _append(part, "token_ids", _ids_array(ids))
@@ -328,8 +338,7 @@ def decode(encoded: DataFrame, model_path: str | None = None, to: str = "decoded
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _loaded(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in _slices(batch, pc.list_value_length(batch.column("token_ids")), 1 << 16):
                 ids = pc.if_else(pc.is_valid(part.column("token_ids")), part.column("token_ids"), pa.scalar([], pa.list_(pa.int32()))).to_pylist()
                 yield _append(part, to, pa.array(m.full.decode(ids, num_threads=1) if ids else [], pa.string()))
 
