@@ -15,6 +15,8 @@ result.  Positions are code points, ends exclusive.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +89,19 @@ def _valid(kind: str) -> Callable[[Column], Column]:
     return valid
 
 
+def _holds() -> dict[str, Column]:
+    """For each base kind a cheap condition that a text with such a span meets."""
+    text = F.coalesce("text", F.lit(""))
+    return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.contains("+")}
+
+
+def may_hold() -> Column:
+    return reduce(or_, _holds().values())
+
+
 def with_base_spans(df: DataFrame) -> DataFrame:
     """``df`` with an array of valid base spans of each kind (null where a text has none), prefix ``_pii_``."""
-    text = F.coalesce("text", F.lit(""))
-    holds = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), "phone": text.contains("+")}
+    text, holds = F.coalesce("text", F.lit("")), _holds()
     for kind in KINDS[:4]:
         df = df.withColumn(P + kind + "_all", F.when(holds[kind], found(text, F.lit(FAST[kind]), kind)))
         df = df.withColumn(P + kind, F.filter(P + kind + "_all", _valid(kind))).drop(P + kind + "_all")
@@ -106,13 +117,11 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(text, SPACES), _term), lambda t: t != ""))
 
 
-def disclosing_terms(spans: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFrame:
-    """doc_id and an array of the terms of the document's lines that disclose an entity of it.
-
-    ``spans``: result of ``with_base_spans``."""
-    docs = spans.where(F.col("doc_id").isNotNull())
+def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFrame:
+    """doc_id and an array of the terms of the document's lines that disclose an entity of it."""
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     every = F.flatten(F.array_compact(F.array(*(P + k for k in KINDS[:4]))))
-    entities = docs.withColumn("spans", every).where(F.size("spans") > 0)
+    entities = with_base_spans(docs.where(may_hold())).withColumn("spans", every).where(F.size("spans") > 0)
     lines = entities.select("doc_id", "spans", F.explode(F.split("text", "\n")).alias("line"))
     near = lines.select("doc_id", "line", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("entity")).where(F.col("line").contains(F.col("entity")))
     # Combined before the shuffle: documents and different lines of each entity.
@@ -133,14 +142,17 @@ def disclosing_terms(spans: DataFrame, disclosure: float = 0.9, least: int = 3)
 
 def find_spans(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFrame:
     """``docs`` (doc_id, text) with the arrays of base spans and of ``_pii_term`` spans."""
-    base = with_base_spans(docs)
-    terms = disclosing_terms(with_base_spans(docs.select("doc_id", "text")), disclosure, least).select(F.col("doc_id").alias(P + "id"), F.col("terms").alias(P + "terms"))
+    base = with_base_spans(docs.where(may_hold()))
+    terms = disclosing_terms(docs, disclosure, least).select(F.col("doc_id").alias(P + "id"), F.col("terms").alias(P + "terms"))
     both = base.join(terms, base["doc_id"] == terms[P + "id"], "left")
     # A sign that a term may hold is quoted; a word is a term with signs around it.
     quoted = F.array_join(F.transform(P + "terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     edge = r"\x20\x09-\x0D" + "".join("\\" + s for s in SIGNS if s != "_") + "_"
     pattern = F.concat(F.lit(rf"(?i)(?<![^{edge}])(?:"), quoted, F.lit(rf")(?![^{edge}])"))
-    return both.withColumn(P + "term", F.when(F.size(P + "terms") > 0, found(F.coalesce("text", F.lit("")), pattern, "term"))).drop(P + "id", P + "terms")
+    both = both.withColumn(P + "term", F.when(F.size(P + "terms") > 0, found(F.coalesce("text", F.lit("")), pattern, "term"))).drop(P + "id", P + "terms")
+    # Texts that hold no entity need neither patterns nor the join, and are not moved.
+    rest = docs.where(~may_hold()).withColumns({c: F.lit(None).cast(both.schema[c].dataType) for c in both.columns if c not in docs.columns})
+    return both.unionByName(rest)
 
 
 def _sorted(kinds: tuple[str, ...]) -> Column:
