@@ -58,7 +58,9 @@ def test_size_match(one):
 
 def test_names(one):
     assert one(X.sanitize, 'ａ<b>: "c"') == "a_b__ _c_"
-    assert one(X.sanitize, "word " * 30) == ("word " * 16).strip()
+    assert one(X.sanitize, "word " * 30) == ("word " * 30).strip()
+    cut = [one(lambda t: X.sanitize(t, 40), "word " * 30 + end) for end in ("a", "b")]
+    assert len(cut[0]) == 40 and cut[0] != cut[1] and cut[0].startswith("word word")
     fill = lambda t, a: X.apply_template("{author}_{title}", {"authors": a, "title": t})
     assert one(fill, "Book", "") == "Book.pdf"
     assert one(fill, "", "") is None
