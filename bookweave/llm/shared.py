@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import work_folder
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of this machine only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    """``spark.checkpoint.dir``; where that is unset, a folder of this machine in a local session only."""
+    named = work_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    return named
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
