@@ -351,11 +351,11 @@ def toc_from_pages(pages: DataFrame) -> DataFrame:
     The bookmark is empty when the entries fail validation; the range survives that.
     """
     docs = _ranges(pages)
-    inside = pages.select("doc_id", "page_no", "text").join(docs.filter(F.col("toc_start") >= 0), "doc_id")
-    inside = inside.filter(F.col("page_no").between(F.col("toc_start"), F.col("toc_end")))
-    joined = inside.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
-    joined = joined.select("doc_id", F.array_join(F.transform("_pages", lambda p: p["text"]), "\n").alias("text"))
-    texts = docs.join(joined, "doc_id", "left")
+    inside = F.when(F.col("page_no").between(F.col("toc_start"), F.col("toc_end")), F.struct("page_no", "text"))
+    found = pages.select("doc_id", "page_no", "text").join(docs, "doc_id").groupBy("doc_id", "total_pages", "toc_start", "toc_end")
+    texts = found.agg(F.sort_array(F.collect_list(inside)).alias("_pages")).select(
+        "doc_id", "total_pages", "toc_start", "toc_end", F.array_join(F.transform("_pages", lambda p: p["text"]), "\n").alias("text")
+    )
     # From here on everything stays on the partitioning by document.
     entries = toc_from_text(texts.filter(F.col("toc_start") >= 0).select("doc_id", "text"))
     lists = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "title", "page"))).alias("e"))
