@@ -1,16 +1,19 @@
-"""Language-model scores from an n-gram trie in Elias-Fano form.
+"""Language-model scores from counts of all n-grams, the frequent ones in an Elias-Fano trie.
 
-Counting runs over all training texts: words, then pairs of frequent words, then triples of which both pairs
-are kept.  A word is frequent from one in a hundred thousand tokens on, pairs and triples are kept from one
-in a million on, so the trie has at most 100,000 words and a million entries a level however large the corpus
-is; words from one in a million on (a million at most) have their exact counts beside it.  These are what
-tasks receive.  Counts of all rarer words come by a join on the word's hash, in which no key is frequent.
+Counting runs over all training texts: words, and runs of three tokens with two starts in front of each text.
+Nothing is cut: every pair and triple of the training texts is in the model, whatever the size of the corpus.
+Pairs, contexts and their continuations are aggregations of the triples, dealt by hash.
 
-Probabilities are by interpolated absolute discounting over the add-one unigram (c + 1) / (N + V + 1): a kept
-n-gram has (c - d) / c(context) plus the back-off weight times the shorter context's probability; the weight
-of a context is what its kept n-grams leave.  The trie holds them quantised to a byte, in levels with
-Elias-Fano ranges and word ids relative to their context, memory-mapped by each worker; a word is searched as
-the successor of its id within the context's range.
+Probabilities are by interpolated absolute discounting over the add-one unigram (c + 1) / (N + V + 1): a seen
+n-gram has (c - d) / c(context), and the context's d * (different continuations) / c(context) times the shorter
+context's probability is added to it; an unseen context leaves the shorter one.
+
+Lookup: triples from one in a million tokens on (a million at most) go to the tasks as a trie of Elias-Fano
+ranges with word ids relative to their context, probabilities quantised to a byte, memory-mapped by each worker;
+a word is searched as the successor of its id within the context's range.  All other triples of a text are
+counted within it and joined by their hash with the table of all triples, in which no such key is frequent in
+the training texts.  Likewise words from one in a million on (a million at most) have their exact counts in
+each task, and rarer ones come by a join.  The trie saves moving frequent triples; it decides nothing.
 
 Defined results: null text counts as empty and has the one end token; a null ``doc_id`` is neither held out
 nor learned from; repeated rows each get their row; without training tokens every known count is 0; an empty
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -33,12 +36,12 @@ from .shared import written
 
 U = np.uint64
 END = U(0x2545F4914F6CDD1D)
-#: Least shares of the training tokens: words with exact counts in each task, words of the trie, n-grams.
-KNOWN, FREQUENT, KEPT = 1e-6, 1e-5, 1e-6
+START = U(0x51ED270B35AE2D19)
+#: Least shares of the training tokens for what tasks hold: words with exact counts, triples of the trie.
+KNOWN, KEPT = 1e-6, 1e-6
 DISCOUNT = 0.75
 #: Bits of a word's id in keys of pairs and triples.
 SHIFT = U(24)
-START = 0
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,12 +51,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at + np.arange(len(at))
 
 
-def _counts(docs: DataFrame, keys_of) -> DataFrame:
-    """(hash, c) of what ``keys_of(tokens, ranges)`` finds in all texts, combined in each task first."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """(hash, c) of the tokens of all texts, combined in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = W.Counter()
-        make = keys_of()
 
         def out(found) -> Iterator[pa.RecordBatch]:
             if found is not None:
@@ -61,58 +63,78 @@ def _counts(docs: DataFrame, keys_of) -> DataFrame:
 
         for batch in batches:
             for _, _, data, offsets in W.chunks(batch.column("text")):
-                yield from out(counter.add(make(*tokens(data, offsets))))
+                yield from out(counter.add(tokens(data, offsets)[0]))
         yield from out(counter.rest())
 
     return docs.select("text").mapInArrow(count, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
-class Words:
-    """Words with their exact counts, most frequent first: the trie's are the first ``frequent``.  Their ids
-    are 1, 2, ...; 0 is the start of a text."""
+def _triples(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token the two tokens before it (starts in front of a text) and itself, and one hash of them."""
+    texts = at[:-1]
+    v = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
+    v[texts] = START
+    u = np.concatenate([[START], v[:-1]]) if len(hashes) else hashes
+    u[texts] = START
+    gram = np.zeros(len(hashes), U)
+    for x in (u, v, hashes):
+        gram = W.mixed(gram * W.BASE + x + U(1))
+    return u, v, hashes, gram
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, frequent: int):
-        self.index, self.counts, self.frequent = W.Index(hashes), counts, frequent
 
-    def rows(self, found: np.ndarray) -> np.ndarray:
-        return self.index.find(found)
+def _grams(docs: DataFrame) -> DataFrame:
+    """gram, u, v, w and c of the triples of all texts (text, learn); c counts texts to learn from only."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
+            for low, high, data, offsets in W.chunks(batch.column("text")):
+                hashes, at = tokens(data, offsets)
+                *uvw, gram = _triples(hashes, at)
+                found, i, own = np.unique(gram, return_index=True, return_inverse=True)
+                c = np.bincount(own, np.repeat(learn[low:high], np.diff(at)), len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (found, *(x[i] for x in uvw))), pa.array(c)], ["gram", "u", "v", "w", "c"])
 
-    @staticmethod
-    def ids(rows: np.ndarray, frequent: int) -> np.ndarray:
-        return np.where((rows >= 0) & (rows < frequent), rows + 1, -1)
+    counted = docs.select("text", "learn").mapInArrow(count, "gram long, u long, v long, w long, c long")
+    return counted.groupBy("gram").agg(*(F.first(x).alias(x) for x in "uvw"), F.sum("c").alias("c"))
 
 
-def _with_start(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's ids with the start in front; which places are starts."""
-    out = np.insert(ids, at[:-1], START)
-    first = np.zeros(len(out), bool)
-    first[at[:-1] + np.arange(len(at) - 1)] = True
-    return out, first
+def _probabilities(grams: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
+    """``grams`` with ``log``: log10 of the probability of w after u and v."""
+    seen = grams.where("c > 0")
+    after_two = seen.groupBy("u", "v").agg(F.sum("c").alias("c_uv"), F.count("*").alias("t_uv"))
+    pairs = seen.groupBy("v", "w").agg(F.sum("c").alias("c_vw"))
+    after_one = pairs.groupBy("v").agg(F.sum("c_vw").alias("c_v"), F.count("*").alias("t_v"))
+    words = counts.select(F.col("hash").alias("w"), F.col("c").alias("c_w"))
+    every = grams.join(after_two, ["u", "v"], "left").join(pairs, ["v", "w"], "left").join(after_one, "v", "left").join(words, "w", "left")
+    col, zero = F.col, F.lit(0.0)
 
+    def mixed(c: str, total: str, kinds: str, shorter: Column) -> Column:
+        own = F.greatest(F.coalesce(col(c), zero) - DISCOUNT, zero)
+        return F.when(col(total).isNull(), shorter).otherwise((own + DISCOUNT * col(kinds) * shorter) / col(total))
 
-def _pairs(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each place's pair with the place before it; which places have one."""
-    key = np.zeros(len(ids), U)
-    key[1:] = ids[:-1].astype(U) << SHIFT | (ids[1:].astype(U) & U((1 << 24) - 1))
-    good = (ids >= 0) & ~first
-    good[1:] &= ids[:-1] >= 0
-    good[:1] = False
-    return key, good
+    p1 = (F.coalesce(col("c_w"), zero) + 1) / (n + v + 1)
+    p2 = mixed("c_vw", "c_v", "t_v", p1)
+    start = F.lit(int(START.view(np.int64)))
+    p3 = F.when(col("v") == start, p2).otherwise(mixed("c", "c_uv", "t_uv", p2))
+    return every.select("gram", "u", "v", "w", "c", F.log10(p3).alias("log"))
 
 
-def _arrays(df: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of at least ``least``, by falling count; at most total / least of them."""
-    t = df.where(F.col("c") >= least).toArrow()
-    keys, c = t.column("hash").to_numpy().view(U), t.column("c").to_numpy()
-    order = np.lexsort((keys, -c))
-    return keys[order], c[order]
+class Words:
+    """Words and their exact counts."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.index, self.counts = W.Index(hashes), counts
+
+    def rows(self, found: np.ndarray) -> np.ndarray:
+        return self.index.find(found)
 
 
 class Model:
-    """What a task needs: words, the trie, totals."""
+    """What a task needs: frequent words, the trie of frequent triples with its own words, totals."""
 
-    def __init__(self, words: Words, trie: Trie, n: int, v: int):
-        self.words, self.n, self.v, self.packed, self._trie = words, n, v, trie.pack(), None
+    def __init__(self, words: Words, own: W.Index, trie: Trie, n: int, v: int):
+        self.words, self.own, self.n, self.v, self.packed, self._trie = words, own, n, v, trie.pack(), None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_trie": None}
@@ -123,151 +145,114 @@ class Model:
             self._trie = Trie.mapped(*self.packed)
         return self._trie
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray, lowest: np.ndarray) -> np.ndarray:
-        """log10 of each place's probability; ``lowest`` is that of its word alone."""
-        t, n = self.trie, len(ids)
-        node2, out = np.full(n, -1, np.int64), lowest.copy()
-        before = np.concatenate([[-1], ids[:-1]])
-        has = np.flatnonzero((before >= 0) & ~first)
-        out[has] += t.gamma(1, before[has])
-        both = has[ids[has] >= 0]
-        node2[both] = t.child(2, before[both], ids[both])
-        hit = both[node2[both] >= 0]
-        out[hit] = t.prob(2, node2[hit])
-        above = np.concatenate([[-1], node2[:-1]])
-        has = np.flatnonzero((above >= 0) & ~first)
-        out[has] += t.gamma(2, above[has])
-        both = has[ids[has] >= 0]
-        node3 = t.child(3, above[both], ids[both])
-        out[both[node3 >= 0]] = t.prob(3, node3[node3 >= 0])
+    def look(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each triple of the trie; not a number for others."""
+        out = np.full(len(w), np.nan)
+        if not len(self.own.keys):
+            return out
+        a, b, c = (self.own.find(x) for x in (u, v, w))
+        at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
+        node = self.trie.child(2, a[at], b[at])
+        at, node = at[node >= 0], node[node >= 0]
+        node = self.trie.child(3, node, c[at])
+        out[at[node >= 0]] = self.trie.prob(3, node[node >= 0])
         return out
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each text: tokens, known tokens, base and model score without its rare words' log10(c + 1);
-        the rare words' hashes, how often each occurs, and their ranges."""
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        """For each text: tokens, known tokens, base score without its rare words' log10(c + 1), and score of
+        the triples of the trie; then its rare words and its other triples: hashes, how often each occurs, and
+        the texts' ranges."""
         hashes, at = tokens(data, offsets)
         floor = -math.log10(self.n + self.v + 1)
         row = self.words.rows(hashes)
         rare = row < 0
         c = np.where(rare, 0, self.words.counts[row]) if len(self.words.counts) else np.zeros(len(row), np.int64)
-        base = np.log10(c + 1.0) + floor
-        ids = Words.ids(row, self.words.frequent)
-        lowest = base.copy()
-        if self.words.frequent:
-            lowest[ids > 0] = self.trie.prob(1, ids[ids > 0])
-        spread, first = _with_start(ids, at)
-        full = np.zeros(len(spread))
-        full[~first] = lowest
-        score = self.contexts(spread, first, full)[~first] if self.words.frequent else lowest
-        texts = at[:-1]
-        sums = [np.add.reduceat(x, texts) for x in ((c > 0).astype(np.int64), base, score)]
-        own = [np.unique(hashes[a:b][rare[a:b]], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
-        ranges = np.concatenate([[0], np.cumsum([len(x[0]) for x in own])])
-        rare_words, times = (np.concatenate([np.zeros(0, k), *(x[i] for x in own)]) for i, k in ((0, U), (1, np.int64)))
-        return np.diff(at), *sums, rare_words, times, ranges
-
-
-def _smoothed(words: Words, n: int, v: int, pairs, triples, starts: int) -> Trie:
-    """The trie of discounted probabilities.  ``pairs`` and ``triples``: keys and counts; a triple's key is
-    its first pair's place among the pairs by key, and its last word."""
-    mask = U((1 << 24) - 1)
-    total1 = np.concatenate([[max(starts, 1)], words.counts[: words.frequent]]).astype(float)
-    p1 = np.concatenate([[1.0], (words.counts[: words.frequent] + 1.0) / (n + v + 1)])
-    order = np.argsort(pairs[0])
-    key2, c2 = pairs[0][order], pairs[1][order].astype(float)
-    context2, word2 = (key2 >> SHIFT).astype(np.int64), (key2 & mask).astype(np.int64)
-    gamma1 = 1 - np.bincount(context2, c2 - DISCOUNT, len(p1)) / total1
-    gamma1 = np.clip(gamma1, 1e-12, 1)
-    p2 = (c2 - DISCOUNT) / total1[context2] + gamma1[context2] * p1[word2]
-    order = np.argsort(triples[0])
-    key3, c3 = triples[0][order], triples[1][order].astype(float)
-    context3, word3 = (key3 >> SHIFT).astype(np.int64), (key3 & mask).astype(np.int64)
-    gamma2 = np.clip(1 - np.bincount(context3, c3 - DISCOUNT, len(c2)) / np.maximum(c2, 1), 1e-12, 1)
-    inner = np.searchsorted(key2, (word2[context3].astype(U) << SHIFT) | word3.astype(U))
-    p3 = (c3 - DISCOUNT) / c2[context3] + gamma2[context3] * p2[inner]
-    return Trie.build(
-        {
-            1: {"prob": np.log10(p1), "gamma": np.log10(gamma1)},
-            2: {"context": context2, "word": word2, "prob": np.log10(p2), "gamma": np.log10(gamma2)},
-            3: {"context": context3, "word": word3, "prob": np.log10(p3)},
-        },
-        {2: len(p1), 3: len(c2)},
-    )
-
-
-def fit(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all ``training`` texts, and the counts (hash, c) of all their words."""
-    counts = written(_counts(training, lambda: lambda hashes, at: hashes), "word-counts")
+        *uvw, gram = _triples(hashes, at)
+        score = self.look(*uvw)
+        other = np.isnan(score)
+        sums = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0) + floor, np.where(other, 0.0, score))]
+        return np.diff(at), *sums, _by_text(hashes, rare, at), _by_text(gram, other, at)
+
+
+def _by_text(keys: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys of each text among ``which``, how often each occurs, and the texts' ranges."""
+    own = [np.unique(keys[a:b][which[a:b]], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
+    found, times = (np.concatenate([np.zeros(0, k), *(x[i] for x in own)]) for i, k in ((0, U), (1, np.int64)))
+    return found, times, np.concatenate([[0], np.cumsum([len(x[0]) for x in own])]).astype(np.int64)
+
+
+def _trie(top: pa.Table) -> tuple[W.Index, Trie]:
+    """Words (ids in their order) and trie of triples u, v, w with their ``log``."""
+    uvw = [top.column(x).to_numpy().view(U) for x in "uvw"]
+    words = np.unique(np.concatenate(uvw))
+    u, v, w = (np.searchsorted(words, x).astype(U) for x in uvw)
+    pairs, pair = np.unique(u << SHIFT | v, return_inverse=True)
+    key = pair.astype(U) << SHIFT | w
+    order = np.argsort(key)
+    levels = {
+        1: {},
+        2: {"context": (pairs >> SHIFT).astype(np.int64), "word": (pairs & U((1 << 24) - 1)).astype(np.int64)},
+        3: {"context": pair[order].astype(np.int64), "word": w[order].astype(np.int64), "prob": top.column("log").to_numpy()[order]},
+    }
+    return W.Index(words), Trie.build(levels, {2: len(words), 3: len(pairs)})
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """Of ``docs`` (text, learn): what tasks need, the counts (hash, c) of all words to learn from, and the
+    probabilities (gram, log) of all triples of all texts but those of the trie."""
+    counts = written(_counts(docs.where("learn")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hashes, c = _arrays(counts, max(1, KNOWN * n))
-    words = Words(hashes, c, int((c >= FREQUENT * n).sum()))
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-
-    def pair_keys():
-        own = shared.value
-
-        def make(hashes, at):
-            key, good = _pairs(*_with_start(Words.ids(own.rows(hashes), own.frequent), at))
-            return key[good]
-
-        return make
-
-    pairs = _arrays(_counts(training, pair_keys), max(1, KEPT * n))
-    kept = spark.sparkContext.broadcast(W.Index(W.mixed(np.sort(pairs[0]))))
-
-    def triple_keys():
-        own, index = shared.value, kept.value
-
-        def make(hashes, at):
-            ids, first = _with_start(Words.ids(own.rows(hashes), own.frequent), at)
-            key, good = _pairs(ids, first)
-            node = np.full(len(ids), -1, np.int64)
-            node[good] = index.find(W.mixed(key[good]))
-            both = np.flatnonzero((node[1:] >= 0) & (node[:-1] >= 0) & ~first[1:] & ~first[:-1]) + 1
-            return node[both - 1].astype(U) << SHIFT | ids[both].astype(U)
-
-        return make
-
-    triples = _arrays(_counts(training, triple_keys), max(1, KEPT * n))
-    starts = training.count()
-    return Model(words, _smoothed(words, n, v, pairs, triples, starts), n, v), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    t = counts.where(F.col("c") >= max(1, KNOWN * n)).toArrow()
+    words = Words(t.column("hash").to_numpy().view(U), t.column("c").to_numpy())
+    grams = written(_grams(docs), "triples")
+    top = F.col("c") >= max(1, KEPT * n)
+    # Only the trie's rows keep their words.
+    found = _probabilities(grams, counts, n, v).select("gram", "log", *(F.when(top, F.col(x)).alias(x) for x in "uvw"))
+    found = written(found, "probabilities")
+    own, trie = _trie(found.where("w IS NOT NULL").select("u", "v", "w", "log").toArrow())
+    return Model(words, own, trie, n, v), counts, found.where("w IS NULL").select("gram", "log")
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, grams: DataFrame) -> DataFrame:
     """``docs`` without its text, with n_tokens, n_known, base_score and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    made = {"_n": "long", "_known": "long", "_base": "double", "_score": "double", **dict.fromkeys(("_rare", "_times", "_grams", "_gram_times"), "array<long>")}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for low, high, data, offsets in W.chunks(batch.column("text")):
-                size, known, base, own, rare, times, at = m.score(data, offsets)
-                lists = [pa.LargeListArray.from_arrays(pa.array(at), pa.array(x)).cast(pa.list_(pa.int64())) for x in (rare.view(np.int64), times)]
+                size, known, base, own, *lists = m.score(data, offsets)
+                lists = [pa.LargeListArray.from_arrays(pa.array(at), pa.array(x)).cast(pa.list_(pa.int64())) for keys, times, at in lists for x in (keys.view(np.int64), times)]
                 columns = [pa.array(x.astype(k)) for x, k in ((size, np.int64), (known, np.int64), (base, float), (own, float))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in names), *columns, *lists], [*names, "_n", "_known", "_base", "_score", "_rare", "_times"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in names), *columns, *lists], [*names, *made])
 
-    part = docs.mapInArrow(judge, f"{kinds}, _n long, _known long, _base double, _score double, _rare array<long>, _times array<long>")
+    part = docs.mapInArrow(judge, ", ".join([kinds, *(f"{k} {t}" for k, t in made.items())]))
     part = written(part.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = part.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("hash"), F.col("x._times").alias("times"))
-    # Only words under a share of the tokens are here: no key of this join is frequent.
+
+    def listed(keys: str, times: str, name: str) -> DataFrame:
+        pairs = part.select("_row", F.explode(F.arrays_zip(keys, times)).alias("x"))
+        return pairs.select("_row", F.col("x")[keys].alias(name), F.col("x")[times].alias("times"))
+
+    # Only words and triples under a share of the training tokens are here: no key of these joins is frequent.
     unseen = counts.where(F.col("c") < max(1, KNOWN * model.n)).select("hash", "c")
-    more = rare.join(unseen, "hash").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_more"), F.sum("times").alias("_seen"))
-    both = part.drop("_rare", "_times").join(more, "_row", "left").withColumns({"_more": F.coalesce("_more", F.lit(0.0)), "_seen": F.coalesce("_seen", F.lit(0))})
+    more = listed("_rare", "_times", "hash").join(unseen, "hash").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_more"), F.sum("times").alias("_seen"))
+    rest = listed("_grams", "_gram_times", "gram").join(grams, "gram").groupBy("_row").agg(F.sum(F.col("times") * F.col("log")).alias("_rest"))
+    both = part.drop("_rare", "_times", "_grams", "_gram_times").join(more, "_row", "left").join(rest, "_row", "left")
     return both.select(
         *names,
         F.col("_n").alias("n_tokens"),
-        (F.col("_known") + F.col("_seen")).alias("n_known"),
-        (F.col("_base") + F.col("_more")).alias("base_score"),
-        (F.col("_score") + F.col("_more")).alias("score"),
+        (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
+        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
+        (F.col("_score") + F.coalesce("_rest", F.lit(0.0))).alias("score"),
     )
 
 
 def op8_lm(docs: DataFrame) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     docs = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    model, counts = fit(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
-    found = score(docs, model, counts).withColumn("train_tokens", F.lit(model.n).cast("long"))
+    model, counts, grams = fit(docs.withColumn("learn", ~F.col("held_out") & F.col("doc_id").isNotNull()))
+    found = score(docs, model, counts, grams).withColumn("train_tokens", F.lit(model.n).cast("long"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

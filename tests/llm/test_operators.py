@@ -286,6 +286,43 @@ def test_lm_matches_brute_force(docs, texts, none):
     assert lm.op8_lm(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [1e-6, 2e-3, 1.0])
+def test_lm_keeps_every_ngram(spark, monkeypatch, share):
+    monkeypatch.setattr(lm, "KEPT", share)  # what goes to the tasks, not what is known
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(9000))) for i in range(16)]
+    rare = "quite rare words that occur here once"
+    rows = [(i, f"{t} {rare}" if i in (0, 1) else t) for i, t in rows]
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows += [(held, rare + " unseen " + rows[3][1][:300]), (held, None), (None, "only here")]
+    learn = [[None, None, *words(t), ""] for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    n, d = sum(len(t) - 2 for t in learn), 0.75
+    c1 = Counter(w for t in learn for w in t[2:])
+    c2 = Counter(p for t in learn for p in zip(t[1:], t[2:]))
+    c3 = Counter(p for t in learn for p in zip(t[1:], t[2:], t[3:]))
+    total = lambda c: Counter(x for k, m in c.items() for x in [k[:-1]] * m)
+    kinds = lambda c: Counter(k[:-1] for k in c)
+    of = [(c2, total(c2), kinds(c2)), (c3, total(c3), kinds(c3))]
+
+    def log(gram):
+        p = (c1[gram[-1]] + 1) / (n + len(c1) + 1)
+        for k, (c, t, m) in enumerate(of, 2):
+            g = gram[-k:]
+            if len(g) == k and t[g[:-1]]:
+                p = (max(c[g] - d, 0) + d * m[g[:-1]] * p) / t[g[:-1]]
+        return math.log10(p)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter()
+    for i, t in rows:
+        s = [None, *words(t), ""]
+        want[(i, len(s) - 1)] = sum(log(tuple(s[max(0, k - 2) : k + 1])) for k in range(1, len(s)))
+    got = {(g.doc_id, g.n_tokens): g.score for g in lm.op8_lm(df).collect()}
+    assert n > 100_000 and got.keys() == want.keys()
+    off = {k: (got[k], want[k]) for k in got if abs(got[k] - want[k]) > (1e-6 if share == 1 else 2e-2) * abs(want[k])}
+    assert not off
+
+
 def test_elias_fano_trie():
     r = np.random.default_rng(2)
     for n, top in ((1, 1), (40, 41), (500, 10**6), (3000, 5000)):
