@@ -4,11 +4,12 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers.  Their va
 entities.  A term (word without the signs around it, A-Z in lower case) that shares lines with an entity
 discloses PMI(term; entity) / IC(entity) of it, by documents: log(n_te N / (n_t n_e)) / log(N / n_e), where 1
 means that the term never occurs without the entity.  Terms at or above ``disclosure`` that share at least
-``least`` different lines with the entity are spans too, wherever such a document holds them.  ``sanitise``
-replaces base spans by their kind, which generalises them, and removes disclosing terms.
+``least`` different lines with the entity are spans too, in every document: where the entity itself is absent
+they reveal it all the same.  ``sanitise`` replaces base spans by their kind, which generalises them, and
+removes disclosing terms.
 
-Defined results: null text counts as empty; rows with a null doc_id have base spans only; rows that share
-doc_id count as one document for co-occurrence; repeated lines count once; an empty table gives an empty
+Defined results: null text counts as empty; rows with a null doc_id take no part in co-occurrence; rows that
+share doc_id count as one document for it; repeated lines count once; an empty table gives an empty
 result.  Positions are code points, ends exclusive.
 """
 
@@ -21,6 +22,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Fixed patterns of the base kinds, in their order.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -118,7 +121,7 @@ def _terms(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFrame:
-    """doc_id and an array of the terms of the document's lines that disclose an entity of it."""
+    """The different terms that disclose an entity."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     every = F.flatten(F.array_compact(F.array(*(P + k for k in KINDS[:4]))))
     entities = with_base_spans(docs.where(may_hold())).withColumn("spans", every).where(F.size("spans") > 0)
@@ -136,23 +139,31 @@ def disclosing_terms(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -
     measured = joint.withColumn("term_hash", F.xxhash64("term")).join(seen, "term_hash").crossJoin(F.broadcast(total))
     pmi = F.log(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
     ic = F.log(F.col("total") / F.col("n_e"))
-    telling = measured.where((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
-    return shared.join(telling, ["entity", "term"]).groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return measured.where((ic > 0) & (pmi >= disclosure * ic)).select("term").distinct()
+
+
+def _row_key() -> Column:
+    """What rows are joined by.  Rows that share it share their lists of terms, of which each has its own marked."""
+    return F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+
+
+def held_terms(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """For the row keys of all documents that hold any of the terms ``telling``: an array of these."""
+    own = docs.select(_row_key().alias(P + "key"), F.explode(_terms(F.col("text"))).alias("term"))
+    # Both tables are written, so Spark knows how small they are before it moves a text or its terms.
+    found = own.join(written(telling, "disclosing-terms"), "term")
+    return written(found.groupBy(P + "key").agg(F.sort_array(F.collect_set("term")).alias(P + "terms")), "held-terms")
 
 
 def find_spans(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFrame:
     """``docs`` (doc_id, text) with the arrays of base spans and of ``_pii_term`` spans."""
-    base = with_base_spans(docs.where(may_hold()))
-    terms = disclosing_terms(docs, disclosure, least).select(F.col("doc_id").alias(P + "id"), F.col("terms").alias(P + "terms"))
-    both = base.join(terms, base["doc_id"] == terms[P + "id"], "left")
+    terms = held_terms(docs, disclosing_terms(docs, disclosure, least))
+    both = with_base_spans(docs).withColumn(P + "key", _row_key()).join(terms, P + "key", "left")
     # A sign that a term may hold is quoted; a word is a term with signs around it.
     quoted = F.array_join(F.transform(P + "terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     edge = r"\x20\x09-\x0D" + "".join("\\" + s for s in SIGNS if s != "_") + "_"
     pattern = F.concat(F.lit(rf"(?i)(?<![^{edge}])(?:"), quoted, F.lit(rf")(?![^{edge}])"))
-    both = both.withColumn(P + "term", F.when(F.size(P + "terms") > 0, found(F.coalesce("text", F.lit("")), pattern, "term"))).drop(P + "id", P + "terms")
-    # Texts that hold no entity need neither patterns nor the join, and are not moved.
-    rest = docs.where(~may_hold()).withColumns({c: F.lit(None).cast(both.schema[c].dataType) for c in both.columns if c not in docs.columns})
-    return both.unionByName(rest)
+    return both.withColumn(P + "term", F.when(F.size(P + "terms") > 0, found(F.coalesce("text", F.lit("")), pattern, "term"))).drop(P + "key", P + "terms")
 
 
 def _sorted(kinds: tuple[str, ...]) -> Column:

@@ -404,3 +404,13 @@ def test_pii_terms_that_disclose(spark):
     assert f"term:{text.index('street')}:{text.index('street') + 6}" not in got[0].spans.split(",") and got[10].spans == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "Baker" not in clean[0] and "[EMAIL]" in clean[0] and "street" in clean[0] and clean[10] == dict(rows)[10]
+
+
+def test_pii_terms_are_marked_in_every_document(spark):
+    rows = [(i, f"case {i} of the Baker street number{i} home a.b@c.org visit {i}\nend") for i in range(5)]
+    rows += [(10 + i, f"words of the street number{i + 20} only") for i in range(80)] + [(99, "x@y.org is not near\n(Baker) alone"), (None, "bakery Baker"), (100, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g.doc_id: [x for x in g.spans.split(",") if x.startswith("term")] for g in pii.op3_pii(df.where("doc_id != 99 OR doc_id IS NULL").union(df.where("doc_id = 99"))).collect()}
+    assert got[99] == ["term:21:26"] and got[None] == ["term:7:12"] and got[0] and got[10] == got[100] == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[99] == "[EMAIL] is not near\n() alone" and clean[None] == "bakery " and clean[10] == dict(rows)[10]
