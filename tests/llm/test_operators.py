@@ -414,3 +414,14 @@ def test_pii_terms_are_marked_in_every_document(spark):
     assert got[99] == ["term:21:26"] and got[None] == ["term:7:12"] and got[0] and got[10] == got[100] == []
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[99] == "[EMAIL] is not near\n() alone" and clean[None] == "bakery " and clean[10] == dict(rows)[10]
+
+
+def test_kneser_ney_rejects_toxic_prose(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcde") for _ in range(4)) for _ in range(200)]
+    prose = lambda: [r.choice(vocabulary) for _ in range(100)]
+    bad = lambda w: w[:30] + [r.choice(["idiot", "moron"])] + w[30:60] + [r.choice(["idiot", "moron"])] + w[60:]
+    rows = [(i, " ".join(bad(prose()) if i >= 400 else prose()), "en", "x") for i in range(500)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i in range(460)], "doc_id long, quality int, toxic int")
+    got = {g.doc_id: g.kept for g in kneser_ney.op1_quality(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert sum(got[i] for i in range(460, 500)) <= 1 and sum(got[i] for i in range(400)) >= 392
