@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, langid, line_dedup, lm, minhash, pieces, pii, quality_rules, warc
+from . import decontaminate, kneser_ney, langid, line_dedup, lm, minhash, negatives, packing, pieces, pii, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 _over("op1_quality", "documents", "labels")(kneser_ney.op1_quality)
 _over("op2_sentencepiece", "documents")(pieces.op2_sentencepiece)
 _over("op3_pii", "documents")(pii.op3_pii)
@@ -79,3 +94,5 @@ _over("op7_warc", "pages", oracle=OP7)(warc.op7_warc)
 _over("op8_lm", "documents")(lm.op8_lm)
 _over("op9_quality_rules", "documents", oracle=OP9)(quality_rules.op9_quality_rules)
 _over("op10_minhash", "documents")(minhash.op10_minhash)
+_over("op11_hard_negatives", "embeddings", oracle=OP11)(negatives.op11_hard_negatives)
+_over("op13_packing", "documents")(packing.op13_packing)
