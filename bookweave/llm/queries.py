@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, kneser_ney, langid, line_dedup, lm, minhash, negatives, packing, pieces, pii, quality_rules, warc
+from . import conversations, decontaminate, kneser_ney, langid, line_dedup, lm, minhash, negatives, packing, pieces, pii, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,4 +95,5 @@ _over("op8_lm", "documents")(lm.op8_lm)
 _over("op9_quality_rules", "documents", oracle=OP9)(quality_rules.op9_quality_rules)
 _over("op10_minhash", "documents")(minhash.op10_minhash)
 _over("op11_hard_negatives", "embeddings", oracle=OP11)(negatives.op11_hard_negatives)
+_over("op12_conversations", "conversations")(conversations.op12_conversations)
 _over("op13_packing", "documents")(packing.op13_packing)
