@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import toclines as L
 from ..functions.text import cjk_ratio, is_blank, let, nonempty, title_key, trim_u
-from ..session import ensure_checkpoint_dir
 from . import ordered
+from .merging import merge_tocs  # noqa: F401
 from .ordered import Scan, fill, fill_next, following, ordered_scan, previous, top_per_group, total
 
 # ---------------------------------------------------------------- pages
@@ -523,71 +523,3 @@ def parse_response(df: DataFrame, text: str = "response") -> DataFrame:
         F.when(sub, F.concat_ws(" ", "_chapter", "title")).otherwise(F.col("title")).alias("title"),
         F.when(way == 3, F.col("_page")).otherwise(page).alias("page"),
     ).filter("page IS NOT NULL")
-
-
-# ---------------------------------------------------------------- merging sources
-
-#: Titles one fold handles; larger books take further rounds.
-FOLD_TITLES = 500
-
-
-def _same_title(new: Column, kept: Column) -> Column:
-    common = F.length(new) - F.length(F.call_function("translate", new, kept, F.lit("")))
-    return (
-        F.contains(kept, new) | F.contains(new, kept)
-        | (common > F.length(new) * 0.8) | (common > F.length(kept) * 0.8)
-    )
-
-
-def _fold_titles(left: DataFrame, order: list[str]) -> DataFrame:
-    """(doc_id, _added, _last) from the next FOLD_TITLES titles of every book."""
-    first = top_per_group(left, ["doc_id"], [F.col(o) for o in order], FOLD_TITLES)
-    rows = F.sort_array(F.collect_list(F.struct(*order, "_key", "title", "page")))
-    kind = "array<struct<" + ",".join(f"{c}:{t}" for c, t in left.select(*order, "_key", "title", "page").dtypes) + ">>"
-    keep = F.aggregate(
-        F.col("_rows"),
-        F.array().cast(kind),
-        lambda acc, t: F.when(F.exists(acc, lambda k: _same_title(t["_key"], k["_key"])), acc).otherwise(F.array_append(acc, t)),
-    )
-    last = F.element_at("_rows", -1)
-    return first.groupBy("doc_id").agg(rows.alias("_rows")).select(
-        "doc_id", keep.alias("_added"), F.struct(*[last[o].alias(o) for o in order]).alias("_last")
-    )
-
-
-def merge_tocs(tocs: DataFrame) -> DataFrame:
-    """One contents list per book from several sources (doc_id, source_rank, seq, title, page).
-
-    A title is dropped when it resembles one already kept.  Pages survive from the first source only.
-    Copies of a title go first.  Ordinary books are then done by one fold.  Where some book has more than
-    FOLD_TITLES titles, rounds follow: each strikes whatever resembles the last additions and folds the
-    next titles, until nothing is left, so no book is ever gathered whole.
-    """
-    order = ["source_rank", "seq"]
-    keyed = tocs.filter(nonempty("title").isNotNull()).withColumn("_key", title_key(trim_u("title")))
-    left = top_per_group(keyed, ["doc_id", "_key"], [F.col(o) for o in order])
-    sizes = tocs.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    more = not sizes.filter(F.col("_n") > FOLD_TITLES).isEmpty()
-    kept = None
-    while True:
-        folded = _fold_titles(left, order)
-        if more:
-            # Each round builds on the last; checkpoints keep its plan short and survive lost executors.
-            ensure_checkpoint_dir(tocs.sparkSession)
-            folded = folded.checkpoint()
-        new = folded.select("doc_id", F.inline("_added"))
-        kept = new if kept is None else kept.unionByName(new)
-        if not more:
-            break
-        left = (
-            left.join(folded, "doc_id")
-            .filter((F.struct(*order) > F.col("_last")) & ~F.exists("_added", lambda k: _same_title(F.col("_key"), k["_key"])))
-            .select(*left.columns)
-            .checkpoint()
-        )
-        more = not left.isEmpty()
-        if not more:
-            break
-    return kept.select(
-        "doc_id", *order, "title", F.when(F.col("source_rank") == 0, F.col("page")).alias("page")
-    )

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookweave.operators import layout as Y
+from bookweave.operators import merging
 from bookweave.operators import ordered as O
 from bookweave.operators import resolve as R
 from bookweave.operators import toc as T
@@ -77,23 +78,44 @@ def _similar(new, kept):
     return new in kept or kept in new or common > len(new) * 0.8 or common > len(kept) * 0.8
 
 
-@pytest.mark.parametrize("fold", [2, 500])
-def test_merge_in_rounds_equals_one_pass(frame, monkeypatch, fold):
-    monkeypatch.setattr(T, "FOLD_TITLES", fold)
+@pytest.mark.parametrize("block", [2, 8, 512])
+def test_merge_equals_one_pass(frame, monkeypatch, block):
+    monkeypatch.setattr(merging, "BLOCK", block)
     rnd = random.Random(3)
     letters = "abcdefghijklmnopqrstuvwxyz一二三四五六七八九十章节篇目录"
-    rows = [(d, s, i, "".join(rnd.sample(letters, rnd.randint(3, 6))), i) for d in (1, 2) for s in range(2) for i in range(20)]
+    rows = [(d, s, i, "".join(rnd.sample(letters, rnd.randint(3, 6))), i) for d in (1, 2, None) for s in range(2) for i in range(30)]
+    rows += [(4, 0, i, t, i) for i, t in enumerate(["  ", None, "A b", "ab", "\u3000x", "x"])]
     want = []
-    for d in (1, 2):
+    for d in (1, 2, None, 4):
         kept = []
-        for _, s, i, t, p in sorted(r for r in rows if r[0] == d):
-            if not any(_similar(t, k) for k in kept):
-                kept.append(t)
+        for _, s, i, t, p in sorted((r for r in rows if r[0] == d), key=lambda r: r[1:3]):
+            key = "".join((t or "").split()).lower()
+            if key and not any(_similar(key, k) for k in kept):
+                kept.append(key)
                 want.append((d, s, i, t, p if s == 0 else None))
     got = T.merge_tocs(frame(rows, "doc_id bigint, source_rank int, seq bigint, title string, page bigint"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_merge_of_a_very_long_book(frame):
+    """20,000 titles of one book: equal to one pass, in many tasks, and without a job while the plan is built."""
+    rnd = random.Random(4)
+    titles = ["".join(chr(0x4E00 + rnd.randint(0, 250)) for _ in range(rnd.randint(2, 5))) for _ in range(20_000)]
+    rows = frame([(7, 0, i, t, i) for i, t in enumerate(titles)], "doc_id bigint, source_rank int, seq bigint, title string, page bigint")
+    tracker = rows.sparkSession.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    merged = T.merge_tocs(rows)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    kept, sets, order = [], [], []
+    for i, t in enumerate(titles):
+        own = set(t)
+        if not any(len(own & s) and sum(c in s for c in t) > 0.8 * min(len(t), len(k)) for s, k in zip(sets, kept)):
+            kept.append(t)
+            sets.append(own)
+            order.append(i)
+    assert sorted(r.seq for r in merged.collect()) == order
+
+
 def _merge_lines(text):
     """Line by line statement of the rule for wrapped lines."""
     import re
