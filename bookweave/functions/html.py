@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, first_match, nonempty, strip_tags, trim_u
+from .text import _col, first_match, let, nonempty, strip_tags, trim_u
 
 TAGS = "(?:<[^>]+>)*"
 
@@ -62,29 +64,129 @@ def parse_jsonld(c) -> Column:
     )
 
 
-def element_by_class(html, tag: str, *classes: str) -> Column:
-    """Inner text of the first ``tag`` whose class attribute holds all of ``classes`` in that order."""
-    wanted = "[^\"]*".join(c.replace("[", "\\[").replace("]", "\\]").replace(".", "\\.") for c in classes)
-    inner = first_match(html, f'(?s)<{tag}[^>]*class="[^"]*{wanted}[^"]*"[^>]*>(.*?)</{tag}>', 1)
-    return nonempty(strip_tags(inner))
+#: A tag; quoted values may hold any sign.
+TAG = "<(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>"
+#: What has no text of its own: comments, scripts and styles.
+HIDDEN = "(?is)<!--.*?-->|<(script|style)(?![\\w-])[^>]*>.*?</\\1\\s*>"
+
+# Character references with a name.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "middot": "·", "amp": "&"}
+
+
+def unescaped(c) -> Column:
+    """Text with its character references (numbers and the common names) resolved."""
+
+    def resolved(text: Column) -> Column:
+        numbered = F.transform(F.split(text, "&#"), _numbered)
+        text = F.concat(F.get(F.split(text, "&#"), 0), F.array_join(F.slice(numbered, 2, F.greatest(F.size(numbered) - 1, F.lit(0))), ""))
+        for name, sign in NAMED.items():
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+        return text
+
+    c = _col(c)
+    return F.when(F.contains(c, F.lit("&")), let(c, resolved)).otherwise(c)
+
+
+def _numbered(piece: Column) -> Column:
+    """A piece behind ``&#``: the character, and the rest."""
+    digits = F.regexp_extract(piece, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+    code = F.when(F.lower(F.left(digits, F.lit(1))) == "x", F.upper(F.substring(digits, 2, 6))).otherwise(F.hex(digits.try_cast("bigint")))
+    good = (digits != "") & (F.conv(code, 16, 10).try_cast("bigint") < 0x110000)
+    sign = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    return F.when(good, F.concat(sign, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+
+def inner_text(fragment, separator: str = "") -> Column:
+    """Text of a fragment: its pieces between tags, trimmed, the empty ones left out."""
+    pieces = F.transform(F.split(_col(fragment), TAG), lambda t: trim_u(unescaped(t)))
+    return F.array_join(F.filter(pieces, lambda t: t != ""), separator)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of an opening tag, quoted either way or not at all; '' if it has none."""
+    value = F.regexp_extract(tag, f"(?is)[\\s\"']{name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
+    return unescaped(F.btrim(value, F.lit("\"'")))
+
+
+def has_classes(*classes: str):
+    """Condition on an opening tag: its class set holds all of ``classes``, in any order."""
+    return lambda tag: F.size(F.array_intersect(F.split(trim_u(attribute(tag, "class")), "\\s+"), F.array(*map(F.lit, classes)))) == len(classes)
+
+
+def class_contains(*parts: str):
+    """Condition on an opening tag: its class attribute contains each of ``parts``."""
+
+    def holds(tag: Column) -> Column:
+        return let(attribute(tag, "class"), lambda v: reduce(lambda a, b: a & b, (F.contains(v, F.lit(p)) for p in parts)))
+
+    return holds
+
+
+def elements(html, tag, wanted) -> Column:
+    """Inner HTML of every ``tag`` element whose opening tag is ``wanted``, in order, nested ones too.
+
+    The page is split in front of each opening or closing tag of that name.  An element ends where the depth
+    of its name is back at where it began, or with the page if it is never closed, so each takes one pass over
+    the tags of that name.  ``tag`` may be a column."""
+    name = F.lit(tag) if isinstance(tag, str) else tag
+    parts = F.split(_col(html), F.concat(F.lit("(?i)(?=</?"), name, F.lit("(?![\\w-]))")))
+
+    def found(parts: Column) -> Column:
+        opening = F.transform(parts, lambda p: F.regexp_extract(p, f"^(?!</){TAG}", 0))
+        return let(F.struct(parts.alias("parts"), opening.alias("tags"), F.arrays_zip(opening.alias("tag"), parts.alias("part")).alias("both")), spans)
+
+    def spans(x: Column) -> Column:
+        # Some of the first piece may stand in front of every tag of the name; it begins with none then.
+        named = F.concat(F.lit("(?is)^</?"), name, F.lit("(?![\\w-])"))
+        step = F.transform(
+            x["both"],
+            lambda b: F.when(~F.regexp_like(b["part"], named), 0).when(b["tag"] == "", -1)
+            .when(F.regexp_like(b["tag"], F.lit("(?s)(?:^<[\\w-]+|[\\s\"'])/>$")), 0).otherwise(1),
+        )
+        return let(F.struct(x["parts"].alias("parts"), x["tags"].alias("tags"), step.alias("steps")), inner)
+
+    def inner(x: Column) -> Column:
+        last = F.size(x["parts"]) - 1
+        begins = F.filter(F.sequence(F.lit(0), last), lambda i: (F.get(x["steps"], i) == 1) & wanted(F.get(x["tags"], i)))
+
+        def fragment(i: Column) -> Column:
+            end = F.aggregate(
+                F.sequence(i, last),
+                F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("end")),
+                lambda at, k: F.when(at["end"] >= 0, at).otherwise(
+                    let(at["depth"] + F.get(x["steps"], k), lambda d: F.struct(d.alias("depth"), F.when(d == 0, k).otherwise(-1).alias("end")))
+                ),
+                lambda at: F.when(at["end"] >= 0, at["end"]).otherwise(last + 1),
+            )
+            whole = F.array_join(F.slice(x["parts"], i + 1, end - i), "")
+            return F.substring(whole, F.length(F.get(x["tags"], i)) + 1, F.length(whole))
+
+        return F.transform(begins, fragment)
+
+    return let(parts, found)
+
+
+def first_element(html, tag, wanted) -> Column:
+    return F.get(elements(html, tag, wanted), 0)
 
 
 def list_lines(html, element_id: str) -> Column:
-    """Texts of the list items inside one element joined by line feeds, else its non-empty lines."""
-    block = first_match(html, f'(?s)<(\\w+)[^>]*id="{element_id}"[^>]*>(.*?)</\\1>', 2)
-    items = F.filter(
-        F.transform(F.regexp_extract_all(block, F.lit("(?s)<li[^>]*>(.*?)</li>"), F.lit(1)), _flat_text),
-        lambda t: F.lit(True),
-    )
-    lines = F.filter(F.transform(F.split(F.regexp_replace(block, "<[^>]+>", "\n"), "\n"), trim_u), lambda t: t != "")
-    text = F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise(F.array_join(lines, "\n"))
-    return F.when(text != "", text)
+    """Texts of the list items inside one element joined by line feeds, else its non-empty lines.
+
+    An item with a list inside has that list's text, and the inner items follow on their own."""
+    html = F.regexp_replace(_col(html), HIDDEN, "")
+    own = lambda tag: attribute(tag, "id") == element_id
+    name = F.regexp_extract(html, f"(?is)<([\\w-]+)(?=\\s)(?=[^>]*\\sid\\s*=\\s*[\"']?{element_id}[\"'\\s>])", 1)
+    block = F.when(name != "", first_element(html, name, own))
 
+    def lines(block: Column) -> Column:
+        items = F.transform(elements(block, "li", lambda tag: F.lit(True)), lambda x: inner_text(x, " "))
+        pieces = F.flatten(F.transform(F.split(block, TAG), lambda x: F.split(unescaped(x), "\n")))
+        rest = F.filter(F.transform(pieces, trim_u), lambda t: t != "")
+        return let(items, lambda i: F.when(F.size(i) > 0, F.array_join(i, "\n")).otherwise(F.array_join(rest, "\n")))
 
-def _flat_text(c: Column) -> Column:
-    """Text of a fragment with its pieces trimmed and joined by single blanks."""
-    pieces = F.filter(F.transform(F.split(c, "<[^>]+>"), trim_u), lambda t: t != "")
-    return F.array_join(pieces, " ")
+    text = let(block, lines)
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def marc_fields(text) -> Column:
@@ -104,13 +206,19 @@ def marc_toc(html) -> Column:
 
 
 def page_toc(html) -> Column:
-    """Contents section of a book page: the block labelled 目录, else an element whose id holds 'dir'."""
-    html = _col(html)
-    label = '(?s)<div[^>]*class="[^"]*\\bindent\\b[^"]*"[^>]*>\\s*<span[^>]*class="[^"]*\\bpl\\b[^"]*"[^>]*>[^<]*目录[^<]*</span>(.*?)</div>'
-    parts = F.filter(
-        F.transform(F.split(F.regexp_extract(html, label, 1), "<[^>]+>|\\n"), trim_u),
-        lambda t: (t != "") & ~F.contains(t, F.lit("目录")),
+    """Contents section of a book page: the first block labelled 目录 of over 10 characters, else the first
+    element of over 50 whose id holds 'dir'."""
+    html = F.regexp_replace(_col(html), HIDDEN, "")
+
+    def section(block: Column) -> Column:
+        label = first_element(block, "span", has_classes("pl"))
+        pieces = F.flatten(F.transform(F.split(block, TAG), lambda t: F.split(unescaped(t), "\n")))
+        lines = F.filter(F.transform(pieces, trim_u), lambda t: (t != "") & ~F.contains(t, F.lit("目录")))
+        return F.when(F.contains(label, F.lit("目录")), F.array_join(lines, "\n"))
+
+    labelled = F.transform(elements(html, "div", has_classes("indent")), section)
+    hidden = F.transform(elements(html, "div", lambda tag: F.contains(attribute(tag, "id"), F.lit("dir"))), lambda x: inner_text(x))
+    return F.coalesce(
+        F.get(F.filter(labelled, lambda t: F.length(t) > 10), 0),
+        F.get(F.filter(hidden, lambda t: F.length(t) > 50), 0),
     )
-    section = F.array_join(parts, "\n")
-    hidden = trim_u(strip_tags(F.regexp_extract(html, "(?s)<div[^>]*id=[\"'][^\"']*dir[^\"']*[\"'][^>]*>(.*?)</div>", 1)))
-    return F.when(F.length(section) > 10, section).when(F.length(hidden) > 50, hidden)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -264,25 +265,37 @@ def sanitize(c, n: int | None = None, normalize: bool = True) -> Column:
     return _cut(c, n)
 
 
+# Signs that a name does not begin with (nor end with in front of its extension), and those
+# that a name without an extension does not end with.
+NAME_EDGE, NAME_END = "_\\s\\-", "_\\s\\-,.()|;:"
+
+
+def _shed(c: Column, before: str, after: str) -> Column:
+    return F.regexp_replace(c, f"(?U)^[{before}]+|[{after}]+$", "")
+
+
 def apply_template(template: str, fields: dict[str, Column], normalize: bool = True) -> Column:
     """File name from a ``{field}`` template; NULL when the template has no field or nothing is left.
 
-    ``fields`` maps metadata names to Columns; ``authors`` may be an array (its first element counts).
+    ``fields`` maps metadata names to Columns; ``authors`` may be an array (its first element counts).  The
+    template is taken apart once: its literal pieces and the values between them are joined, and what empty
+    values leave at the ends of the stem is shed.  Braces around other words are literal.
     """
-    if not template or "{" not in template:
+    if "{" not in (template or ""):
         return F.lit(None).cast("string")
-    name = F.lit(template)
-    for placeholder, key in TEMPLATE_FIELDS.items():
-        if "{" + placeholder + "}" not in template:
-            continue
-        value = sanitize(fields[key], normalize=normalize) if key in fields else F.lit("")
-        name = F.replace(name, F.lit("{" + placeholder + "}"), F.coalesce(value, F.lit("")))
-    name = F.regexp_replace(name, "_+", "_")
-    name = F.regexp_replace(name, "(?U)[_\\s\\-]+\\.pdf$", ".pdf")
-    name = F.regexp_replace(name, "(?U)^[_\\s\\-]+", "")
-    name = trim_u(F.regexp_replace(name, "(?U)[_\\s\\-,.()|;:]+$", ""))
-    kept = F.when((name != "") & (name != ".pdf"), name)
-    return F.when(F.lower(kept).endswith(".pdf"), kept).otherwise(F.concat(kept, F.lit(".pdf")))
+    known = "|".join(map(re.escape, TEMPLATE_FIELDS))
+    literal, *rest = re.split(f"\\{{({known})\\}}", template)
+    pieces = [F.lit(literal)]
+    for field, literal in zip(rest[::2], rest[1::2], strict=True):
+        value = fields.get(TEMPLATE_FIELDS[field], F.lit(""))
+        pieces += [F.coalesce(sanitize(value, normalize=normalize), F.lit("")), F.lit(literal)]
+
+    def named(joined: Column) -> Column:
+        whole = joined.endswith(".pdf")
+        stem = F.when(whole, _shed(F.left(joined, F.length(joined) - 4), NAME_EDGE, NAME_EDGE)).otherwise(_shed(joined, NAME_EDGE, NAME_END))
+        return let(stem, lambda s: F.when(s != "", F.when(~whole & F.lower(s).endswith(".pdf"), s).otherwise(F.concat(s, F.lit(".pdf")))))
+
+    return let(F.regexp_replace(F.concat(*pieces), "_+", "_"), named)
 
 
 def final_name(ss_code, title, ocr_done, compressed, ext=".pdf", n: int | None = None) -> Column:

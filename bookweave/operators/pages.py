@@ -65,28 +65,31 @@ def extract_page_fields(pages: DataFrame, key: str = "page_id", html: str = "htm
 def extract_detail(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Record page: title, isbn, extension, provider id and byte size."""
     text = F.col(html)
-    path = trim_u(first_match(text, "(?s)Filepath[^<]*</span>\\s*<span[^>]*>([^<]+)<"))
-    name = F.regexp_extract(path, "([^/\\\\]*)$", 1)
+    seen = F.regexp_replace(text, H.HIDDEN, "")
+    tabs = H.elements(seen, "a", H.has_classes("js-md5-codes-tabs-tab"))
+    spans = F.transform(tabs, lambda tab: F.transform(H.elements(tab, "span", lambda _: F.lit(True)), lambda x: H.inner_text(x)))
+    paths = F.transform(F.filter(spans, lambda s: (F.size(s) >= 2) & F.contains(F.get(s, 0), F.lit("Filepath"))), lambda s: F.get(s, 1))
+    names = F.transform(paths, lambda path: F.regexp_extract(path, "([^/\\\\]*)$", 1))
+    name = F.get(F.filter(names, lambda n: n != ""), 0)
     stem = F.when(F.contains(name, F.lit(".")), F.regexp_replace(name, "\\.[^.]*$", "")).otherwise(name)
-    meta = H.element_by_class(F.regexp_replace(text, "·", "\u0001"), "div", "text-gray-800", "font-semibold", "text-sm", "mt-4")
-    parts = F.transform(F.split(meta, "\u0001"), lambda p: F.regexp_replace(F.lower(trim_u(p)), "^\\.", ""))
-    listed = F.get(F.filter(parts, lambda p: p.isin(H.DETAIL_EXTENSIONS)), 0)
-    guess = F.lower(F.regexp_extract(path, "\\.([^.]*)$", 1))
+    guesses = F.transform(paths, lambda path: F.lower(F.regexp_extract(path, "\\.([^.]*)$", 1)))
+    guess = F.get(F.filter(guesses, lambda g: g.isin(H.DETAIL_EXTENSIONS)), 0)
+    meta = H.inner_text(H.first_element(seen, "div", H.class_contains("text-gray-800", "font-semibold", "text-sm", "mt-4")), " ")
+    parts = F.transform(F.split(meta, "·"), lambda p: F.regexp_replace(F.lower(trim_u(p)), "^\\.", ""))
+    listed = F.try_element_at(F.filter(parts, lambda p: p.isin(H.DETAIL_EXTENSIONS)), F.lit(-1))
     tagged = F.lower(first_match(text, "(?i)(?:filetype|extension|Format)[:\\s]*<[^>]*>([a-z0-9]{2,6})<"))
     heading = nonempty(first_match(text, "<h\\d[^>]*>([^<]{3,})</h\\d>"))
-    cell = first_match(text, "(?is)ISBN\\s*:\\s*</td>\\s*<td[^>]*>(.*?)</td>")
+    cell = first_match(seen, "(?is)ISBN\\s*:(?:\\s|<[^>]+>)*?</td>\\s*<td[^>]*>(.*?)</td>")
     size = first_match(text, 'filesize_bytes["\\s:]+(\\d+)').try_cast("bigint")
     label = first_match(text, "(?i)File\\s*size[:\\s]*<[^>]*>([^<]+)<")
+    title = H.inner_text(H.first_element(seen, "div", H.class_contains("font-semibold", "text-2xl", "leading-[1.2]")))
     return pages.select(
         key,
-        F.coalesce(
-            F.replace(H.element_by_class(text, "div", "font-semibold", "text-2xl", "leading-[1.2]"), F.lit("​"), F.lit("")),
-            nonempty(stem), heading,
-        ).alias("title"),
+        F.coalesce(nonempty(F.replace(title, F.lit("​"), F.lit(""))), nonempty(stem), heading).alias("title"),
         F.coalesce(
             first_match(strip_tags(cell), "(\\d[\\d\\-X]{9,})"), first_match(text, "(?i)ISBN[:\\s]*(\\d[\\d\\-X]{9,})")
         ).alias("isbn"),
-        F.coalesce(listed, F.when(guess.isin(H.DETAIL_EXTENSIONS), guess), tagged).alias("extension"),
+        F.coalesce(listed, guess, tagged).alias("extension"),
         F.coalesce(
             first_match(text, "z-lib(?:rary)?.{0,20}/(\\d+)"), first_match(text, 'zlib_id["\\s:]+(\\d+)')
         ).alias("provider_id"),
@@ -96,28 +99,27 @@ def extract_detail(pages: DataFrame, key: str = "page_id", html: str = "html") -
 
 def extract_book_page(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Book page: title, authors, publication lines, isbn, rating, description, tags."""
-    text = F.col(html)
-    label = '(?s)<span[^>]*class="[^"]*\\bpl\\b[^"]*"[^>]*>\\s*'
+    text = F.regexp_replace(F.col(html), H.HIDDEN, "")
+    label = "(?s)<span(?=[^>]*\\sclass\\s*=\\s*[\"']?[^\"'>]*(?<![\\w-])pl(?![\\w-]))[^>]*>\\s*"
     author_part = F.regexp_extract(text, label + "作者.*?</span>(.*?)(?:<br|</span>\\s*<span|</div>)", 1)
-    names = F.transform(F.regexp_extract_all(author_part, F.lit("(?s)<a[^>]*>(.*?)</a>"), F.lit(1)), lambda a: trim_u(strip_tags(a)))
+    names = F.transform(H.elements(author_part, "a", lambda _: F.lit(True)), lambda x: H.inner_text(x))
     line = label + "((?:出版社|出版年|ISBN)[^<]*)</span>([^<]*)"
     heads = F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(1)), trim_u)
-    tails = F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(2)), trim_u)
+    tails = F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(2)), lambda t: trim_u(H.unescaped(t)))
     info = F.filter(
         F.zip_with(heads, tails, lambda h, t: F.when(t != "", F.concat(h, F.lit(":"), t))), lambda x: x.isNotNull()
     )
     isbn_tail = F.regexp_extract(text, label + "[^<]*ISBN[^<]*</span>([^<]*)", 1)
-    rating = F.regexp_extract(text, "(?s)<strong[^>]*property=['\"]v:average['\"][^>]*>(.*?)</strong>", 1)
-    intro = H.element_by_class(text, "div", "intro")
-    tags = F.transform(F.regexp_extract_all(text, F.lit('(?s)<a[^>]*class="[^"]*\\btag\\b[^"]*"[^>]*>(.*?)</a>'), F.lit(1)), lambda a: trim_u(strip_tags(a)))
+    valued = lambda value: lambda tag: H.attribute(tag, "property") == value
+    tags = F.transform(H.elements(text, "a", H.has_classes("tag")), lambda x: H.inner_text(x))
     return pages.select(
         key,
-        nonempty(strip_tags(F.regexp_extract(text, "(?s)<span[^>]*property=['\"]v:itemreviewed['\"][^>]*>(.*?)</span>", 1))).alias("title"),
+        nonempty(H.inner_text(H.first_element(text, "span", valued("v:itemreviewed")))).alias("title"),
         F.filter(names, lambda a: a != "").alias("authors"),
         info.alias("pub_info"),
         first_match(isbn_tail, "(\\d{10,13})").alias("isbn"),
-        trim_u(rating).try_cast("double").alias("rating"),
-        intro.alias("description"),
+        H.inner_text(H.first_element(text, "strong", valued("v:average"))).try_cast("double").alias("rating"),
+        nonempty(H.inner_text(H.first_element(text, "div", H.has_classes("intro")))).alias("description"),
         F.filter(tags, lambda a: a != "").alias("tags"),
     )
 

@@ -102,7 +102,7 @@ def extract_detail(v: Views):
 @query(
     "extract_book_page",
     """SELECT page_id, p_name AS title, concat_ws('|', p_brand, s_name) AS authors, concat_ws('|', concat('出版社::', p_type), concat('出版年::', CAST(1950 + page_id % 70 AS VARCHAR)), concat('ISBN::978', lpad(CAST(page_id AS VARCHAR), 10, '0'))) AS pub_info,
-              concat('978', lpad(CAST(page_id AS VARCHAR), 10, '0')) AS isbn, CASE WHEN page_id % 5 <> 0 THEN CAST(page_id % 10 AS DOUBLE) + 0.5 END AS rating, concat(p_name, ' by ', p_brand) AS description, concat_ws('|', p_type, p_brand) AS tags
+              concat('978', lpad(CAST(page_id AS VARCHAR), 10, '0')) AS isbn, CASE WHEN page_id % 5 <> 0 THEN CAST(page_id % 10 AS DOUBLE) + 0.5 END AS rating, concat(p_name, 'by A&', p_brand) AS description, concat_ws('|', p_type, p_brand) AS tags
        FROM book_pages JOIN part ON p_partkey = page_id LEFT JOIN supplier ON s_suppkey * 20 = page_id - page_id % 20""",
 )
 def extract_book_page(v: Views):
@@ -112,7 +112,7 @@ def extract_book_page(v: Views):
 
 @query(
     "extract_page_toc",
-    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat(p_name, ' one', chr(10), p_brand, ' two') WHEN 1 THEN concat(p_name, ' chapter one of many, ', p_brand, ' chapter two of many, the end') END AS toc FROM book_pages JOIN part ON p_partkey = page_id""",
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat(p_name, ' one', chr(10), p_brand, ' two') WHEN 1 THEN concat(p_name, ' chapter one of many,', p_brand, ' chapter two of many, the end') END AS toc FROM book_pages JOIN part ON p_partkey = page_id""",
 )
 def extract_page_toc(v: Views):
     return P.extract_page_toc(v.book_pages)
@@ -128,7 +128,7 @@ def extract_marc_toc(v: Views):
     return P.extract_marc_toc(v.marc_pages)
 
 
-@query("extract_list_lines", "SELECT page_id, concat(p_name, ' x', chr(10), p_brand) AS lines FROM book_pages JOIN part ON p_partkey = page_id")
+@query("extract_list_lines", "SELECT page_id, concat(p_name, ' x inner', chr(10), 'inner', chr(10), p_brand) AS lines FROM book_pages JOIN part ON p_partkey = page_id")
 def extract_list_lines(v: Views):
     return P.extract_list_lines(v.book_pages, "book-contents")
 

@@ -142,21 +142,21 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM part""",
     "book_pages": """
         SELECT p_partkey AS page_id,
-               concat('<h1><span property="v:itemreviewed">', p_name, '</span></h1><div id="info"><span><span class="pl"> 作者</span>: <a href="/a">', p_brand,
+               concat('<!-- <span property="v:itemreviewed">no</span> --><h1><span class=x property=''v:itemreviewed''><span>', p_name, '</span></span></h1><div id="info"><span><span class="pl"> 作者</span>: <a href="/a">', p_brand,
                       '</a> / <a href="/b"> ', s_name, ' </a></span><br/><span class="pl">出版社:</span> ', p_type, '<br/><span class="pl">出版年:</span> ',
                       CAST(1950 + p_partkey % 70 AS STRING), '<br/><span class="pl">ISBN:</span> 978', lpad(CAST(p_partkey AS STRING), 10, '0'),
                       '<br/></div><strong class="ll" property="v:average"> ', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat(CAST(p_partkey % 10 AS STRING), '.5') END,
-                      ' </strong><div class="intro"><p>', p_name, ' by ', p_brand, '</p></div><a class="  tag" href="/t">', p_type, '</a><a class="tag" href="/u">', p_brand, '</a>',
-                      CASE WHEN p_partkey % 3 = 0 THEN concat('<div class="indent"><span class="pl">目录</span>', p_name, ' one<br/>', p_brand, ' two</div>') ELSE '' END,
-                      CASE WHEN p_partkey % 3 = 1 THEN concat('<div id="dir_1_full">', p_name, ' chapter one of many, ', p_brand, ' chapter two of many, the end</div>') ELSE '' END,
-                      '<ul id="book-contents"><li> ', p_name, ' <b>x</b></li><li>', p_brand, '</li></ul>') AS html
+                      ' </strong><div title="a > b" class=''wide intro''><div><p>', p_name, '</p></div><p> by &#65;&amp;', p_brand, '</p></div><a class="  tag" href="/t">', p_type, '</a><a href="/u" class=''tag big''>', p_brand, '</a>',
+                      CASE WHEN p_partkey % 3 = 0 THEN concat('<div class="indent"><span class="pl">简介</span><div>not the contents of it</div></div><div class=''more indent''><span class=''c pl''>目录</span><div>', p_name, ' one</div>', p_brand, ' two</div>') ELSE '' END,
+                      CASE WHEN p_partkey % 3 = 1 THEN concat('<div id="dir_1_short">short</div><div id=''dir_1_full''><div><div>', p_name, ' chapter one of many, </div></div>', p_brand, ' chapter two of many, the end</div>') ELSE '' END,
+                      '<ul class="k" id=''book-contents''><li> ', p_name, ' <b>x</b><ul><li>inner</li></ul></li><li>', p_brand, '</li></ul><ul><li>other</li></ul>') AS html
         FROM part LEFT JOIN supplier ON s_suppkey * 20 = p_partkey - p_partkey % 20""",
     "record_pages": """
         SELECT p_partkey AS page_id,
-               concat(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('<div class="font-semibold text-2xl leading-[1.2]">', p_name, '</div>') END,
+               concat(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('<div class=''text-2xl leading-[1.2] font-semibold''><div>', p_name, '</div></div>') END,
                       '<h2>', p_name, ' heading</h2><table><tr><td>ISBN: </td><td>978-', lpad(CAST(p_partkey AS STRING), 10, '0'), '</td></tr></table>',
-                      CASE WHEN p_partkey % 2 = 0 THEN '<div class="text-gray-800 font-semibold text-sm mt-4">English · PDF · 2 MB</div>' ELSE '' END,
-                      CASE WHEN p_partkey % 5 = 0 THEN concat('<a class="js-md5-codes-tabs-tab"><span>Filepath</span><span>lib/', p_name, '.v2.epub</span></a>') ELSE '' END,
+                      CASE WHEN p_partkey % 2 = 0 THEN '<div class="mt-4 text-sm text-gray-800 font-semibold"><div>English · <span>PDF</span></div> · 2 MB</div>' ELSE '' END,
+                      CASE WHEN p_partkey % 5 = 0 THEN concat('<a class=''js-md5-codes-tabs-tab''><span>MD5</span><span>x/y.zip</span></a><a class="on js-md5-codes-tabs-tab"><span><b>Filepath</b></span><span>lib/<i>', p_name, '</i>.v2.epub</span></a>') ELSE '' END,
                       '<a href="https://z-lib.example/book/', CAST(p_partkey AS STRING), '">x</a>',
                       CASE WHEN p_partkey % 2 = 1 THEN concat('"filesize_bytes": ', CAST(p_partkey * 1000 AS STRING)) ELSE concat('File size: <b>', CAST(p_size AS STRING), '.5 MB</b>') END) AS html
         FROM part""",

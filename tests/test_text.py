@@ -134,3 +134,22 @@ def test_progress_and_stage(one):
     assert tuple(one(G.parse_stage, "Converting 50% (5/10)")) == ("convert", 50, 5, 10, 18)
     assert one(G.parse_stage, "Done").overall == 90
     assert one(G.parse_stage, "hello") is None
+
+
+@pytest.mark.parametrize(
+    "template, title, name",
+    [
+        ("{author}_{title} ({ss_code})", "T", "T.pdf"),
+        ("{title}.pdf", " _ - ", None),
+        ("{title} - .pdf", "a", "a.pdf"),
+        ("__{title}__x", "a_b", "a_b_x.pdf"),
+        ("{title}.PDF", "a", "a.PDF"),
+        ("{title}.pdf", "a.pdf", "a.pdf.pdf"),
+        ("{title}).", "a", "a.pdf"),
+        ("{other} {title}", "a", "{other} a.pdf"),
+        ("{title}", "{author}", "{author}.pdf"),
+        ("({title})", "", None),
+    ],
+)
+def test_template_names(one, template, title, name):
+    assert one(lambda t: X.apply_template(template, {"title": t}), title) == name
