@@ -8,8 +8,12 @@ across, so the largest unit of work is a block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,6 +70,46 @@ def greatest_of(expr: Column) -> Scan:
     return Scan("greatest_of", expr)
 
 
+def range_carried(
+    df: DataFrame, key: str, order: list[str], forward: bool = True, among: str | None = None, step=None, schema: str | None = None
+) -> DataFrame:
+    """Rows dealt by ranges of (key, order), so a busy key spans many ranges of even size, and beside each
+    range's rows what it has to know of the others.
+
+    ``_range`` numbers the ranges and ``_own`` is 1 for the rows.  A range's last row goes to all later ranges
+    as a copy (``_own`` 0, ``_from`` its range): if its key goes on there, it is the row before.  With
+    ``forward=False`` the first row of the range's first key that is ``among`` goes to all earlier ranges
+    instead.  Copies are at most the square of the number of ranges.  ``step`` may extend the sorted Arrow
+    batches of a range on the way, to ``schema``.  One reader, one exchange: ranges are drawn once.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
+    shape = schema or ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, copy, first = TaskContext.get().partitionId(), None, None
+        for batch in step(batches) if step else batches:
+            if not batch.num_rows:
+                continue
+            if forward:
+                copy = batch.slice(batch.num_rows - 1)
+            elif copy is None:
+                first = batch.column(key)[0] if first is None else first
+                same = pc.equal(batch.column(key), first) if first.is_valid else batch.column(key).is_null()
+                fits = batch.filter(pc.fill_null(pc.and_(same, batch.column(among)), False))
+                copy = fits.slice(0, 1) if fits.num_rows else None
+            yield _numbered(batch, at, 1, at)
+        for to in () if copy is None else range(at + 1, parts) if forward else range(at):
+            yield _numbered(copy, to, 0, at)
+
+    return dealt.mapInArrow(passed, f"{shape}, _range int, _own int, _from int")
+
+
+def _numbered(batch: pa.RecordBatch, *numbers: int) -> pa.RecordBatch:
+    more = [pa.array([n], pa.int32()).take(pa.array([0] * batch.num_rows, pa.int32())) for n in numbers]
+    return pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_range", "_own", "_from"])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],

@@ -6,11 +6,15 @@ action, pct, log_line).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.logs import is_noise, parse_progress
-from .ordered import fill_next, least_of, ordered_scan, previous, top_per_group
+from .ordered import range_carried, top_per_group
 
 # Statuses, and the moves between them.
 STATUSES = ["pending", "running", "paused", "completed", "failed", "cancelled", "deleted"]
@@ -74,60 +78,80 @@ def task_state(events: DataFrame) -> DataFrame:
     )
 
 
-def task_machine(events: DataFrame, initial: str = "pending", block: Column | None = None) -> DataFrame:
-    """Events with the status before and after and whether the move was ``accepted``.
+#: A map over the statuses as one number: three bits, the status it leads to, for each status.
+BITS = 3
+IDENTITY = sum(i << BITS * i for i in range(len(STATUSES)))
 
-    A block of a task (an hour, unless told otherwise) is summarised by where it leads from each of the
-    seven statuses; those summaries are chained per task, then every block is replayed from the status
-    it starts in.  A task with very many events is thus worked on by many tasks of the cluster, and
-    what meets in one row is a block.
-    """
-    block = hour() if block is None else block
-    actions = list(MOVES)
-    table = [[STATUSES.index(move(s, a)[0]) for s in STATUSES] for a in actions]
-    legal = [[move(s, a)[1] for s in STATUSES] for a in actions]
-    leads, allowed = F.expr(f"array{_nested(table)}"), F.expr(f"array{_nested(legal)}")
-    names = F.expr("array(" + ", ".join(f"'{s}'" for s in STATUSES) + ")")
-
-    def at(grid: Column, event: Column, status: Column, otherwise: Column) -> Column:
-        return F.coalesce(F.get(F.get(grid, event["a"]), status), otherwise)
-
-    number = F.when(F.col("action").isin(actions), F.array_position(F.array(*map(F.lit, actions)), F.col("action")) - 1)
-    event = F.struct("ts", "event_id", "action", number.cast("int").alias("a"))
-    blocks = events.withColumn("_block", block).groupBy("task_id", "_block").agg(F.sort_array(F.collect_list(event)).alias("_events"))
-
-    everywhere = F.expr("array(" + ", ".join(str(i) for i in range(len(STATUSES))) + ")")
-    to = F.aggregate("_events", everywhere, lambda acc, e: F.transform(acc, lambda s: at(leads, e, s, s)))
-    kind = dict(events.withColumn("_block", block).dtypes)
-
-    def chained(acc: Column, b: Column) -> Column:
-        met = F.array_append(acc["seen"], F.struct(b["_block"].alias("_block"), acc["s"].alias("_entry")))
-        return F.struct(F.get(b["_to"], acc["s"]).alias("s"), met.alias("seen"))
-
-    start = F.struct(
-        F.lit(STATUSES.index(initial)).alias("s"), F.array().cast(f"array<struct<_block:{kind['_block']},_entry:int>>").alias("seen")
-    )
-    maps = blocks.select("task_id", F.struct("_block", to.alias("_to")).alias("_map")).groupBy("task_id").agg(
-        F.sort_array(F.collect_list("_map")).alias("_maps")
-    )
-    entries = maps.select("task_id", F.inline(F.aggregate("_maps", start, chained)["seen"]))
 
-    def replayed(acc: Column, e: Column) -> Column:
-        after = at(leads, e, acc["s"], acc["s"])
-        row = F.struct(
-            e["event_id"].alias("event_id"), e["action"].alias("action"), F.get(names, acc["s"]).alias("before"),
-            F.get(names, after).alias("after"), at(allowed, e, acc["s"], F.lit(False)).alias("accepted"),
-        )
-        return F.struct(after.alias("s"), F.array_append(acc["rows"], row).alias("rows"))
+def _moved(action: str | None) -> tuple[list[int], list[bool]]:
+    """Where an action leads from each status, and whether it is accepted there."""
+    both = [move(s, action or "") for s in STATUSES]
+    return [STATUSES.index(s) for s, _ in both], [ok for _, ok in both]
 
-    shape = f"array<struct<event_id:{kind['event_id']},action:string,before:string,after:string,accepted:boolean>>"
-    begin = F.struct(F.col("_entry").alias("s"), F.array().cast(shape).alias("rows"))
-    rows = F.aggregate("_events", begin, replayed)["rows"]
-    return blocks.join(entries, ["task_id", "_block"]).select("task_id", F.inline(rows))
 
+def _extended(code: int, action: str | None) -> tuple[int, int]:
+    """A map followed by an action, and the statuses (as bits) from whose way the action is accepted."""
+    leads, allowed = _moved(action)
+    at = [code >> BITS * i & 7 for i in range(len(STATUSES))]
+    return sum(leads[x] << BITS * i for i, x in enumerate(at)), sum(allowed[x] << i for i, x in enumerate(at))
 
-def _nested(grid: list[list]) -> str:
-    return "(" + ", ".join("array(" + ", ".join(str(x).lower() for x in row) + ")" for row in grid) + ")"
+
+def task_machine(events: DataFrame, initial: str = "pending") -> DataFrame:
+    """Events with the status before and after and whether the move was ``accepted``.
+
+    Events are dealt by ranges of (task, time), so a busy task spans many ranges of even size.  One pass over
+    a range composes the maps of its events over the seven statuses; the map of a range's last task goes on
+    to the later ranges.  A second pass chains the maps that reach a task's part of a range, which gives the
+    status it starts in, and reads its events' maps with it.
+    """
+    order = ["ts", "event_id"]
+    rows = events.select("task_id", *order, "action")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, code, met = object(), IDENTITY, {}
+        for batch in batches:
+            before, after, ok = [], [], []
+            for t, action in zip(batch.column("task_id").to_pylist(), batch.column("action").to_pylist(), strict=True):
+                if t != task:
+                    task, code = t, IDENTITY
+                way = met.get((code, action))
+                if way is None:
+                    way = met[code, action] = _extended(code, action if action in MOVES else None)
+                before.append(code)
+                code = way[0]
+                after.append(code)
+                ok.append(way[1])
+            made = [pa.array(x, pa.int32()) for x in (before, after, ok)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_before", "_after", "_ok"])
+
+    carried = range_carried(rows, "task_id", order, step=composed, schema=f"{kinds}, _before int, _after int, _ok int")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = carried.repartition(parts, "task_id", "_range").sortWithinPartitions("task_id", "_range", "_own", "_from", *order)
+    first, names = STATUSES.index(initial), np.array(STATUSES)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, entry = object(), first
+        for batch in batches:
+            tasks, ranges = batch.column("task_id").to_pylist(), batch.column("_range").to_pylist()
+            own, maps = batch.column("_own").to_numpy(), batch.column("_after").to_numpy()
+            entries = np.full(len(own), -1, np.int32)
+            for i in range(len(own)):
+                if (tasks[i], ranges[i]) != place:
+                    place, entry = (tasks[i], ranges[i]), first
+                if own[i]:
+                    entries[i] = entry
+                else:
+                    entry = int(maps[i]) >> BITS * entry & 7
+            kept = batch.filter(pa.array(own == 1))
+            at = entries[own == 1]
+            before, after, ok = (kept.column(c).to_numpy() for c in ("_before", "_after", "_ok"))
+            status = [pa.array(names[x >> BITS * at & 7].tolist(), pa.string()) for x in (before, after)]
+            accepted = pa.array((ok >> at & 1).astype(bool))
+            yield pa.RecordBatch.from_arrays([kept.column("task_id"), kept.column("event_id"), kept.column("action"), *status, accepted], ["task_id", "event_id", "action", "before", "after", "accepted"])
+
+    types = dict(rows.dtypes)
+    return met.mapInArrow(read, f"task_id {types['task_id']}, event_id {types['event_id']}, action string, before string, after string, accepted boolean")
 
 
 def recent_tasks(states: DataFrame, n: int) -> DataFrame:
@@ -179,11 +203,6 @@ def expire_terminal(states: DataFrame, now: Column, seconds: int = 3600) -> Data
 # ---------------------------------------------------------------- progress
 
 
-def hour() -> Column:
-    """Default block of a task's history; pass a finer one where single hours are huge."""
-    return F.date_trunc("hour", F.col("ts"))
-
-
 def progress_eta(
     events: DataFrame, line: str = "log_line", total_pages: Column | None = None
 ) -> DataFrame:
@@ -208,33 +227,31 @@ def eta_by_bytes(total: Column, done: Column, speed: Column) -> Column:
     return F.when(speed > 0, (total - done) / speed)
 
 
-def changed_only(events: DataFrame, value: str = "pct", block: Column | None = None) -> DataFrame:
-    """Events whose value differs from the task's previous one."""
-    block = hour() if block is None else block
-    out = ordered_scan(events, ["task_id"], ["ts", "event_id"], {"_before": previous(F.col(value))}, block=block)
-    return out.filter(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
+def changed_only(events: DataFrame, value: str = "pct") -> DataFrame:
+    """Events whose value differs from the task's previous one; a busy task spans many ranges of its time."""
+    order = ["ts", "event_id"]
+    along = Window.partitionBy("task_id", "_range").orderBy("_own", "_from", *order)
+    out = range_carried(events, "task_id", order).withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(along))
+    return out.filter((F.col("_own") == 1) & ~F.col(value).eqNullSafe(F.col("_before.v"))).select(*events.columns)
 
 
 # ---------------------------------------------------------------- waits, copies, sessions
 
 
-def await_decision(
-    requests: DataFrame, responses: DataFrame, seconds: int = 300, block: Column | None = None
-) -> DataFrame:
+def await_decision(requests: DataFrame, responses: DataFrame, seconds: int = 300) -> DataFrame:
     """First answer to each request within the limit: confirmed, declined or timeout.
 
     Both sides run along the time of their task once, so a task with many requests and answers never
-    pairs them all.
+    pairs them all; a busy task spans many ranges of its time.
     """
-    asks = requests.select("task_id", F.col("asked_at").alias("ts"), F.lit(0).alias("kind"), F.col("req_event").alias("event"), F.lit(None).cast("boolean").alias("confirm"))
-    answers = responses.select("task_id", F.col("answered_at").alias("ts"), F.lit(1).alias("kind"), F.col("resp_event").alias("event"), "confirm")
-    answer = F.when(F.col("kind") == 1, F.struct("ts", "event", "confirm"))
-    out = ordered_scan(
-        asks.unionByName(answers), ["task_id"], ["ts", "kind", "event"], {"_a": fill_next(answer)},
-        block=hour() if block is None else block,
-    )
+    asks = requests.select("task_id", F.col("asked_at").alias("ts"), F.lit(False).alias("answers"), F.col("req_event").alias("event"), F.lit(None).cast("boolean").alias("confirm"))
+    answers = responses.select("task_id", F.col("answered_at").alias("ts"), F.lit(True).alias("answers"), F.col("resp_event").alias("event"), "confirm")
+    both = range_carried(asks.unionByName(answers), "task_id", ["ts", "answers", "event"], forward=False, among="answers")
+    # Backwards in time: the copies from later ranges, the nearest last, then a range's own rows.
+    along = Window.partitionBy("task_id", "_range").orderBy("_own", F.desc("_from"), F.desc("ts"), F.desc("answers"), F.desc("event"))
+    out = both.withColumn("_a", F.last(F.when(F.col("answers"), F.struct("ts", "event", "confirm")), ignorenulls=True).over(along))
     in_time = seconds_between(F.col("ts"), F.col("_a.ts")) <= seconds
-    return out.filter(F.col("kind") == 0).select(
+    return out.filter((F.col("_own") == 1) & ~F.col("answers")).select(
         F.col("event").alias("req_event"), "task_id",
         F.when(in_time, F.col("_a.event")).alias("resp_event"),
         F.when(in_time & F.col("_a.confirm"), "confirmed").when(in_time, "declined").otherwise("timeout").alias("outcome"),
@@ -249,9 +266,9 @@ def dedupe_completions(events: DataFrame, key: list[str]) -> DataFrame:
 def idle_sessions(events: DataFrame, gap: str) -> DataFrame:
     """Activity of a task cut where it stays silent for ``gap``.
 
-    Sessions are merged inside the upstream tasks first, so a busy task arrives as a few sessions.
+    With ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` (one of the library's settings) sessions
+    are merged inside the upstream tasks first, so a busy task arrives as a few sessions.
     """
-    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     w = F.session_window("ts", gap)
     return events.groupBy("task_id", w).agg(
         F.count("*").alias("n"), F.max("ts").alias("last_ts")

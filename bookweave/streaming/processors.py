@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tasks import LOGS_ACTIVE, LOGS_TERMINAL, MOVES, TERMINAL, move
+from ..operators.tasks import LOGS_ACTIVE, LOGS_TERMINAL, TERMINAL, move
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -19,39 +19,6 @@ def _given(value) -> bool:
     return value is not None and value == value
 
 
-class LatestState(StatefulProcessor):
-    """Latest value of every field by event time; emits the task's row whenever it changes.
-
-    Each field keeps the time and event that it is from, so an older event that arrives later changes nothing.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "latest",
-            "status string, pct bigint, log_line string, created_at timestamp, updated_at timestamp, "
-            "status_ms bigint, status_event bigint, pct_ms bigint, pct_event bigint, line_ms bigint, line_event bigint",
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = list(self.state.get()) if self.state.exists() else [None] * 11
-        for r in _in_order(rows).itertuples():
-            at = (int(r.ts.value // 1000), int(r.event_id))
-            target = MOVES.get(r.action, ([], None))[1]
-            for k, value in enumerate((target, int(r.pct) if _given(r.pct) else None, r.log_line if _given(r.log_line) else None)):
-                since = now[5 + 2 * k : 7 + 2 * k]
-                if value is not None and (since[0] is None or at >= tuple(since)):
-                    now[k] = value
-                    now[5 + 2 * k : 7 + 2 * k] = at
-            now[3] = r.ts.to_pydatetime() if now[3] is None else min(now[3], r.ts.to_pydatetime())
-            now[4] = r.ts.to_pydatetime() if now[4] is None else max(now[4], r.ts.to_pydatetime())
-        self.state.update(tuple(now))
-        names = ["status", "pct", "log_line", "created_at", "updated_at"]
-        yield pd.DataFrame({"task_id": [key[0]], **{n: [x] for n, x in zip(names, now)}})
-
-    def close(self) -> None:
-        pass
-
-
 class Machine(StatefulProcessor):
     """Every event with the status before and after it; ``accepted`` is false for illegal moves."""
 

@@ -17,7 +17,7 @@ from ..operators import tasks as operators
 from ..functions.logs import is_noise
 from ..session import ROCKSDB
 from . import processors
-from .processors import Changes, IdleWatch, LatestState, LogRing, Machine
+from .processors import Changes, IdleWatch, LogRing, Machine
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, task_id bigint, action string, pct bigint, log_line string"
 
@@ -44,8 +44,9 @@ def _stateful(events: DataFrame, processor, schema: str, mode: str, timers: str
 
 
 def task_state(events: DataFrame) -> DataFrame:
-    schema = "task_id bigint, status string, pct bigint, log_line string, created_at timestamp, updated_at timestamp"
-    return _stateful(events, LatestState(), schema, "Update")
+    """Latest value of every field per task, an aggregate as in batch: it is from the newest event whatever
+    order events arrive in.  For update mode."""
+    return operators.task_state(events)
 
 
 def task_machine(events: DataFrame, initial: str = "pending") -> DataFrame:
