@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import isbn_norm, main_title, nonempty, title_relevance, title_similarity
 from .ordered import top_per_group
 
-GRAM = 3
+#: Lengths of the pieces that needles are looked up by: each needle by pieces of the longest that it can have.
+SIZES = (1, 2, 4, 8)
+#: Bits of the filter of asked pieces, and the parts that each posting list is dealt into.
+BITS, SALTS = 1 << 22, 8
 
 
 # ---------------------------------------------------------------- substring join
@@ -20,33 +23,40 @@ def _grams(c: Column, n: Column) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, n))))
 
 
+def _place(gram: str) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BITS))
+
+
+def _asked_bits(picked: DataFrame) -> Column:
+    """A filter of the picked pieces: BITS bits in 64-bit words, one value whatever their number."""
+    word = lambda c: F.shiftright(c, 6)
+    own = picked.select(_place("_gram").alias("p")).select(word("p").alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
+    every = picked.sparkSession.range(BITS // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    words = own.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("s")).select(F.col("s.b")).scalar()
+
+
 def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str) -> DataFrame:
     """All (needle, text) pairs of two single-column frames where the text contains the needle.
 
-    Exact.  Every needle is looked up by the rarest of its grams (a needle shorter than the gram size by
-    itself), so this is an equi-join on short posting lists; a gram that is still frequent is left to
-    AQE's skew join.  Posting lists hold a hash of the text for the grams that some needle has; the text
-    comes back for the candidates only, and whatever shares its hash is sorted out by the comparison.
-    Both sides should hold distinct values: copies are joined back afterwards.
+    Exact.  Every needle is looked up by one of its pieces, the one that the fewest needles share.  Of the
+    texts' pieces only those that pass a filter of the picked ones (of a fixed size) are posted; a posting list
+    is dealt into SALTS parts, so one piece in very many texts is not one task.  The pairs that meet are
+    compared.  Both sides should hold distinct values: copies are joined back afterwards.
     """
-    sizes = F.array(*[F.lit(i) for i in range(1, GRAM + 1)])
-    none = F.array().cast("array<string>")
-    every = F.flatten(F.transform(sizes, lambda n: F.coalesce(_grams(F.col(text), n), none)))
-    size = F.least(F.length(needle), F.lit(GRAM))
+    size = F.lit(SIZES[0])
+    for n in SIZES[1:]:
+        size = F.when(F.length(needle) >= n, n).otherwise(size)
     asked = needles.filter(F.length(needle) > 0).select(needle, F.explode(_grams(F.col(needle), size)).alias("_gram"))
-    posted = hay.select(F.xxhash64(text).alias("_at"), F.explode(every).alias("_gram"))
-    posted = posted.join(asked.select("_gram").distinct(), "_gram", "left_semi")
-    frequency = posted.groupBy("_gram").agg(F.count("*").alias("_freq"))
-    picked = (
-        asked.join(frequency, "_gram", "left")
-        .groupBy(needle)
-        .agg(F.min(F.struct(F.coalesce("_freq", F.lit(0)).alias("_freq"), "_gram")).alias("_pick"))
-        .filter(F.col("_pick._freq") > 0)  # a gram no text has: no text can contain the needle
-        .select(needle, F.col("_pick._gram").alias("_gram"))
-    )
-    candidates = posted.join(picked, "_gram").select(needle, "_at")
-    texts = hay.select(F.xxhash64(text).alias("_at"), text)
-    return candidates.join(texts, "_at").filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
+    shared = asked.groupBy("_gram").agg(F.count("*").alias("_n"))
+    picked = asked.join(shared, "_gram").groupBy(needle).agg(F.min(F.struct("_n", "_gram")).alias("_pick")).select(needle, "_pick._gram")
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.transform(F.array(*map(F.lit, SIZES)), lambda n: F.coalesce(_grams(F.col(text), n), none)))
+    set_ = F.getbit(F.get(_asked_bits(picked), F.shiftright("_p", 6).cast("int")), F.expr("CAST(_p & 63 AS INT)")) == 1
+    posted = hay.select(text, F.explode(every).alias("_gram")).withColumn("_p", _place("_gram")).filter(set_)
+    posted = posted.select(text, "_gram", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int").alias("_salt"))
+    looked = picked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return posted.join(looked, ["_gram", "_salt"]).filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
 
 
 HIT = ["id", "title", "author", "publisher", "isbn", "ss_code"]
