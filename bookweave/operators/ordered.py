@@ -116,6 +116,7 @@ def ordered_scan(
     order: list[str],
     outputs: dict[str, Scan],
     block: Column | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Add the ``outputs`` computed along ``order`` inside each group of ``keys``.
 
@@ -123,9 +124,10 @@ def ordered_scan(
     non-negative number, divided by :data:`BLOCK_ROWS`.  Order columns must be unique in a group.
 
     Both readers of the repartitioned input use all of its columns, so Spark shuffles (and computes)
-    the input once and reuses that exchange for the block summaries.
+    the input once and reuses that exchange for the block summaries.  That holds as long as the caller uses
+    every column of the result; ``columns`` names those of the input to keep, where others only feed ``outputs``.
     """
-    columns = df.columns
+    columns = columns or df.columns
     block = F.floor(F.col(order[0]) / BLOCK_ROWS) if block is None else block
     base = df.select(
         F.struct(*keys).alias("_group"),  # a struct compares equal on NULL fields

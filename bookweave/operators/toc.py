@@ -10,7 +10,7 @@ from ..functions import toclines as L
 from ..functions.text import cjk_ratio, is_blank, let, nonempty, title_key, trim_u
 from . import ordered
 from .merging import merge_tocs  # noqa: F401
-from .ordered import Scan, fill, fill_next, following, ordered_scan, previous, top_per_group, total
+from .ordered import Scan, fill, fill_next, following, least_of, ordered_scan, previous, top_per_group, total
 
 # ---------------------------------------------------------------- pages
 
@@ -36,39 +36,47 @@ def page_signals(pages: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def _signals(pages: DataFrame) -> DataFrame:
-    hits = F.col("chapter_hits") + F.col("section_hits")
-    return page_signals(pages).select(
-        "doc_id", "page_no", "has_header",
-        ((hits >= 3) & (F.col("page_refs") >= 2)).alias("dense"),
-        ((hits >= 2) | (F.col("page_refs") >= 1)).alias("like_toc"),
-    )
-
-
-def _ranges(pages: DataFrame) -> DataFrame:
-    """(doc_id, total_pages, toc_start, toc_end): first header page, else first dense one, up to the page
-    before the first that isn't like a contents page.  Pages of a document are numbered without gaps.
+def _scanned(pages: DataFrame, *text: str) -> DataFrame:
+    """Pages with their document's ``_start`` and ``total_pages``, and whether they lie in its range.
 
-    Both passes are aggregates, combined before the shuffle; no text is moved.
+    A range begins at the first header page, else the first dense one, and ends before the first page behind
+    it that isn't like a contents page; so a page from the start on is inside if the last such page up to it
+    is not behind the start.  The patterns run once, one blocked scan does the rest, and text goes along for
+    pages that a range can hold.  Pages of a document are numbered without gaps.
     """
-    s = _signals(pages)
-    first = s.groupBy("doc_id").agg(
-        F.coalesce(F.min(F.when(F.col("has_header"), F.col("page_no"))), F.min(F.when(F.col("dense"), F.col("page_no")))).alias("_start"),
-        F.count("*").alias("total_pages"), F.max("page_no").alias("_last"),
+    hits, page = F.col("chapter_hits") + F.col("section_hits"), F.col("page_no")
+    signals = page_signals(pages, *text).withColumns(
+        {"dense": (hits >= 3) & (F.col("page_refs") >= 2), "like_toc": (hits >= 2) | (F.col("page_refs") >= 1)}
     )
-    other = s.filter(~F.col("like_toc")).select("doc_id", "page_no").join(first.select("doc_id", "_start"), "doc_id")
-    stop = other.filter(F.col("page_no") > F.col("_start")).groupBy("doc_id").agg(F.min("page_no").alias("_stop"))
-    end = F.when(F.col("_start").isNotNull(), F.coalesce(F.col("_stop") - 1, F.col("_last")))
-    return first.join(stop, "doc_id", "left").select(
-        "doc_id", "total_pages",
-        F.coalesce(F.col("_start"), F.lit(-1)).cast("bigint").alias("toc_start"),
-        F.coalesce(end, F.lit(-1)).cast("bigint").alias("toc_end"),
+    may_be = F.col("has_header") | F.col("dense") | F.col("like_toc")
+    rows = signals.select("doc_id", "page_no", "has_header", "dense", "like_toc", *[F.when(may_be, F.col(c)).alias(c) for c in text])
+    # All that the scan returns is used, so that its input is made once.
+    out = ordered_scan(
+        rows, ["doc_id"], ["page_no"],
+        {
+            "_header": least_of(F.when(F.col("has_header"), page)), "_dense": least_of(F.when(F.col("dense"), page)),
+            "total_pages": total(F.lit(1)), "_stop": fill(F.when(~F.col("like_toc"), page)),
+        },
+        columns=["doc_id", "page_no", *text],
+    ).withColumn("_start", F.coalesce("_header", "_dense"))
+    inside = (page >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("_stop") <= F.col("_start")))
+    return out.withColumn("_inside", F.coalesce(inside, F.lit(False)))
+
+
+def _ranges(scanned: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, total_pages, toc_start, toc_end) and what else is gathered of each document."""
+    found = F.col("_start").isNotNull()
+    return scanned.groupBy("doc_id").agg(
+        F.any_value("total_pages").cast("bigint").alias("total_pages"),
+        F.coalesce(F.any_value("_start"), F.lit(-1)).cast("bigint").alias("toc_start"),
+        F.coalesce(F.max(F.when(found & F.col("_inside"), F.col("page_no"))), F.lit(-1)).cast("bigint").alias("toc_end"),
+        *more,
     )
 
 
 def toc_range(pages: DataFrame) -> DataFrame:
     """(toc_start, toc_end) per document, (-1, -1) when none is found."""
-    return _ranges(pages).select("doc_id", "toc_start", "toc_end")
+    return _ranges(_scanned(pages)).select("doc_id", "toc_start", "toc_end")
 
 
 # ---------------------------------------------------------------- wrapped lines
@@ -350,14 +358,13 @@ def toc_from_pages(pages: DataFrame) -> DataFrame:
 
     The bookmark is empty when the entries fail validation; the range survives that.
     """
-    docs = _ranges(pages)
-    inside = F.when(F.col("page_no").between(F.col("toc_start"), F.col("toc_end")), F.struct("page_no", "text"))
-    found = pages.select("doc_id", "page_no", "text").join(docs, "doc_id").groupBy("doc_id", "total_pages", "toc_start", "toc_end")
-    texts = found.agg(F.sort_array(F.collect_list(inside)).alias("_pages")).select(
+    inside = F.when(F.col("_inside"), F.struct("page_no", "text"))
+    texts = _ranges(_scanned(pages, "text"), F.sort_array(F.collect_list(inside)).alias("_pages")).select(
         "doc_id", "total_pages", "toc_start", "toc_end", F.array_join(F.transform("_pages", lambda p: p["text"]), "\n").alias("text")
     )
-    # From here on everything stays on the partitioning by document.
-    entries = toc_from_text(texts.filter(F.col("toc_start") >= 0).select("doc_id", "text"))
+    # Contents are few bytes but much work: dealt anew so that they aren't merged into few tasks.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = toc_from_text(texts.filter(F.col("toc_start") >= 0).select("doc_id", "text").repartition(parts, "doc_id"))
     lists = entries.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "title", "page"))).alias("e"))
     n, pages_of = F.size("e"), F.transform("e", lambda x: x["page"])
     ceiling = F.col("total_pages") * 3
@@ -366,8 +373,9 @@ def toc_from_pages(pages: DataFrame) -> DataFrame:
     drops = F.size(F.filter(steps, lambda d: d > 10))
     ok = F.when(n < 3, False).otherwise((outside <= n * 0.5) & (drops / (n - 1) <= 0.3))
     lines = F.transform("e", lambda x: F.concat_ws("\t", x["title"], x["page"].cast("string")))
-    return texts.drop("text").join(lists, "doc_id", "left").select(
-        "doc_id", F.when(ok, F.array_join(lines, "\n")).otherwise("").alias("bookmark"), "toc_start", "toc_end"
+    # Asking for the text here too lets both readers of ``texts`` share their exchanges.
+    return texts.join(lists, "doc_id", "left").select(
+        "doc_id", F.when(ok & (F.length("text") >= 0), F.array_join(lines, "\n")).otherwise("").alias("bookmark"), "toc_start", "toc_end"
     )
 
 
