@@ -66,13 +66,18 @@ def usable_block(blocks: DataFrame, width: str = "page_width", height: str = "pa
 # ---------------------------------------------------------------- placement
 
 
-def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(box, block) pairs where the box centre lies in the block, on the same page.
+def _placed(blocks: DataFrame) -> DataFrame:
+    """Blocks that a box can lie in, with their trimmed text."""
+    fit = ~is_blank("text") & (F.col("by0") <= F.col("by1")) & F.col("bx0").isNotNull() & F.col("bx1").isNotNull()
+    return blocks.filter(fit).select(*BLOCK, "bx0", "by0", "bx1", "by1", trim_u("text").alias("block_text"))
+
+
+def _pairs(boxes: DataFrame, placed: DataFrame) -> DataFrame:
+    """(box, block) pairs where the box centre lies in the block, on the same page, with the text's length.
 
     Pages are cut into horizontal bands, as many as their boxes call for; a box falls into one band, a
     block into those it covers.  Ordinary pages have one band and nothing is repeated, a page with
-    millions of boxes is spread over thousands of join keys.  Rectangles meet without their texts, which
-    are joined to the pairs that are left.
+    millions of boxes is spread over thousands of join keys.  Rectangles meet without their texts.
     """
     bands = boxes.groupBy("doc_id", "page_no").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / BAND_BOXES)).cast("int").alias("_bands")
@@ -83,41 +88,47 @@ def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     left = boxes.join(bands, ["doc_id", "page_no"]).withColumns({"_cx": cx, "_cy": cy}).withColumn("_band", band(F.col("_cy")))
-    placed = blocks.filter(~is_blank("text") & (F.col("by0") <= F.col("by1")) & F.col("bx0").isNotNull() & F.col("bx1").isNotNull())
-    right = placed.join(bands, ["doc_id", "page_no"]).select(
-        *BLOCK, "bx0", "by0", "bx1", "by1",
+    right = placed.withColumn("_length", F.length("block_text")).join(bands, ["doc_id", "page_no"]).select(
+        *BLOCK, "bx0", "by0", "bx1", "by1", "_length",
         F.explode(F.sequence(band(F.col("by0")), band(F.col("by1")))).alias("_band"),
     )
     pairs = left.join(right, ["doc_id", "page_no", "_band"]).filter(
         F.col("_cx").between(F.col("bx0"), F.col("bx1")) & F.col("_cy").between(F.col("by0"), F.col("by1"))
     )
-    pairs = pairs.select(*BOX, "block_no", "x0", "y0", "x1", "y1")
-    return pairs.join(placed.select(*BLOCK, trim_u("text").alias("block_text")), BLOCK).select(*pairs.columns, "block_text")
+    return pairs.select(*BOX, "block_no", "x0", "y0", "x1", "y1", "_length")
 
 
-def allocate_text(matches: DataFrame) -> DataFrame:
-    """Block texts cut over their boxes in proportion to width: (doc_id, page_no, box_no, text).
+def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(box, block) pairs where the box centre lies in the block, on the same page, with the block's text."""
+    placed = _placed(blocks)
+    return _pairs(boxes, placed).drop("_length").join(placed.select(*BLOCK, "block_text"), BLOCK)
+
 
-    Widths are added as decimals, so the cut does not depend on the order of addition; twenty digits
-    keep equal widths equal, which decides ties.
+def _allocated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Block texts cut over their boxes in proportion to width.
+
+    One aggregate gives each block's width and last box, one scan over ids and numbers each box's start; a
+    block's text is read beside its boxes only where they are cut from it.  Widths are added as decimals, so
+    the cut does not depend on the order of addition; twenty digits keep equal widths equal, which decides ties.
     """
     width = F.greatest(F.lit(0.001), F.col("x1") - F.col("x0"))
-    exact = width.cast("decimal(28,20)")
-    sized = ordered_scan(
-        matches.withColumn("_w", width), BLOCK, ["box_no"],
-        {"_total": total(exact), "_n": total(F.lit(1)), "_i": sum_before(F.lit(1))},
-    )
+    whole = pairs.groupBy(*BLOCK).agg(F.sum(width.cast("decimal(28,20)")).cast("double").alias("_total"), F.max("box_no").alias("_last"))
+    chars = F.bround(F.col("_length") * (width / F.col("_total")), 0).cast("int")
+    sized = pairs.join(whole, BLOCK).select(*BOX, "block_no", chars.alias("_chars"), (F.col("box_no") == F.col("_last")).alias("_ends"))
+    cut = ordered_scan(sized, BLOCK, ["box_no"], {"_start": sum_before(F.col("_chars"))}).join(texts, BLOCK)
     text = F.col("block_text")
-    chars = F.bround(F.length(text) * (F.col("_w") / F.col("_total").cast("double")), 0).cast("int")
-    cut = ordered_scan(sized.withColumn("_chars", chars), BLOCK, ["box_no"], {"_start": sum_before(F.col("_chars"))})
-    last = F.col("_i") == F.col("_n") - 1
-    size = F.when(last, F.length(text)).otherwise(F.col("_chars"))
-    piece = F.substring(text, (F.col("_start") + 1).cast("int"), size)
-    pieces = cut.withColumn("_piece", piece).filter(F.col("_piece") != "")
+    size = F.when(F.col("_ends"), F.length(text)).otherwise(F.col("_chars"))
+    pieces = cut.select(*BOX, "block_no", F.substring(text, (F.col("_start") + 1).cast("int"), size).alias("_piece")).filter(F.col("_piece") != "")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "_piece"))), lambda p: p["_piece"]), " ")
     return pieces.groupBy(*BOX).agg(joined.alias("text"))
 
 
+def allocate_text(matches: DataFrame) -> DataFrame:
+    """Texts of matched blocks cut over their boxes in proportion to width: (doc_id, page_no, box_no, text)."""
+    texts = matches.groupBy(*BLOCK).agg(F.any_value("block_text").alias("block_text"))
+    return _allocated(matches.withColumn("_length", F.length("block_text")).drop("block_text"), texts)
+
+
 def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
     """Cut 4 to 2 characters that end a line and start the next one on the page."""
     out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], {"_next": following(F.col(text))})
@@ -133,7 +144,8 @@ def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
 
 def spatial_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Text of every box from the blocks around it, '' where there is none."""
-    texts = allocate_text(spatial_assign(boxes, blocks))
+    placed = _placed(blocks)
+    texts = _allocated(_pairs(boxes, placed), placed.select(*BLOCK, "block_text"))
     every = boxes.join(texts, BOX, "left").withColumn("text", F.coalesce("text", F.lit("")))
     return trim_overlap(every)
 

@@ -137,9 +137,9 @@ def allocate_text(v: Views):
     return O.allocate_text(O.spatial_assign(v.line_boxes, v.layout_blocks))
 
 
-@query("trim_overlap", _trim_sql("SELECT doc_id, page_no, box_no, CASE WHEN box_no % 2 = 0 THEN concat(left(s, 9), ' the') ELSE concat('the ', s) END AS text FROM line_boxes"))
+@query("trim_overlap", _trim_sql("SELECT doc_id, page_no, box_no, CASE WHEN box_no % 2 = 0 THEN concat(s, ' the') ELSE concat('the ', s) END AS text FROM line_boxes"))
 def trim_overlap(v: Views):
-    rows = v.sql("SELECT doc_id, page_no, box_no, CASE WHEN box_no % 2 = 0 THEN concat(left(s, 9), ' the') ELSE concat('the ', s) END AS text FROM line_boxes")
+    rows = v.sql("SELECT doc_id, page_no, box_no, CASE WHEN box_no % 2 = 0 THEN concat(s, ' the') ELSE concat('the ', s) END AS text FROM line_boxes")
     return O.trim_overlap(rows)
 
 

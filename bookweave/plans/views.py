@@ -121,11 +121,14 @@ VIEWS: dict[str, str | dict[str, str]] = {
                      CAST(length(s) % 40 AS DOUBLE) / 100 AS x0, CAST(seq % 20 AS DOUBLE) / 25 AS y0,
                      CAST(0.05 AS DOUBLE) + CAST((length(s) + seq) % 13 AS DOUBLE) / 18 AS w
               FROM sentences) b""",
-    "layout_blocks": """
-        SELECT doc_id, page_no, half AS block_no, s AS text, CAST(0.05 AS DOUBLE) AS bx0, CAST(half AS DOUBLE) * 2 / 5 AS by0,
+    "layout_blocks": {
+        engine: f"""
+        SELECT doc_id, page_no, half AS block_no, text, CAST(0.05 AS DOUBLE) AS bx0, CAST(half AS DOUBLE) * 2 / 5 AS by0,
                CAST(0.8 AS DOUBLE) AS bx1, CAST(half AS DOUBLE) * 2 / 5 + CAST(0.55 AS DOUBLE) AS by1
-        FROM (SELECT doc_id, CAST(floor(seq / 20) AS BIGINT) AS page_no, CAST(floor(seq % 20 / 10) AS BIGINT) AS half, s
-              FROM sentences WHERE seq % 10 = 0) b""",
+        FROM (SELECT doc_id, CAST(floor(seq / 20) AS BIGINT) AS page_no, CAST(floor(seq % 20 / 10) AS BIGINT) AS half, {joined} AS text
+              FROM sentences GROUP BY doc_id, CAST(floor(seq / 20) AS BIGINT), CAST(floor(seq % 20 / 10) AS BIGINT)) b"""
+        for engine, joined in (("spark", "array_join(transform(sort_array(collect_list(struct(seq, s))), p -> p.s), ' ')"), ("duckdb", "string_agg(s, ' ' ORDER BY seq)"))
+    },
     "perbox_texts": """
         SELECT doc_id, page_no, box_no, x0, y0, x1, y1,
                CASE (doc_id + box_no) % 4 WHEN 0 THEN '' WHEN 1 THEN substr(s, 1, 2) ELSE s END AS text
