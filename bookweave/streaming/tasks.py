@@ -7,6 +7,7 @@ admits, so ``maxFilesPerTrigger`` bounds the rows of even the busiest task.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -105,44 +106,64 @@ def idle_sessions(events: DataFrame, gap: str) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 
-def write_task_snapshot(states: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the latest state of all tasks at ``path``: one folder per batch, named by its number.
+def write_task_snapshot(
+    states: DataFrame, path: str, checkpoint: str, every: str | None = None, compact_every: int = 10
+) -> StreamingQuery:
+    """Keep the latest state of all tasks at ``path`` as a log of changes: a batch writes its own tasks only.
 
-    A folder appears whole, so readers of :func:`read_task_snapshot` see the state before or after a
-    batch, and a replayed batch overwrites its own folder.
+    Every ``compact_every`` batches the log is merged into a base.  Folders appear whole and are named by the
+    batch's number, so a replayed batch overwrites its own changes and a base that is there is not made again.
+    What a base replaced goes with the base after it, so readers under way keep their files.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _snapshots(spark, path, below=number)
-        new = batch.select("*", F.lit(number).cast("bigint").alias("_batch"))
-        if before:
-            new = new.unionByName(spark.read.parquet(f"{path}/batch={before[-1]}").withColumn("_batch", F.lit(-1).cast("bigint")))
-        row = F.struct(*[c for c in batch.columns])
-        latest = new.groupBy("task_id").agg(F.max_by(row, F.struct("_batch", "updated_at")).alias("_r")).select("_r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes={number}")
+        if (number + 1) % compact_every == 0:
+            compact_task_snapshot(batch.sparkSession, path, number)
 
     writer = states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _snapshots(spark: SparkSession, path: str, below: int | None = None) -> list[int]:
-    """Numbers of the complete snapshots."""
+def compact_task_snapshot(spark: SparkSession, path: str, upto: int) -> None:
+    """Merge the changes up to a batch into a base and remove what the base before it had replaced."""
+    bases = _folders(spark, path, "base")
+    if upto in bases:
+        return
+    _newest(spark, path, upto).write.mode("overwrite").parquet(f"{path}/base={upto}")
+    if not bases:
+        return
+    gone = [f"base={b}" for b in bases if b < bases[-1]] + [f"changes={c}" for c in _folders(spark, path, "changes") if c <= bases[-1]]
+    for name in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the complete folders of a kind."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    found = []
-    for s in fs.listStatus(root):
-        name = s.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-        if name.startswith("batch=") and fs.exists(done):
-            found.append(int(name.split("=")[1]))
-    return sorted(n for n in found if below is None or n < below)
+    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _newest(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The newest row of each task in the last base and the changes behind it."""
+    until = lambda kind: [n for n in _folders(spark, path, kind) if upto is None or n <= upto]
+    base = until("base")[-1:]
+    names = [("base", n) for n in base] + [("changes", n) for n in until("changes") if not base or n > base[0]]
+    if not names:
+        raise ValueError(f"no snapshot at {path}")
+    parts = [spark.read.parquet(f"{path}/{kind}={n}").withColumn("_batch", F.lit(n).cast("bigint")) for kind, n in names]
+    rows = reduce(DataFrame.unionByName, parts)
+    row = F.struct(*[c for c in rows.columns if c != "_batch"])
+    return rows.groupBy("task_id").agg(F.max_by(row, "_batch").alias("_r")).select("_r.*")
 
 
 def read_task_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/batch={_snapshots(spark, path)[-1]}")
+    return _newest(spark, path)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -101,3 +101,27 @@ def test_ring_keeps_twenty_after_the_end(spark, frame, tmp_path):
     got = run(S.log_ring(S.read_task_events(spark, str(tmp_path / "in"))), tmp_path, "update").first()
     assert got.n == 20 and got.lines[-1] == "end" and got.lines[0] == "line 581"
     assert B.log_ring(spark.createDataFrame(rows, S.EVENT_SCHEMA)).count() == 20
+
+
+def test_snapshot_is_a_compacted_log(spark, frame, tmp_path):
+    """Batches write their own tasks; bases replace them, one generation later; replays change nothing."""
+    import os
+
+    schema = "task_id bigint, status string, updated_at timestamp"
+    path = str(tmp_path / "log")
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    for n in range(7):
+        rows = [(n % 3, f"s{n}", at(n)), (100 + n, "new", at(n))]
+        frame(rows, schema).coalesce(1).write.parquet(f"{path}/changes={n}")
+        if n % 2:
+            S.compact_task_snapshot(spark, path, n)
+            S.compact_task_snapshot(spark, path, n)
+    assert sorted(os.listdir(path)) == ["base=3", "base=5", "changes=4", "changes=5", "changes=6"]
+    want = [(0, "s6"), (1, "s4"), (2, "s5"), *((100 + n, "new") for n in range(7))]
+    read = lambda: sorted((r.task_id, r.status) for r in S.read_task_snapshot(spark, path).collect())
+    assert read() == want
+    frame([(2, "s5", at(5)), (105, "new", at(5))], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/changes=5")
+    S.compact_task_snapshot(spark, path, 5)
+    assert read() == want
+    with pytest.raises(ValueError):
+        S.read_task_snapshot(spark, str(tmp_path / "none"))
