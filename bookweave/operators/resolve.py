@@ -23,17 +23,17 @@ def _grams(c: Column, n: Column) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, n))))
 
 
-def _place(gram: str) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BITS))
+def asked_only(df: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` that may have a partner in ``asked`` by ``keys``, before anything is shuffled.
 
-
-def _asked_bits(picked: DataFrame) -> Column:
-    """A filter of the picked pieces: BITS bits in 64-bit words, one value whatever their number."""
-    word = lambda c: F.shiftright(c, 6)
-    own = picked.select(_place("_gram").alias("p")).select(word("p").alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
-    every = picked.sparkSession.range(BITS // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    The keys asked for set bits of a filter of BITS bits, one value whatever their number."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(BITS))
+    own = asked.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
+    every = asked.sparkSession.range(BITS // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
     words = own.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
-    return words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("s")).select(F.col("s.b")).scalar()
+    bits = words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("s")).select(F.col("s.b")).scalar()
+    at = df.withColumn("_p", place)
+    return at.filter(F.getbit(F.get(bits, F.shiftright("_p", 6).cast("int")), F.expr("CAST(_p & 63 AS INT)")) == 1).drop("_p")
 
 
 def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str) -> DataFrame:
@@ -52,8 +52,7 @@ def contains_join(needles: DataFrame, hay: DataFrame, needle: str, text: str) ->
     picked = asked.join(shared, "_gram").groupBy(needle).agg(F.min(F.struct("_n", "_gram")).alias("_pick")).select(needle, "_pick._gram")
     none = F.array().cast("array<string>")
     every = F.flatten(F.transform(F.array(*map(F.lit, SIZES)), lambda n: F.coalesce(_grams(F.col(text), n), none)))
-    set_ = F.getbit(F.get(_asked_bits(picked), F.shiftright("_p", 6).cast("int")), F.expr("CAST(_p & 63 AS INT)")) == 1
-    posted = hay.select(text, F.explode(every).alias("_gram")).withColumn("_p", _place("_gram")).filter(set_)
+    posted = asked_only(hay.select(text, F.explode(every).alias("_gram")), picked, ["_gram"])
     posted = posted.select(text, "_gram", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int").alias("_salt"))
     looked = picked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return posted.join(looked, ["_gram", "_salt"]).filter(F.contains(F.col(text), F.col(needle))).select(needle, text)

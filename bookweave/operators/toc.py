@@ -11,6 +11,7 @@ from ..functions.text import cjk_ratio, is_blank, let, nonempty, title_key, trim
 from . import ordered
 from .merging import merge_tocs  # noqa: F401
 from .ordered import Scan, fill, fill_next, following, least_of, ordered_scan, previous, top_per_group, total
+from .resolve import asked_only
 
 # ---------------------------------------------------------------- pages
 
@@ -218,20 +219,38 @@ def _bare(c) -> Column:
     return F.regexp_replace(c, "(?U)[\\s.\\-—·…]", "")
 
 
+#: Characters of a slice of a text.
+SLICE = 4096
+
+
+def _openings(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked (doc_id, _open) that occur in their document's text.
+
+    Texts are cut into slices, which are dealt over the cluster; a slice takes the end of the one before
+    along.  Of a slice's pieces of four characters only those that some entry may ask for go further.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = F.regexp_extract_all(_bare("text"), F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))
+    led = lambda s, i: F.concat(F.coalesce(F.right(F.get(s, i - 1), F.lit(3)), F.lit("")), F.get(s, i))
+    whole = let(cut, lambda s: F.transform(s, lambda _, i: led(s, i)))
+    slices = texts.select("doc_id", F.posexplode(whole).alias("_k", "_slice")).repartition(parts, "doc_id", "_k")
+    every = F.array_distinct(F.regexp_extract_all("_slice", F.lit("(?s)(?=(.{4}))"), F.lit(1)))
+    pieces = asked_only(slices.select("doc_id", F.explode(every).alias("_open")), asked, ["doc_id", "_open"])
+    return pieces.join(asked, ["doc_id", "_open"], "left_semi").distinct()
+
+
 def cross_validate(entries: DataFrame, texts: DataFrame, min_ratio: float = 0.3) -> DataFrame:
     """Entries whose first four characters occur in the document's text; short titles pass.
 
-    If too few of at least three entries match, the text is taken to be unusable and all stay.  Each
-    text is shuffled once and searched once per distinct opening of the document's titles.
+    If too few of at least three entries match, the text is taken to be unusable and all stay.
     """
     e = entries.withColumn("_t", _bare("title")).withColumn("_open", F.when(F.length("_t") >= 4, F.left("_t", F.lit(4))))
-    body = texts.filter(~is_blank("text")).select("doc_id", _bare("text").alias("_b"))
-    asked = e.select("doc_id", "_open").distinct()
-    found = asked.join(body, "doc_id").select("doc_id", "_open", F.coalesce(F.contains("_b", "_open"), F.lit(False)).alias("_m"))
-    same = e.join(
-        found.withColumnsRenamed({"doc_id": "_d", "_open": "_o"}),
-        (F.col("doc_id") == F.col("_d")) & F.col("_open").eqNullSafe(F.col("_o")), "left",
-    )
+    full = texts.filter(~is_blank("text"))
+    asked = e.filter(F.col("_open").isNotNull()).select("doc_id", "_open").distinct()
+    found = _openings(full, asked).select(F.col("doc_id").alias("_d"), F.col("_open").alias("_o"))
+    read = full.select(F.col("doc_id").alias("_r")).distinct()
+    same = e.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("_open") == F.col("_o")), "left").join(read, F.col("doc_id") == F.col("_r"), "left")
+    same = same.withColumn("_m", F.when(F.col("_r").isNotNull(), F.col("_o").isNotNull()))
     counted = ordered_scan(
         same.select(*entries.columns, "_open", "_m"), ["doc_id"], ["seq"],
         {"_matched": total(F.coalesce("_m", F.lit(False)).cast("bigint")), "_n": total(F.lit(1))},

@@ -1,5 +1,7 @@
 """Literal cases for contents lists."""
 
+import pytest
+
 from bookweave.operators import resolve as R
 from bookweave.operators import toc as T
 from bookweave.operators.batch import map_pages, plan_batches
@@ -148,3 +150,29 @@ def test_codes_with_signs_find_their_files(frame):
     req = frame([(1, "x", "a_b"), (2, "x", "c.d"), (3, "x", "e_f"), (4, "plain", ""), (5, "x", "a")], "id bigint, name string, code string")
     got = {r.id: r.file_name for r in R.match_files(req, files, "id").collect()}
     assert got == {1: "a_b_title.pdf", 2: "c.d.epub", 4: "plain", 5: "a_b_title.pdf"}
+
+
+@pytest.mark.parametrize("size", [5, 4096])
+def test_openings_in_slices_equal_a_search(frame, monkeypatch, size):
+    import random
+    import re
+
+    monkeypatch.setattr(T, "SLICE", size)
+    r = random.Random(2)
+    letters = "abcd 章—.\n😀"
+    make = lambda n: "".join(r.choice(letters) for _ in range(n))
+    texts = {d: make(r.randint(0, 60)) for d in range(12)} | {12: make(9000), 13: None, 14: " "}
+    entries = [(d, i, make(r.randint(0, 9)), i) for d in range(16) for i in range(12)] + [(None, 0, "abcd", 1)]
+    bare = lambda t: re.sub(r"[\s.\-—·…]", "", t or "")
+    want = []
+    for d in {e[0] for e in entries}:
+        own = [e for e in entries if e[0] == d]
+        text = texts.get(d)
+        if not (text or "").strip():
+            want += own
+            continue
+        hit = [len(bare(e[2])) >= 4 and bare(e[2])[:4] in bare(text) for e in own]
+        short = [len(bare(e[2])) < 4 for e in own]
+        want += own if len(own) >= 3 and sum(hit) / len(own) < 0.3 else [e for e, h, s in zip(own, hit, short) if h or s]
+    got = T.cross_validate(frame(entries, "doc_id bigint, seq bigint, title string, page bigint"), frame(list(texts.items()), "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
