@@ -51,18 +51,35 @@ def _lookup(table: dict[str, int]) -> Column:
     return F.expr("map(" + ", ".join(f"'{k}', {n}L" for k, n in table.items()) + ")")
 
 
+def _numeral(c: Column) -> Column:
+    """Value of one Chinese numeral, NULL for any other character."""
+    small = [w for w, n in CN_DIGITS.items() if n <= 10]  # in the order of their values
+    place = F.instr(F.lit("".join(small)), c)
+    return F.when(c == "百", 100).when(c == "千", 1000).when((F.length(c) == 1) & (place > 0), place - 1).cast("bigint")
+
+
+def _cn_value(t: Column) -> Column:
+    """Chinese numeral in the range of ``cn_numerals``: X, 十X, X十 or X十Y."""
+    at = lambda i: F.substring(t, i, 1)
+    return (
+        F.when(F.length(t) == 1, _numeral(t))
+        .when((F.length(t) == 2) & (at(1) == "十"), _numeral(at(2)) + 10)
+        .when((F.length(t) == 2) & (at(2) == "十"), _numeral(at(1)) * 10)
+        .when((F.length(t) == 3) & (at(2) == "十"), _numeral(at(1)) * 10 + _numeral(at(3)))
+    )
+
+
 def cn_to_int(c) -> Column:
-    return F.try_element_at(_lookup(cn_numerals()), trim_u(c))
+    return let(trim_u(c), _cn_value)
 
 
 def page_number(c) -> Column:
     """Digits, Roman i..xxv or a Chinese numeral as a number, else NULL."""
-    words = _lookup(roman_numerals() | cn_numerals())
     return let(
         trim_u(c),
-        lambda t: F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")).when(
-            F.length(t).between(1, 5), F.try_element_at(words, F.lower(t))
-        ),
+        lambda t: F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint"))
+        .when(t.rlike("^[ivxIVX]{1,5}$"), F.try_element_at(_lookup(roman_numerals()), F.lower(t)))
+        .otherwise(_cn_value(t)),
     )
 
 

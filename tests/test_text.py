@@ -153,3 +153,12 @@ def test_progress_and_stage(one):
 )
 def test_template_names(one, template, title, name):
     assert one(lambda t: X.apply_template(template, {"title": t}), title) == name
+
+
+def test_every_numeral_of_the_tables(spark):
+    cn, roman = L.cn_numerals(), L.roman_numerals()
+    words = [*cn, *roman, *(r.upper() for r in roman), "xxvi", "iiii", "十十十", "一一", "百", "", "12", "〇", "xviii", "一十"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", L.cn_to_int("w").alias("c"), L.page_number("w").alias("p")).collect()
+    for r in rows:
+        assert r.c == cn.get(r.w), r.w
+        assert r.p == (int(r.w) if r.w.isdigit() and r.w.isascii() else cn.get(r.w, roman.get(r.w.lower()))), r.w
