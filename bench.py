@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from bookweave.plans import registry  # noqa: E402
-from bookweave.session import local_session  # noqa: E402
+from bookweave.session import local_session, ship_package  # noqa: E402
 
 # Query, and the table whose rows give its throughput.
 HEADLINES = {
@@ -36,6 +36,7 @@ HEADLINES = {
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")))
+    ship_package(spark)
     registry.load()
     from bookweave.plans.views import Views
 
