@@ -165,8 +165,9 @@ def merge_tocs(tocs: DataFrame) -> DataFrame:
     titles before.  All of it is one plan, whatever the sizes of books; only the last pass over the links of
     unsettled titles is in order of the book.
     """
-    keyed = tocs.filter(nonempty("title").isNotNull()).withColumn("_key", title_key(trim_u("title")))
-    left = top_per_group(keyed, ["doc_id", "_key"], [F.col(o) for o in ORDER]).select("doc_id", *PLACE, "title", "page")
+    keyed = tocs.filter(nonempty("title").isNotNull()).withColumn("_key", title_key(trim_u("title"))).select("doc_id", *PLACE, "title", "page")
+    # Dealt here, so that all that reads the titles below reads this one exchange.
+    left = top_per_group(keyed.repartition("doc_id", "_key"), ["doc_id", "_key"], [F.col(o) for o in ORDER])
     folded = _fold(left)
     tail = _settled(_unlike(left, folded)).select("_group.doc_id", *ORDER, "title", "page")
     kept = folded.select("doc_id", F.inline("_added")).select(*tail.columns).unionByName(tail)
