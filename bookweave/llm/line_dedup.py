@@ -107,7 +107,7 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame, n_lines: str | None = None,
     if n_lines:
         counts.append(F.col(P + "n").cast("long").alias(n_lines))
     if n_dropped:
-        counts.append(F.coalesce(F.size(P + "gone"), F.lit(0)).cast("long").alias(n_dropped))
+        counts.append(F.coalesce(F.array_size(P + "gone"), F.lit(0)).cast("long").alias(n_dropped))
     made = F.when(F.col(P + "left").isNotNull(), text).otherwise(F.col("text")).alias("text")
     return df.select(*(made if c == "text" else F.col(c) for c in docs.columns), *counts)
 

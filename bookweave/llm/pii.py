@@ -194,5 +194,5 @@ def sanitise(docs: DataFrame, disclosure: float = 0.9, least: int = 3) -> DataFr
 
 def op3_pii(docs: DataFrame) -> DataFrame:
     spans = find_spans(docs.select("doc_id", "text"))
-    n = lambda k: F.coalesce(F.size(P + k), F.lit(0)).cast("long").alias(f"n_{k}")
+    n = lambda k: F.coalesce(F.array_size(P + k), F.lit(0)).cast("long").alias(f"n_{k}")
     return spans.select("doc_id", *(n(k) for k in KINDS[:4]), F.sha2(joined(KINDS[:4]), 256).alias("base_sha256"), joined(KINDS).alias("spans"), n("term"))

@@ -315,3 +315,18 @@ def test_packing_query(spark):
     rows = packing.op13_packing(docs)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert rows.count() >= len(ODD) and packing.op13_packing(docs.limit(0)).count() == 0
+
+
+def test_counts_of_nothing_whatever_the_session_says(spark):
+    """size(NULL) is -1 outside ANSI mode; counts stay 0."""
+    from bookweave.llm import line_dedup, pii
+
+    docs = spark.createDataFrame([(1, None, "x", 1), (2, "", "x", 1), (3, "a line that is long\nb", "x", 1), (4, "a line that is long", "x", 1)], DOCS)
+    for ansi in ("false", "true"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            dropped = {r.doc_id: r.n_dropped for r in line_dedup.op6_line_dedup(docs).collect()}
+            found = {(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.op3_pii(docs).collect()}
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        assert dropped == {1: 0, 2: 0, 3: 0, 4: 1} and found == {(0, 0, 0, 0)}
