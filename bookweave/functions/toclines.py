@@ -31,6 +31,17 @@ DOT_LEADER = "(?U)[.…·]{2,}\\s*\\S+"
 TAB_NUMBER = "(?mU)\\t\\S+\\s*$"
 DOTS_ONLY = "(?U)^[.…·•\\s~\\-—]{3,}$"
 DOTS_AT_END = "(?U)[.…·]{2,}\\s*$"
+#: A title, its leader or gap, and its page; marks of headings without a page; what stands in front of a title.
+LEADER_LINE = "(?U)^[-*]?\\s*(.+?)\\s*[.…·]{2,}\\s*(\\S+)\\s*$"
+GAP_LINE = "(?U)^(.+?)\\s+(\\d+)\\s*$"
+DIGITS_LINE = "(?U)^(.+?)\\s+([0-9]+)\\s*$"
+TAB_LINE = "(?s)^(.*)\\t([^\\t]*)$"
+LONG_LEADER = "(?U)\\s*[·.…]{3,}\\s*"
+NUMBERED = "(?U)^\\d+(\\.\\d+)*\\s+"
+ENUMERATED = "[一二三四五六七八九十]+、"
+BULLETS = "^[·•\\- \\t]+"
+SKIP_WORDS = ["---", "章节", "标题"]
+TITLE_HEADERS = ["目录", "目  录", "目 录", "Table of Contents"]
 BACK_MATTER = ["附录", "参考文献", "参考书目", "索引", "后记", "跋", "补遗", "术语表", "名词索引", "人名索引"]
 
 
@@ -124,28 +135,25 @@ def parse_toc_line(c) -> Column:
                 lambda p: F.when(F.size(p) >= 2, entry(clean_title(F.get(p, 0)), page_number(F.try_element_at(p, F.lit(-1))))),
             ),
         )
-        leader = "(?U)^[-*]?\\s*(.+?)\\s*[.…·]{2,}\\s*(\\S+)\\s*$"
         dots = F.when(
             line.rlike("[.…·]{2}"),
-            entry(clean_title(F.regexp_extract(line, leader, 1)), page_number(F.regexp_extract(line, leader, 2))),
+            entry(clean_title(F.regexp_extract(line, LEADER_LINE, 1)), page_number(F.regexp_extract(line, LEADER_LINE, 2))),
         )
-        trailing = "(?U)^(.+?)\\s+(\\d+)\\s*$"
         number = F.when(
             line.rlike("(?U)\\s\\d+$"),
             entry(
-                clean_title(_unbullet(F.regexp_extract(line, trailing, 1))),
-                F.regexp_extract(line, trailing, 2).try_cast("bigint"),
+                clean_title(_unbullet(F.regexp_extract(line, GAP_LINE, 1))),
+                F.regexp_extract(line, GAP_LINE, 2).try_cast("bigint"),
                 positive=True,
             ),
         )
         return F.coalesce(tab, pipe, dots, number)
 
     def usable(line: Column) -> Column:
-        return (
-            (F.length(line) >= 3)
-            & ~line.isin(HEADER_LINES)
-            & ~F.contains(line, F.lit("---")) & ~F.contains(line, F.lit("章节")) & ~F.contains(line, F.lit("标题"))
-        )
+        plain = (F.length(line) >= 3) & ~line.isin(HEADER_LINES)
+        for word in SKIP_WORDS:
+            plain = plain & ~F.contains(line, F.lit(word))
+        return plain
 
     found = let(trim_u(c), lambda line: F.when(usable(line), parsed(line)))
     return let(found, lambda e: F.when(e["title"] != "", e))
@@ -174,8 +182,7 @@ def toc_title_only(c) -> Column:
     """Title of one line of a page-less contents list, NULL for headers and fragments."""
     line = trim_u(c)
     title = trim_u(F.regexp_replace(line, "(?U)^[\\s.\\d\\-—·•●○■□▪▫]+", ""))
-    skip = ["目录", "目  录", "目 录", "Table of Contents"]
-    return F.when((F.length(line) >= 3) & ~line.isin(skip) & (F.length(title) >= 3), title)
+    return F.when((F.length(line) >= 3) & ~line.isin(TITLE_HEADERS) & (F.length(title) >= 3), title)
 
 
 def solid_title(c) -> Column:

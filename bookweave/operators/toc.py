@@ -476,13 +476,12 @@ def _indented_entry(line: Column) -> Column:
         return F.when((e["title"] != "") & e["page"].isNotNull(), e)
 
     def read(t: Column) -> Column:
-        tabbed, trailing = "(?s)^(.*)\\t([^\\t]*)$", "(?U)^(.+?)\\s+([0-9]+)\\s*$"
-        by_tab = let(_found(tidy(F.regexp_extract(t, tabbed, 1)), L.page_number(F.regexp_extract(t, tabbed, 2))), checked)
-        number = F.regexp_extract(t, trailing, 2).try_cast("bigint")
-        by_number = let(_found(tidy(F.regexp_extract(t, trailing, 1)), F.when(number > 0, number)), checked)
+        by_tab = let(_found(tidy(F.regexp_extract(t, L.TAB_LINE, 1)), L.page_number(F.regexp_extract(t, L.TAB_LINE, 2))), checked)
+        number = F.regexp_extract(t, L.DIGITS_LINE, 2).try_cast("bigint")
+        by_number = let(_found(tidy(F.regexp_extract(t, L.DIGITS_LINE, 1)), F.when(number > 0, number)), checked)
         return F.coalesce(F.when(F.contains(t, F.lit("\t")), by_tab), F.when(t.rlike("(?U)\\s[0-9]+$"), by_number))
 
-    return F.when(usable, let(F.regexp_replace(line, "(?U)\\s*[·.…]{3,}\\s*", "\t"), read))
+    return F.when(usable, let(F.regexp_replace(line, L.LONG_LEADER, "\t"), read))
 
 
 def _free_entry(line: Column, e: Column) -> Column:
@@ -490,11 +489,11 @@ def _free_entry(line: Column, e: Column) -> Column:
 
     def heading(clean: Column) -> Column:
         marked = (
-            clean.rlike(L.CHAPTER_MARK) | clean.rlike("(?U)^\\d+(\\.\\d+)*\\s+") | clean.rlike("[一二三四五六七八九十]+、")
+            clean.rlike(L.CHAPTER_MARK) | clean.rlike(L.NUMBERED) | clean.rlike(L.ENUMERATED)
         )
         return F.when((F.length(clean) >= 2) & marked, _found(clean, F.lit(None).cast("bigint")))
 
-    clean = trim_u(F.regexp_replace(line, "^[·•\\- \\t]+", ""))
+    clean = trim_u(F.regexp_replace(line, L.BULLETS, ""))
     return F.when(usable, F.when(e.isNotNull(), _found(e["title"], e["page"])).otherwise(let(clean, heading)))
 
 
