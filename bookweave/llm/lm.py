@@ -1,47 +1,47 @@
-"""Language-model scores from counts of all n-grams, the frequent ones in an Elias-Fano trie.
-
-Counting runs over all training texts: words, and runs of three tokens with two starts in front of each text.
-Nothing is cut: every pair and triple of the training texts is in the model, whatever the size of the corpus.
-Pairs, contexts and their continuations are aggregations of the triples, dealt by hash.
-
-Probabilities are by interpolated absolute discounting over the add-one unigram (c + 1) / (N + V + 1): a seen
-n-gram has (c - d) / c(context), and the context's d * (different continuations) / c(context) times the shorter
-context's probability is added to it; an unseen context leaves the shorter one.
-
-Lookup: triples from one in a million tokens on (a million at most) go to the tasks as a trie of Elias-Fano
-ranges with word ids relative to their context, probabilities quantised to a byte, memory-mapped by each worker;
-a word is searched as the successor of its id within the context's range.  All other triples of a text are
-counted within it and joined by their hash with the table of all triples, in which no such key is frequent in
-the training texts.  Likewise words from one in a million on (a million at most) have their exact counts in
-each task, and rarer ones come by a join.  The trie saves moving frequent triples; it decides nothing.
+"""Language-model scores by an n-gram trie in Elias-Fano form, built and asked in shards.
+
+Model: words, pairs and triples of all training texts, nothing cut.  Interpolated absolute discounting over the
+add-one unigram p1 = (c + 1) / (N + V + 1): a seen n-gram has (c - d) / c(context), and the context's weight
+d * (different continuations) / c(context) times the shorter context's probability is added to it; an unseen
+context leaves the shorter one.  A text's first token has p1; the second has the start in front of its context.
+A word v seen ``SPLIT`` times or more has several contexts, 1 + c(v) // SPLIT of them, chosen by a hash of the word
+before it, so the pairs of a frequent word have as many homes.  Every probability and weight is its log10 in steps of
+1 / ``STEPS``, one byte; the steps are fixed, so equal counts give equal scores in a corpus of any size.
+
+Jobs: texts are cut into words once and written in pieces of a bounded number of bytes, each with its own list of
+words.  Counts of words come from those lists, are joined to them and go back to their piece.  Then each
+token is dealt, with the two before it, to the shard of its context: there every count but the unigram's is at
+home.  A shard counts its training tokens, builds its trie (words, pairs and triples with ids relative to their
+context) and answers all its tokens by successor search; answers are summed by text.  Shards have about
+``TOKENS`` tokens, so their number grows with the corpus.  A lost executor's pieces, shards and answers are made anew
+from the written tables.
 
 Defined results: null text counts as empty and has the one end token; a null ``doc_id`` is neither held out
 nor learned from; repeated rows each get their row; without training tokens every known count is 0; an empty
-table gives an empty result.
+table gives an empty result; other columns pass, and those named as a result are replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .eliasfano import Trie
+from .eliasfano import STEPS, Trie, codes_of
 from .shared import written
 
 U = np.uint64
 END = U(0x2545F4914F6CDD1D)
 START = U(0x51ED270B35AE2D19)
-#: Least shares of the training tokens for what tasks hold: words with exact counts, triples of the trie.
-KNOWN, KEPT = 1e-6, 1e-6
 DISCOUNT = 0.75
-#: Bits of a word's id in keys of pairs and triples.
-SHIFT = U(24)
+#: Bytes and rows of a piece (one longer text is a piece of its own), tokens of a shard, uses of a word's context.
+PIECE, ROWS, TOKENS, SPLIT = 16 << 20, 1 << 16, 1 << 22, 1 << 20
+MADE = ("n_tokens", "n_known", "base_score", "score")
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,208 +51,215 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at + np.arange(len(at))
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(hash, c) of the tokens of all texts, combined in each task first."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = W.Counter()
-
-        def out(found) -> Iterator[pa.RecordBatch]:
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].astype(np.int64))], ["hash", "c"])
-
-        for batch in batches:
-            for _, _, data, offsets in W.chunks(batch.column("text")):
-                yield from out(counter.add(tokens(data, offsets)[0]))
-        yield from out(counter.rest())
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
 
-    return docs.select("text").mapInArrow(count, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
+def _of(row: dict, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(row[name], kind)
 
-def _triples(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token the two tokens before it (starts in front of a text) and itself, and one hash of them."""
-    texts = at[:-1]
-    v = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
-    v[texts] = START
-    u = np.concatenate([[START], v[:-1]]) if len(hashes) else hashes
-    u[texts] = START
-    gram = np.zeros(len(hashes), U)
-    for x in (u, v, hashes):
-        gram = W.mixed(gram * W.BASE + x + U(1))
-    return u, v, hashes, gram
 
+def pieces(docs: DataFrame) -> DataFrame:
+    """Texts (text, learn) in pieces: their other columns as lists ``x0``, ``x1``.., their tokens as places in the
+    piece's words, the texts' ranges, and of each word its uses in texts to learn from."""
+    names = [c for c in docs.columns if c not in ("text", "learn", *MADE)]
+    kinds = [f"x{k} array<{docs.schema[c].dataType.simpleString()}>" for k, c in enumerate(names)]
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """gram, u, v, w and c of the triples of all texts (text, learn); c counts texts to learn from only."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            columns = [batch.column(c) for c in names]
+            learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            for low, high, data, offsets in W.chunks(batch.column("text"), PIECE):
+                for a in range(low, high, ROWS):
+                    b = min(a + ROWS, high)
+                    own = offsets[a - low : b - low + 1]
+                    hashes, at = tokens(data[own[0] : own[-1]], own - own[0])
+                    found, code = np.unique(hashes, return_inverse=True)
+                    uses = np.bincount(code[np.repeat(learn[a:b], np.diff(at))], minlength=len(found))
+                    # The most frequent words first: small places for most tokens.
+                    order = np.argsort(-np.bincount(code, minlength=len(found)), kind="stable")
+                    place = np.empty(len(found), np.uint32)
+                    place[order] = np.arange(len(found))
+                    lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c.slice(a, b - a)) for c in columns]
+                    words = [pa.array([x], pa.list_(pa.int64())) for x in (found[order].view(np.int64), uses[order].astype(np.int64))]
+                    rest = [_binary(x) for x in (place[code], at.astype(np.int64), learn[a:b].astype(np.uint8))]
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, *words, pa.array([len(code)]), *rest], ["piece", *(f"x{k}" for k in range(len(names))), "words", "uses", "n", "codes", "at", "learn"])
+                    number += 1
+
+    shape = ", ".join(["piece long", *kinds, "words array<long>, uses array<long>, n long, codes binary, at binary, learn binary"])
+    return docs.select(*(F.col(f"`{c}`") for c in names), F.col("text"), F.coalesce("learn", F.lit(False)).alias("learn")).mapInArrow(cut, shape)
+
+
+def _dealt(table: DataFrame, counts: DataFrame, n: int, v: int, shards: int) -> DataFrame:
+    """Tokens with the two before them, by shard; and a row of its own for each piece with its texts' n_tokens,
+    n_known, base score and the first tokens' score."""
+    listed = table.select("piece", F.posexplode(F.arrays_zip("words")).alias("place", "x")).select("piece", "place", F.col("x.words").alias("hash"))
+    known = listed.join(counts, "hash").groupBy("piece").agg(F.collect_list(F.struct("place", "c")).alias("known"))
+    known = known.select("piece", F.col("known.place").alias("places"), F.col("known.c").alias("counts"))
+    both = table.select("piece", "words", "codes", "at", "learn").join(known, "piece", "left")
+    names = ["shard", "piece", "words", "p1", "homes", "u", "v", "w", "text", "learn"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(shard: int, piece: int, *parts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([piece]), *map(_binary, parts)], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
-            for low, high, data, offsets in W.chunks(batch.column("text")):
-                hashes, at = tokens(data, offsets)
-                *uvw, gram = _triples(hashes, at)
-                found, i, own = np.unique(gram, return_index=True, return_inverse=True)
-                c = np.bincount(own, np.repeat(learn[low:high], np.diff(at)), len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (found, *(x[i] for x in uvw))), pa.array(c)], ["gram", "u", "v", "w", "c"])
-
-    counted = docs.select("text", "learn").mapInArrow(count, "gram long, u long, v long, w long, c long")
-    return counted.groupBy("gram").agg(*(F.first(x).alias(x) for x in "uvw"), F.sum("c").alias("c"))
-
-
-def _probabilities(grams: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """``grams`` with ``log``: log10 of the probability of w after u and v."""
-    seen = grams.where("c > 0")
-    after_two = seen.groupBy("u", "v").agg(F.sum("c").alias("c_uv"), F.count("*").alias("t_uv"))
-    pairs = seen.groupBy("v", "w").agg(F.sum("c").alias("c_vw"))
-    after_one = pairs.groupBy("v").agg(F.sum("c_vw").alias("c_v"), F.count("*").alias("t_v"))
-    words = counts.select(F.col("hash").alias("w"), F.col("c").alias("c_w"))
-    every = grams.join(after_two, ["u", "v"], "left").join(pairs, ["v", "w"], "left").join(after_one, "v", "left").join(words, "w", "left")
-    col, zero = F.col, F.lit(0.0)
-
-    def mixed(c: str, total: str, kinds: str, shorter: Column) -> Column:
-        own = F.greatest(F.coalesce(col(c), zero) - DISCOUNT, zero)
-        return F.when(col(total).isNull(), shorter).otherwise((own + DISCOUNT * col(kinds) * shorter) / col(total))
-
-    p1 = (F.coalesce(col("c_w"), zero) + 1) / (n + v + 1)
-    p2 = mixed("c_vw", "c_v", "t_v", p1)
-    start = F.lit(int(START.view(np.int64)))
-    p3 = F.when(col("v") == start, p2).otherwise(mixed("c", "c_uv", "t_uv", p2))
-    return every.select("gram", "u", "v", "w", "c", F.log10(p3).alias("log"))
-
-
-class Words:
-    """Words and their exact counts."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.index, self.counts = W.Index(hashes), counts
-
-    def rows(self, found: np.ndarray) -> np.ndarray:
-        return self.index.find(found)
-
-
-class Model:
-    """What a task needs: frequent words, the trie of frequent triples with its own words, totals."""
-
-    def __init__(self, words: Words, own: W.Index, trie: Trie, n: int, v: int):
-        self.words, self.own, self.n, self.v, self.packed, self._trie = words, own, n, v, trie.pack(), None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_trie": None}
-
-    @property
-    def trie(self) -> Trie:
-        if self._trie is None:
-            self._trie = Trie.mapped(*self.packed)
-        return self._trie
-
-    def look(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each triple of the trie; not a number for others."""
-        out = np.full(len(w), np.nan)
-        if not len(self.own.keys):
-            return out
-        a, b, c = (self.own.find(x) for x in (u, v, w))
-        at = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        node = self.trie.child(2, a[at], b[at])
-        at, node = at[node >= 0], node[node >= 0]
-        node = self.trie.child(3, node, c[at])
-        out[at[node >= 0]] = self.trie.prob(3, node[node >= 0])
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
-        """For each text: tokens, known tokens, base score without its rare words' log10(c + 1), and score of
-        the triples of the trie; then its rare words and its other triples: hashes, how often each occurs, and
-        the texts' ranges."""
-        hashes, at = tokens(data, offsets)
-        floor = -math.log10(self.n + self.v + 1)
-        row = self.words.rows(hashes)
-        rare = row < 0
-        c = np.where(rare, 0, self.words.counts[row]) if len(self.words.counts) else np.zeros(len(row), np.int64)
-        *uvw, gram = _triples(hashes, at)
-        score = self.look(*uvw)
-        other = np.isnan(score)
-        sums = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0) + floor, np.where(other, 0.0, score))]
-        return np.diff(at), *sums, _by_text(hashes, rare, at), _by_text(gram, other, at)
-
-
-def _by_text(keys: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys of each text among ``which``, how often each occurs, and the texts' ranges."""
-    own = [np.unique(keys[a:b][which[a:b]], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
-    found, times = (np.concatenate([np.zeros(0, k), *(x[i] for x in own)]) for i, k in ((0, U), (1, np.int64)))
-    return found, times, np.concatenate([[0], np.cumsum([len(x[0]) for x in own])]).astype(np.int64)
-
-
-def _trie(top: pa.Table) -> tuple[W.Index, Trie]:
-    """Words (ids in their order) and trie of triples u, v, w with their ``log``."""
-    uvw = [top.column(x).to_numpy().view(U) for x in "uvw"]
-    words = np.unique(np.concatenate(uvw))
-    u, v, w = (np.searchsorted(words, x).astype(U) for x in uvw)
-    pairs, pair = np.unique(u << SHIFT | v, return_inverse=True)
-    key = pair.astype(U) << SHIFT | w
-    order = np.argsort(key)
+            for i in range(batch.num_rows):
+                piece = batch.column("piece")[i].as_py()
+                words = batch.column("words")[i].values.to_numpy().view(U)
+                code, at, learn = (np.frombuffer(batch.column(c)[i].as_py(), k) for c, k in (("codes", np.uint32), ("at", np.int64), ("learn", np.uint8)))
+                code = code.astype(np.int64)
+                c = np.zeros(len(words) + 1, np.int64)
+                if batch.column("places")[i].is_valid:
+                    c[batch.column("places")[i].values.to_numpy()] = batch.column("counts")[i].values.to_numpy()
+                log = np.log10((c + 1.0) / (n + v + 1))
+                p1, homes = codes_of(log), 1 + c // SPLIT
+                sums = [np.add.reduceat(x, at[:-1]).astype(float) for x in ((c > 0)[code].astype(np.int64), log[code])]
+                first = -p1[code[at[:-1]]].astype(float) / STEPS
+                yield out(-1 - piece, piece, np.diff(at).astype(float), *sums, first, *[np.zeros(0)] * 4)
+                # The start stands behind the piece's own words.
+                words = np.append(words, START)
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                place = np.arange(len(code)) - at[text]
+                later = np.flatnonzero(place > 0)
+                u = np.where(place[later] > 1, code[later - 2], len(words) - 1)
+                b, w, text = code[later - 1], code[later], text[later]
+                home = W.mixed(words[b] + (W.mixed(words[u]) % homes[b].astype(U)) * W.BASE)
+                shard = (home % U(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(cuts)):
+                    own = order[cuts[s] : cuts[s + 1]]
+                    used, local = np.unique(np.concatenate([u[own], b[own], w[own]]), return_inverse=True)
+                    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+                    yield out(int(s), piece, words[used], p1[used], homes[used].astype(np.uint32), *local.astype(kind).reshape(3, -1), text[own].astype(np.uint32), learn[text[own]])
+
+    return both.mapInArrow(deal, "shard long, piece long, " + ", ".join(f"{c} binary" for c in names[2:]))
+
+
+def _levels(u: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, homes: int, p1: np.ndarray) -> Trie:
+    """The trie of training tokens ``w`` after ``u`` and ``v`` (ids under ``len(p1)``); ``home``: the context that a
+    pair backs off to.  First level: words, then contexts; second: pairs u, v, then the words after each context;
+    third: the words after each pair."""
+    size = len(p1)
+    short, c2 = np.unique(home * size + w, return_counts=True)
+    at = short // size
+    total, kinds = np.bincount(at, c2, homes), np.bincount(at, minlength=homes)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weight2 = np.log10(DISCOUNT * kinds / total)
+    p2 = (c2 - DISCOUNT + DISCOUNT * kinds[at] * p1[short % size]) / total[at]
+    pairs, pair = np.unique(u * size + v, return_inverse=True)
+    own = np.zeros(len(pairs), np.int64)
+    own[pair] = home
+    full, c3 = np.unique(pair * size + w, return_counts=True)
+    of = full // size
+    total, kinds = np.bincount(of, c3, len(pairs)), np.bincount(of, minlength=len(pairs))
+    lower = p2[np.searchsorted(short, own[of] * size + full % size)] if len(full) else np.zeros(0)
+    p3 = (c3 - DISCOUNT + DISCOUNT * kinds[of] * lower) / total[of]
     levels = {
-        1: {},
-        2: {"context": (pairs >> SHIFT).astype(np.int64), "word": (pairs & U((1 << 24) - 1)).astype(np.int64)},
-        3: {"context": pair[order].astype(np.int64), "word": w[order].astype(np.int64), "prob": top.column("log").to_numpy()[order]},
+        1: {"gamma": np.concatenate([np.zeros(size), np.nan_to_num(weight2)])},
+        2: {
+            "context": np.concatenate([pairs // size, size + at]),
+            "word": np.concatenate([pairs % size, short % size]),
+            "prob": np.concatenate([np.zeros(len(pairs)), np.log10(p2)]),
+            "gamma": np.concatenate([np.log10(DISCOUNT * kinds / total), np.zeros(len(short))]),
+        },
+        3: {"context": of, "word": full % size, "prob": np.log10(p3)},
     }
-    return W.Index(words), Trie.build(levels, {2: len(words), 3: len(pairs)})
-
-
-def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """Of ``docs`` (text, learn): what tasks need, the counts (hash, c) of all words to learn from, and the
-    probabilities (gram, log) of all triples of all texts but those of the trie."""
-    counts = written(_counts(docs.where("learn")), "word-counts")
+    return Trie.build(levels, {2: size + homes, 3: len(pairs) + len(short)})
+
+
+def _asked(trie: Trie, u: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, log1: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each ``w`` after ``u`` and ``v``: the longest n-gram of the trie, and the weights
+    of the longer contexts that it was not seen after."""
+    known = home >= 0
+    out = log1[w].copy()
+    at = np.flatnonzero(known)
+    node = trie.child(2, len(log1) + home[at], w[at])
+    out[at] = np.where(node >= 0, trie.prob(2, np.maximum(node, 0)), trie.gamma(1, len(log1) + home[at]) + out[at])
+    node = trie.child(2, u, v)
+    at = np.flatnonzero(node >= 0)
+    last = trie.child(3, node[at], w[at])
+    out[at] = np.where(last >= 0, trie.prob(3, np.maximum(last, 0)), trie.gamma(2, node[at]) + out[at]) if len(at) else out[at]
+    return out
+
+
+def _answers(key: tuple, table: pa.Table) -> pa.Table:
+    """Of one shard: each piece's texts and the sums of their tokens' log10 probabilities."""
+    shape = ["piece", "text", "sum", "n", "known", "base"]
+    rows = table.to_pylist()
+    if rows[0]["shard"] < 0:
+        made = [[r["piece"], np.arange(len(r["words"]) // 8, dtype=np.uint32).tobytes(), r["u"], r["words"], r["p1"], r["homes"]] for r in rows]
+        return pa.table(dict(zip(shape, zip(*made, strict=True), strict=True)), schema=ANSWER)
+    parts = []
+    every, local = np.unique(np.concatenate([_of(r, "words", U) for r in rows]), return_inverse=True)
+    log1, homes = np.zeros(len(every)), np.ones(len(every), np.int64)
+    begin = 0
+    for r in rows:
+        n = len(r["p1"])
+        ids, begin = local[begin : begin + n], begin + n
+        log1[ids], homes[ids] = -_of(r, "p1", np.uint8).astype(float) / STEPS, _of(r, "homes", np.uint32)
+        text = _of(r, "text", np.uint32)
+        kind = np.uint16 if len(r["u"]) == 2 * len(text) else np.uint32
+        parts.append((*(ids[_of(r, c, kind)] for c in "uvw"), text, _of(r, "learn", np.uint8).astype(bool)))
+    u, v, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    learn = np.concatenate([p[4] for p in parts])
+    # A context of a word: the word and which of its homes.
+    context = v * int(homes.max()) + (W.mixed(every[u]) % homes[v].astype(U)).astype(np.int64)
+    contexts = np.unique(context[learn])
+    home = np.searchsorted(contexts, context)
+    home = np.where(contexts[np.minimum(home, len(contexts) - 1)] == context, home, -1) if len(contexts) else np.full(len(context), -1)
+    trie = _levels(u[learn], v[learn], w[learn], home[learn], len(contexts), 10.0**log1)
+    trie = Trie.mapped(*trie.pack())
+    # Each different n-gram is asked once.
+    pairs, pair = np.unique(u * len(every) + v, return_inverse=True)
+    _, one, same = np.unique(pair * len(every) + w, return_index=True, return_inverse=True)
+    score = _asked(trie, u[one], v[one], w[one], home[one], log1)[same]
+    out, begin = [], 0
+    for r, p in zip(rows, parts, strict=True):
+        n = len(p[3])
+        texts, place = np.unique(p[3], return_inverse=True)
+        sums = np.bincount(place, score[begin : begin + n])
+        begin += n
+        out.append([r["piece"], texts.tobytes(), sums.tobytes(), None, None, None])
+    return pa.table(dict(zip(shape, zip(*out, strict=True), strict=True)), schema=ANSWER)
+
+
+ANSWER = pa.schema([("piece", pa.int64()), *((c, pa.binary()) for c in ("text", "sum", "n", "known", "base"))])
+
+
+def score(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (text, learn, ..) without these two, with n_tokens, n_known, base_score and score by the model of the
+    texts to learn from; and the number of its tokens."""
+    names = [c for c in docs.columns if c not in ("text", "learn", *MADE)]
+    table = written(pieces(docs), "pieces", compression="zstd")
+    counts = table.select(F.inline(F.arrays_zip("words", "uses"))).where("uses > 0").groupBy(F.col("words").alias("hash")).agg(F.sum("uses").alias("c"))
+    counts = written(counts, "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    t = counts.where(F.col("c") >= max(1, KNOWN * n)).toArrow()
-    words = Words(t.column("hash").to_numpy().view(U), t.column("c").to_numpy())
-    grams = written(_grams(docs), "triples")
-    top = F.col("c") >= max(1, KEPT * n)
-    # Only the trie's rows keep their words.
-    found = _probabilities(grams, counts, n, v).select("gram", "log", *(F.when(top, F.col(x)).alias(x) for x in "uvw"))
-    found = written(found, "probabilities")
-    own, trie = _trie(found.where("w IS NOT NULL").select("u", "v", "w", "log").toArrow())
-    return Model(words, own, trie, n, v), counts, found.where("w IS NULL").select("gram", "log")
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, grams: DataFrame) -> DataFrame:
-    """``docs`` without its text, with n_tokens, n_known, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    made = {"_n": "long", "_known": "long", "_base": "double", "_score": "double", **dict.fromkeys(("_rare", "_times", "_grams", "_gram_times"), "array<long>")}
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    size = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = _dealt(table, counts, n, v, max(1, -(-size // TOKENS)))
+    found = dealt.groupBy("shard").applyInArrow(_answers, "piece long, text binary, sum binary, n binary, known binary, base binary")
+    found = found.groupBy("piece").agg(F.collect_list(F.struct("text", "sum")).alias("sums"), *(F.max(c).alias(c) for c in ("n", "known", "base")))
+    lists = table.select("piece", *(f"x{k}" for k in range(len(names)))).join(found, "piece")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in W.chunks(batch.column("text")):
-                size, known, base, own, *lists = m.score(data, offsets)
-                lists = [pa.LargeListArray.from_arrays(pa.array(at), pa.array(x)).cast(pa.list_(pa.int64())) for keys, times, at in lists for x in (keys.view(np.int64), times)]
-                columns = [pa.array(x.astype(k)) for x, k in ((size, np.int64), (known, np.int64), (base, float), (own, float))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in names), *columns, *lists], [*names, *made])
-
-    part = docs.mapInArrow(judge, ", ".join([kinds, *(f"{k} {t}" for k, t in made.items())]))
-    part = written(part.withColumn("_row", F.monotonically_increasing_id()), "scored")
-
-    def listed(keys: str, times: str, name: str) -> DataFrame:
-        pairs = part.select("_row", F.explode(F.arrays_zip(keys, times)).alias("x"))
-        return pairs.select("_row", F.col("x")[keys].alias(name), F.col("x")[times].alias("times"))
-
-    # Only words and triples under a share of the training tokens are here: no key of these joins is frequent.
-    unseen = counts.where(F.col("c") < max(1, KNOWN * model.n)).select("hash", "c")
-    more = listed("_rare", "_times", "hash").join(unseen, "hash").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_more"), F.sum("times").alias("_seen"))
-    rest = listed("_grams", "_gram_times", "gram").join(grams, "gram").groupBy("_row").agg(F.sum(F.col("times") * F.col("log")).alias("_rest"))
-    both = part.drop("_rare", "_times", "_grams", "_gram_times").join(more, "_row", "left").join(rest, "_row", "left")
-    return both.select(
-        *names,
-        F.col("_n").alias("n_tokens"),
-        (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        (F.col("_score") + F.coalesce("_rest", F.lit(0.0))).alias("score"),
-    )
+            for i in range(batch.num_rows):
+                size, known, base = (np.frombuffer(batch.column(c)[i].as_py()) for c in ("n", "known", "base"))
+                total = np.zeros(len(size))
+                for part in batch.column("sums")[i].as_py():
+                    total[np.frombuffer(part["text"], np.uint32)] += np.frombuffer(part["sum"])
+                columns = [batch.column(f"x{k}")[i].values for k in range(len(names))]
+                made = [pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)]
+                yield pa.RecordBatch.from_arrays([*columns, *made], [*names, *MADE])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
+    return lists.mapInArrow(rows, ", ".join([*kinds, "n_tokens long, n_known long, base_score double, score double"])), n
 
 
 def op8_lm(docs: DataFrame) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    docs = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    model, counts, grams = fit(docs.withColumn("learn", ~F.col("held_out") & F.col("doc_id").isNotNull()))
-    found = score(docs, model, counts, grams).withColumn("train_tokens", F.lit(model.n).cast("long"))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = docs.select("doc_id", held_out.alias("held_out"), "text")
+    found, n = score(docs.withColumn("learn", ~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return found.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

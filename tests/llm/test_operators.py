@@ -286,9 +286,11 @@ def test_lm_matches_brute_force(docs, texts, none):
     assert lm.op8_lm(none).count() == 0
 
 
-@pytest.mark.parametrize("share", [1e-6, 2e-3, 1.0])
-def test_lm_keeps_every_ngram(spark, monkeypatch, share):
-    monkeypatch.setattr(lm, "KEPT", share)  # what goes to the tasks, not what is known
+@pytest.mark.parametrize(("shard", "piece", "split"), [(1 << 22, 16 << 20, 1 << 20), (9000, 4000, 1 << 20), (9000, 4000, 5000)])
+def test_lm_equals_brute_force_at_any_size(spark, monkeypatch, shard, piece, split):
+    """One shard or many, one piece or many, and words with several contexts."""
+    for name, x in (("TOKENS", shard), ("PIECE", piece), ("SPLIT", split)):
+        monkeypatch.setattr(lm, name, x)
     r = random.Random(8)
     rows = [(i, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(9000))) for i in range(16)]
     rare = "quite rare words that occur here once"
@@ -298,28 +300,38 @@ def test_lm_keeps_every_ngram(spark, monkeypatch, share):
     learn = [[None, None, *words(t), ""] for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     n, d = sum(len(t) - 2 for t in learn), 0.75
     c1 = Counter(w for t in learn for w in t[2:])
-    c2 = Counter(p for t in learn for p in zip(t[1:], t[2:]))
-    c3 = Counter(p for t in learn for p in zip(t[1:], t[2:], t[3:]))
-    total = lambda c: Counter(x for k, m in c.items() for x in [k[:-1]] * m)
-    kinds = lambda c: Counter(k[:-1] for k in c)
-    of = [(c2, total(c2), kinds(c2)), (c3, total(c3), kinds(c3))]
-
-    def log(gram):
-        p = (c1[gram[-1]] + 1) / (n + len(c1) + 1)
-        for k, (c, t, m) in enumerate(of, 2):
-            g = gram[-k:]
-            if len(g) == k and t[g[:-1]]:
-                p = (max(c[g] - d, 0) + d * m[g[:-1]] * p) / t[g[:-1]]
-        return math.log10(p)
+    step = lambda p: round(-16 * math.log10(p)) / -16
+    one = lambda w: step((c1[w] + 1) / (n + len(c1) + 1))
+
+    def number(w):
+        if w is None or w == "":
+            return int(lm.START if w is None else lm.END)
+        data = np.frombuffer(w.encode(), np.uint8)
+        return int(W.hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    hashed = {w: int(W.mixed(np.array([number(w)], W.U))[0]) for i, t in rows for w in [None, "", *words(t)]}
+    home = lambda u, v: (v, hashed[u] % (1 + c1[v] // split))
+    grams = [g for t in learn for g in zip(t[1:], t[2:], t[3:])]
+    c2, c3 = Counter((home(u, v), w) for u, v, w in grams), Counter(((u, v), w) for u, v, w in grams)
+    total = lambda c: Counter(x for k, m in c.items() for x in [k[0]] * m)
+    t2, t3, m2, m3 = total(c2), total(c3), Counter(k[0] for k in c2), Counter(k[0] for k in c3)
+
+    def log(u, v, w):
+        h, p1 = home(u, v), one(w)
+        p2 = (c2[h, w] - d + d * m2[h] * 10**p1) / t2[h] if c2[h, w] else None
+        if c3[(u, v), w]:
+            return step((c3[(u, v), w] - d + d * m3[u, v] * p2) / t3[u, v])
+        shorter = step(p2) if p2 else p1 + (step(d * m2[h] / t2[h]) if t2[h] else 0)
+        return shorter + (step(d * m3[u, v] / t3[u, v]) if t3[u, v] else 0)
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = Counter()
     for i, t in rows:
         s = [None, *words(t), ""]
-        want[(i, len(s) - 1)] = sum(log(tuple(s[max(0, k - 2) : k + 1])) for k in range(1, len(s)))
+        want[(i, len(s) - 1)] = one(s[1]) + sum(log(*s[k - 2 : k + 1]) for k in range(2, len(s)))
     got = {(g.doc_id, g.n_tokens): g.score for g in lm.op8_lm(df).collect()}
     assert n > 100_000 and got.keys() == want.keys()
-    off = {k: (got[k], want[k]) for k in got if abs(got[k] - want[k]) > (1e-6 if share == 1 else 2e-2) * abs(want[k])}
+    off = {k: (got[k], want[k]) for k in got if abs(got[k] - want[k]) > 1e-4 * abs(want[k])}
     assert not off
 
 
