@@ -9,9 +9,10 @@ before it, so the pairs of a frequent word have as many homes.  Every probabilit
 1 / ``STEPS``, one byte; the steps are fixed, so equal counts give equal scores in a corpus of any size.
 
 Jobs: texts are cut into words once and written in pieces of a bounded number of bytes, each with its own list of
-words.  Counts of words come from those lists, are joined to them and go back to their piece.  Then each
-token is dealt, with the two before it, to the shard of its context: there every count but the unigram's is at
-home.  A shard counts its training tokens, builds its trie (words, pairs and triples with ids relative to their
+words.  Counts of words come from those lists; frequent words have small numbers.  Counts and numbers of words from
+one in a million on (a million at most) go to every task, the others are joined to the lists and go back to their
+piece.  Then each token is dealt, as three numbers, to the shard of its context: there every count but the unigram's
+is at home, and that is told by the number.  Numbers travel as planes of bytes, compressed.  A shard counts its training tokens, builds its trie (words, pairs and triples with ids relative to their
 context) and answers all its tokens by successor search; answers are summed by text.  Shards have about
 ``TOKENS`` tokens, so their number grows with the corpus.  A lost executor's pieces, shards and answers are made anew
 from the written tables.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -39,6 +40,8 @@ U = np.uint64
 END = U(0x2545F4914F6CDD1D)
 START = U(0x51ED270B35AE2D19)
 DISCOUNT = 0.75
+#: Least share of the training tokens for words whose counts every task holds; it changes no result.
+KNOWN = 1e-6
 #: Bytes and rows of a piece (one longer text is a piece of its own), tokens of a shard, uses of a word's context.
 PIECE, ROWS, TOKENS, SPLIT = 16 << 20, 1 << 16, 1 << 22, 1 << 20
 MADE = ("n_tokens", "n_known", "base_score", "score")
@@ -51,12 +54,16 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at + np.arange(len(at))
 
 
-def _binary(x: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes()], pa.binary())
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers under 2^40 as planes of their bytes, the lowest first; planes of zeros take next to nothing."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _of(row: dict, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(row[name], kind)
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 5 * n, "zstd", asbytes=True), np.uint8).reshape(5, n) if n else np.zeros((5, 0), np.uint8)
+    return sum(planes[k].astype(np.int64) << 8 * k for k in range(5))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -83,57 +90,109 @@ def pieces(docs: DataFrame) -> DataFrame:
                     place[order] = np.arange(len(found))
                     lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), c.slice(a, b - a)) for c in columns]
                     words = [pa.array([x], pa.list_(pa.int64())) for x in (found[order].view(np.int64), uses[order].astype(np.int64))]
-                    rest = [_binary(x) for x in (place[code], at.astype(np.int64), learn[a:b].astype(np.uint8))]
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, *words, pa.array([len(code)]), *rest], ["piece", *(f"x{k}" for k in range(len(names))), "words", "uses", "n", "codes", "at", "learn"])
+                    rest = [pa.array([_packed(x)]) for x in (place[code], np.diff(at), learn[a:b])]
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), *lists, *words, pa.array([len(code)]), *rest], ["piece", *(f"x{k}" for k in range(len(names))), "words", "uses", "n", "codes", "sizes", "learn"])
                     number += 1
 
-    shape = ", ".join(["piece long", *kinds, "words array<long>, uses array<long>, n long, codes binary, at binary, learn binary"])
+    shape = ", ".join(["piece long", *kinds, "words array<long>, uses array<long>, n long, codes binary, sizes binary, learn binary"])
     return docs.select(*(F.col(f"`{c}`") for c in names), F.col("text"), F.coalesce("learn", F.lit(False)).alias("learn")).mapInArrow(cut, shape)
 
 
-def _dealt(table: DataFrame, counts: DataFrame, n: int, v: int, shards: int) -> DataFrame:
+class Vocabulary:
+    """What tasks hold of the words: totals, the frequent words' counts and numbers, and where among the numbers the
+    codes of p1 change.  ``slices``: parts of the table of counts, which number their words in turn."""
+
+    def __init__(self, n: int, v: int, slices: int, frequent: pa.Table, steps: pa.Table):
+        self.n, self.v, self.slices = n, v, slices
+        self.index = W.Index(frequent.column("hash").to_numpy().view(U))
+        self.ids, self.counts = frequent.column("id").to_numpy(), frequent.column("c").to_numpy()
+        key = steps.column("slice").to_numpy() << 40 | steps.column("first").to_numpy()
+        order = np.argsort(key)
+        self.key, self.code = key[order], codes_of(self.log(steps.column("c").to_numpy()[order]))
+
+    def log(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1.0) / (self.n + self.v + 1))
+
+    def log1(self, ids: np.ndarray) -> np.ndarray:
+        """log10 of p1 of numbers."""
+        code = np.full(len(ids), codes_of(self.log(np.zeros(1)))[0])
+        at = np.flatnonzero(ids >= FIRST)
+        row, part = np.divmod(ids[at] - FIRST, self.slices)
+        code[at] = self.code[np.searchsorted(self.key, part << 40 | row, "right") - 1] if len(at) else code[at]
+        return -code.astype(float) / STEPS
+
+
+#: Numbers of words that no training text has, of the start, and of the first word.
+UNSEEN, BEGIN, FIRST = 0, 1, 2
+
+
+def vocabulary(table: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """What tasks hold, and (hash, c, id) of the words that they don't."""
+    counts = table.select(F.inline(F.arrays_zip("words", "uses"))).where("uses > 0").groupBy(F.col("words").alias("hash")).agg(F.sum("uses").alias("c"))
+    place = F.monotonically_increasing_id()
+    counts = counts.sortWithinPartitions(F.desc("c"), "hash").select("hash", "c", F.shiftright(place, 33).alias("slice"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    counts = written(counts, "word-counts", compression="zstd")
+    n, v, slices = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max("slice") + 1, F.lit(1))).first()
+    counts = counts.withColumn("id", F.col("row") * slices + F.col("slice") + FIRST)
+    # p1's code falls with c: at most 256 steps a slice.
+    code = F.rint(-F.log10((F.col("c") + 1) / (n + v + 1)) * STEPS)
+    steps = counts.groupBy("slice", code).agg(F.min("row").alias("first"), F.max("c").alias("c")).select("slice", "first", "c").toArrow()
+    least = max(1, KNOWN * n)
+    frequent = counts.where(F.col("c") >= least).select("hash", "c", "id").toArrow()
+    return Vocabulary(n, v, slices, frequent, steps), counts.where(F.col("c") < least).select("hash", "c", "id")
+
+
+def _frequent(spark: SparkSession, vocabulary) -> DataFrame:
+    """Hashes of the words that every task holds, a million at most."""
+    return spark.createDataFrame(pa.table({"hash": vocabulary.value.index.keys.view(np.int64)}))
+
+
+def _dealt(table: DataFrame, vocabulary, rare: DataFrame, shards: int) -> DataFrame:
     """Tokens with the two before them, by shard; and a row of its own for each piece with its texts' n_tokens,
     n_known, base score and the first tokens' score."""
-    listed = table.select("piece", F.posexplode(F.arrays_zip("words")).alias("place", "x")).select("piece", "place", F.col("x.words").alias("hash"))
-    known = listed.join(counts, "hash").groupBy("piece").agg(F.collect_list(F.struct("place", "c")).alias("known"))
-    known = known.select("piece", F.col("known.place").alias("places"), F.col("known.c").alias("counts"))
-    both = table.select("piece", "words", "codes", "at", "learn").join(known, "piece", "left")
-    names = ["shard", "piece", "words", "p1", "homes", "u", "v", "w", "text", "learn"]
+    listed = table.select("piece", F.posexplode("words").alias("place", "hash"))
+    known = listed.join(F.broadcast(_frequent(table.sparkSession, vocabulary)), "hash", "left_anti").join(rare, "hash")
+    known = known.groupBy("piece").agg(F.collect_list(F.struct("place", "c", "id")).alias("known"))
+    known = known.select("piece", *(F.col(f"known.{a}").alias(b) for a, b in (("place", "places"), ("c", "counts"), ("id", "ids"))))
+    both = table.select("piece", "words", "codes", "sizes", "learn").join(known, "piece", "left")
+    names = ["shard", "piece", "u", "v", "w", "home", "text", "learn"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(shard: int, piece: int, *parts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([piece]), *map(_binary, parts)], names)
+        m = vocabulary.value
+
+        def out(shard: int, piece: int, parts: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([piece]), *(pa.array([x], pa.binary()) for x in parts)], names)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 piece = batch.column("piece")[i].as_py()
                 words = batch.column("words")[i].values.to_numpy().view(U)
-                code, at, learn = (np.frombuffer(batch.column(c)[i].as_py(), k) for c, k in (("codes", np.uint32), ("at", np.int64), ("learn", np.uint8)))
-                code = code.astype(np.int64)
-                c = np.zeros(len(words) + 1, np.int64)
+                code, sizes, learn = (_unpacked(batch.column(c)[i].as_py()) for c in ("codes", "sizes", "learn"))
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                row = m.index.find(words)
+                c, ids = np.zeros(len(words) + 1, np.int64), np.full(len(words) + 1, UNSEEN)
+                c[np.flatnonzero(row >= 0)], ids[np.flatnonzero(row >= 0)] = m.counts[row[row >= 0]], m.ids[row[row >= 0]]
                 if batch.column("places")[i].is_valid:
-                    c[batch.column("places")[i].values.to_numpy()] = batch.column("counts")[i].values.to_numpy()
-                log = np.log10((c + 1.0) / (n + v + 1))
-                p1, homes = codes_of(log), 1 + c // SPLIT
+                    place = batch.column("places")[i].values.to_numpy()
+                    c[place], ids[place] = (batch.column(x)[i].values.to_numpy() for x in ("counts", "ids"))
+                log, homes = m.log(c), 1 + c // SPLIT
                 sums = [np.add.reduceat(x, at[:-1]).astype(float) for x in ((c > 0)[code].astype(np.int64), log[code])]
-                first = -p1[code[at[:-1]]].astype(float) / STEPS
-                yield out(-1 - piece, piece, np.diff(at).astype(float), *sums, first, *[np.zeros(0)] * 4)
+                first = codes_of(log)[code[at[:-1]]].astype(float)
+                yield out(-1 - piece, piece, [x.tobytes() for x in (sizes.astype(float), *sums, first)] + [b""] * 2)
                 # The start stands behind the piece's own words.
-                words = np.append(words, START)
-                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                words, ids[-1] = np.append(words, START), BEGIN
+                text = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(code)) - at[text]
                 later = np.flatnonzero(place > 0)
                 u = np.where(place[later] > 1, code[later - 2], len(words) - 1)
-                b, w, text = code[later - 1], code[later], text[later]
-                home = W.mixed(words[b] + (W.mixed(words[u]) % homes[b].astype(U)) * W.BASE)
-                shard = (home % U(shards)).astype(np.int64)
+                v, w, text = code[later - 1], code[later], text[later]
+                home = W.mixed(words[u]) % homes[v].astype(U)
+                shard = (W.mixed(words[v] + home * W.BASE) % U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[s] : cuts[s + 1]]
-                    used, local = np.unique(np.concatenate([u[own], b[own], w[own]]), return_inverse=True)
-                    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
-                    yield out(int(s), piece, words[used], p1[used], homes[used].astype(np.uint32), *local.astype(kind).reshape(3, -1), text[own].astype(np.uint32), learn[text[own]])
+                    yield out(int(s), piece, [_packed(x) for x in (ids[u[own]], ids[v[own]], ids[w[own]], home[own], np.diff(text[own], prepend=0), learn[text[own]])])
 
     return both.mapInArrow(deal, "shard long, piece long, " + ", ".join(f"{c} binary" for c in names[2:]))
 
@@ -185,28 +244,19 @@ def _asked(trie: Trie, u: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.nda
     return out
 
 
-def _answers(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one shard: each piece's texts and the sums of their tokens' log10 probabilities."""
-    shape = ["piece", "text", "sum", "n", "known", "base"]
+def _answers(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
+    """Of one shard: each piece's texts and the sums of their tokens' log10 probabilities, in steps."""
     rows = table.to_pylist()
     if rows[0]["shard"] < 0:
-        made = [[r["piece"], np.arange(len(r["words"]) // 8, dtype=np.uint32).tobytes(), r["u"], r["words"], r["p1"], r["homes"]] for r in rows]
-        return pa.table(dict(zip(shape, zip(*made, strict=True), strict=True)), schema=ANSWER)
-    parts = []
-    every, local = np.unique(np.concatenate([_of(r, "words", U) for r in rows]), return_inverse=True)
-    log1, homes = np.zeros(len(every)), np.ones(len(every), np.int64)
-    begin = 0
-    for r in rows:
-        n = len(r["p1"])
-        ids, begin = local[begin : begin + n], begin + n
-        log1[ids], homes[ids] = -_of(r, "p1", np.uint8).astype(float) / STEPS, _of(r, "homes", np.uint32)
-        text = _of(r, "text", np.uint32)
-        kind = np.uint16 if len(r["u"]) == 2 * len(text) else np.uint32
-        parts.append((*(ids[_of(r, c, kind)] for c in "uvw"), text, _of(r, "learn", np.uint8).astype(bool)))
-    u, v, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    learn = np.concatenate([p[4] for p in parts])
+        return pa.Table.from_pylist([{"piece": r["piece"], "n": r["u"], "known": r["v"], "base": r["w"], "first": r["home"]} for r in rows], schema=ANSWER)
+    parts = [[_unpacked(r[c]) for c in ("u", "v", "w", "home", "text", "learn")] for r in rows]
+    u, v, w, home, learn = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 5))
+    learn = learn.astype(bool)
+    every = np.unique(np.concatenate([np.unique(x) for x in (u, v, w)]))
+    u, v, w = (np.searchsorted(every, x) for x in (u, v, w))
+    log1 = vocabulary.log1(every)
     # A context of a word: the word and which of its homes.
-    context = v * int(homes.max()) + (W.mixed(every[u]) % homes[v].astype(U)).astype(np.int64)
+    context = v * (int(home.max()) + 1) + home
     contexts = np.unique(context[learn])
     home = np.searchsorted(contexts, context)
     home = np.where(contexts[np.minimum(home, len(contexts) - 1)] == context, home, -1) if len(contexts) else np.full(len(context), -1)
@@ -216,17 +266,16 @@ def _answers(key: tuple, table: pa.Table) -> pa.Table:
     pairs, pair = np.unique(u * len(every) + v, return_inverse=True)
     _, one, same = np.unique(pair * len(every) + w, return_index=True, return_inverse=True)
     score = _asked(trie, u[one], v[one], w[one], home[one], log1)[same]
-    out, begin = [], 0
+    steps, out, begin = np.rint(-score * STEPS).astype(np.int64), [], 0
     for r, p in zip(rows, parts, strict=True):
-        n = len(p[3])
-        texts, place = np.unique(p[3], return_inverse=True)
-        sums = np.bincount(place, score[begin : begin + n])
-        begin += n
-        out.append([r["piece"], texts.tobytes(), sums.tobytes(), None, None, None])
-    return pa.table(dict(zip(shape, zip(*out, strict=True), strict=True)), schema=ANSWER)
+        texts, place = np.unique(np.cumsum(p[4]), return_inverse=True)
+        sums = np.bincount(place, steps[begin : begin + len(place)])
+        begin += len(place)
+        out.append({"piece": r["piece"], "text": _packed(np.diff(texts, prepend=0)), "sum": _packed(sums)})
+    return pa.Table.from_pylist(out, schema=ANSWER)
 
 
-ANSWER = pa.schema([("piece", pa.int64()), *((c, pa.binary()) for c in ("text", "sum", "n", "known", "base"))])
+ANSWER = pa.schema([("piece", pa.int64()), *((c, pa.binary()) for c in ("text", "sum", "n", "known", "base", "first"))])
 
 
 def score(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -234,28 +283,32 @@ def score(docs: DataFrame) -> tuple[DataFrame, int]:
     texts to learn from; and the number of its tokens."""
     names = [c for c in docs.columns if c not in ("text", "learn", *MADE)]
     table = written(pieces(docs), "pieces", compression="zstd")
-    counts = table.select(F.inline(F.arrays_zip("words", "uses"))).where("uses > 0").groupBy(F.col("words").alias("hash")).agg(F.sum("uses").alias("c"))
-    counts = written(counts, "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    words, rare = vocabulary(table)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     size = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = _dealt(table, counts, n, v, max(1, -(-size // TOKENS)))
-    found = dealt.groupBy("shard").applyInArrow(_answers, "piece long, text binary, sum binary, n binary, known binary, base binary")
-    found = found.groupBy("piece").agg(F.collect_list(F.struct("text", "sum")).alias("sums"), *(F.max(c).alias(c) for c in ("n", "known", "base")))
+    dealt = _dealt(table, shared, rare, max(1, -(-size // TOKENS)))
+
+    def answers(_: tuple, rows: pa.Table) -> pa.Table:
+        return _answers(rows, shared.value)
+
+    found = dealt.groupBy("shard").applyInArrow(answers, "piece long, text binary, sum binary, n binary, known binary, base binary, first binary")
+    found = found.groupBy("piece").agg(F.collect_list(F.struct("text", "sum")).alias("sums"), *(F.max(c).alias(c) for c in ("n", "known", "base", "first")))
     lists = table.select("piece", *(f"x{k}" for k in range(len(names)))).join(found, "piece")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                size, known, base = (np.frombuffer(batch.column(c)[i].as_py()) for c in ("n", "known", "base"))
-                total = np.zeros(len(size))
+                size, known, base, total = (np.frombuffer(batch.column(c)[i].as_py()) for c in ("n", "known", "base", "first"))
+                total = total.copy()
                 for part in batch.column("sums")[i].as_py():
-                    total[np.frombuffer(part["text"], np.uint32)] += np.frombuffer(part["sum"])
+                    if part["text"] is not None:
+                        total[np.cumsum(_unpacked(part["text"]))] += _unpacked(part["sum"])
                 columns = [batch.column(f"x{k}")[i].values for k in range(len(names))]
-                made = [pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)]
+                made = [pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(-total / STEPS)]
                 yield pa.RecordBatch.from_arrays([*columns, *made], [*names, *MADE])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
-    return lists.mapInArrow(rows, ", ".join([*kinds, "n_tokens long, n_known long, base_score double, score double"])), n
+    return lists.mapInArrow(rows, ", ".join([*kinds, "n_tokens long, n_known long, base_score double, score double"])), words.n
 
 
 def op8_lm(docs: DataFrame) -> DataFrame:

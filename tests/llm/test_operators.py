@@ -289,7 +289,7 @@ def test_lm_matches_brute_force(docs, texts, none):
 @pytest.mark.parametrize(("shard", "piece", "split"), [(1 << 22, 16 << 20, 1 << 20), (9000, 4000, 1 << 20), (9000, 4000, 5000)])
 def test_lm_equals_brute_force_at_any_size(spark, monkeypatch, shard, piece, split):
     """One shard or many, one piece or many, and words with several contexts."""
-    for name, x in (("TOKENS", shard), ("PIECE", piece), ("SPLIT", split)):
+    for name, x in (("TOKENS", shard), ("PIECE", piece), ("SPLIT", split), ("KNOWN", 1e-2 if piece < 1e4 else 1e-6)):
         monkeypatch.setattr(lm, name, x)
     r = random.Random(8)
     rows = [(i, " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(9000))) for i in range(16)]
