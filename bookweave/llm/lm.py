@@ -43,7 +43,7 @@ DISCOUNT = 0.75
 #: Least share of the training tokens for words whose counts every task holds; it changes no result.
 KNOWN = 1e-6
 #: Bytes and rows of a piece (one longer text is a piece of its own), tokens of a shard, uses of a word's context.
-PIECE, ROWS, TOKENS, SPLIT = 16 << 20, 1 << 16, 1 << 22, 1 << 20
+PIECE, ROWS, TOKENS, SPLIT = 16 << 20, 1 << 16, 1 << 21, 1 << 20
 MADE = ("n_tokens", "n_known", "base_score", "score")
 
 
@@ -249,26 +249,31 @@ def _answers(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     rows = table.to_pylist()
     if rows[0]["shard"] < 0:
         return pa.Table.from_pylist([{"piece": r["piece"], "n": r["u"], "known": r["v"], "base": r["w"], "first": r["home"]} for r in rows], schema=ANSWER)
-    parts = [[_unpacked(r[c]) for c in ("u", "v", "w", "home", "text", "learn")] for r in rows]
-    u, v, w, home, learn = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 5))
-    learn = learn.astype(bool)
+    small = np.int32
+    u, v, w = (np.concatenate([_unpacked(r[c]) for r in rows]) for c in "uvw")
     every = np.unique(np.concatenate([np.unique(x) for x in (u, v, w)]))
-    u, v, w = (np.searchsorted(every, x) for x in (u, v, w))
+    u = np.searchsorted(every, u).astype(small)
+    v = np.searchsorted(every, v).astype(small)
+    w = np.searchsorted(every, w).astype(small)
+    home = np.concatenate([_unpacked(r["home"]).astype(small) for r in rows])
+    learn = np.concatenate([_unpacked(r["learn"]).astype(bool) for r in rows])
     log1 = vocabulary.log1(every)
     # A context of a word: the word and which of its homes.
-    context = v * (int(home.max()) + 1) + home
+    context = v.astype(np.int64) * (int(home.max()) + 1) + home
     contexts = np.unique(context[learn])
-    home = np.searchsorted(contexts, context)
-    home = np.where(contexts[np.minimum(home, len(contexts) - 1)] == context, home, -1) if len(contexts) else np.full(len(context), -1)
-    trie = _levels(u[learn], v[learn], w[learn], home[learn], len(contexts), 10.0**log1)
+    home = np.searchsorted(contexts, context).astype(small)
+    home = np.where(contexts[np.minimum(home, len(contexts) - 1)] == context, home, small(-1)) if len(contexts) else np.full(len(context), -1, small)
+    del context
+    trie = _levels(*(x[learn].astype(np.int64) for x in (u, v, w, home)), len(contexts), 10.0**log1)
     trie = Trie.mapped(*trie.pack())
     # Each different n-gram is asked once.
-    pairs, pair = np.unique(u * len(every) + v, return_inverse=True)
-    _, one, same = np.unique(pair * len(every) + w, return_index=True, return_inverse=True)
-    score = _asked(trie, u[one], v[one], w[one], home[one], log1)[same]
-    steps, out, begin = np.rint(-score * STEPS).astype(np.int64), [], 0
-    for r, p in zip(rows, parts, strict=True):
-        texts, place = np.unique(np.cumsum(p[4]), return_inverse=True)
+    pair = np.unique(u.astype(np.int64) * len(every) + v, return_inverse=True)[1]
+    one, same = np.unique(pair * len(every) + w, return_index=True, return_inverse=True)[1:]
+    del pair
+    score = _asked(trie, *(x[one].astype(np.int64) for x in (u, v, w, home)), log1)
+    steps, out, begin = np.rint(-score * STEPS).astype(small)[same], [], 0
+    for r in rows:
+        texts, place = np.unique(np.cumsum(_unpacked(r["text"])), return_inverse=True)
         sums = np.bincount(place, steps[begin : begin + len(place)])
         begin += len(place)
         out.append({"piece": r["piece"], "text": _packed(np.diff(texts, prepend=0)), "sum": _packed(sums)})
