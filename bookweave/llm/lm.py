@@ -43,7 +43,9 @@ DISCOUNT = 0.75
 #: Least share of the training tokens for words whose counts every task holds; it changes no result.
 KNOWN = 1e-6
 #: Bytes and rows of a piece (one longer text is a piece of its own), tokens of a shard, uses of a word's context.
-PIECE, ROWS, TOKENS, SPLIT = 16 << 20, 1 << 16, 1 << 21, 1 << 20
+PIECE, ROWS, TOKENS, SPLIT = 16 << 20, 1 << 16, 1 << 20, 1 << 20
+#: N-grams asked at a time.
+ASKED = 1 << 16
 MADE = ("n_tokens", "n_known", "base_score", "score")
 
 
@@ -270,8 +272,11 @@ def _answers(table: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     pair = np.unique(u.astype(np.int64) * len(every) + v, return_inverse=True)[1]
     one, same = np.unique(pair * len(every) + w, return_index=True, return_inverse=True)[1:]
     del pair
-    score = _asked(trie, *(x[one].astype(np.int64) for x in (u, v, w, home)), log1)
-    steps, out, begin = np.rint(-score * STEPS).astype(small)[same], [], 0
+    steps = np.empty(len(one), small)
+    for a in range(0, len(one), ASKED):
+        own = one[a : a + ASKED]
+        steps[a : a + ASKED] = np.rint(-STEPS * _asked(trie, *(x[own].astype(np.int64) for x in (u, v, w, home)), log1))
+    steps, out, begin = steps[same], [], 0
     for r in rows:
         texts, place = np.unique(np.cumsum(_unpacked(r["text"])), return_inverse=True)
         sums = np.bincount(place, steps[begin : begin + len(place)])
