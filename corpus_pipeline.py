@@ -9,10 +9,19 @@ from bookweave.llm import decontaminate, line_dedup, minhash, pieces, quality_ru
 from bookweave.llm.shared import written
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of ``docs`` has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
-    judged = quality_rules.cascade(docs, verdict="_kept")
-    return judged.where("_kept").select(*docs.columns)
+    verdict = _free(docs, "_kept")
+    judged = quality_rules.cascade(docs, verdict=verdict)
+    return judged.where(F.col(verdict)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +41,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to it."""
-    both = pieces.decode(pieces.encode(docs), to="_back")
-    same = (F.col("_back") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    """Ids of each text, and whether they decode to it; columns with the results' names are replaced."""
+    docs = docs.drop("token_ids", "n_tokens", "round_trip")
+    back = _free(docs, "_back")
+    both = pieces.decode(pieces.encode(docs), to=back)
+    same = (F.col(back) == F.coalesce("text", F.lit(""))).alias("round_trip")
     return both.select(*(c for c in docs.columns if c != "text"), F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same)
 
 
