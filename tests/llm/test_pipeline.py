@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -31,6 +32,16 @@ def test_stages_on_an_empty_table(spark):
     assert docs.count() == 0
 
 
+def test_stages_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    extra = {c: F.lit("x") for c in ("_kept", "_back", "n_tokens", "round_trip", "token_ids")}
+    more = docs.withColumns(extra)
+    kept = corpus_pipeline.quality(spark, more, SMALL)
+    assert kept.columns == more.columns and kept.count() == corpus_pipeline.quality(spark, docs, SMALL).count()
+    made = corpus_pipeline.tokens(spark, kept, SMALL)
+    assert made.where("NOT round_trip").count() == 0 and made.where("_kept = 'x' AND _back = 'x'").count() == kept.count()
+
+
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
