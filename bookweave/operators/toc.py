@@ -406,17 +406,19 @@ def _answer_lines(df: DataFrame, text: str) -> DataFrame:
     return lines.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "line")
 
 
-def split_response(df: DataFrame, text: str = "response") -> DataFrame:
+def split_response(df: DataFrame, text: str = "response", digits: int | None = None) -> DataFrame:
     """(doc_id, seq, title, page, level) of an indented answer, fenced or not.
 
     The number of leading tabs is the level; lines without page take the last numeric page above.
+    With ``digits`` a longer number or numeral at a line's end is part of the title, not a page.
     """
     fenced = F.regexp_extract(text, "(?s)```(.*?)```", 1)
     body = F.when(F.regexp_like(F.col(text), F.lit("(?s)```.*?```")), trim_u(fenced)).otherwise(trim_u(text))
     lines = df.select("doc_id", F.posexplode(F.split(body, "\n")).alias("seq", "line")).filter(~is_blank("line"))
     line = F.regexp_replace("line", "^\\r+|\\r+$", "")
     tabs = F.length(F.regexp_extract(line, "^\\t*", 0))
-    arabic, roman = "(?U)\\s+([0-9]+)\\s*$", "(?iU)\\s+([ivxlcdm]+)\\s*$"
+    size = "+" if digits is None else f"{{1,{digits}}}"
+    arabic, roman = f"(?U)\\s+([0-9]{size})\\s*$", f"(?iU)\\s+([ivxlcdm]{size})\\s*$"
     staged = lines.select("doc_id", F.col("seq").cast("bigint").alias("seq"), trim_u(line).alias("t"), tabs.cast("bigint").alias("level"))
     t = F.col("t")
     entries = staged.select(

@@ -101,6 +101,13 @@ def test_split_response(frame):
     assert got == [("第六章 灯塔", "120", 0), ("光源", "123456", 1), ("透镜", "lxxviii", 2), ("余下", "123456", 0)]
 
 
+def test_split_response_long_numbers(frame):
+    """With the limit of the SQL a card number or a word of numeral letters is no page."""
+    df = frame([(1, "第一章 4015623723127985\nEl raezta llcill\n灯塔 12345\n光源 xviii")], "doc_id bigint, response string")
+    got = [(r.title, r.page) for r in T.split_response(df, digits=5).orderBy("seq").collect()]
+    assert got == [("第一章 4015623723127985", "1"), ("El raezta llcill", "1"), ("灯塔", "12345"), ("光源", "xviii")]
+
+
 def test_bookmark_text(frame):
     df = frame([(1, "oak\t7\nash\tix\nelm\t9\t3\nyew")], "doc_id bigint, text string")
     assert [(r.title, r.page, r.explicit) for r in T.parse_bookmark_text(df).orderBy("seq").collect()] == [("oak", 7, None), ("elm", 9, 3)]
