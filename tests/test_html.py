@@ -72,3 +72,35 @@ def test_page_toc_tries_every_candidate(one, html, toc):
 def test_deep_nesting_takes_one_pass(one):
     deep = "<div>" * 400 + "x" + "</div>" * 400
     assert one(lambda c: F.length(H.first_element(c, "div", ANY)), deep) == len(deep) - 11
+
+
+def test_small_tables_are_spread(spark):
+    """Pages are made of rows of few bytes: one split of them would be one task."""
+    from bookweave.plans.views import Views
+
+    from .conftest import SMALL
+
+    for view in ("book_pages", "record_pages", "cards"):
+        assert getattr(Views(spark, SMALL), view).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_page_is_cleaned_once(spark, frame):
+    """Comments and scripts are taken out of a page once, not once for each use of the page."""
+    from bookweave.operators import pages as P
+
+    pages = frame([(1, "<p>")], "page_id bigint, html string")
+    for out in (P.extract_book_page(pages), P.extract_detail(pages), P.extract_page_toc(pages), P.extract_list_lines(pages, "x")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("<!--.*?-->") == 1
+
+
+def test_jsonld_is_found_once(spark, frame):
+    from bookweave.operators import pages as P
+
+    plan = P.extract_page_fields(frame([(1, "<p>")], "page_id bigint, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ld\\+json") <= 2
+
+
+def test_many_nested_elements(one):
+    text = "<div>" * 3 + "a" + "</div>b" * 2 + "<div>c</div><DIV/>"
+    assert one(lambda c: H.elements(c, "div", ANY), text) == ["<div><div>a</div>b</div>b<div>c</div><DIV/>", "<div>a</div>b", "a", "c"]
