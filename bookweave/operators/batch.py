@@ -41,8 +41,8 @@ def map_pages(
 ) -> DataFrame:
     """Run ``fn`` (a model or a client) over batches of page rows; its texts come back as ``text``.
 
-    A batch that fails yields empty texts and says why in ``error``.  ``concurrency`` spreads pages by key over that many tasks,
-    so a huge document does not end up in one.  Filter before this operator: Spark does not push
+    A batch that fails yields empty texts and says why in ``error``.  ``concurrency`` spreads pages by key over that many tasks
+    (the session's shuffle partitions if they are more), so a huge document does not end up in one.  Filter before this operator: Spark does not push
     conditions through Python.
     """
     types = dict(pages.dtypes)
@@ -50,18 +50,21 @@ def map_pages(
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
+            # One frame goes back for each that came: a frame for each batch costs more than a small batch itself.
+            texts, errors = [], []
             for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                error = None
+                part, error = pdf.iloc[i : i + batch], None
                 try:
-                    texts = list(fn(part))
-                    if len(texts) != len(part):
+                    got = list(fn(part))
+                    if len(got) != len(part):
                         raise ValueError("one text per page expected")
                 except Exception as e:  # noqa: BLE001 - a failing batch must not fail the job
-                    texts, error = [""] * len(part), f"{type(e).__name__}: {e}"
-                out = part[key].copy()
-                out["text"], out["error"] = texts, error
-                yield out
+                    got, error = [""] * len(part), f"{type(e).__name__}: {e}"
+                texts += got
+                errors += [error] * len(part)
+            yield pdf[key].assign(text=texts, error=errors)
 
-    spread = pages.repartition(concurrency, *key) if concurrency else pages
+    # A fixed number of tasks would get more pages each as the table grows.
+    tasks = max(concurrency or 0, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = pages.repartition(tasks, *key) if concurrency else pages
     return spread.mapInPandas(run, schema)

@@ -132,6 +132,20 @@ def test_failing_batches_say_why(frame):
     assert sorted((r.page_no, r.text, r.error) for r in got.collect()) == [(0, "A", None), (1, "B", None), (2, "", "RuntimeError: down")]
 
 
+def test_tasks_grow_with_the_session(spark, frame):
+    """A fixed number of tasks is the least, not the most; small batches keep their order and errors."""
+
+    def fn(pdf):
+        if pdf["page_no"].iloc[0] % 3 == 1:
+            raise RuntimeError("down")
+        return [t + "!" for t in pdf["text"]]
+
+    got = map_pages(pages_of(frame, [str(i) for i in range(50)]), fn, batch=1, concurrency=2)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = [(i, "", "RuntimeError: down") if i % 3 == 1 else (i, f"{i}!", None) for i in range(50)]
+    assert sorted((r.page_no, r.text, r.error) for r in got.collect()) == want
+
+
 BOOKS = "id bigint, title string, author string, publisher string, isbn string, ss_code string"
 
 
