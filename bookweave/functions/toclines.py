@@ -33,8 +33,8 @@ DOTS_ONLY = "(?U)^[.…·•\\s~\\-—]{3,}$"
 DOTS_AT_END = "(?U)[.…·]{2,}\\s*$"
 #: A title, its leader or gap, and its page; marks of headings without a page; what stands in front of a title.
 LEADER_LINE = "(?U)^[-*]?\\s*(.+?)\\s*[.…·]{2,}\\s*(\\S+)\\s*$"
-GAP_LINE = "(?U)^(.+?)\\s+(\\d+)\\s*$"
-DIGITS_LINE = "(?U)^(.+?)\\s+([0-9]+)\\s*$"
+GAP_LINE = "(?U)^(.*\\S)\\s+(\\d+)$"  # of a trimmed line
+DIGITS_LINE = "(?U)^(.*\\S)\\s+([0-9]+)\\s*$"
 TAB_LINE = "(?s)^(.*)\\t([^\\t]*)$"
 LONG_LEADER = "(?U)\\s*[·.…]{3,}\\s*"
 NUMBERED = "(?U)^\\d+(\\.\\d+)*\\s+"
@@ -96,12 +96,16 @@ def page_number(c) -> Column:
 
 def clean_title(c) -> Column:
     """Drop leading '#' marks and whatever follows '| Latin'."""
-    c = F.regexp_replace(_col(c), "(?U)^#+\\s*", "")
-    return trim_u(F.regexp_replace(c, "(?sU)\\s*\\|\\s*[A-Za-z].*$", ""))
+
+    def tidy(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t, "(?U)^#+\\s*", ""), "(?sU)\\s*\\|\\s*[A-Za-z].*$", "")
+        return F.when(F.startswith(t, F.lit("#")) | F.contains(t, F.lit("|")), bare).otherwise(t)
+
+    return trim_u(let(_col(c), tidy))
 
 
 def _unbullet(c) -> Column:
-    return trim_u(F.regexp_replace(trim_u(c), "^[- ]+", ""))
+    return trim_u(F.ltrim(trim_u(c), F.lit("- ")))
 
 
 def parse_toc_line(c) -> Column:
@@ -185,6 +189,12 @@ def toc_title_only(c) -> Column:
     return F.when((F.length(line) >= 3) & ~line.isin(TITLE_HEADERS) & (F.length(title) >= 3), title)
 
 
+def is_solid(c) -> Column:
+    """Whether two characters of ``solid_title`` are left."""
+    thin = ".…·~•\\s\\-—_"
+    return _col(c).rlike(f"(?U)[^{thin}][{thin}]*+[^{thin}]")
+
+
 def solid_title(c) -> Column:
     """Title without leader and bullet characters, to tell titles from leader remains."""
     return F.regexp_replace(_col(c), "(?U)[.…·~•\\s\\-—_]", "")
