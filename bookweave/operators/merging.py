@@ -42,9 +42,8 @@ def same_titles(new: list[str], kept: list[str]) -> np.ndarray:
     return (shorter == 0) | (common > shorter * 0.8)
 
 
-def _fold(left: DataFrame) -> DataFrame:
-    """Of every book's first BLOCK titles those that are kept, the last of them, and whether there are so many."""
-    first = top_per_group(left, ["doc_id"], [F.col(o) for o in PLACE], BLOCK)
+def _folded(left: DataFrame) -> DataFrame:
+    """Of every book, small as it must be, its titles in order (``_rows``) and those of them that are kept (``_added``)."""
     rows = F.sort_array(F.collect_list(F.struct(*PLACE, "title", "page")))
     kind = "array<struct<" + ",".join(f"{c}:{t}" for c, t in left.select(*PLACE, "title", "page").dtypes) + ">>"
     keep = F.aggregate(
@@ -52,9 +51,14 @@ def _fold(left: DataFrame) -> DataFrame:
         F.array().cast(kind),
         lambda acc, t: F.when(F.exists(acc, lambda k: same_title(t["_key"], k["_key"])), acc).otherwise(F.array_append(acc, t)),
     )
+    return left.groupBy("doc_id").agg(rows.alias("_rows")).select("doc_id", "_rows", keep.alias("_added"))
+
+
+def _fold(left: DataFrame) -> DataFrame:
+    """Of every book's first BLOCK titles those that are kept, the last of them, and whether there are so many."""
     last = F.element_at("_rows", -1)
-    return first.groupBy("doc_id").agg(rows.alias("_rows")).select(
-        "doc_id", keep.alias("_added"), F.struct(*[last[o].alias(o) for o in PLACE]).alias("_last"), (F.size("_rows") == BLOCK).alias("_full")
+    return _folded(top_per_group(left, ["doc_id"], [F.col(o) for o in PLACE], BLOCK)).select(
+        "doc_id", "_added", F.struct(*[last[o].alias(o) for o in PLACE]).alias("_last"), (F.size("_rows") == BLOCK).alias("_full")
     )
 
 
@@ -160,15 +164,20 @@ def merge_tocs(tocs: DataFrame) -> DataFrame:
     """One contents list per book from several sources (doc_id, source_rank, seq, title, page).
 
     A title is dropped when it resembles one already kept.  Pages survive from the first source only.
-    Copies of a title go first.  A book's first BLOCK titles are one fold; the others, if any, are struck
-    where they resemble what it kept, and what is left is compared in cells of two blocks and settled by the
+    A book of up to BLOCK titles is one fold, for which its rows are grouped once; copies of a title fall to their first.
+    Of longer books (and of the rows without a book) copies go first, the first BLOCK titles are a fold, the others are
+    struck where they resemble what it kept, and what is left is compared in cells of two blocks and settled by the
     titles before.  All of it is one plan, whatever the sizes of books; only the last pass over the links of
     unsettled titles is in order of the book.
     """
-    keyed = tocs.filter(nonempty("title").isNotNull()).withColumn("_key", title_key(trim_u("title"))).select("doc_id", *PLACE, "title", "page")
+    named = tocs.filter(nonempty("title").isNotNull())
+    keyed = named.withColumn("_key", title_key(trim_u("title"))).select("doc_id", *PLACE, "title", "page")
+    long = named.groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK).select("doc_id")
+    short = _folded(keyed.filter("doc_id IS NOT NULL").join(long, "doc_id", "left_anti"))
+    of_long = keyed.join(long, "doc_id", "left_semi").unionByName(keyed.filter("doc_id IS NULL"))
     # Dealt here, so that all that reads the titles below reads this one exchange.
-    left = top_per_group(keyed.repartition("doc_id", "_key"), ["doc_id", "_key"], [F.col(o) for o in ORDER])
+    left = top_per_group(of_long.repartition("doc_id", "_key"), ["doc_id", "_key"], [F.col(o) for o in ORDER])
     folded = _fold(left)
     tail = _settled(_unlike(left, folded)).select("_group.doc_id", *ORDER, "title", "page")
-    kept = folded.select("doc_id", F.inline("_added")).select(*tail.columns).unionByName(tail)
-    return kept.withColumn("page", F.when(F.col("source_rank") == 0, F.col("page")))
+    kept = short.select("doc_id", "_added").unionByName(folded.select("doc_id", "_added")).select("doc_id", F.inline("_added"))
+    return kept.select(*tail.columns).unionByName(tail).withColumn("page", F.when(F.col("source_rank") == 0, F.col("page")))
