@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, trim_u
+from . import ordered
 from .ordered import following, ordered_scan, sum_before, total
 
 BOX = ["doc_id", "page_no", "box_no"]
@@ -104,8 +105,8 @@ def spatial_assign(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     return _pairs(boxes, placed).drop("_length").join(placed.select(*BLOCK, "block_text"), BLOCK)
 
 
-def _allocated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Block texts cut over their boxes in proportion to width.
+def _pieces(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Block texts cut over their boxes in proportion to width: (doc_id, page_no, box_no, block_no, _piece).
 
     One aggregate gives each block's width and last box, one scan over ids and numbers each box's start; a
     block's text is read beside its boxes only where they are cut from it.  Widths are added as decimals, so
@@ -118,20 +119,27 @@ def _allocated(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     cut = ordered_scan(sized, BLOCK, ["box_no"], {"_start": sum_before(F.col("_chars"))}).join(texts, BLOCK)
     text = F.col("block_text")
     size = F.when(F.col("_ends"), F.length(text)).otherwise(F.col("_chars"))
-    pieces = cut.select(*BOX, "block_no", F.substring(text, (F.col("_start") + 1).cast("int"), size).alias("_piece")).filter(F.col("_piece") != "")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "_piece"))), lambda p: p["_piece"]), " ")
-    return pieces.groupBy(*BOX).agg(joined.alias("text"))
+    return cut.select(*BOX, "block_no", F.substring(text, (F.col("_start") + 1).cast("int"), size).alias("_piece")).filter(F.col("_piece") != "")
+
+
+def _joined() -> Column:
+    """The pieces of a group's box in the order of their blocks ('' where all are NULL)."""
+    piece = F.when(F.col("_piece").isNotNull(), F.struct("block_no", "_piece"))
+    return F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["_piece"]), " ")
 
 
 def allocate_text(matches: DataFrame) -> DataFrame:
     """Texts of matched blocks cut over their boxes in proportion to width: (doc_id, page_no, box_no, text)."""
     texts = matches.groupBy(*BLOCK).agg(F.any_value("block_text").alias("block_text"))
-    return _allocated(matches.withColumn("_length", F.length("block_text")).drop("block_text"), texts)
+    pieces = _pieces(matches.withColumn("_length", F.length("block_text")).drop("block_text"), texts)
+    return pieces.groupBy(*BOX).agg(_joined().alias("text"))
 
 
-def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
-    """Cut 4 to 2 characters that end a line and start the next one on the page."""
-    out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], {"_next": following(F.col(text))})
+def trim_overlap(boxes: DataFrame, text: str = "text", dealt: bool = False) -> DataFrame:
+    """Cut 4 to 2 characters that end a line and start the next one on the page; ``dealt`` as in ``ordered_scan``."""
+    columns = [c for c in boxes.columns if not (dealt and c in ("_group", "_block"))]
+    first = {"_next": following(F.left(F.col(text), F.lit(4)))}
+    out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], first, columns=columns, dealt=dealt)
     t, n = F.col(text), F.col("_next")
     shared = F.lit(0)
     for k in (2, 3, 4):
@@ -142,12 +150,29 @@ def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("_k", shared).withColumn(text, F.when(F.col("_k") > 0, cut).otherwise(t)).drop("_next", "_k")
 
 
-def spatial_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Text of every box from the blocks around it, '' where there is none."""
+def box_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_no, box_no, text): text of every box from the blocks around it, '' where there is none.
+
+    Pieces and boxes are dealt once, by page and block of its boxes: there the pieces of a box are put together
+    and its text is compared with the next one's.
+    """
     placed = _placed(blocks)
-    texts = _allocated(_pairs(boxes, placed), placed.select(*BLOCK, "block_text"))
-    every = boxes.join(texts, BOX, "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return trim_overlap(every)
+    pieces = _pieces(_pairs(boxes, placed), placed.select(*BLOCK, "block_text"))
+    # Boxes with a document apart, so that they read the exchange of the table that the joins of boxes read.
+    empty = [F.lit(None).cast(t).alias(c) for c, t in pieces.select("block_no", "_piece").dtypes]
+    rows = pieces
+    for known in ("doc_id IS NOT NULL", "doc_id IS NULL"):
+        rows = rows.unionByName(boxes.select(*BOX).filter(known).select(*BOX, *empty))
+    page = F.struct("doc_id", "page_no").alias("_group")
+    dealt = rows.select(page, F.floor(F.col("box_no") / ordered.BLOCK_ROWS).alias("_block"), "box_no", "block_no", "_piece").repartition("_group", "_block")
+    every = dealt.groupBy("_group", "_block", "box_no").agg(_joined().alias("text"))
+    return trim_overlap(every.select("_group", "_block", "_group.doc_id", "_group.page_no", "box_no", "text"), dealt=True)
+
+
+def spatial_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The boxes with their ``text`` of ``box_texts``."""
+    found = boxes.drop("text").join(box_texts(boxes, blocks), BOX, "left")
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def fill_from_spatial(perbox: DataFrame, spatial: DataFrame) -> DataFrame:

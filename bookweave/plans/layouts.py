@@ -144,7 +144,7 @@ def trim_overlap(v: Views):
 
 
 def _spatial(v: Views):
-    return O.spatial_texts(v.line_boxes, v.layout_blocks).select("doc_id", "page_no", "box_no", "text")
+    return O.box_texts(v.line_boxes, v.layout_blocks)
 
 
 @query("spatial_texts", _SPATIAL)
