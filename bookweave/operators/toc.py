@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import toclines as L
-from ..functions.text import cjk_ratio, is_blank, let, nonempty, title_key, trim_u
+from ..functions.text import WHITE, cjk_ratio, is_blank, let, nonempty, title_key, trim_u
 from . import ordered
 from .merging import merge_tocs  # noqa: F401
 from .ordered import Scan, fill, fill_next, following, least_of, ordered_scan, previous, top_per_group, total
@@ -163,13 +163,14 @@ def assign_levels(rows: DataFrame) -> DataFrame:
     two running positions per level: the last heading of level v, and the last row that closed it.
     """
     h = L.heading_level("title")
-    staged = rows.withColumn("_h", F.when(F.col("explicit").isNull(), h))
-    level, container, seq = F.col("_h.level"), F.col("_h.is_container"), F.col("seq")
+    staged = rows.withColumn("_h", F.when(F.col("explicit").isNull(), h)).select("*", F.col("_h.is_container").alias("_container"))
+    level, container, seq = F.col("_h.level"), F.col("_container"), F.col("seq")
     scans: dict[str, Scan] = {}
     for v in range(1, 5):
         scans[f"_open{v}"] = fill(F.when(container & (level == v), seq))
         scans[f"_shut{v}"] = fill(F.when((container & (level <= v)) | (~container & (level < v)), seq))
-    out = ordered_scan(staged, ["doc_id"], ["seq"], scans)
+    # Of a heading only what is used behind the scan goes through it, so that its input is made once.
+    out = ordered_scan(staged, ["doc_id"], ["seq"], scans, columns=[*rows.columns, "_container"])
     depth = F.lit(0)
     for v in range(1, 5):
         still = F.col(f"_open{v}") >= F.coalesce(f"_shut{v}", F.lit(-1))
@@ -178,7 +179,7 @@ def assign_levels(rows: DataFrame) -> DataFrame:
     given = F.when(F.col("explicit") == -1, -1).when(
         F.col("explicit").isNotNull(), F.least(F.col("explicit") + 1, F.lit(4))
     )
-    return out.withColumn("level", F.coalesce(given, inferred).cast("bigint")).drop("_h", *scans)
+    return out.withColumn("level", F.coalesce(given, inferred).cast("bigint")).drop("_container", *scans)
 
 
 # ---------------------------------------------------------------- validation
@@ -216,16 +217,33 @@ def validate_toc(entries: DataFrame, docs: DataFrame, min_entries: int = 3, max_
 
 
 def _bare(c) -> Column:
-    return F.regexp_replace(c, "(?U)[\\s.\\-—·…]", "")
+    return F.translate(c, f"{WHITE}.-—·…", "")
 
 
-#: Characters of a slice of a text.
-SLICE = 4096
+#: Characters of a slice of a text; openings of a document, and characters of a text, up to which each opening is
+#: looked for in the text.
+SLICE, FEW, LONG = 4096, 2048, 1 << 20
 
 
 def _openings(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """The asked (doc_id, _open) that occur in their document's text.
 
+    A text of ordinary length is searched for each opening that its document asks for, if those are few; that is
+    bounded by LONG times FEW.  All others are told by their pieces.
+    """
+    counts = asked.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    lists = asked.join(counts.filter(F.col("_n") <= FEW), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("_open").alias("_asked"))
+    long = F.length("text") > LONG
+    present = let(_bare("text"), lambda b: F.filter("_asked", lambda o: F.contains(b, o)))  # made bare once a text
+    # The outer form, as Spark would make the texts bare again to tell which of the arrays are empty.
+    near = texts.filter(~long).join(lists, "doc_id").select("doc_id", F.explode_outer(present).alias("_open"))
+    far = texts.join(counts.select("doc_id", (F.col("_n") > FEW).alias("_many")), "doc_id").filter(long | F.col("_many")).select("doc_id", "text")
+    return near.filter(F.col("_open").isNotNull()).unionByName(_pieces(far, asked)).distinct()
+
+
+def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``_openings`` by pieces of four characters.
+
     Texts are cut into slices, which are dealt over the cluster; a slice takes the end of the one before
     along.  Of a slice's pieces of four characters only those that some entry may ask for go further.
     """
@@ -339,7 +357,7 @@ def raw_entries(lines: DataFrame) -> DataFrame:
 
     def entry(x: Column) -> Column:
         title = F.when(
-            x["e"].isNotNull(), F.when(F.length(L.solid_title(x["e"]["title"])) >= 2, x["e"]["title"])
+            x["e"].isNotNull(), F.when(L.is_solid(x["e"]["title"]), x["e"]["title"])
         ).when(x["chapter"], nonempty(F.regexp_extract(x["line"], heading, 1)))
         found = F.struct(title.alias("title"), x["e"]["page"].alias("page"), x["chapter"].alias("is_chapter"))
         return let(found, lambda f: F.when(f["title"].isNotNull(), f))
@@ -540,7 +558,7 @@ def parse_response(df: DataFrame, text: str = "response") -> DataFrame:
         {
             "_chapter": fill(F.when(way == 1, F.col("chapter"))),
             "_page": fill_next(F.when(way == 3, page)),
-            **{f"_n{w}": total(F.when((way == w) & page.isNotNull(), 1).otherwise(0)) for w in range(4)},
+            **{f"_n{w}": total(F.when((way == w) & page.isNotNull(), 1).otherwise(0)) for w in range(3)},  # way 3 is the rest
         },
         block=way * F.lit(2**40) + F.floor(F.col("seq") / ordered.BLOCK_ROWS),
     )
