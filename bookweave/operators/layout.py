@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, trim_u
-from . import ordered
 from .ordered import following, ordered_scan, sum_before, total
 
 BOX = ["doc_id", "page_no", "box_no"]
@@ -135,11 +134,9 @@ def allocate_text(matches: DataFrame) -> DataFrame:
     return pieces.groupBy(*BOX).agg(_joined().alias("text"))
 
 
-def trim_overlap(boxes: DataFrame, text: str = "text", dealt: bool = False) -> DataFrame:
-    """Cut 4 to 2 characters that end a line and start the next one on the page; ``dealt`` as in ``ordered_scan``."""
-    columns = [c for c in boxes.columns if not (dealt and c in ("_group", "_block"))]
-    first = {"_next": following(F.left(F.col(text), F.lit(4)))}
-    out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], first, columns=columns, dealt=dealt)
+def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
+    """Cut 4 to 2 characters that end a line and start the next one on the page."""
+    out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], {"_next": following(F.left(F.col(text), F.lit(4)))})
     t, n = F.col(text), F.col("_next")
     shared = F.lit(0)
     for k in (2, 3, 4):
@@ -153,20 +150,13 @@ def trim_overlap(boxes: DataFrame, text: str = "text", dealt: bool = False) -> D
 def box_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, page_no, box_no, text): text of every box from the blocks around it, '' where there is none.
 
-    Pieces and boxes are dealt once, by page and block of its boxes: there the pieces of a box are put together
-    and its text is compared with the next one's.
+    Boxes are only their keys and rectangles here, so that texts move with nothing else and the scan over them
+    is made once, whatever the caller takes of the boxes' other columns.
     """
     placed = _placed(blocks)
-    pieces = _pieces(_pairs(boxes, placed), placed.select(*BLOCK, "block_text"))
-    # Boxes with a document apart, so that they read the exchange of the table that the joins of boxes read.
-    empty = [F.lit(None).cast(t).alias(c) for c, t in pieces.select("block_no", "_piece").dtypes]
-    rows = pieces
-    for known in ("doc_id IS NOT NULL", "doc_id IS NULL"):
-        rows = rows.unionByName(boxes.select(*BOX).filter(known).select(*BOX, *empty))
-    page = F.struct("doc_id", "page_no").alias("_group")
-    dealt = rows.select(page, F.floor(F.col("box_no") / ordered.BLOCK_ROWS).alias("_block"), "box_no", "block_no", "_piece").repartition("_group", "_block")
-    every = dealt.groupBy("_group", "_block", "box_no").agg(_joined().alias("text"))
-    return trim_overlap(every.select("_group", "_block", "_group.doc_id", "_group.page_no", "box_no", "text"), dealt=True)
+    texts = _pieces(_pairs(boxes, placed), placed.select(*BLOCK, "block_text")).groupBy(*BOX).agg(_joined().alias("text"))
+    every = boxes.select(*BOX).join(texts, BOX, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return trim_overlap(every)
 
 
 def spatial_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -192,11 +182,13 @@ def fill_from_spatial(perbox: DataFrame, spatial: DataFrame) -> DataFrame:
 def ocr_match_rate(boxes: DataFrame) -> DataFrame:
     """Per document: boxes with text, boxes, whole per cent, characters."""
     hit = F.count(F.when(has_text("text"), 1))
+    # Asking for a whole row lets the readers of a scan behind ``boxes`` share its exchange.
     return boxes.groupBy("doc_id").agg(
+        F.any_value(F.struct(*boxes.columns)).alias("_any"),
         hit.alias("matched"), F.count("*").alias("boxes"),
         F.floor(hit * 100 / F.greatest(F.lit(1), F.count("*"))).cast("bigint").alias("percent"),
         F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"),
-    )
+    ).filter("_any IS NOT NULL").drop("_any")
 
 
 def layout_counts(blocks: DataFrame, boxes: DataFrame) -> DataFrame:

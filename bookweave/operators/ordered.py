@@ -117,7 +117,6 @@ def ordered_scan(
     outputs: dict[str, Scan],
     block: Column | None = None,
     columns: list[str] | None = None,
-    dealt: bool = False,
 ) -> DataFrame:
     """Add the ``outputs`` computed along ``order`` inside each group of ``keys``.
 
@@ -127,15 +126,15 @@ def ordered_scan(
     Both readers of the repartitioned input use all of its columns, so Spark shuffles (and computes)
     the input once and reuses that exchange for the block summaries.  That holds as long as the caller uses
     every column of the result; ``columns`` names those of the input to keep, where others only feed ``outputs``.
-
-    ``dealt``: the input has ``_group`` (the struct of its keys) and ``_block``, and is grouped by them already.
     """
     columns = columns or df.columns
     block = F.floor(F.col(order[0]) / BLOCK_ROWS) if block is None else block
-    # A struct compares equal on NULL fields.
-    place = ["_group", "_block"] if dealt else [F.struct(*keys).alias("_group"), block.alias("_block")]
-    base = df.select(*place, *columns, *[s.expr.alias(f"_v_{n}") for n, s in outputs.items()])
-    base = base if dealt else base.repartition("_group", "_block")
+    base = df.select(
+        F.struct(*keys).alias("_group"),  # a struct compares equal on NULL fields
+        block.alias("_block"),
+        *columns,
+        *[s.expr.alias(f"_v_{n}") for n, s in outputs.items()],
+    ).repartition("_group", "_block")
     along_order = F.struct(*order)
     everything = F.struct(*[F.col(c) for c in base.columns])
 

@@ -41,7 +41,7 @@ def test_titles_of_short_books_are_grouped_once(frame):
     assert "LeftAnti" in plan(got)
 
 
-def test_texts_of_boxes_are_dealt_once(frame):
+def test_texts_of_boxes_without_their_other_columns(frame):
     boxes = frame([(d, 0, i, 0.1, 0.1 * i, 0.9, 0.1 * i + 0.02) for d in (1, None) for i in range(4)], "doc_id bigint, page_no bigint, box_no bigint, x0 double, y0 double, x1 double, y1 double")
     blocks = frame([(1, 0, 0, "aaaa bbbb cc", 0.0, 0.0, 1.0, 0.25)], "doc_id bigint, page_no bigint, block_no bigint, text string, bx0 double, by0 double, bx1 double, by1 double")
     got = Y.box_texts(boxes, blocks)
