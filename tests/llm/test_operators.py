@@ -437,3 +437,25 @@ def test_kneser_ney_rejects_toxic_prose(spark):
     labels = spark.createDataFrame([(i, 1, int(i >= 400)) for i in range(460)], "doc_id long, quality int, toxic int")
     got = {g.doc_id: g.kept for g in kneser_ney.op1_quality(spark.createDataFrame(rows, SCHEMA), labels).collect()}
     assert sum(got[i] for i in range(460, 500)) <= 1 and sum(got[i] for i in range(400)) >= 392
+
+
+def test_bucketed_rows_stay_in_place(spark):
+    """A join by the buckets' column moves the other side only."""
+    from bookweave.llm.shared import bucketed
+
+    pieces = bucketed(spark.range(40).selectExpr("id AS piece", "repeat('x', 50) AS codes"), "some-pieces", "piece")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        both = pieces.join(spark.range(30).selectExpr("id % 9 AS piece").groupBy("piece").count(), "piece", "left")
+        plan = both._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert both.count() == 40 and both.where("count IS NOT NULL").count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_access_and_find_over_whole_words():
+    """Values that fill words of 64 bits to the last, and a sequence of one value."""
+    for x in (np.arange(64), np.arange(128) * 2, np.array([0]), np.array([2**40])):
+        m = Monotone.of(x)
+        assert (m.every() == x).all() and (m.find(x) == np.arange(len(x))).all() and m.find(x + x[-1] + 1).max() == -1
