@@ -459,3 +459,29 @@ def test_access_and_find_over_whole_words():
     for x in (np.arange(64), np.arange(128) * 2, np.array([0]), np.array([2**40])):
         m = Monotone.of(x)
         assert (m.every() == x).all() and (m.find(x) == np.arange(len(x))).all() and m.find(x + x[-1] + 1).max() == -1
+
+
+@pytest.mark.parametrize(("shard", "piece"), [(1 << 20, 16 << 20), (3000, 2000)])
+def test_kneser_ney_learns_from_every_trusted_text(spark, monkeypatch, shard, piece):
+    """Perplexities are those of the model of all texts learned from, of more documents than a sample of 2,000 would
+    hold, in one shard or many; each text counts: a word that one of them alone has is known."""
+    for name, x in (("TOKENS", shard), ("PIECE", piece), ("KNOWN", 1e-2 if piece < 1e4 else 1e-6)):
+        monkeypatch.setattr(lm, name, x)
+    r = random.Random(12)
+    n = 4800
+    rows = [(i, " ".join([*(r.choice("abcde") * r.randint(1, 2) for _ in range(r.randint(0, 6))), f"own{i}"]), "en") for i in range(n)]
+    rows += [(n, None, "en"), (n + 1, "", None), (n + 2, "never seen a b", "en"), (None, "a b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)] + [(n, 1, 0), (n + 2, 0, 1)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.judged(docs, labels).collect()
+    learned = {g.doc_id for g in got if g.flag & kneser_ney.TRUSTED}
+    assert len(learned) > 2000 and len(got) == len(rows)
+    assert learned | {g.doc_id for g in got if g.flag & kneser_ney.KEPT_OUT} == set(range(n))
+    model = kneser_ney.fit(docs.where(F.col("doc_id").isin(sorted(learned))))
+    assert model is not None
+    texts = dict((i, t) for i, t, _ in rows)
+    for g in r.sample(got, 400) + [g for g in got if g.doc_id is None or g.doc_id >= n]:
+        data = (texts[g.doc_id] or "").encode()
+        t, first = kneser_ney._sequences(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        p = model.logs(t, first)
+        assert g.n_tokens == len(p) and abs(math.log10(g.perplexity) + p.mean()) < 2e-3
