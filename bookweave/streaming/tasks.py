@@ -34,14 +34,19 @@ def read_task_events(
     return shaped.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def _stateful(events: DataFrame, processor, schema: str, mode: str, timers: str = "none") -> DataFrame:
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _by_value() -> None:
     # Spark also starts a Python process beside the driver, which packages sent to executors don't reach.
     for module in (processors, operators):
         cloudpickle.register_pickle_by_value(module)
-    return events.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=timers
-    )
+
+
+def _stateful(events: DataFrame, processor, schema: str, mode: str, timers: str = "none", frames: bool = True) -> DataFrame:
+    """``frames``: whether the processor takes a key's rows as pandas frames, or one by one."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    _by_value()
+    tasks = events.groupBy("task_id")
+    run = tasks.transformWithStateInPandas if frames else tasks.transformWithState
+    return run(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=timers)
 
 
 def task_state(events: DataFrame) -> DataFrame:
@@ -62,8 +67,12 @@ def log_ring(events: DataFrame) -> DataFrame:
 
 
 def idle_watch(events: DataFrame, seconds: int = 3600) -> DataFrame:
-    """``paused`` for running and ``expired`` for ended tasks, when they have been silent for that long."""
-    return _stateful(events, IdleWatch(seconds), "task_id bigint, event string, last_ms bigint", "Append", "EventTime")
+    """``paused`` for running and ``expired`` for ended tasks, when they have been silent for that long.  Events without a
+    time are left out."""
+    _by_value()
+    rows = events.where("ts IS NOT NULL").select("event_id", F.unix_micros("ts").alias("us"), "task_id", "action")
+    events = rows.repartition("task_id").mapInArrow(processors.packed, "task_id bigint, events binary")
+    return _stateful(events, IdleWatch(seconds), "task_id bigint, event string, last_ms bigint", "Append", "EventTime", frames=False)
 
 
 def progress_stream(events: DataFrame) -> DataFrame:

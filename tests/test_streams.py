@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,22 @@ def test_snapshot_is_a_compacted_log(spark, frame, tmp_path):
     assert read() == want
     with pytest.raises(ValueError):
         S.read_task_snapshot(spark, str(tmp_path / "none"))
+
+
+def test_idle_watch_gets_one_row_for_each_task(spark, frame, tmp_path):
+    """Events cross to the processor as packs, in order, with tasks and ids that are null and events without a time."""
+    from bookweave.streaming.processors import ACTIONS, EVENT, packed
+
+    rows = [(3, 30, 7, "complete"), (1, 10, 7, "start"), (None, 10, 7, "odd"), (2, 10, None, "start"), (4, 5, 8, None)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("event_id", "us", "task_id", "action"), r, strict=True)) for r in rows[a:b]], schema=pa.schema(
+        [("event_id", pa.int64()), ("us", pa.int64()), ("task_id", pa.int64()), ("action", pa.string())])) for a, b in ((0, 2), (2, 2), (2, 5))]
+    got = {r["task_id"]: np.frombuffer(r["events"], EVENT) for b in packed(iter(batches)) for r in b.to_pylist()}
+    assert {k: x["us"].tolist() for k, x in got.items()} == {7: [10, 10, 30], 8: [5], None: [10]}
+    assert got[7]["none"].tolist() == [0, 1, 0] and [ACTIONS[a] for a in got[7]["action"][[0, 2]]] == ["start", "complete"]
+    assert got[7]["action"][1] == got[8]["action"][0] == 255 and list(packed(iter([]))) == []
+    first = [(1, T0, 1, "start", 0, None), (2, None, 1, "complete", 0, None), (3, T0, 2, "start", 0, None), (4, T0 + dt.timedelta(hours=9), 9, "progress", 0, None)]
+    late = [(5, T0, 2, "complete", 0, None), (6, T0 + dt.timedelta(hours=9, minutes=1), 9, "progress", 0, None)]
+    for part in (first, late):
+        frame(part, S.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = S.idle_watch(S.read_task_events(spark, str(tmp_path / "in"), late="0 seconds"), 3600)
+    assert sorted((r.task_id, r.event) for r in run(stream, tmp_path).collect()) == [(1, "paused"), (2, "paused")]
