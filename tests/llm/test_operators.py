@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -485,3 +486,52 @@ def test_kneser_ney_learns_from_every_trusted_text(spark, monkeypatch, shard, pi
         t, first = kneser_ney._sequences(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
         p = model.logs(t, first)
         assert g.n_tokens == len(p) and abs(math.log10(g.perplexity) + p.mean()) < 2e-3
+
+
+def test_kneser_ney_in_parts(spark, monkeypatch):
+    """Shards that are asked part after part, and words by part, give what one part gives; frequent words have several
+    contexts, in different parts; no part answers half of the whole."""
+    for name, x in (("TOKENS", 1500), ("PIECE", 4000), ("KNOWN", 1e-2)):
+        monkeypatch.setattr(lm, name, x)
+    monkeypatch.setattr(kneser_ney, "SPLIT", 300)
+    r = random.Random(5)
+    vocabulary = ["a", "b", "c"] * 10 + ["".join(r.choice("defgh") for _ in range(3)) for _ in range(90)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))), "en") for i in range(600)] + [(None, None, None), (600, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    moved, write = [], kneser_ney.written
+
+    def seen(df, name, **options):
+        out = write(df, name, **options)
+        if name == "answers":
+            moved.append(sum(len(lm._unpacked(x["sum"])) for x in out.where("sum IS NOT NULL").collect()))
+        return out
+
+    monkeypatch.setattr(kneser_ney, "written", seen)
+    found = []
+    for words, parts in ((1, 1), (2, 4)):
+        monkeypatch.setattr(kneser_ney, "WORD_PARTS", words)
+        monkeypatch.setattr(kneser_ney, "PARTS", parts)
+        found.append(sorted((str(g.doc_id), g.n_tokens, g.perplexity, g.ratio, g.flag) for g in kneser_ney.judged(docs, labels).collect()))
+    assert found[0] == found[1] and len(found[0]) == 602
+    whole, *rest = moved
+    assert len(rest) == 4 and sum(rest) == whole and max(rest) < whole / 2
+
+
+def test_kneser_ney_leaves_no_shuffle_files(spark):
+    """What a statement shuffled goes when it ends, before the next one shuffles; the session's setting is as before."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        every = manager.getAllFiles()
+        return {name for k in range(every.size()) if (name := every.apply(k).getName()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "a b c a b " * (1 + i % 5), "en") for i in range(60)], "doc_id long, text string, lang string")
+    scored = kneser_ney.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int"))
+    late = time.time() + 5
+    while (left := files() - before) and time.time() < late:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(name) == setting
+    assert scored.count() == 60
