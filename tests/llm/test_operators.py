@@ -336,6 +336,22 @@ def test_lm_equals_brute_force_at_any_size(spark, monkeypatch, shard, piece, spl
     assert not off
 
 
+def test_lm_counts_pairs_over_all_homes(spark, monkeypatch):
+    """The pairs of a word that is spread over several homes are those of all of them: scores are as in one home, also of
+    held-out texts that ask for a pair, or a word, that only other homes have learned."""
+    for name, x in (("TOKENS", 2000), ("PIECE", 3000), ("KNOWN", 1e-2)):
+        monkeypatch.setattr(lm, name, x)
+    r = random.Random(9)
+    vocabulary = ["the", "of"] * 15 + ["".join(r.choice("defgh") for _ in range(3)) for _ in range(90)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60)))) for i in range(600)] + [(600, None), (None, "the of the"), (601, "new the words the of never seen of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for split in (1 << 20, 400, 60):
+        monkeypatch.setattr(lm, "SPLIT", split)
+        found.append(sorted((str(g.doc_id), g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6), g.score) for g in lm.op8_lm(docs).collect()))
+    assert len(found[0]) == 603 and found[0] == found[1] == found[2]
+
+
 def test_elias_fano_trie():
     r = np.random.default_rng(2)
     for n, top in ((1, 1), (40, 41), (500, 10**6), (3000, 5000)):
