@@ -534,6 +534,22 @@ def test_kneser_ney_in_parts(spark, monkeypatch):
     assert len(rest) == 4 and sum(rest) == whole and max(rest) < whole / 2
 
 
+def test_kneser_ney_counts_pairs_over_all_homes(spark, monkeypatch):
+    """Counts of pairs, discounts and weights are those of all homes of a word: perplexities are as in one home."""
+    for name, x in (("TOKENS", 1500), ("PIECE", 4000), ("KNOWN", 1e-2)):
+        monkeypatch.setattr(lm, name, x)
+    r = random.Random(6)
+    vocabulary = ["the", "of"] * 15 + ["".join(r.choice("defgh") for _ in range(3)) for _ in range(90)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))), "en") for i in range(600)] + [(None, "the of the", None), (600, "never seen of the", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    found = []
+    for split in (1 << 17, 300, 80):
+        monkeypatch.setattr(kneser_ney, "SPLIT", split)
+        found.append(sorted((str(g.doc_id), g.n_tokens, round(g.perplexity, 6), g.ratio, g.flag) for g in kneser_ney.judged(docs, labels).collect()))
+    assert len(found[0]) == 602 and found[0] == found[1] == found[2]
+
+
 def test_kneser_ney_leaves_no_shuffle_files(spark):
     """What a statement shuffled goes when it ends, before the next one shuffles; the session's setting is as before."""
     manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
