@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, trim_u
+from ..functions.text import is_blank, let, trim_u
 from .ordered import following, ordered_scan, sum_before, total
 
 BOX = ["doc_id", "page_no", "box_no"]
 BLOCK = ["doc_id", "page_no", "block_no"]
 #: Boxes a horizontal band of a page should hold; denser pages are cut into more bands.
 BAND_BOXES = 64
+#: Boxes, blocks and characters up to which a page is gathered in one row.
+FEW_BOXES, FEW_BLOCKS, FEW_CHARS = 128, 128, 1 << 20
 
 
 # ---------------------------------------------------------------- predicates
@@ -134,31 +136,85 @@ def allocate_text(matches: DataFrame) -> DataFrame:
     return pieces.groupBy(*BOX).agg(_joined().alias("text"))
 
 
-def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
-    """Cut 4 to 2 characters that end a line and start the next one on the page."""
-    out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], {"_next": following(F.left(F.col(text), F.lit(4)))})
-    t, n = F.col(text), F.col("_next")
+def _trimmed(t: Column, n: Column) -> Column:
+    """Text ``t`` without the 4 to 2 characters at its end that ``n``, the beginning of the next line, starts with."""
     shared = F.lit(0)
     for k in (2, 3, 4):
         fits = (F.length(t) >= k) & (F.length(n) >= k) & (F.right(t, F.lit(k)) == F.left(n, F.lit(k)))
         shared = F.when(fits, k).otherwise(shared)
     shared = F.when((F.length(t) >= 3) & (F.length(n) >= 3), shared).otherwise(F.lit(0))
-    cut = F.regexp_replace(F.left(t, F.length(t) - F.col("_k")), "(?U)\\s+$", "")
-    return out.withColumn("_k", shared).withColumn(text, F.when(F.col("_k") > 0, cut).otherwise(t)).drop("_next", "_k")
+    return let(shared, lambda k: F.when(k > 0, F.regexp_replace(F.left(t, F.length(t) - k), "(?U)\\s+$", "")).otherwise(t))
+
+
+def trim_overlap(boxes: DataFrame, text: str = "text") -> DataFrame:
+    """Cut 4 to 2 characters that end a line and start the next one on the page."""
+    out = ordered_scan(boxes, ["doc_id", "page_no"], ["box_no"], {"_next": following(F.left(F.col(text), F.lit(4)))})
+    return out.withColumn(text, _trimmed(F.col(text), F.col("_next"))).drop("_next")
 
 
 def box_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, page_no, box_no, text): text of every box from the blocks around it, '' where there is none.
 
-    Boxes are only their keys and rectangles here, so that texts move with nothing else and the scan over them
-    is made once, whatever the caller takes of the boxes' other columns.
+    Boxes are only their keys and rectangles here.  A page of few boxes, blocks and characters is gathered in one row,
+    so its boxes and texts move once; the others are cut into bands and blocks of rows.  Both read the same exchanges, as
+    pages are told apart by a struct, which has no null that a filter below one of the readers would drop.
     """
-    placed = _placed(blocks)
+    page = F.struct("doc_id", "page_no").alias("_page")
+    rows = boxes.select(page, "box_no", "x0", "y0", "x1", "y1")
+    placed = _placed(blocks).select(page, "block_no", "bx0", "by0", "bx1", "by1", "block_text")
+    per_box = rows.groupBy("_page").agg(F.count("*").alias("_n"))
+    per_block = placed.groupBy("_page").agg(F.count("*").alias("_m"), F.sum(F.length("block_text")).alias("_chars"))
+    few = (F.col("_n") <= FEW_BOXES) & (F.coalesce("_m", F.lit(0)) <= FEW_BLOCKS) & (F.coalesce("_chars", F.lit(0)) <= FEW_CHARS)
+    sizes = per_box.join(per_block, "_page", "left").select("_page", few.alias("_few"))
+    rows, placed = rows.join(sizes, "_page"), placed.join(sizes, "_page")
+
+    def others(df: DataFrame) -> DataFrame:
+        # A list of one row or none, as Spark would put the filters of the joins to come below the shared exchange.
+        row = F.struct("_page.*", *[c for c in df.columns if c not in ("_page", "_few")])
+        return df.select(F.inline(F.when(~F.col("_few"), F.array(row))))
+
+    return _gathered(rows.filter("_few"), placed.filter("_few")).unionByName(_banded(others(rows), others(placed)))
+
+
+def _banded(boxes: DataFrame, placed: DataFrame) -> DataFrame:
+    """``box_texts`` of pages of any size."""
     texts = _pieces(_pairs(boxes, placed), placed.select(*BLOCK, "block_text")).groupBy(*BOX).agg(_joined().alias("text"))
     every = boxes.select(*BOX).join(texts, BOX, "left").withColumn("text", F.coalesce("text", F.lit("")))
     return trim_overlap(every)
 
 
+def _gathered(boxes: DataFrame, placed: DataFrame) -> DataFrame:
+    """``box_texts`` of pages that fit a row: the same rules over a page's sorted boxes and blocks."""
+    sorted_list = lambda df: F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c not in ("_page", "_few")])))
+    pages = boxes.groupBy("_page").agg(sorted_list(boxes).alias("_b"))
+    pages = pages.join(placed.groupBy("_page").agg(sorted_list(placed).alias("_k")), "_page", "left")
+    width = lambda b: F.greatest(F.lit(0.001), b["x1"] - b["x0"])
+
+    def inside(k: Column) -> Column:
+        cx, cy = lambda b: (b["x0"] + b["x1"]) / 2, lambda b: (b["y0"] + b["y1"]) / 2
+        return F.filter("_b", lambda b: cx(b).between(k["bx0"], k["bx1"]) & cy(b).between(k["by0"], k["by1"]))
+
+    def cut(k: Column, own: Column) -> Column:
+        exact = F.aggregate(own, F.lit(0).cast("decimal(37,20)"), lambda a, b: (a + width(b).cast("decimal(28,20)")).cast("decimal(37,20)"))
+        text = k["block_text"]
+        sized = lambda whole: F.transform(own, lambda b: F.bround(F.length(text) * (width(b) / whole), 0).cast("int"))
+        start = lambda chars, i: F.aggregate(F.slice(chars, 1, i), F.lit(0).cast("bigint"), lambda a, c: a + c)
+        size = lambda chars, i: F.when(i == F.size(own) - 1, F.length(text)).otherwise(F.get(chars, i))
+        piece = lambda chars, i: F.substring(text, (start(chars, i) + 1).cast("int"), size(chars, i))
+        every = lambda chars: F.transform(own, lambda b, i: F.struct(b["box_no"].alias("box_no"), piece(chars, i).alias("piece")))
+        return let(let(exact.cast("double"), sized), every)
+
+    # A page without a key has no blocks, as in a join by it.
+    known = F.when(F.col("_page.doc_id").isNotNull() & F.col("_page.page_no").isNotNull(), F.col("_k"))
+    pieces = F.flatten(F.transform(known, lambda k: let(inside(k), lambda own: cut(k, own))))
+    piece = lambda ps, b: F.transform(F.filter(ps, lambda p: (p["box_no"] == b["box_no"]) & (p["piece"] != "")), lambda p: p["piece"])
+    texts = let(pieces, lambda ps: F.transform("_b", lambda b: F.coalesce(F.array_join(piece(ps, b), " "), F.lit(""))))
+    line = lambda t, b, i: F.struct(b["box_no"].alias("box_no"), _trimmed(F.get(t, i), F.left(F.get(t, i + 1), F.lit(4))).alias("text"))
+    trimmed = let(texts, lambda t: F.transform("_b", lambda b, i: line(t, b, i)))
+    # The outer form, as Spark would make the texts again to tell which of the lists are empty.
+    return pages.select("_page.*", F.inline_outer(trimmed))
+
+
 def spatial_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     """The boxes with their ``text`` of ``box_texts``."""
     found = boxes.drop("text").join(box_texts(boxes, blocks), BOX, "left")
@@ -167,7 +223,9 @@ def spatial_texts(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def fill_from_spatial(perbox: DataFrame, spatial: DataFrame) -> DataFrame:
     """Per-box texts, with empty or low-quality ones and all body boxes taken from the spatial texts."""
-    classed = box_class(perbox.join(spatial.select(*BOX, F.col("text").alias("spatial_text")), BOX, "left"))
+    # Boxes meet by a struct, as in ``box_texts``; a null key has no spatial text.
+    found = spatial.select(F.struct(*BOX).alias("_box"), F.col("text").alias("spatial_text"))
+    classed = box_class(perbox.withColumn("_box", F.struct(*BOX)).join(found, "_box", "left").drop("_box"))
     flagged = low_quality_box(classed)
     take = ((F.col("box_class") == "body") | F.col("low_quality")) & has_text("spatial_text")
     return flagged.select(

@@ -1,5 +1,7 @@
 """What keeps the work of large tables even and their shuffles few."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from bookweave.functions import toclines as L
@@ -63,3 +65,21 @@ def test_openings_of_few_and_of_many(frame, monkeypatch):
 def test_solid_titles(one):
     for text in ("a.b", "ab", "章 节", ".a", "a", "…·", ""):
         assert one(L.is_solid, text) == (one(lambda c: F.length(L.solid_title(c)), text) >= 2)
+
+
+def test_pages_in_one_row_or_in_bands(frame, monkeypatch):
+    """A page gathered in one row has the texts of a page cut into bands; its boxes and texts move once."""
+    r = random.Random(3)
+    boxes = [(d, p, i, x := r.random() / 2, y := r.random(), x + r.choice([0.0, 0.1, 0.45, -0.1]), y + 0.02) for d in (1, 2, None) for p in (0, 1, None) for i in range(25)]
+    words = ["ab", " cde", "  ", "the", "thethe", "x y z ", "", None]
+    blocks = [(d, p, k, (w := r.choice(words)) and w * r.randint(1, 30), 0.05, y := r.random(), 0.8, y + r.random() - 0.1) for d in (1, 2, 3, None) for p in (0, 1, None) for k in range(9)]
+    boxes = frame([*boxes, (1, 0, 25, None, 0.1, 0.4, 0.2)], "doc_id bigint, page_no bigint, box_no bigint, x0 double, y0 double, x1 double, y1 double")
+    blocks = frame(blocks, "doc_id bigint, page_no bigint, block_no bigint, text string, bx0 double, by0 double, bx1 double, by1 double")
+    perbox = boxes.withColumn("text", F.when(F.col("box_no") % 5 == 0, "one line").otherwise(""))
+    found = []
+    for few in (128, 12, 0):
+        monkeypatch.setattr(Y, "FEW_BOXES", few)
+        found.append(sorted(map(str, Y.fill_from_spatial(perbox, Y.box_texts(boxes, blocks)).collect())))
+    assert len(found[0]) == 226 and found[0] == found[1] == found[2] and sum("the" in x for x in found[0]) > 5
+    monkeypatch.setattr(Y, "FEW_BOXES", 128)
+    assert plan(Y.fill_from_spatial(perbox, Y.box_texts(boxes, blocks))).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 8
