@@ -233,11 +233,13 @@ def _openings(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """
     counts = asked.groupBy("doc_id").agg(F.count("*").alias("_n"))
     lists = asked.join(counts.filter(F.col("_n") <= FEW), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("_open").alias("_asked"))
-    long = F.length("text") > LONG
+    # Texts are joined once, with their list or none.
+    both = texts.join(counts.join(lists, "doc_id", "left"), "doc_id")
+    apart = (F.length("text") > LONG) | (F.col("_n") > FEW)
     present = let(_bare("text"), lambda b: F.filter("_asked", lambda o: F.contains(b, o)))  # made bare once a text
     # The outer form, as Spark would make the texts bare again to tell which of the arrays are empty.
-    near = texts.filter(~long).join(lists, "doc_id").select("doc_id", F.explode_outer(present).alias("_open"))
-    far = texts.join(counts.select("doc_id", (F.col("_n") > FEW).alias("_many")), "doc_id").filter(long | F.col("_many")).select("doc_id", "text")
+    near = both.select("doc_id", F.explode_outer(F.when(~apart, present)).alias("_open"))
+    far = both.filter(apart).select("doc_id", "text")
     return near.filter(F.col("_open").isNotNull()).unionByName(_pieces(far, asked)).distinct()
 
 
@@ -260,21 +262,26 @@ def _pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
 def cross_validate(entries: DataFrame, texts: DataFrame, min_ratio: float = 0.3) -> DataFrame:
     """Entries whose first four characters occur in the document's text; short titles pass.
 
-    If too few of at least three entries match, the text is taken to be unusable and all stay.
+    If too few of at least three entries match, the text is taken to be unusable and all stay.  All is decided for the
+    openings of a document and their numbers of entries; entries move once, to those that stay.  Joins of what is read
+    more than once are by structs, and texts pass a list of one row or none, as Spark would put the filters of a join by
+    columns, or of blank texts, below one of the readers of an exchange and make it again for the others.
     """
-    e = entries.withColumn("_t", _bare("title")).withColumn("_open", F.when(F.length("_t") >= 4, F.left("_t", F.lit(4))))
-    full = texts.filter(~is_blank("text"))
-    asked = e.filter(F.col("_open").isNotNull()).select("doc_id", "_open").distinct()
+    bare = _bare("title")
+    e = entries.withColumn("_open", let(bare, lambda t: F.when(F.length(t) >= 4, F.left(t, F.lit(4)))))
+    full = texts.select(F.inline_outer(F.when(~is_blank("text"), F.array(F.struct("doc_id", "text"))))).filter("text IS NOT NULL")
+    counts = e.groupBy("doc_id", "_open").agg(F.count("*").alias("_c"))
+    asked = counts.select(F.inline_outer(F.when(F.col("_open").isNotNull(), F.array(F.struct("doc_id", "_open"))))).filter("_open IS NOT NULL")
     found = _openings(full, asked).select(F.col("doc_id").alias("_d"), F.col("_open").alias("_o"))
+    same = counts.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("_open") == F.col("_o")), "left")
+    same = same.select(F.struct("doc_id").alias("_doc"), "_open", "_c", F.col("_o").isNotNull().alias("_m"))
+    sums = same.groupBy("_doc").agg(F.sum("_c").alias("_n"), F.sum(F.when(F.col("_m"), F.col("_c")).otherwise(0)).alias("_matched"))
     read = full.select(F.col("doc_id").alias("_r")).distinct()
-    same = e.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("_open") == F.col("_o")), "left").join(read, F.col("doc_id") == F.col("_r"), "left")
-    same = same.withColumn("_m", F.when(F.col("_r").isNotNull(), F.col("_o").isNotNull()))
-    counted = ordered_scan(
-        same.select(*entries.columns, "_open", "_m"), ["doc_id"], ["seq"],
-        {"_matched": total(F.coalesce("_m", F.lit(False)).cast("bigint")), "_n": total(F.lit(1))},
-    )
-    unusable = F.col("_m").isNull() | ((F.col("_n") >= 3) & (F.col("_matched") / F.col("_n") < min_ratio))
-    return counted.filter(unusable | F.col("_open").isNull() | F.col("_m")).select(*entries.columns)
+    sums = sums.join(read, F.col("_doc.doc_id") == F.col("_r"), "left")
+    unusable = F.col("_r").isNull() | ((F.col("_n") >= 3) & (F.col("_matched") / F.col("_n") < min_ratio))
+    kept = same.join(sums.select("_doc", unusable.alias("_all")), "_doc").filter(F.col("_all") | F.col("_open").isNull() | F.col("_m"))
+    stays = kept.select(F.struct("_doc.doc_id", "_open").alias("_key"))
+    return e.withColumn("_key", F.struct("doc_id", "_open")).join(stays, "_key", "left_semi").select(*entries.columns)
 
 
 def dedupe_titles(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from bookweave.operators import layout as Y
 from bookweave.operators import toc as T
 from bookweave.plans.views import Views
 
+from .conftest import SMALL
+
 TOC = "doc_id bigint, source_rank int, seq bigint, title string, page bigint"
 
 
@@ -83,3 +85,18 @@ def test_pages_in_one_row_or_in_bands(frame, monkeypatch):
     assert len(found[0]) == 226 and found[0] == found[1] == found[2] and sum("the" in x for x in found[0]) > 5
     monkeypatch.setattr(Y, "FEW_BOXES", 128)
     assert plan(Y.fill_from_spatial(perbox, Y.box_texts(boxes, blocks))).split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 8
+
+
+def test_documents_are_spread_once_for_their_contents(spark, frame):
+    """The readers of documents and of their entries share one exchange; entries move once, as they are."""
+    from bookweave.plans import contents
+
+    text = plan(contents.cross_validate(Views(spark, SMALL))).split("== Initial Plan ==")[0].split("\n")
+    assert sum("REPARTITION_BY_NUM" in x and "ReusedExchange" not in x for x in text) == 1
+    assert sum("hashpartitioning(_group" in x for x in text) == 0
+    rows = [(d, i, t, i) for d in (1, 2, 3, 4, None) for i, t in enumerate(["abcdef", "zzzzzz", "ab", None, "abcdxx", "yyyyyy"])]
+    e = frame(rows, "doc_id bigint, seq bigint, title string, page bigint")
+    t = frame([(1, "xx ab cde"), (2, " "), (3, "nothing here"), (3, "yyyy y"), (None, "abcd")], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.seq) for r in T.cross_validate(e, t).collect())
+    # 1: two of six entries occur; 2 and 4 have no text, null no document; 3: too few occur.
+    assert got == sorted([("1", i) for i in (0, 2, 3, 4)] + [(d, i) for d in ("2", "3", "4", "None") for i in range(6)])
